@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Iterator
 
 import pandas as pd
@@ -13,9 +14,10 @@ from .text import c
 MAX_URL = 2000
 MAX_JSON_DEPTH = 32
 # Query parameters whose value is a secret.
-SECRET_PARAMS = "access_token|api_key|apikey|auth|authorization|key|password|secret|signature|sig|token"
+SECRET_PARAMS = "token|api[_-]?key|access[_-]?token|refresh[_-]?token|signature|sig|key"
 # Key names whose value is removed from JSON.
-SECRET_KEYS = ["authorization", "cookie", "password", "secret", "token", "apikey", "accesstoken", "refreshtoken", "servicerolekey"]
+SECRET_KEYS = re.compile(
+    "(password|passphrase|secret|token|authorization|cookie|api[_-]?key|private[_-]?key|access[_-]?token|refresh[_-]?token|client[_-]?secret)")
 
 
 def content_hash(payload) -> Column:
@@ -50,46 +52,42 @@ def site_host(url) -> Column:
 
 
 def redact_text(text, limit: int = 500) -> Column:
-    out = F.regexp_replace(c(text), "(?i)https?://[^\\s<>\"']+", "[URL]")
-    out = F.regexp_replace(out, f"(?i)\\b({SECRET_PARAMS})=[^\\s&]+", "$1=[REDACTED]")
-    out = F.regexp_replace(out, "(?i)\\bbearer\\s+[a-z0-9._~+/=-]+", "Bearer [REDACTED]")
+    """URLs, secret query parameters and bearer values removed from free text, one line, bounded."""
+    out = F.translate(c(text), "\r\n", "  ")
+    out = F.regexp_replace(out, "(?i)\\bhttps?://[^\\s<>\"']+", "[REDACTED]")
+    out = F.regexp_replace(out, f"(?i)([?&](?:{SECRET_PARAMS})=)[^&#\\s]+", "$1[REDACTED]")
+    out = F.regexp_replace(out, "(?i)(bearer\\s+)[^\\s]+", "$1[REDACTED]")
     return F.left(out, F.lit(limit))
 
 
 def _strip_secrets(value, depth: int = 0):
-    if depth > MAX_JSON_DEPTH:
-        raise ValueError("json is nested too deeply")
+    if depth >= MAX_JSON_DEPTH:
+        return {"_redacted": "payload nesting exceeds inspection limit"}
     if isinstance(value, dict):
-        return {
-            k: "[REDACTED]" if "".join(ch for ch in k.lower() if ch.isalnum()) in SECRET_KEYS else _strip_secrets(v, depth + 1)
-            for k, v in value.items()
-        }
+        return {k: "[REDACTED]" if SECRET_KEYS.search(k.lower()) else _strip_secrets(v, depth + 1) for k, v in value.items()}
     if isinstance(value, list):
         return [_strip_secrets(v, depth + 1) for v in value]
     return value
 
 
 def _redact_one(text):
-    if text is None:
-        return None, None
     try:
-        return json.dumps(_strip_secrets(json.loads(text)), ensure_ascii=False, sort_keys=True, separators=(",", ":")), None
-    except (ValueError, RecursionError) as error:
-        return None, "too_deep" if "nested" in str(error) or isinstance(error, RecursionError) else "not_json"
+        return None if text is None else json.dumps(
+            _strip_secrets(json.loads(text)), ensure_ascii=False, sort_keys=True, separators=(",", ":"))
+    except (ValueError, RecursionError):
+        return None
 
 
 def redact_json(df: DataFrame, column: str) -> DataFrame:
     """Secret-named keys replaced at any depth; Catalyst has no recursive JSON rewrite.
 
-    Adds ``redaction_error``; a payload that is not JSON or too deep becomes null with its reason.
+    A value that is not JSON becomes null.
     """
     def rewrite(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            done = [_redact_one(v) for v in batch[column]]
-            yield batch.assign(**{column: [d[0] for d in done], "redaction_error": [d[1] for d in done]})
+            yield batch.assign(**{column: [_redact_one(v) for v in batch[column]]})
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
-    return df.mapInPandas(rewrite, f"{schema}, redaction_error string")
+    return df.mapInPandas(rewrite, df.schema)
 
 
 def table_digest(df: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 import unicodedata
 from functools import reduce
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 # Ligatures and letters that unaccent to more than one letter.
 MULTI_LETTER = {"ß": "ss", "æ": "ae", "œ": "oe", "Æ": "AE", "Œ": "OE", "þ": "th", "Þ": "TH"}
@@ -99,28 +99,48 @@ def trgm_similarity(left, right) -> Column:
     return set_similarity(trigrams(left), trigrams(right))
 
 
-def extent_similarity(needle_set: Column, hay_ordered: Column) -> Column:
+def shared_positions(needle_set: Column, hay_ordered: Column) -> Column:
+    """1-based positions of the ordered trigrams that the set holds."""
+    marked = F.transform(hay_ordered, lambda g, i: F.when(F.array_contains(needle_set, g), i + 1))
+    return F.filter(marked, lambda p: p.isNotNull())
+
+
+def extent_similarity(needle_set: Column, hay_ordered: Column, positions: Column | None = None) -> Column:
     """Best similarity between a trigram set and any continuous extent of ordered trigrams.
 
-    The best extent starts and ends on a shared trigram, so only those positions are paired.
+    The best extent starts and ends on a shared trigram, so only those positions are paired. Without
+    a repeated trigram the two set sizes follow from the positions alone. Pass the positions as an
+    evaluated column (see ``evaluated``): lambdas re-evaluate whatever expression they close over.
     """
-    positions = F.filter(
-        F.transform(hay_ordered, lambda g, i: F.when(F.array_contains(needle_set, g), i + 1)),
-        lambda p: p.isNotNull(),
-    )
+    positions = shared_positions(needle_set, hay_ordered) if positions is None else positions
     size = F.size(needle_set)
 
-    def extent(start: Column, end: Column) -> Column:
-        part = F.array_distinct(F.slice(hay_ordered, start, end - start + 1))
-        common = F.size(F.array_intersect(part, needle_set))
-        return common / (size + F.size(part) - common)
+    def by_position(start: Column, i: Column) -> Column:
+        def extent(end: Column, j: Column) -> Column:
+            common = j - i + 1
+            return F.when(j >= i, common / (size + (end - start + 1) - common))
+        return F.array_max(F.transform(positions, extent))
+
+    def by_sets(start: Column) -> Column:
+        def extent(end: Column) -> Column:
+            part = F.array_distinct(F.slice(hay_ordered, start, end - start + 1))
+            common = F.size(F.array_intersect(part, needle_set))
+            return common / (size + F.size(part) - common)
+        return F.array_max(F.transform(F.filter(positions, lambda e: e >= start), extent))
+
+    best = F.when(
+        F.size(F.array_distinct(hay_ordered)) == F.size(hay_ordered), F.array_max(F.transform(positions, by_position))
+    ).otherwise(F.array_max(F.transform(positions, by_sets)))
+    return F.coalesce(best, F.lit(0.0)).cast("float")
+
 
-    def best_from(start: Column) -> Column:
-        ends = F.filter(positions, lambda e: e >= start)
-        return F.array_max(F.transform(ends, lambda e: extent(start, e)))
+def evaluated(df: DataFrame, **columns: Column) -> DataFrame:
+    """Add columns that are computed exactly once per row.
 
-    best = F.array_max(F.transform(positions, best_from))
-    return F.coalesce(best, F.lit(0.0)).cast("float")
+    A one-row generator keeps the optimizer from copying the expressions into later filters and
+    lambdas, where array expressions would run again for every use.
+    """
+    return df.select("*", F.inline(F.array(F.struct(*[value.alias(name) for name, value in columns.items()]))))
 
 
 def trgm_word_similarity(needle, haystack) -> Column:
@@ -189,19 +209,21 @@ def lexical_evidence(query, term, drop=STOPWORDS) -> tuple[Column, Column]:
 # --- ids, slugs, addresses ----------------------------------------------------------------------
 
 def slugify(text) -> Column:
-    return F.regexp_replace(F.regexp_replace(F.lower(fold_accents(F.coalesce(c(text), F.lit("")))), "[^a-z0-9]+", "-"), "^-+|-+$", "")
+    slug = F.regexp_replace(F.regexp_replace(F.lower(c(text)), "[^a-z0-9]+", "-"), "^-+|-+$", "")
+    return F.coalesce(F.nullif(slug, F.lit("")), F.lit("source"))
 
 
-def bounded_slug(text, limit: int = 80) -> Column:
-    """A slug no longer than ``limit``; longer ones end in a hash of the whole text."""
-    slug = slugify(text)
-    head = F.regexp_replace(F.substring(slug, 1, limit - 13), "-+$", "")
-    return F.when(F.length(slug) <= limit, slug).otherwise(F.concat(head, F.lit("-"), F.left(F.sha2(c(text), 256), F.lit(12))))
+def host_source_key(host, prefix: str = "generic_", limit: int = 80) -> Column:
+    """Source key of a website host; a long host keeps a hash so that keys stay unique."""
+    clean = F.regexp_replace(F.translate(c(host), "-.", "__"), "[^a-z0-9_]", "")
+    clean = F.coalesce(F.nullif(clean, F.lit("")), F.lit("provider"))
+    short = F.concat(F.substring(clean, 1, limit - len(prefix) - 13), F.lit("_"), F.left(F.sha2(c(host), 256), F.lit(12)))
+    return F.concat(F.lit(prefix), F.when(F.length(clean) + len(prefix) <= limit, clean).otherwise(short))
 
 
-def stable_id(*parts) -> Column:
-    """Content-derived id: replays give the same id."""
-    return F.left(F.sha2(F.concat_ws("\u001f", *[F.coalesce(c(p).cast("string"), F.lit("")) for p in parts]), 256), F.lit(32))
+def stable_id(kind, url, name) -> Column:
+    """Content-derived id of (kind, url, normalized name): replays give the same id."""
+    return F.left(F.sha2(F.concat_ws("|", c(kind), c(url), norm_text(name)), 256), F.lit(32))
 
 
 def display_address(line1, line2, locality, postal_code) -> Column:

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions.text import c, trigrams
+from ..functions.text import c, evaluated, trigrams
 
 
 def char_windows(text, sizes=(1, 2, 3)) -> Column:
@@ -52,10 +52,9 @@ def overlap_candidates(queries: DataFrame, terms: DataFrame, share: float) -> Da
 
     term_grams = rarest_first(terms, "nt", trigrams("nt"))
     size = F.size("ordered")
-    postings = term_grams.select(
-        "nt", "ordered", F.slice("ordered", 1, (size - need(size) + 1).cast("int")).alias("prefix")
-    ).select("nt", "ordered", "prefix", F.explode("prefix").alias("gram"))
-    sides = queries.select("nq", trigrams("nq").alias("qg")).select("nq", "qg", F.explode("qg").alias("gram"))
+    prefix = F.slice("ordered", 1, (size - need(size) + 1).cast("int"))
+    postings = evaluated(term_grams, prefix=prefix).select("nt", "ordered", "prefix", F.explode("prefix").alias("gram"))
+    sides = evaluated(queries.select("nq"), qg=trigrams("nq")).select("nq", "qg", F.explode("qg").alias("gram"))
     shared_first = F.element_at(F.array_intersect("prefix", "qg"), 1)
     return (
         sides.join(postings, "gram")

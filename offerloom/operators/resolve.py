@@ -12,7 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions.text import (
-    extent_similarity, ordered_trigrams, norm_text, set_similarity, tokens, trigrams, words_array,
+    evaluated, extent_similarity, ordered_trigrams, norm_text, set_similarity, shared_positions, tokens, trigrams, words_array,
 )
 from .blocking import candidate_pairs, contained_terms, overlap_candidates
 
@@ -98,15 +98,15 @@ def distinct_queries(queries: DataFrame) -> DataFrame:
 
 def with_features(pairs: DataFrame) -> DataFrame:
     """similarity (FLOAT), word_similarity of the term in the query (FLOAT), containment flags."""
-    return (
-        pairs.withColumn("qo", ordered_trigrams("nq"))
-        .withColumn("tg", trigrams("nt"))
-        .withColumn("similarity", set_similarity(F.array_distinct("qo"), F.col("tg")))
-        .withColumn("word_similarity", extent_similarity(F.col("tg"), F.col("qo")))
-        .withColumn("query_has_term", F.contains("nq", "nt"))
-        .withColumn("term_has_query", F.contains("nt", "nq"))
-        .drop("qo", "tg")
-    )
+    grams = evaluated(pairs, qo=ordered_trigrams("nq"), tg=trigrams("nt"))
+    placed = evaluated(grams, at=shared_positions(F.col("tg"), F.col("qo")))
+    return evaluated(
+        placed,
+        similarity=set_similarity(F.array_distinct("qo"), F.col("tg")),
+        word_similarity=extent_similarity(F.col("tg"), F.col("qo"), F.col("at")),
+        query_has_term=F.contains("nq", "nt"),
+        term_has_query=F.contains("nt", "nq"),
+    ).drop("qo", "tg", "at")
 
 
 def _numeric(value) -> Column:
@@ -132,7 +132,7 @@ def search_items_v1(queries: DataFrame, catalog: Catalog, domain: str | None = N
     texts = terms.select("nt").distinct()
     pairs = (
         candidate_pairs(q.select("nq").distinct(), texts, SEARCH_MIN, contained=False)
-        .withColumn("similarity", set_similarity(trigrams("nt"), trigrams("nq")))
+        .transform(lambda p: evaluated(p, similarity=set_similarity(trigrams("nt"), trigrams("nq"))))
         .filter((F.col("nt") == F.col("nq")) | (F.col("similarity") >= SEARCH_MIN) | F.contains("nt", "nq"))
     )
     scored = scope_terms(q.join(pairs, "nq"), terms).withColumn(
@@ -179,19 +179,27 @@ def query_disambiguation(texts: DataFrame, disambiguation: DataFrame) -> DataFra
 # --- stage 1 ------------------------------------------------------------------------------------
 
 def resolve_candidates(queries: DataFrame, catalog: Catalog, domain: str | None = None) -> DataFrame:
-    """Best scored term per (query, item), before the attribute gate."""
+    """Best scored term per (query, item), before the attribute gate.
+
+    Ambiguous terms take part in the same candidate pass as the catalog terms; ``has_disambiguation``
+    marks every row of a query that met one, whatever became of the items behind it.
+    """
     q = distinct_queries(queries)
-    texts = q.select("nq").distinct()
     terms = search_terms(catalog, domain, descriptions=True)
-    pairs = with_features(candidate_pairs(texts, terms.select("nt").distinct(), SIMILARITY_MIN)).filter(
+    texts = terms.select("nt")
+    if catalog.disambiguation is not None:
+        flagged = disambiguation_terms(catalog)
+        texts = texts.unionByName(flagged.select("nt"))
+    pairs = with_features(candidate_pairs(q.select("nq").distinct(), texts.distinct(), SIMILARITY_MIN)).filter(
         F.col("query_has_term") | F.col("term_has_query")
         | (F.col("similarity") >= SIMILARITY_MIN) | (F.col("word_similarity") >= WORD_MIN))
-    rows = scope_terms(q.join(pairs, "nq"), terms)
+    rows = q.join(pairs, "nq")
     if catalog.disambiguation is not None:
-        wanted = catalog.disambiguation.filter("status = 'approved'").join(catalog.active_items(), "item_id", "left_semi").select(
-            norm_text("term").alias("nt"), "item_id", "term", F.lit("disambiguation").alias("term_source"),
-            F.lit(None).cast("string").alias("term_provider"), F.lit(0.90).alias("weight"))
-        rows = rows.unionByName(q.join(query_disambiguation(texts, catalog.disambiguation), "nq").join(wanted, "nt").select(*rows.columns))
+        met = (F.col("nq") == F.col("nt")) | (F.col("word_similarity") >= DISAMBIGUATION_MIN)
+        rows = scope_terms(rows, terms.withColumn("usable", F.lit(True)).unionByName(flagged)).filter(
+            (F.col("term_source") != "disambiguation") | met)
+    else:
+        rows = scope_terms(rows, terms.withColumn("usable", F.lit(True)))
     exact = F.col("nt") == F.col("nq")
     fuzzy = F.greatest(_numeric("similarity") * F.col("weight"), _numeric("word_similarity") * F.col("weight"))
     lexical = (
@@ -203,29 +211,50 @@ def resolve_candidates(queries: DataFrame, catalog: Catalog, domain: str | None
             (~exact).alias("inexact"), (-F.col("weight")).alias("w"), (-F.col("word_similarity")).alias("ws"),
             (-F.col("similarity")).alias("s"), "term_source", "nt", "term", "term_provider",
             _numeric("similarity").alias("similarity_score"), _numeric("word_similarity").alias("word_score"),
-            lexical.alias("lexical_score"))).alias("b"))
+            lexical.alias("lexical_score"))).alias("b"),
+        F.bool_or(F.col("term_source") == "disambiguation").alias("met"), F.bool_or("usable").alias("usable"))
+    best = best.withColumn("has_disambiguation", F.bool_or("met").over(_per_query())).filter("usable")
     return best.join(catalog.display_names(), "item_id", "left").select(
         "nq", "provider_id", "item_id", F.coalesce("primary_name", "b.term").alias("display_name"),
         F.col("b.term").alias("matched_term"), F.col("b.nt").alias("nt"), F.col("b.term_source").alias("term_source"),
-        F.col("b.term_provider").alias("term_provider"), "b.similarity_score", "b.word_score", "b.lexical_score")
+        F.col("b.term_provider").alias("term_provider"), "b.similarity_score", "b.word_score", "b.lexical_score",
+        "has_disambiguation")
+
+
+def disambiguation_terms(catalog: Catalog) -> DataFrame:
+    """Approved ambiguous terms as term rows; those of inactive items only flag the query."""
+    active = catalog.active_items().withColumn("usable", F.lit(True))
+    return (
+        catalog.disambiguation.filter("status = 'approved'").join(active, "item_id", "left")
+        .select(
+            "item_id", "term", F.lit("disambiguation").alias("term_source"), F.lit(None).cast("string").alias("term_provider"),
+            F.lit(0.90).alias("weight"), norm_text("term").alias("nt"), F.coalesce("usable", F.lit(False)).alias("usable"))
+        .filter("nt <> ''")
+    )
 
 
 def attribute_gate(candidates: DataFrame, attributes: DataFrame, item_attributes: DataFrame) -> DataFrame:
     """Per candidate: attributes asked for, attributes the item has, and whether one contradicts it.
 
-    Types no item attribute can match stay in the count on purpose: they lower the ratio.
+    Types no item attribute can match stay in the count on purpose: they lower the ratio. The two
+    collected sets are bounded by the phrases of one query and the attributes of one item.
     """
-    asked = candidates.select("nq", "provider_id", "item_id").join(attributes, "nq")
-    held = item_attributes.select("item_id", "attribute_type", "attribute_value").distinct().withColumn("held", F.lit(True))
-    found = F.coalesce("held", F.lit(False))
-    return (
-        asked.join(held, ["item_id", "attribute_type", "attribute_value"], "left")
-        .groupBy("nq", "provider_id", "item_id")
-        .agg(
-            F.count(F.lit(1)).alias("attribute_count"),
-            F.count_if(found & F.col("attribute_type").isin(*MATCH_TYPES)).alias("attribute_matches"),
-            F.bool_or(~found & F.col("attribute_type").isin(*CONFLICT_TYPES)).alias("hard_conflict"))
-    )
+    fact = F.concat_ws("\u001f", "attribute_type", "attribute_value")
+    asked = attributes.groupBy("nq").agg(F.collect_set(F.struct("attribute_type", fact.alias("fact"))).alias("asked"))
+    held = item_attributes.groupBy("item_id").agg(F.collect_set(fact).alias("held"))
+    none = F.array().cast("array<string>")
+    joined = candidates.join(asked, "nq", "left").join(held, "item_id", "left")
+
+    def count(types, wanted: bool) -> Column:
+        return F.size(F.filter(
+            F.coalesce("asked", F.array().cast("array<struct<attribute_type:string,fact:string>>")),
+            lambda a: a["attribute_type"].isin(*types) & (F.array_contains(F.coalesce("held", none), a["fact"]) == wanted)))
+
+    return joined.withColumns({
+        "attribute_count": F.when(F.col("asked").isNull(), 0).otherwise(F.size("asked")).cast("bigint"),
+        "attribute_matches": count(MATCH_TYPES, True).cast("bigint"),
+        "hard_conflict": count(CONFLICT_TYPES, False) > 0,
+    }).drop("asked", "held")
 
 
 def _per_query() -> object:
@@ -238,28 +267,18 @@ def _ranked(confidence: str = "confidence"):
 
 def accepted_v1(queries: DataFrame, catalog: Catalog, domain: str | None = None) -> DataFrame:
     """Stage-1 rows with confidence, status, method and evidence columns, keyed by (nq, provider_id)."""
-    texts = distinct_queries(queries).select("nq").distinct()
     rows = resolve_candidates(queries, catalog, domain)
-    keys = ["nq", "pk", "item_id"]
-    rows = rows.withColumn("pk", F.coalesce("provider_id", F.lit("")))
     if catalog.lexicon is not None and catalog.attributes is not None:
-        gate = attribute_gate(rows, query_attributes(texts, catalog.lexicon), catalog.attributes)
-        gate = gate.withColumn("pk", F.coalesce("provider_id", F.lit(""))).drop("provider_id")
-        rows = rows.join(gate, keys, "left")
+        texts = distinct_queries(queries).select("nq").distinct()
+        rows = attribute_gate(rows, query_attributes(texts, catalog.lexicon), catalog.attributes)
     else:
         rows = rows.withColumns({"attribute_count": F.lit(0), "attribute_matches": F.lit(0), "hard_conflict": F.lit(False)})
-    rows = rows.fillna({"attribute_count": 0, "attribute_matches": 0, "hard_conflict": False})
     ratio = F.when(F.col("attribute_count") == 0, 0.0).otherwise(F.col("attribute_matches") / F.col("attribute_count"))
     rows = rows.filter(
         ~F.col("hard_conflict")
         & ((F.col("lexical_score") >= ACCEPT_MIN) | F.col("term_source").isin("name", "alias", "disambiguation"))
         & ((F.col("attribute_count") == 0) | (ratio >= ATTRIBUTE_RATIO_MIN))
     ).withColumn("confidence", F.round(F.least(F.lit(1.0), F.col("lexical_score") + ratio * ATTRIBUTE_BONUS), 6))
-    if catalog.disambiguation is not None:
-        flagged = query_disambiguation(texts, catalog.disambiguation).select("nq").distinct().withColumn("flag", F.lit(True))
-        rows = rows.join(flagged, "nq", "left").withColumn("has_disambiguation", F.coalesce("flag", F.lit(False))).drop("flag")
-    else:
-        rows = rows.withColumn("has_disambiguation", F.lit(False))
     rows = rows.withColumn("next_score", F.lead("confidence").over(_ranked()))
     close = F.coalesce(F.round(F.col("confidence") - F.col("next_score"), 6) < RANK_GAP, F.lit(False))
     method = (
@@ -269,31 +288,37 @@ def accepted_v1(queries: DataFrame, catalog: Catalog, domain: str | None = None)
     return rows.withColumns({
         "resolution_status": F.when(F.col("has_disambiguation") | close, "ambiguous").otherwise("resolved"),
         "match_method": method,
-    }).drop("pk")
+    })
 
 
 # --- guards -------------------------------------------------------------------------------------
 
-def token_support(nq: Column, nt: Column) -> tuple[Column, Column]:
-    """(supported, all) meaningful query words; a word is supported by an equal, prefix or close term word."""
+def with_token_support(rows: DataFrame) -> DataFrame:
+    """meaningful_matches of meaningful_count query words have an equal, prefix or close term word."""
     stop = words_array(GUARD_STOP)
-    asked = F.filter(tokens(nq), lambda w: (F.length(w) >= 4) & ~F.array_contains(stop, w))
+    asked = F.filter(tokens("nq"), lambda w: (F.length(w) >= 4) & ~F.array_contains(stop, w))
+
+    def grams(words: Column) -> Column:
+        return F.transform(words, lambda w: F.struct(w.alias("w"), ordered_trigrams(w).alias("o"), trigrams(w).alias("s")))
+
+    words = evaluated(rows, asked=grams(asked), offered=grams(tokens("nt")))
 
     def supported(word: Column) -> Column:
         return F.exists(
-            tokens(nt),
-            lambda t: F.startswith(t, word) | F.startswith(word, t)
-            | ((F.size(F.array_intersect(trigrams(t), trigrams(word))) >= TOKEN_MIN * F.size(trigrams(t)))
-               & (extent_similarity(trigrams(t), ordered_trigrams(word)) >= TOKEN_MIN)))
+            "offered",
+            lambda t: F.startswith(t["w"], word["w"]) | F.startswith(word["w"], t["w"])
+            | ((F.size(F.array_intersect(t["s"], word["s"])) >= TOKEN_MIN * F.size(t["s"]))
+               & (extent_similarity(t["s"], word["o"]) >= TOKEN_MIN)))
 
-    return F.size(F.filter(asked, supported)), F.size(asked)
+    return evaluated(
+        words, meaningful_matches=F.size(F.filter("asked", supported)), meaningful_count=F.size("asked")
+    ).drop("asked", "offered")
 
 
 def guard_v2(rows: DataFrame) -> DataFrame:
     """At least half of the meaningful query words are supported; several candidates are ambiguous."""
-    supported, asked = token_support(F.col("nq"), F.col("nt"))
     reviewed = F.col("match_method").isin("exact", "alias", "disambiguation")
-    rows = rows.withColumns({"meaningful_matches": supported, "meaningful_count": asked}).filter(
+    rows = with_token_support(rows).filter(
         reviewed | (F.col("meaningful_matches") >= F.greatest(F.lit(1), F.ceil(F.col("meaningful_count") / 2))))
     many = F.count(F.lit(1)).over(_per_query()) > 1
     return rows.withColumn("resolution_status", F.when(many, "ambiguous").otherwise(F.col("resolution_status")))

@@ -28,10 +28,15 @@ def jaccard(a: str, b: str) -> str:
 
 
 def word_sim(a_set: str, b_ordered: str) -> str:
+    pos = f"list_filter(range(1, len({b_ordered}) + 1), lambda k: list_contains({a_set}, {b_ordered}[k]))"
+    both = "(y - x + 1)"
+    simple = (f"list_max(list_transform({pos}, lambda p, x: list_max(list_transform({pos}, lambda q, y: "
+              f"CASE WHEN y >= x THEN {both}::DOUBLE / (len({a_set}) + (q - p + 1) - {both}) END))))")
     extent = f"list_distinct(list_slice({b_ordered}, s, e))"
-    both = f"len(list_intersect({extent}, {a_set}))"
-    return (f"CAST(coalesce(list_max(list_transform(range(1, len({b_ordered}) + 1), lambda s: "
-            f"list_max(list_transform(range(s, len({b_ordered}) + 1), lambda e: {both}::DOUBLE / (len({a_set}) + len({extent}) - {both}))))), 0) AS FLOAT)")
+    shared = f"len(list_intersect({extent}, {a_set}))"
+    full = (f"list_max(list_transform({pos}, lambda s: "
+            f"list_max(list_transform({pos}, lambda e: CASE WHEN e >= s THEN {shared}::DOUBLE / (len({a_set}) + len({extent}) - {shared}) END))))")
+    return f"CAST(coalesce(CASE WHEN len(list_distinct({b_ordered})) = len({b_ordered}) THEN {simple} ELSE {full} END, 0) AS FLOAT)"
 
 
 def char3(x: str) -> str:

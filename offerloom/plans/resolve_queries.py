@@ -50,7 +50,8 @@ def _candidates(spark, sf):
 def _gate(spark, sf):
     rows = R.resolve_candidates(queries_table(spark, sf), catalog(spark, sf), "parts")
     asked = R.query_attributes(_texts(spark, sf), view(spark, sf, "lexicon"))
-    return R.attribute_gate(rows, asked, view(spark, sf, "attributes")).withColumn("provider_id", F.coalesce("provider_id", F.lit("")))
+    return R.attribute_gate(rows, asked, view(spark, sf, "attributes")).select(
+        "nq", F.coalesce("provider_id", F.lit("")).alias("provider_id"), "item_id", "attribute_count", "attribute_matches", "hard_conflict")
 
 
 def _stage(stage):
@@ -130,10 +131,10 @@ best AS (
 candidates AS (SELECT b.*, coalesce(d.primary_name, b.term) AS display_name FROM best b LEFT JOIN display d USING (item_id)),
 qa AS (SELECT DISTINCT g.nq, l.attribute_type, l.attribute_value FROM qgs g JOIN lexicon l ON contains(g.nq, {D.norm('l.phrase')}) WHERE l.status = 'approved'),
 gate AS (
-  SELECT c.nq, c.provider_id, c.item_id, count(*) AS attribute_count,
+  SELECT c.nq, c.provider_id, c.item_id, count(a.nq) AS attribute_count,
          count(*) FILTER (WHERE h.item_id IS NOT NULL AND a.attribute_type <> 'panel') AS attribute_matches,
-         bool_or(h.item_id IS NULL AND a.attribute_type IN ('modality', 'component')) AS hard_conflict
-  FROM candidates c JOIN qa a ON a.nq = c.nq
+         coalesce(bool_or(h.item_id IS NULL AND a.attribute_type IN ('modality', 'component')), FALSE) AS hard_conflict
+  FROM candidates c LEFT JOIN qa a ON a.nq = c.nq
   LEFT JOIN (SELECT DISTINCT * FROM attributes) h ON h.item_id = c.item_id AND h.attribute_type = a.attribute_type AND h.attribute_value = a.attribute_value
   GROUP BY c.nq, c.provider_id, c.item_id),
 gated AS (

@@ -117,14 +117,30 @@ VIEWS: dict[str, str] = {
                l_shipdate + (l_orderkey % 24 + 1440) * INTERVAL '1' HOUR AS at
         FROM {lineitem}""",
     "links": """
-        SELECT concat('d', scope_id) AS link_id, scope_id, 'service_details' AS link_target, concat('https://p.example.com/d/', scope_id) AS url, 'active' AS status,
+        SELECT concat('d', scope_id) AS link_id, scope_id, 'study' AS link_target, concat('https://p.example.com/d/', scope_id) AS url, 'active' AS status,
                CASE WHEN scope_type = 'brand' THEN TIMESTAMP '2024-03-01 00:00:00' END AS verified_at, TIMESTAMP '2024-01-01 00:00:00' AS created_at FROM {scopes}
         UNION ALL
         SELECT concat('k', scope_id) AS link_id, scope_id, 'booking' AS link_target, concat('https://p.example.com/b/', scope_id) AS url,
                CASE WHEN length(scope_id) % 5 = 0 THEN 'broken' ELSE 'active' END AS status, CAST(NULL AS TIMESTAMP) AS verified_at, TIMESTAMP '2024-02-01 00:00:00' AS created_at FROM {scopes} WHERE scope_type <> 'brand'
         UNION ALL
-        SELECT concat('h', scope_id) AS link_id, scope_id, 'provider_home' AS link_target, concat('https://p.example.com/h/', scope_id) AS url, 'active' AS status,
-               CAST(NULL AS TIMESTAMP) AS verified_at, TIMESTAMP '2024-02-01 00:00:00' AS created_at FROM {scopes} WHERE scope_type = 'brand' AND length(offer_id) % 2 = 0""",
+        SELECT concat('h', scope_id) AS link_id, scope_id, 'provider' AS link_target, concat('https://p.example.com/h/', scope_id) AS url, 'active' AS status,
+               CAST(NULL AS TIMESTAMP) AS verified_at, TIMESTAMP '2024-02-01 00:00:00' AS created_at FROM {scopes} WHERE scope_type = 'brand' AND length(offer_id) % 2 = 0
+        UNION ALL
+        SELECT concat('o', scope_id) AS link_id, scope_id, 'location' AS link_target, concat('https://p.example.com/l/', scope_id) AS url, 'active' AS status,
+               CAST(NULL AS TIMESTAMP) AS verified_at, TIMESTAMP '2024-02-01 00:00:00' AS created_at FROM {scopes} WHERE scope_type = 'location'""",
+    # --- packages: parts are the items, every supplier has one branch ----------------------------
+    "requests": """
+        SELECT concat(CAST(o.o_custkey AS STRING), '-', o.o_orderstatus) AS request_id, CAST(l.l_partkey AS STRING) AS item_id,
+               dense_rank() OVER (PARTITION BY o.o_custkey, o.o_orderstatus ORDER BY l.l_partkey) AS item_index,
+               CAST(19 + (o.o_custkey * 37 % 1000) / 1000.0 AS DOUBLE) AS lat, CAST(-98 - (o.o_custkey * 91 % 1000) / 1000.0 AS DOUBLE) AS lon
+        FROM {orders} o JOIN {lineitem} l ON l.l_orderkey = o.o_orderkey GROUP BY o.o_custkey, o.o_orderstatus, l.l_partkey""",
+    "branch_offers": """
+        SELECT CAST(l.l_partkey AS STRING) AS item_id, concat('s', CAST(l.l_suppkey AS STRING)) AS location_id,
+               concat(CAST(l.l_partkey AS STRING), '-', CAST(l.l_suppkey AS STRING)) AS offer_id, s.s_name AS provider_name, s.s_name AS location_name,
+               CAST(19 + (l.l_suppkey * 53 % 1000) / 1000.0 AS DOUBLE) AS lat, CAST(-98 - (l.l_suppkey * 17 % 1000) / 1000.0 AS DOUBLE) AS lon,
+               CASE WHEN min(l.l_tax) >= 0.08 THEN NULL ELSE CAST(round(min(l.l_extendedprice / l.l_quantity) * 100) AS BIGINT) END AS amount_minor,
+               'MXN' AS currency, max(l.l_quantity) >= 49 AS requires_quote
+        FROM {lineitem} l JOIN {supplier} s ON s.s_suppkey = l.l_suppkey GROUP BY l.l_partkey, l.l_suppkey, s.s_name""",
 }
 
 _REF = re.compile(r"\{(\w+)\}")

@@ -20,6 +20,7 @@ def local_session(cpus: int | str = "*", memory: str = "12g", shuffle_partitions
         SparkSession.builder.master(f"local[{cpus}]")
         .appName("offerloom")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", memory)
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     )

@@ -22,6 +22,9 @@ def connect(sf_dir: str):
     return con
 
 
+TIMES: dict[str, float] = {}
+
+
 def plain(value):
     if isinstance(value, decimal.Decimal):
         value = float(value)
@@ -39,7 +42,9 @@ def as_bag(columns, rows) -> tuple[list[str], Counter]:
 
 def compare(df, con, sql: str) -> str | None:
     """None when equal, else a short description of the first differences."""
+    start = time.time()
     spark_columns, spark_bag = as_bag(df.columns, [tuple(r) for r in df.collect()])
+    TIMES["spark"] = time.time() - start
     cursor = con.execute(sql)
     duck_columns, duck_bag = as_bag([d[0] for d in cursor.description], cursor.fetchall())
     if spark_columns != duck_columns:
@@ -68,4 +73,4 @@ if __name__ == "__main__":
                 problem = f"rows only: {frame.count()}"
         except Exception as error:  # report and go on
             problem = f"ERROR {str(error)[:900]}"
-        print(f"{key:28s} {time.time() - start:6.1f}s {'ok' if problem is None else problem}", flush=True)
+        print(f"{key:28s} {time.time() - start:6.1f}s spark {TIMES.pop('spark', 0):5.1f}s {'ok' if problem is None else problem}", flush=True)
