@@ -184,7 +184,7 @@ def offer_search_near(results: DataFrame, positions: DataFrame, item_rows: DataF
     near = [F.when(F.col("provider_rank") == 1, 0).otherwise(1), *nulls_last("distance_meters"), F.col("provider_name"), F.col("provider_rank")]
     top = rows.withColumn("spot_rank", F.row_number().over(W.partitionBy(*spot).orderBy(*near))).filter(F.col("spot_rank") <= k)
     final = W.partitionBy("query_id").orderBy(
-        near[0], F.desc("confidence"), *near[1:3], "display_name", "item_id", "provider_rank")
+        near[0], F.desc("confidence"), *near[1:4], "display_name", "item_id", "provider_rank")
     return (
         hits.join(top, spot).withColumn("offer_rank", F.row_number().over(final)).filter(F.col("offer_rank") <= k)
         .select("query_id", "offer_rank", "item_id", "display_name", "confidence", "offer_id", "provider_id", "provider_name",
