@@ -42,19 +42,19 @@ def rarest_first(texts: DataFrame, column: str, grams: Column) -> DataFrame:
     )
 
 
-def overlap_candidates(queries: DataFrame, terms: DataFrame, share: float) -> DataFrame:
-    """(nq, nt) pairs where the query holds at least ``share`` of the term's trigrams.
+def overlap_candidates(queries: DataFrame, terms: DataFrame, share: float, grams=trigrams) -> DataFrame:
+    """(nq, nt) pairs where the query holds at least ``share`` of the term's grams.
 
     Covers similarity >= share and word similarity >= share: both need that overlap.
     """
     def need(size: Column) -> Column:
         return F.ceil(size * share - 1e-6)
 
-    term_grams = rarest_first(terms, "nt", trigrams("nt"))
+    term_grams = rarest_first(terms, "nt", grams("nt"))
     size = F.size("ordered")
     prefix = F.slice("ordered", 1, (size - need(size) + 1).cast("int"))
     postings = evaluated(term_grams, prefix=prefix).select("nt", "ordered", "prefix", F.explode("prefix").alias("gram"))
-    sides = evaluated(queries.select("nq"), qg=trigrams("nq")).select("nq", "qg", F.explode("qg").alias("gram"))
+    sides = evaluated(queries.select("nq"), qg=grams("nq")).select("nq", "qg", F.explode("qg").alias("gram"))
     shared_first = F.element_at(F.array_intersect("prefix", "qg"), 1)
     return (
         sides.join(postings, "gram")

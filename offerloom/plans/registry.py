@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-AREAS = ["text_queries", "resolve_queries", "offer_queries", "ingest_queries", "identity_queries", "queue_queries", "analytics_queries"]
+AREAS = ["text_queries", "resolve_queries", "label_queries", "offer_queries", "ingest_queries", "identity_queries", "queue_queries", "analytics_queries"]
 
 
 def _collect(attribute: str) -> dict:

@@ -73,11 +73,11 @@ def _text(path: str, node: str = "node") -> Column:
     return F.nullif(F.trim(F.expr(f"try_variant_get({node}, '{path}', 'string')")), F.lit(""))
 
 
-def _price(node: str) -> Column:
-    return price_minor(F.coalesce(_text("$.price", node), _text("$.lowPrice", node), _text("$.priceSpecification.price", node)))
+def _price_text(node: str) -> Column:
+    return F.coalesce(_text("$.price", node), _text("$.lowPrice", node), _text("$.priceSpecification.price", node))
 
 
-def structured_evidence(parts: DataFrame) -> tuple[DataFrame, DataFrame]:
+def structured_evidence(parts: DataFrame, hint: str = SERVICE_HINT) -> tuple[DataFrame, DataFrame]:
     """(locations, offers) read from JSON-LD."""
     kinds = F.coalesce(
         F.expr("try_variant_get(node, '$[\"@type\"]', 'ARRAY<STRING>')"), F.array(F.expr("try_variant_get(node, '$[\"@type\"]', 'string')")))
@@ -92,10 +92,11 @@ def structured_evidence(parts: DataFrame) -> tuple[DataFrame, DataFrame]:
         _text("$.address.postalCode").alias("postal_code"), _text("$.geo.latitude").try_cast("double").alias("lat"),
         _text("$.geo.longitude").try_cast("double").alias("lon"), F.lit("jsonld_local_business").alias("method"))
     priced = nodes.filter(is_a(OFFER_TYPES))
-    plausible = ~is_a(["product", "offer"]) | F.col("name").rlike(SERVICE_HINT)
+    plausible = ~is_a(["product", "offer"]) | F.col("name").rlike(hint)
     nested = F.coalesce(F.expr("try_variant_get(node, '$.offers', 'ARRAY<VARIANT>')"), F.array(F.expr("try_variant_get(node, '$.offers', 'VARIANT')")))
-    offers = priced.select("*", F.posexplode_outer(F.filter(nested, lambda o: o.isNotNull())).alias("offer_pos", "offer")).withColumns({
-        "nested_price": _price("offer"), "own_price": _price("node")})
+    offers = priced.select("*", F.posexplode_outer(F.filter(nested, lambda o: o.isNotNull())).alias("offer_pos", "offer"))
+    offers = evaluated(offers, nested_text=_price_text("offer"), own_text=_price_text("node"))
+    offers = evaluated(offers, nested_price=price_minor("nested_text"), own_price=price_minor("own_text"))
     best = (
         F.when(F.col("nested_price").isNotNull(), "jsonld_offer").when(F.col("own_price").isNotNull(), "jsonld_price")
         .when(is_a(["service", "medicaltest"]), "jsonld_service"))
@@ -105,46 +106,47 @@ def structured_evidence(parts: DataFrame) -> tuple[DataFrame, DataFrame]:
     return locations, rows
 
 
-def script_evidence(parts: DataFrame) -> DataFrame:
+def script_evidence(parts: DataFrame, hint: str = SERVICE_HINT) -> DataFrame:
     """Title/price pairs in embedded script objects."""
     pair = "(?is)[\"'](?:title|name)[\"']\\s*:\\s*[\"']([^\"']{3,180})[\"'][^{}]{0,600}?[\"'](?:precio|price|cost|amount)[\"']\\s*:\\s*[\"']?([0-9][0-9.,]*)"
     names = F.regexp_extract_all("html", F.lit(pair), F.lit(1))
     prices = F.regexp_extract_all("html", F.lit(pair), F.lit(2))
     rows = parts.select("page_id", "url", F.posexplode(F.arrays_zip(names.alias("n"), prices.alias("p"))).alias("seq", "z"))
-    return rows.select("page_id", "url", F.col("seq").cast("long"), visible_text("z.n").alias("name"), price_minor("z.p").alias("price_minor"),
+    rows = evaluated(rows, price_minor=price_minor("z.p"))
+    return rows.select("page_id", "url", F.col("seq").cast("long"), visible_text("z.n").alias("name"), "price_minor",
                        F.col("url").alias("offer_url"), F.lit("embedded_script_pattern").alias("method")).filter(
-        F.col("name").rlike(SERVICE_HINT) & (F.col("price_minor") > 0))
+        F.col("name").rlike(hint) & (F.col("price_minor") > 0))
 
 
-def heading_evidence(parts: DataFrame) -> DataFrame:
+def heading_evidence(parts: DataFrame, hint: str = SERVICE_HINT) -> DataFrame:
     """Study headings with the price between them and the next heading; without any, the headings alone."""
-    rows = parts.select("page_id", "url", "text", "headings", F.posexplode("headings").alias("seq", "name")).filter(F.col("name").rlike(SERVICE_HINT))
+    rows = parts.select("page_id", "url", "text", "headings", F.posexplode("headings").alias("seq", "name")).filter(F.col("name").rlike(hint))
     after = F.expr("substring_index(text, name, -1)")
     start = F.instr(F.lower("text"), F.lower("name")) + F.length("name")
     rest = F.when(start > F.length("name"), F.substring(F.col("text"), start, F.length("text"))).otherwise(after)
     following = F.get("headings", F.col("seq") + 1)
     cut = F.when(following.isNotNull() & (F.instr(rest, following) > 0), F.substring(rest, F.lit(1), F.instr(rest, following) - 1)).otherwise(F.substring(rest, 1, 700))
     found = evaluated(rows, segment=cut).drop("text", "headings")
-    raw = F.regexp_extract("segment", PRICE_PATTERN, 0)
-    marked = raw.contains("$") | F.lower(raw).contains("mxn") | F.lower("segment").rlike(PRICE_WORDS)
-    priced = found.withColumn("price_minor", F.when(marked, price_minor(raw))).withColumn(
-        "price_minor", F.when(F.col("price_minor") > 0, F.col("price_minor")))
+    found = evaluated(found, raw=F.regexp_extract("segment", PRICE_PATTERN, 0))
+    marked = F.col("raw").contains("$") | F.lower("raw").contains("mxn") | F.lower("segment").rlike(PRICE_WORDS)
+    found = evaluated(found, amount=F.when(marked, price_minor("raw")))
+    priced = found.withColumn("price_minor", F.when(F.col("amount") > 0, F.col("amount")))
     any_price = priced.groupBy("page_id").agg(F.count("price_minor").alias("prices"))
     return priced.join(any_price, "page_id").filter("prices = 0 OR price_minor IS NOT NULL").select(
         "page_id", "url", F.col("seq").cast("long"), "name", "price_minor", F.col("url").alias("offer_url"),
         F.when(F.col("price_minor").isNotNull(), "price_pattern").otherwise("heading_pattern").alias("method"))
 
 
-def page_evidence(pages: DataFrame) -> DataFrame:
+def page_evidence(pages: DataFrame, hint: str = SERVICE_HINT) -> DataFrame:
     """Location and offer evidence per page with method confidence and stable ids.
 
     Structured prices win over visible ones of the same name; visible headings alone count only on
     pages with nothing structured.
     """
     parts = page_parts(pages)
-    locations, offers = structured_evidence(parts)
-    structured = offers.unionByName(script_evidence(parts)).withColumn("nname", norm_text("name"))
-    patterns = heading_evidence(parts).withColumn("nname", norm_text("name"))
+    locations, offers = structured_evidence(parts, hint)
+    structured = offers.unionByName(script_evidence(parts, hint)).withColumn("nname", norm_text("name"))
+    patterns = heading_evidence(parts, hint).withColumn("nname", norm_text("name"))
     pages_with = structured.select("page_id").distinct()
     priced = structured.filter("price_minor IS NOT NULL").select("page_id", "nname").distinct()
     visible = patterns.filter("price_minor IS NOT NULL").join(pages_with, "page_id", "left_semi").join(priced, ["page_id", "nname"], "left_anti")
