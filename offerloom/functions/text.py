@@ -20,7 +20,9 @@ STOPWORDS = [
 # Articles dropped by the article fold.
 ARTICLES = ["el", "la", "los", "las", "un", "una", "unos", "unas"]
 # Venue words ignored when branch names are compared.
-VENUE_WORDS = ["de", "del", "el", "la", "las", "los", "laboratorio", "sucursal", "puebla", "unidad", "medica"]
+VENUE_WORDS = [
+    "laboratorio", "laboratorios", "medico", "medicos", "medica", "del", "de", "la", "el", "los", "las", "sucursal", "plaza", "lr", "l", "r",
+]
 
 
 def _accent_table() -> tuple[str, str]:

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from ..functions.text import (
     evaluated, extent_similarity, ordered_trigrams, norm_text, set_similarity, shared_positions, tokens, trigrams, words_array,
 )
+from ..session import cut_lineage
 from .blocking import candidate_pairs, contained_terms, overlap_candidates
 
 # Acceptance thresholds of the resolver.
@@ -127,8 +128,8 @@ def scope_terms(query_pairs: DataFrame, terms: DataFrame) -> DataFrame:
 
 def search_items_v1(queries: DataFrame, catalog: Catalog, domain: str | None = None, limit: int = 10) -> DataFrame:
     """Weighted trigram search: best term per item (own provider first), top items per query."""
-    terms = search_terms(catalog, domain)
-    q = distinct_queries(queries)
+    terms = cut_lineage(search_terms(catalog, domain))
+    q = cut_lineage(distinct_queries(queries))
     texts = terms.select("nt").distinct()
     pairs = (
         candidate_pairs(q.select("nq").distinct(), texts, SEARCH_MIN, contained=False)
@@ -184,8 +185,9 @@ def resolve_candidates(queries: DataFrame, catalog: Catalog, domain: str | None
     Ambiguous terms take part in the same candidate pass as the catalog terms; ``has_disambiguation``
     marks every row of a query that met one, whatever became of the items behind it.
     """
-    q = distinct_queries(queries)
-    terms = search_terms(catalog, domain, descriptions=True)
+    # both sides feed several candidate passes and the scoring joins: computed once
+    q = cut_lineage(distinct_queries(queries))
+    terms = cut_lineage(search_terms(catalog, domain, descriptions=True))
     texts = terms.select("nt")
     if catalog.disambiguation is not None:
         flagged = disambiguation_terms(catalog)

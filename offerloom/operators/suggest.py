@@ -10,6 +10,7 @@ from ..functions.scoring import assignment_score, preserves_qualifiers, search_t
 from ..functions.text import (
     article_fold, char3_set, evaluated, initialism, lexical_evidence, norm_text, set_similarity, token_overlap, tokens, trigrams,
 )
+from ..session import cut_lineage
 from .blocking import overlap_candidates
 from .offers import best_by
 
@@ -93,7 +94,8 @@ def offline_candidates(labels: DataFrame, terms: DataFrame) -> DataFrame:
     listed: they can neither resolve nor change a verdict.
     """
     q = labels.select(norm_text("label").alias("nq"), F.col("provider_id").cast("string").alias("provider_id")).filter("nq <> ''").distinct()
-    t = terms.withColumn("nt", norm_text("term")).filter("nt <> ''")
+    t = cut_lineage(terms.withColumn("nt", norm_text("term")).filter("nt <> ''"))
+    q = cut_lineage(q)
     texts, names = q.select("nq").distinct(), t.select("nt").distinct()
     equal = texts.join(names, texts["nq"] == names["nt"]).select("nq", "nt", F.lit(1.0).alias("score"), F.lit("same").alias("how"))
     coined = names.select("nt", initialism("nt", 2, 8).alias("nq")).join(
@@ -144,9 +146,10 @@ def triage_groups(groups: DataFrame, terms: DataFrame) -> DataFrame:
     folded = folded.select("nq", "provider_id", "item_id", "display_name", "matched_term", F.lit(1.0).alias("score"), F.lit("article_fold").alias("method"))
     exact_first = F.when(F.col("method").isin("exact", "alias", "provider_alias") & (F.col("score") == 1.0), 0).when(F.col("method") == "article_fold", 1).otherwise(2)
     rows = best_by(rows.unionByName(folded), ["nq", "provider_id", "item_id"], [exact_first, -F.col("score"), F.col("matched_term")], ["display_name", "matched_term", "score", "method"])
-    rows = rows.withColumns({"nd": norm_text("display_name"), "nm": norm_text("matched_term")})
+    # five branches read the candidates below
+    rows = cut_lineage(rows.withColumns({"nd": norm_text("display_name"), "nm": norm_text("matched_term")}))
     texts = rows.select(F.col("nq").alias("x")).union(rows.select("nd")).union(rows.select("nm")).distinct()
-    facts = L.label_attributes(texts, "x")
+    facts = cut_lineage(L.label_attributes(texts, "x"))
     def evidence(term: str):
         pairs = rows.select(F.col("nq").alias("query_label"), F.col(term).alias("term_label")).distinct()
         return L.attribute_evidence(pairs, facts).select(F.col("query_label").alias("nq"), F.col("term_label").alias(term), F.col("conflicts").alias(term + "_c"), F.col("missing").alias(term + "_m"))

@@ -41,7 +41,7 @@ def _norm(spark, sf):
 
 def _repair(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text", F.expr("encode(text, 'UTF-8')").alias("raw"))
-    broken = docs.withColumn("broken", F.decode("raw", F.lit("ISO-8859-1")))
+    broken = docs.withColumn("broken", F.decode("raw", "ISO-8859-1"))
     return broken.select("doc_id", (T.repair_text("broken") == F.col("text")).alias("restored"), (T.repair_text("text") == F.col("text")).alias("kept"))
 
 
@@ -93,7 +93,7 @@ def _safe_url(spark, sf):
 
 def _site_host(spark, sf):
     return view(spark, sf, "pages").select(
-        "page_id", H.site_host("url").alias("host"), H.site_host(F.concat(F.lit("<www."), F.regexp_replace("url", "^https?://", ""), F.lit(">"))).alias("bare_host"))
+        "page_id", H.site_host("url").alias("host"), H.site_host(F.concat(F.lit("<www."), F.regexp_replace("url", "^https?://(www\\.)?", ""), F.lit(">"))).alias("bare_host"))
 
 
 def _redact(spark, sf):
@@ -279,6 +279,11 @@ ORACLES = {
         "CASE WHEN len(ca) > 0 THEN round(len(list_intersect(ca, cb))::DOUBLE / len(ca), 3) END AS core_coverage, array_to_string(list_sort(list_filter(ca, lambda w: NOT list_contains(cb, w))), ' ') AS core_unmatched FROM h",
     "label_attributes": duck("clinical_labels") + f", src AS (SELECT DISTINCT {D.norm('q')} AS nl FROM clinical_labels), {_facts('src')} SELECT * FROM facts",
     "attribute_evidence": _evidence_sql(),
+    "preserves_qualifiers": _P + f", h AS (SELECT query_id, list_filter({D.toks('l')}, lambda w: NOT list_contains({D.string_list(S.SEARCH_STOP)}, w)) AS a, {D.toks('r')} AS b FROM n) "
+        f"SELECT query_id, len(list_filter(a, lambda w: (regexp_matches(w, '[0-9]') OR length(w) = 1 OR list_contains({D.string_list(S.LITERAL)}, w)) AND NOT list_contains(b, w))) = 0 AS kept, FALSE AS swapped FROM h",
+    "assignment_score": _P + f""", h AS (SELECT query_id, {D.toks('l')} AS a, {D.toks('r')} AS b FROM n),
+      s AS (SELECT query_id, len(a) AS k, {_tok_score('a[1]', 'b[1]')} AS s11, {_tok_score('a[1]', 'b[2]')} AS s12, coalesce({_tok_score('a[2]', 'b[1]')}, 0) AS s21, coalesce({_tok_score('a[2]', 'b[2]')}, 0) AS s22 FROM h)
+      SELECT query_id, CASE WHEN k = 1 AND greatest(s11, s12) > 0 THEN greatest(s11, s12) - 1.0::DOUBLE WHEN k = 2 AND s12 > s11 AND s21 > 0 THEN (s12 + s21) / 2.0::DOUBLE WHEN k = 2 AND s11 >= s12 AND s11 > 0 AND s22 > 0 THEN (s11 + s22) / 2.0::DOUBLE ELSE 0 END AS score FROM s""",
     "specimen_intent": "SELECT p_partkey, CASE p_size % 3 WHEN 0 THEN 'blood' WHEN 1 THEN 'urine' END AS intent FROM part",
     "service_type": f"SELECT p_partkey, CASE d WHEN 'rayos-x' THEN 'imaging' WHEN 'cardiologia' THEN 'cardiology' WHEN 'audiometria' THEN 'functional_test' WHEN 'colposcopia' THEN 'other' ELSE CASE WHEN t LIKE 'Perfil %' THEN 'lab_panel' ELSE 'lab_test' END END AS record_class FROM (SELECT p_partkey, {_DEPARTMENT} AS d, {_TITLE} AS t FROM part)",
     "content_hash": "SELECT event_id, sha256('{\"k\":' || json_extract_string(props, '$.k') || '}') AS record_hash FROM events",

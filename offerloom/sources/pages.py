@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.numbers import PRICE_PATTERN, price_minor
+from ..session import cut_lineage
 from ..functions.text import c, evaluated, norm_text, stable_id
 
 # Confidence per evidence method; anything else is 0.50.
@@ -48,7 +49,8 @@ def page_parts(pages: DataFrame) -> DataFrame:
         links=F.regexp_extract_all("body", F.lit("(?i)<a\\b[^>]*\\bhref=[\"']([^\"'#]+)"), F.lit(1)),
         jsonld=F.regexp_extract_all("html", F.lit("(?is)<script[^>]*application/ld\\+json[^>]*>(.*?)</script>"), F.lit(1)),
         text=visible_text("body"),
-    ).drop("body")
+        pairs=_script_pairs(),
+    ).drop("body", "html")
 
 
 def page_links(parts: DataFrame) -> DataFrame:
@@ -106,12 +108,17 @@ def structured_evidence(parts: DataFrame, hint: str = SERVICE_HINT) -> tuple[Dat
     return locations, rows
 
 
-def script_evidence(parts: DataFrame, hint: str = SERVICE_HINT) -> DataFrame:
-    """Title/price pairs in embedded script objects."""
+def _script_pairs() -> Column:
+    """(title, price) pairs of embedded script objects."""
     pair = "(?is)[\"'](?:title|name)[\"']\\s*:\\s*[\"']([^\"']{3,180})[\"'][^{}]{0,600}?[\"'](?:precio|price|cost|amount)[\"']\\s*:\\s*[\"']?([0-9][0-9.,]*)"
     names = F.regexp_extract_all("html", F.lit(pair), F.lit(1))
     prices = F.regexp_extract_all("html", F.lit(pair), F.lit(2))
-    rows = parts.select("page_id", "url", F.posexplode(F.arrays_zip(names.alias("n"), prices.alias("p"))).alias("seq", "z"))
+    return F.arrays_zip(names.alias("n"), prices.alias("p"))
+
+
+def script_evidence(parts: DataFrame, hint: str = SERVICE_HINT) -> DataFrame:
+    """Study titles with a price from embedded scripts."""
+    rows = parts.select("page_id", "url", F.posexplode("pairs").alias("seq", "z"))
     rows = evaluated(rows, price_minor=price_minor("z.p"))
     return rows.select("page_id", "url", F.col("seq").cast("long"), visible_text("z.n").alias("name"), "price_minor",
                        F.col("url").alias("offer_url"), F.lit("embedded_script_pattern").alias("method")).filter(
@@ -143,7 +150,8 @@ def page_evidence(pages: DataFrame, hint: str = SERVICE_HINT) -> DataFrame:
     Structured prices win over visible ones of the same name; visible headings alone count only on
     pages with nothing structured.
     """
-    parts = page_parts(pages)
+    # the pages are parsed once; every kind of evidence reads the small extract
+    parts = cut_lineage(page_parts(pages))
     locations, offers = structured_evidence(parts, hint)
     structured = offers.unionByName(script_evidence(parts, hint)).withColumn("nname", norm_text("name"))
     patterns = heading_evidence(parts, hint).withColumn("nname", norm_text("name"))
