@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.text import c, evaluated, trigrams
+from ..session import spread
 
 
 def char_windows(text, sizes=(1, 2, 3)) -> Column:
@@ -54,7 +55,7 @@ def overlap_candidates(queries: DataFrame, terms: DataFrame, share: float, grams
     size = F.size("ordered")
     prefix = F.slice("ordered", 1, (size - need(size) + 1).cast("int"))
     postings = evaluated(term_grams, prefix=prefix).select("nt", "ordered", "prefix", F.explode("prefix").alias("gram"))
-    sides = evaluated(queries.select("nq"), qg=grams("nq")).select("nq", "qg", F.explode("qg").alias("gram"))
+    sides = evaluated(spread(queries.select("nq")), qg=grams("nq")).select("nq", "qg", F.explode("qg").alias("gram"))
     shared_first = F.element_at(F.array_intersect("prefix", "qg"), 1)
     return (
         sides.join(postings, "gram")
@@ -66,7 +67,7 @@ def overlap_candidates(queries: DataFrame, terms: DataFrame, share: float, grams
 def contained_terms(queries: DataFrame, terms: DataFrame) -> DataFrame:
     """(nq, nt) pairs where the query text contains the term text (character containment)."""
     keys = rarest_first(terms, "nt", key_windows("nt")).select("nt", F.element_at("ordered", 1).alias("gram"))
-    sides = queries.select("nq", F.explode(char_windows("nq")).alias("gram"))
+    sides = spread(queries.select("nq")).select("nq", F.explode(char_windows("nq")).alias("gram"))
     return sides.join(keys, "gram").filter(F.contains("nq", "nt")).select("nq", "nt")
 
 

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from ..functions.text import (
     evaluated, extent_similarity, ordered_trigrams, norm_text, set_similarity, shared_positions, tokens, trigrams, words_array,
 )
-from ..session import cut_lineage
+from ..session import cut_lineage, spread
 from .blocking import candidate_pairs, contained_terms, overlap_candidates
 
 # Acceptance thresholds of the resolver.
@@ -99,7 +99,7 @@ def distinct_queries(queries: DataFrame) -> DataFrame:
 
 def with_features(pairs: DataFrame) -> DataFrame:
     """similarity (FLOAT), word_similarity of the term in the query (FLOAT), containment flags."""
-    grams = evaluated(pairs, qo=ordered_trigrams("nq"), tg=trigrams("nt"))
+    grams = evaluated(spread(pairs), qo=ordered_trigrams("nq"), tg=trigrams("nt"))
     placed = evaluated(grams, at=shared_positions(F.col("tg"), F.col("qo")))
     return evaluated(
         placed,
@@ -129,7 +129,7 @@ def scope_terms(query_pairs: DataFrame, terms: DataFrame) -> DataFrame:
 def search_items_v1(queries: DataFrame, catalog: Catalog, domain: str | None = None, limit: int = 10) -> DataFrame:
     """Weighted trigram search: best term per item (own provider first), top items per query."""
     terms = cut_lineage(search_terms(catalog, domain))
-    q = cut_lineage(distinct_queries(queries))
+    q = cut_lineage(spread(distinct_queries(queries)))
     texts = terms.select("nt").distinct()
     pairs = (
         candidate_pairs(q.select("nq").distinct(), texts, SEARCH_MIN, contained=False)
@@ -186,7 +186,7 @@ def resolve_candidates(queries: DataFrame, catalog: Catalog, domain: str | None
     marks every row of a query that met one, whatever became of the items behind it.
     """
     # both sides feed several candidate passes and the scoring joins: computed once
-    q = cut_lineage(distinct_queries(queries))
+    q = cut_lineage(spread(distinct_queries(queries)))
     terms = cut_lineage(search_terms(catalog, domain, descriptions=True))
     texts = terms.select("nt")
     if catalog.disambiguation is not None:

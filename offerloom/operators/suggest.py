@@ -10,7 +10,7 @@ from ..functions.scoring import assignment_score, preserves_qualifiers, search_t
 from ..functions.text import (
     article_fold, char3_set, evaluated, initialism, lexical_evidence, norm_text, set_similarity, token_overlap, tokens, trigrams,
 )
-from ..session import cut_lineage
+from ..session import cut_lineage, spread
 from .blocking import overlap_candidates
 from .offers import best_by
 
@@ -95,7 +95,7 @@ def offline_candidates(labels: DataFrame, terms: DataFrame) -> DataFrame:
     """
     q = labels.select(norm_text("label").alias("nq"), F.col("provider_id").cast("string").alias("provider_id")).filter("nq <> ''").distinct()
     t = cut_lineage(terms.withColumn("nt", norm_text("term")).filter("nt <> ''"))
-    q = cut_lineage(q)
+    q = cut_lineage(spread(q))
     texts, names = q.select("nq").distinct(), t.select("nt").distinct()
     equal = texts.join(names, texts["nq"] == names["nt"]).select("nq", "nt", F.lit(1.0).alias("score"), F.lit("same").alias("how"))
     coined = names.select("nt", initialism("nt", 2, 8).alias("nq")).join(
@@ -192,7 +192,7 @@ def terminology_candidates(queries: DataFrame, index: DataFrame, limit: int = 20
     index meet tokens of the queries on an equi-join; the phrase test runs on candidates only.
     """
     stop = F.array(*[F.lit(w) for w in TERMINOLOGY_STOP])
-    q = queries.select(norm_text("query_text").alias("nq")).distinct().withColumn(
+    q = queries.select(norm_text("query_text").alias("nq")).distinct().transform(spread).withColumn(
         "words", F.filter(tokens("nq"), lambda w: (F.length(w) > 1) & ~F.array_contains(stop, w))).filter(F.size("words") > 0)
     fields = F.array(*[
         F.struct(F.lit(w).alias("weight"), tokens(norm_text(f)).alias("words")) for f, w in FIELD_WEIGHTS.items() if f in index.columns])

@@ -31,6 +31,17 @@ def local_session(cpus: int | str = "*", memory: str = "12g", shuffle_partitions
     return spark
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Full parallelism for steps that cost far more CPU than bytes.
+
+    Adaptive execution sizes partitions by bytes and would put small rows with expensive work into
+    very few tasks; an explicit partition count is left alone.
+    """
+    spark = df.sparkSession
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    return df.repartition(n, *keys)
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint in the folder the cluster names, so a lost executor costs a re-read.
 
