@@ -111,7 +111,7 @@ VIEWS: dict[str, str] = {
         ) x GROUP BY scope_id, price_type, price_key""",
     # every line asks for the price of its offer at one branch of the brand
     "price_asks": """
-        SELECT concat(CAST(l_orderkey AS STRING), '-', CAST(l_linenumber AS STRING), '-', CAST(l_partkey AS STRING)) AS ask_id,
+        SELECT concat(CAST(l_orderkey AS STRING), '-', CAST(l_linenumber AS STRING), '-', CAST(l_partkey AS STRING), '-', CAST(l_suppkey AS STRING), '-', CAST(CAST(round(l_extendedprice * 100) AS BIGINT) AS STRING)) AS ask_id,
                concat(CAST(l_partkey AS STRING), '-', CAST(l_suppkey AS STRING)) AS offer_id,
                CAST(l_suppkey + (SELECT count(*) FROM {supplier}) * (l_orderkey % 15) AS STRING) AS location_id,
                l_shipdate + (l_orderkey % 24 + 1440) * INTERVAL '1' HOUR AS at
