@@ -126,14 +126,16 @@ def prefer_concrete(rows: DataFrame, scopes: DataFrame) -> DataFrame:
         rows.filter("location_id IS NULL").join(concrete, "offer_id", "left_anti"))
 
 
-def item_offer_rows(brands, offers, scopes, prices, locations, market_locations, links, *, as_of, per_market: int) -> DataFrame:
+def item_offer_rows(brands, offers, scopes, prices, locations, market_locations, links, *, as_of, per_market: int | None) -> DataFrame:
     """Search rows per item: offer, branch, current scope price and details link.
 
     A market reaches its branches with the same price, so a top-k search needs at most ``per_market``
-    of them (lowest branch id, the last tie-break of the ranking): the rest can never be shown.
+    of them (lowest branch id, the last tie-break of the ranking): the rest can never be shown. Pass
+    None for a search by position, where any branch can be the nearest.
     """
-    few = market_locations.select("market_id", "location_id").distinct().withColumn(
-        "n", F.row_number().over(W.partitionBy("market_id").orderBy("location_id"))).filter(F.col("n") <= per_market)
+    few = market_locations.select("market_id", "location_id").distinct()
+    if per_market is not None:
+        few = few.withColumn("n", F.row_number().over(W.partitionBy("market_id").orderBy("location_id"))).filter(F.col("n") <= per_market)
     rows = prefer_concrete(expand_offers(offers, scopes, locations, few), scopes)
     now = current_prices(prices, as_of).select("scope_id", "price_type", "price_key", "amount_minor", "currency", "last_seen_at")
     active = brands.filter("status = 'active'").select("provider_id", "provider_name")

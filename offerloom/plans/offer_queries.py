@@ -78,7 +78,7 @@ def _offer_search(spark, sf):
 
 def _offer_search_near(spark, sf):
     positions = queries_table(spark, sf).select("query_id", (F.lit(19.0) + F.length("query_text") / 100).alias("lat"), F.lit(-98.5).alias("lon"))
-    return O.offer_search_near(_results(spark, sf), positions, item_rows(spark, sf)).drop("source_url")
+    return O.offer_search_near(_results(spark, sf), positions, item_rows(spark, sf, None)).drop("source_url")
 
 
 def _resolve_search(spark, sf):
