@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from offerloom.llm import licenses, lines, mixing, simhash, sketches
+from offerloom.llm import embeddings, licenses, lines, mixing, quality, simhash, sketches, token_files
 from offerloom.llm.common import documents
 
 
@@ -13,10 +13,19 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_groups(documents(spark, sf_dir)).select("doc_id", "fingerprint", "component_id")
 
 
+def op3_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.near_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 def op4_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan_licenses(documents(spark, sf_dir))
 
 
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = quality.score_quality(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return scored.select("doc_id", "held_out", "score", "predicted")
+
+
 def op7_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = lines.dedup_lines(documents(spark, sf_dir))
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
@@ -33,7 +42,14 @@ def op9_sketches(spark: SparkSession, sf_dir: str) -> DataFrame:
         sketches.printed(F.col("edited_sketch")).alias("edited_fingerprint"), "near_edited", "near_next")
 
 
-QUERIES = {"op1_simhash": op1_simhash, "op4_licenses": op4_licenses, "op7_lines": op7_lines, "op8_mixing": op8_mixing, "op9_sketches": op9_sketches}
+def op10_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files.token_table(documents(spark, sf_dir))
+
+
+QUERIES = {
+    "op1_simhash": op1_simhash, "op3_embeddings": op3_embeddings, "op4_licenses": op4_licenses, "op5_quality": op5_quality,
+    "op7_lines": op7_lines, "op8_mixing": op8_mixing, "op9_sketches": op9_sketches, "op10_tokens": op10_tokens,
+}
 
 _KEY = "trim(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))"
 OP7_SQL = f"""
@@ -73,4 +89,21 @@ SELECT doc_id, size, source_size, target,
   (size * (base + CASE WHEN base < 2 AND hash < edge THEN 1 ELSE 0 END))::BIGINT AS taken
 FROM sized s JOIN budgets b ON s.source IS NOT DISTINCT FROM b.source JOIN edges e ON s.source IS NOT DISTINCT FROM e.source"""
 
-ORACLES = {"op7_lines": OP7_SQL, "op8_mixing": OP8_SQL}
+OP3_SQL = """
+WITH RECURSIVE usable AS (
+  SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+links AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM usable a JOIN usable b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.v) = len(b.v)
+  WHERE list_dot_product(a.v, b.v) / (sqrt(list_dot_product(a.v, a.v)) * sqrt(list_dot_product(b.v, b.v))) >= 0.98),
+reach AS (
+  SELECT vec_id, vec_id AS other FROM embeddings
+  UNION
+  SELECT r.vec_id, l.b FROM reach r JOIN links l ON r.other = l.a),
+lowest AS (SELECT vec_id, min(other) AS component_id FROM reach GROUP BY vec_id),
+counted AS (SELECT a, count(*) AS n FROM links GROUP BY a)
+SELECT e.vec_id, coalesce(n, 0)::BIGINT AS n_links, component_id, e.vec_id = component_id AS kept
+FROM embeddings e JOIN lowest USING (vec_id) LEFT JOIN counted ON a = e.vec_id"""
+
+ORACLES = {"op3_embeddings": OP3_SQL, "op7_lines": OP7_SQL, "op8_mixing": OP8_SQL}
