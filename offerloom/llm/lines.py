@@ -18,8 +18,8 @@ def _hash(key: Column) -> Column:
     return F.unhex(F.md5(key))
 
 
-def dedup_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3) -> DataFrame:
-    """``doc_id, kept, n_lines, n_dropped`` of every document, with its other columns left out.
+def dedup_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, passed: tuple[str, ...] = ()) -> DataFrame:
+    """``doc_id, kept, n_lines, n_dropped`` of every document, and its ``passed`` columns.
 
     Lines are normalised, exploded and hashed; distinct documents are counted per hash in two
     partial aggregations, so a line of a third of all documents is pre-aggregated before it meets
@@ -31,7 +31,8 @@ def dedup_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3) -> Data
     other document holds it. Repeated rows stay repeated. Very long texts are split within their
     row. An empty table gives no rows.
     """
-    rows = pick(docs, "doc_id", "text").withColumn("text", F.coalesce("text", F.lit("")))
+    others = [f"passed_{i}" for i in range(len(passed))]
+    rows = pick(docs, "doc_id", "text", *passed).toDF("doc_id", "text", *others).withColumn("text", F.coalesce("text", F.lit("")))
     rows = rows.withColumn("same", F.xxhash64("text"))  # rows of one doc_id may differ in text
     lines = F.split("text", "\n", -1)
     keyed = rows.select("doc_id", "same", F.posexplode(F.split(ascii_lower(F.col("text")), "\n", -1)).alias("pos", "line"))
@@ -43,8 +44,8 @@ def dedup_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3) -> Data
     lost = lost.groupBy(F.col("doc_id").alias("lost_id"), F.col("same").alias("lost_same")).agg(F.collect_set("pos").alias("lost"))
     joined = rows.join(lost, rows.doc_id.eqNullSafe(lost.lost_id) & (rows.same == lost.lost_same), "left")
     stays = F.transform(F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), F.col("lost")), lambda p: F.col("lines")[p])
-    split = joined.select("doc_id", "lost", F.inline(F.array(F.struct(lines.alias("lines")))))
-    kept = split.select("doc_id", F.size("lines").alias("n_lines"), F.when(F.col("lost").isNull(), F.col("lines")).otherwise(stays).alias("stays"))
+    split = joined.select("doc_id", *others, "lost", F.inline(F.array(F.struct(lines.alias("lines")))))
+    kept = split.select("doc_id", *others, F.size("lines").alias("n_lines"), F.when(F.col("lost").isNull(), F.col("lines")).otherwise(stays).alias("stays"))
     return kept.select(
         "doc_id", F.array_join("stays", "\n").alias("kept"), F.col("n_lines").cast("long").alias("n_lines"),
-        (F.col("n_lines") - F.size("stays")).cast("long").alias("n_dropped"))
+        (F.col("n_lines") - F.size("stays")).cast("long").alias("n_dropped"), *[F.col(o).alias(p) for o, p in zip(others, passed)])

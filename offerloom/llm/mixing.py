@@ -42,8 +42,8 @@ def _bucket(level: int) -> Column:
     return F.shiftright("hash", LEVEL_BITS * (LEVELS - 1 - level)).bitwiseAND((1 << LEVEL_BITS) - 1)
 
 
-def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: int = MOST) -> DataFrame:
-    """``doc_id, size, source, source_size, target, copies, taken`` of every document.
+def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: int = MOST, passed: tuple[str, ...] = ()) -> DataFrame:
+    """``doc_id, size, source, source_size, target, copies, taken`` of every document, and its ``passed`` columns.
 
     A source at r times its size takes every document floor(r) times and once more each document
     whose 60-bit hash lies below the source's threshold. The threshold comes from histograms: sizes
@@ -56,10 +56,12 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: int = MOST
     doc_id and text share a hash and are taken together. A total of zero gives targets and copies of
     zero; an empty table gives no rows. Very long texts are only counted.
     """
-    rows = pick(docs, "doc_id", "text", "source").select(
+    others = [f"passed_{i}" for i in range(len(passed))]
+    full = pick(docs, "doc_id", "text", "source", *passed).toDF("doc_id", "text", "source", *others).select(
         F.col("doc_id").cast("long").alias("doc_id"), "source", word_count(F.col("text")).alias("size"),
-        F.conv(F.substring(F.md5(F.concat_ws(":", F.col("doc_id").cast("string"), F.md5(F.coalesce("text", F.lit(""))))), 1, 15), 16, 10).cast("long").alias("hash"))
-    rows = cut_lineage(rows)
+        F.conv(F.substring(F.md5(F.concat_ws(":", F.col("doc_id").cast("string"), F.md5(F.coalesce("text", F.lit(""))))), 1, 15), 16, 10).cast("long").alias("hash"), *others)
+    rows = cut_lineage(full.drop(*others))
+    full = full if others else rows  # passed columns are read again rather than checkpointed
     goal = targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, most)
     goal = goal.withColumn("base", F.coalesce(F.floor(F.col("target") / F.col("source_size")), F.lit(0)).cast("int"))
     goal = cut_lineage(goal.withColumn("budget", F.greatest(F.col("target") - F.col("base") * F.col("source_size"), F.lit(0.0))).withColumn("edge", F.lit(0).cast("long")))
@@ -84,6 +86,6 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: int = MOST
             inside = inside.join(marks, F.col("source").eqNullSafe(F.col("of")) & (shown == F.col("at"))).select("source", "size", "hash")
     goal = fits_broadcast(goal.withColumnRenamed("source", "of"))
     copies = F.when(F.col("source_size") > 0, F.col("base") + F.when((F.col("hash") < F.col("edge")) & (F.col("base") < most), 1).otherwise(0)).otherwise(0)
-    return rows.join(goal, F.col("source").eqNullSafe(F.col("of"))).select(
+    return full.join(goal, F.col("source").eqNullSafe(F.col("of"))).select(
         "doc_id", "size", "source", "source_size", F.coalesce("target", F.lit(0.0)).alias("target"), copies.cast("int").alias("copies"),
-        (copies * F.col("size")).cast("long").alias("taken"))
+        (copies * F.col("size")).cast("long").alias("taken"), *[F.col(o).alias(p) for o, p in zip(others, passed)])

@@ -125,19 +125,19 @@ def score_quality(docs: DataFrame, labels: DataFrame, keep: float = KEEP, train_
     weights = train(docs, labels, train_rows)
     shared = docs.sparkSession.sparkContext.broadcast(weights.astype(np.float64))
     names = [f"c{i}" for i in range(len(passed))]
-    rows = pick(docs, *passed, "text") if "text" not in passed else pick(docs, *passed).withColumn("scored_text", F.col("text"))
-    rows = rows.toDF(*names, "scored_text")
+    scored_text = names[passed.index("text")] if "text" in passed else "scored_text"
+    rows = pick(docs, *passed, *([] if "text" in passed else ["text"])).toDF(*dict.fromkeys([*names, scored_text]))
 
     def run(batches):
         w = shared.value
-        for part in sliced(batches, chars="scored_text"):
+        for part in sliced(batches, chars=scored_text):
             scores = []
-            for text in part.column("scored_text"):
+            for text in part.column(scored_text):
                 at, x = features(text.as_py())
                 scores.append(_sigmoid(float(w[at] @ x) + w[-1]))
             yield pa.RecordBatch.from_arrays([*(part.column(n) for n in names), pa.array(scores, pa.float64())], [*names, "score"])
 
-    schema = ", ".join(f"{n} {t}" for n, t in rows.dtypes[:-1]) + ", score double"
+    schema = ", ".join(f"{n} {t}" for n, t in rows.select(*names).dtypes) + ", score double"
     scored = rows.mapInArrow(run, schema)
     out = scored.select(*[F.col(n).alias(p) for n, p in zip(names, passed)], "score")
     return out.select("*", held_out(F.col("doc_id")).alias("held_out"), (F.col("score") >= keep).cast("int").alias("predicted"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from offerloom.llm import embeddings, licenses, lines, mixing, quality, simhash, sketches, suffixes, token_files
+from offerloom.llm import embeddings, licenses, lines, mixing, pieces, quality, simhash, sketches, suffixes, token_files
 from offerloom.llm.common import documents
 
 
@@ -13,6 +13,12 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_groups(documents(spark, sf_dir)).select("doc_id", "fingerprint", "component_id")
 
 
+def op2_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of every document, and whether decoding them gives its text back."""
+    decoded = pieces.decode_pieces(pieces.encode_pieces(documents(spark, sf_dir)))
+    return decoded.select("doc_id", "ids", F.size("ids").cast("long").alias("n_tokens"), F.sha2("text", 256).alias("decoded_sha256"))
+
+
 def op3_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embeddings.near_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 
@@ -52,7 +58,7 @@ def op10_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
-    "op1_simhash": op1_simhash, "op3_embeddings": op3_embeddings, "op4_licenses": op4_licenses, "op5_quality": op5_quality, "op6_suffixes": op6_suffixes,
+    "op1_simhash": op1_simhash, "op2_pieces": op2_pieces, "op3_embeddings": op3_embeddings, "op4_licenses": op4_licenses, "op5_quality": op5_quality, "op6_suffixes": op6_suffixes,
     "op7_lines": op7_lines, "op8_mixing": op8_mixing, "op9_sketches": op9_sketches, "op10_tokens": op10_tokens,
 }
 
