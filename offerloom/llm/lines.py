@@ -40,6 +40,7 @@ def dedup_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, passed:
     held = cut_lineage(keyed.select("doc_id", "same", "pos", _hash(F.col("key")).alias("h")))
     per_doc = held.select("h", "doc_id").distinct()
     shared = per_doc.groupBy("h").agg(F.count("*").alias("n"), F.max("doc_id").alias("last")).where(F.col("n") >= min_docs).select("h", "last")
+    shared = cut_lineage(shared)  # a plain join then, whose hot lines adaptive execution splits
     lost = held.join(shared, "h").where(~F.col("doc_id").eqNullSafe(F.col("last")))
     lost = lost.groupBy(F.col("doc_id").alias("lost_id"), F.col("same").alias("lost_same")).agg(F.collect_set("pos").alias("lost"))
     joined = rows.join(lost, rows.doc_id.eqNullSafe(lost.lost_id) & (rows.same == lost.lost_same), "left")

@@ -63,7 +63,7 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: int = MOST
     rows = cut_lineage(full.drop(*others))
     full = full if others else rows  # passed columns are read again rather than checkpointed
     goal = targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, most)
-    goal = goal.withColumn("base", F.coalesce(F.floor(F.col("target") / F.col("source_size")), F.lit(0)).cast("int"))
+    goal = goal.withColumn("base", F.coalesce(F.floor(F.try_divide(F.col("target"), F.col("source_size"))), F.lit(0)).cast("int"))
     goal = cut_lineage(goal.withColumn("budget", F.greatest(F.col("target") - F.col("base") * F.col("source_size"), F.lit(0.0))).withColumn("edge", F.lit(0).cast("long")))
     inside = rows.where("size > 0").select("source", "size", "hash")
     for level in range(LEVELS):
