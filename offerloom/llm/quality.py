@@ -13,9 +13,9 @@ from pyspark.sql import functions as F
 
 from offerloom.llm.common import pick, sliced
 
-#: Hash buckets (a power of two), and labelled rows that training reads at most, over how many shards.
-BUCKETS, TRAIN_ROWS, SHARDS, EPOCHS = 1 << 18, 12_000, 4, 3
-ALPHA, BETA, L1, L2 = 0.3, 1.0, 0.02, 0.01
+#: Hash buckets (a power of two), labelled rows that training reads at most, and passes over them.
+BUCKETS, TRAIN_ROWS, EPOCHS = 1 << 18, 6_000, 5
+ALPHA, BETA, L1, L2 = 3.0, 1.0, 0.02, 0.01
 KEEP = 0.7
 _TOKENS = re.compile(r"\w+|[^\w\s]+").findall
 
@@ -31,6 +31,8 @@ class _Hashes(dict):
 
 
 _hashes = _Hashes()
+#: Hash of every pair of equal words, so that stammering in unseen words is seen too.
+_TWICE = np.uint64(zlib.crc32(b"twice"))
 
 
 def features(text: str | None, buckets: int = BUCKETS) -> tuple[np.ndarray, np.ndarray]:
@@ -42,6 +44,7 @@ def features(text: str | None, buckets: int = BUCKETS) -> tuple[np.ndarray, np.n
     if not len(words):
         return np.empty(0, np.int64), np.empty(0)
     mixed = (words[:-1] * np.uint64(0x9E3779B1) + words[1:] * np.uint64(0x85EBCA77)) >> np.uint64(7)
+    mixed[words[:-1] == words[1:]] = _TWICE
     mask = np.uint64(buckets - 1)
     counts = np.bincount(np.concatenate([words & mask, mixed & mask]).astype(np.int64)) if len(words) > 20_000 else None
     if counts is None:
@@ -81,34 +84,39 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def train(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, shards: int = SHARDS, buckets: int = BUCKETS) -> np.ndarray:
+def train(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, buckets: int = BUCKETS) -> np.ndarray:
     """Weights (the intercept last) learned from at most ``train_rows`` labelled, not held out rows.
 
     The rows are those with the smallest hash of the doc_id: a fixed, unbiased sample, joined with the
-    texts by a broadcast of at most ``train_rows`` ids. Each shard runs FTRL over its rows in a fixed
-    order for a few epochs in a task of its own; the shards' weights are averaged on Spark, and one
-    row per used bucket comes to the driver. Without any labelled row all weights are zero.
+    texts by a broadcast of at most ``train_rows`` ids. Features are extracted where the texts are;
+    the sequential updates then run over the bounded sample in one task, in the order of the hash, and
+    one row per used bucket comes to the driver. Without any labelled row all weights are zero.
     """
     marked = pick(labels, "doc_id", "quality").where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     chosen = marked.groupBy("doc_id").agg(F.max("quality").cast("int").alias("quality")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(train_rows)
-    rows = pick(docs, "doc_id", "text").join(F.broadcast(chosen), "doc_id").select(
-        F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(shards)).cast("int").alias("shard"), F.xxhash64("doc_id").alias("turn"), "text", "quality")
+    rows = pick(docs, "doc_id", "text").join(F.broadcast(chosen), "doc_id").select(F.xxhash64("doc_id").alias("turn"), "text", "quality")
+
+    def extract(batches):
+        for part in sliced(batches, chars="text"):
+            found = [features(t.as_py(), buckets) for t in part.column("text")]
+            yield pa.RecordBatch.from_arrays(
+                [part.column("turn"), pa.array([at for at, _ in found], pa.list_(pa.int32())), pa.array([x for _, x in found], pa.list_(pa.float32())),
+                 part.column("quality")], ["turn", "at", "x", "quality"])
 
     def fit(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(["turn", "text"])
-        model, examples = Ftrl(buckets), [(*features(t, buckets), q) for t, q in zip(frame["text"], frame["quality"])]
+        frame = frame.assign(size=frame["at"].map(len)).sort_values(["turn", "size"], kind="stable")
+        model = Ftrl(buckets)
         for _ in range(EPOCHS):
-            for at, x, label in examples:
-                model.learn(at, x, label)
-        at = np.arange(buckets + 1)
-        w = model.weights(at)
+            for at, x, label in zip(frame["at"], frame["x"], frame["quality"]):
+                model.learn(np.asarray(at, np.int64), np.asarray(x, np.float64), label)
+        w = model.weights(np.arange(buckets + 1))
         used = np.nonzero(w)[0]
         return pd.DataFrame({"at": used.astype("int64"), "w": w[used]})
 
-    parts = rows.groupBy("shard").applyInPandas(fit, "at long, w double")
-    mean = parts.groupBy("at").agg((F.sum("w") / shards).alias("w")).toPandas()
+    sparse = rows.mapInArrow(extract, "turn long, at array<int>, x array<float>, quality int")
+    learned = sparse.withColumn("all", F.lit(0)).groupBy("all").applyInPandas(fit, "at long, w double").toPandas()
     weights = np.zeros(buckets + 1)
-    weights[mean["at"].to_numpy()] = mean["w"].to_numpy()
+    weights[learned["at"].to_numpy()] = learned["w"].to_numpy()
     return weights
 
 
