@@ -34,7 +34,7 @@ def targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, most: int =
     filled = filled.withColumn("weight_left", F.sum("weight").over(by_full.rowsBetween(Window.currentRow, Window.unboundedFollowing)))
     filled = filled.withColumn("level", (F.col("total") - F.col("full_before")) / F.col("weight_left"))
     filled = filled.withColumn("full", F.col("level") * F.col("weight") >= F.col("cap"))
-    level = F.min(F.when(~F.col("full"), F.col("level"))).over(whole)
+    level = F.max(F.when(~F.col("full"), F.col("level"))).over(whole)  # of the first one that is not full; later ones see less
     return filled.select("source", "source_size", F.when(F.col("full"), F.col("cap")).otherwise(level * F.col("weight")).alias("target"))
 
 

@@ -88,7 +88,7 @@ filled AS (
     / sum(weight) OVER (ORDER BY cap / weight, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS lvl FROM named),
 goals AS (
   SELECT source, source_size, CASE WHEN lvl * weight >= cap THEN cap
-    ELSE (min(CASE WHEN lvl * weight < cap THEN lvl END) OVER ()) * weight END AS target FROM filled),
+    ELSE (max(CASE WHEN lvl * weight < cap THEN lvl END) OVER ()) * weight END AS target FROM filled),
 budgets AS (SELECT *, floor(target / source_size)::BIGINT AS base, greatest(target - floor(target / source_size) * source_size, 0) AS budget FROM goals),
 running AS (
   SELECT s.source, hash, sum(s.size) AS n, sum(sum(s.size)) OVER (PARTITION BY s.source ORDER BY hash) AS upto

@@ -188,6 +188,16 @@ def test_mix_meets_targets_within_one_document(spark, seed):
     assert {r.doc_id: r.taken for r in again} == {r.doc_id: r.taken for r in rows}
 
 
+def test_targets_of_many_small_sources(spark):
+    rng = random.Random(12)
+    for _ in range(4):
+        sizes = {f"s{i}": rng.randint(1, 9) ** rng.randint(1, 5) for i in range(rng.randint(1, 25))}
+        table_ = spark.createDataFrame(list(sizes.items()), "source string, source_size long")
+        got = {r.source: r.target for r in mixing.targets(table_).collect()}
+        _, _, goal = plain_mix(["w " * n for n in sizes.values()], list(sizes))
+        assert got == pytest.approx(goal) and sum(got.values()) == pytest.approx(1.5 * sum(sizes.values()))
+
+
 def test_mix_is_nested_and_defined_without_words(spark):
     texts, sources = prose(4, 150), ["s"] * 158
     docs = table(spark, texts, sources[: len(texts)])
