@@ -11,10 +11,14 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from .text import c
 
-MAX_URL = 2000
-MAX_JSON_DEPTH = 32
 # Query parameters whose value is a secret.
 SECRET_PARAMS = "token|api[_-]?key|access[_-]?token|refresh[_-]?token|signature|sig|key"
+# What is removed from free text, in this order, and what takes its place.
+REDACTIONS = [
+    ("(?i)\\bhttps?://[^\\s<>\"']+", "[REDACTED]"),
+    (f"(?i)([?&](?:{SECRET_PARAMS})=)[^&#\\s]+", "$1[REDACTED]"),
+    ("(?i)(bearer\\s+)[^\\s]+", "$1[REDACTED]"),
+]
 # Key names whose value is removed from JSON.
 SECRET_KEYS = re.compile(
     "(password|passphrase|secret|token|authorization|cookie|api[_-]?key|private[_-]?key|access[_-]?token|refresh[_-]?token|client[_-]?secret)")
@@ -34,7 +38,6 @@ def safe_url(url, https_only: bool = False) -> Column:
     path = F.coalesce(F.try_parse_url(text, F.lit("PATH")), F.lit(""))
     ok = (
         F.lower(text).rlike(pattern)
-        & (F.length(text) <= MAX_URL)
         & F.try_parse_url(text, F.lit("HOST")).isNotNull()
         & ~authority.contains("@")
     )
@@ -51,23 +54,26 @@ def site_host(url) -> Column:
     return F.when((text != "") & host.contains(".") & ~authority.contains("@") & port.isin("", "80", "443"), host)
 
 
-def redact_text(text, limit: int = 500) -> Column:
-    """URLs, secret query parameters and bearer values removed from free text, one line, bounded."""
+def redact_text(text, limit: int | None = None) -> Column:
+    """Secrets of ``REDACTIONS`` removed from free text, on one line; cut only where a limit is asked for."""
     out = F.translate(c(text), "\r\n", "  ")
-    out = F.regexp_replace(out, "(?i)\\bhttps?://[^\\s<>\"']+", "[REDACTED]")
-    out = F.regexp_replace(out, f"(?i)([?&](?:{SECRET_PARAMS})=)[^&#\\s]+", "$1[REDACTED]")
-    out = F.regexp_replace(out, "(?i)(bearer\\s+)[^\\s]+", "$1[REDACTED]")
-    return F.left(out, F.lit(limit))
-
-
-def _strip_secrets(value, depth: int = 0):
-    if depth >= MAX_JSON_DEPTH:
-        return {"_redacted": "payload nesting exceeds inspection limit"}
-    if isinstance(value, dict):
-        return {k: "[REDACTED]" if SECRET_KEYS.search(k.lower()) else _strip_secrets(v, depth + 1) for k, v in value.items()}
-    if isinstance(value, list):
-        return [_strip_secrets(v, depth + 1) for v in value]
-    return value
+    for pattern, replacement in REDACTIONS:
+        out = F.regexp_replace(out, pattern, replacement)
+    return out if limit is None else F.left(out, F.lit(limit))
+
+
+def _strip_secrets(value):
+    """Secret-named keys replaced, level by level without recursion, so that depth has no limit."""
+    top = [value]
+    stack: list = [top]
+    while stack:
+        node = stack.pop()
+        for key in node if isinstance(node, dict) else range(len(node)):
+            if isinstance(node, dict) and SECRET_KEYS.search(key.lower()):
+                node[key] = "[REDACTED]"
+            elif isinstance(node[key], (dict, list)):
+                stack.append(node[key])
+    return top[0]
 
 
 def _redact_one(text):

@@ -88,7 +88,7 @@ def assignment_score(query_tokens: Column, term_tokens: Column) -> Column:
         )
 
     folded = F.aggregate(query_tokens, start, step, lambda s: F.when(s["failed"], F.lit(None)).otherwise(s["total"]))
-    usable = (nq > 0) & (nq <= nt) & (nq <= 12)
+    usable = (nq > 0) & (nq <= nt)
     return F.when(usable & folded.isNotNull(), folded / nq - (nt - nq)).otherwise(F.lit(0.0))
 
 

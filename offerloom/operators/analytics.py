@@ -37,8 +37,8 @@ def click_metrics(clicks: DataFrame) -> dict[str, DataFrame]:
             F.count(F.lit(1)).alias("total_clicks"), visitors, F.count_if(F.col("link_type") == "booking").alias("booking_clicks"),
             F.count_distinct("item_id").alias("services_with_clicks"), F.count_distinct("location_id").alias("locations_with_clicks")),
         "daily": clicks.groupBy(F.to_date("occurred_at").alias("day")).agg(total),
-        "by_service": clicks.groupBy("item_id", "provider_id").agg(total, visitors).orderBy(F.desc("clicks"), "item_id", "provider_id").limit(100),
-        "by_location": clicks.groupBy("location_id", "provider_id").agg(total, visitors).orderBy(F.desc("clicks"), "location_id", "provider_id").limit(100),
+        "by_service": clicks.groupBy("item_id", "provider_id").agg(total, visitors),
+        "by_location": clicks.groupBy("location_id", "provider_id").agg(total, visitors),
         "by_link_type": clicks.groupBy("link_type").agg(total),
     }
 

@@ -104,12 +104,18 @@ def best_link(links: DataFrame, target: str) -> DataFrame:
 
 def expand_offers(offers: DataFrame, scopes: DataFrame, locations: DataFrame, market_locations: DataFrame, *,
                   brand_to_branches: bool = False) -> DataFrame:
-    """(offer, scope) rows with the concrete branch each reaches; brand scopes stay broad unless asked."""
+    """(offer, scope) rows with the concrete branch each reaches; brand scopes stay broad unless asked.
+
+    A market belongs to one brand: ``market_locations`` (market_id, provider_id, location_id) reaches
+    only branches of the offer's own brand.
+    """
     rows = offers.filter("status = 'active'").select("offer_id", "provider_id", "item_id", "requires_quote").join(
         scopes.filter("status = 'active'").select("scope_id", "offer_id", "scope_type", "market_id", F.col("location_id").alias("scope_location")),
         "offer_id").withColumn("specificity", specificity())
-    at = rows.filter("scope_type = 'location'").withColumn("location_id", F.col("scope_location"))
-    wide = rows.filter("scope_type = 'market'").join(market_locations.select("market_id", "location_id").distinct(), "market_id")
+    at = rows.filter("scope_type = 'location'").withColumn("location_id", F.col("scope_location")).join(
+        locations.select("location_id", "provider_id"), ["location_id", "provider_id"], "left_semi")
+    wide = rows.filter("scope_type = 'market'").join(
+        market_locations.select("market_id", "provider_id", "location_id").distinct(), ["market_id", "provider_id"])
     broad = rows.filter("scope_type = 'brand'")
     if brand_to_branches:
         broad = broad.join(locations.select("location_id", "provider_id"), "provider_id")
@@ -126,17 +132,9 @@ def prefer_concrete(rows: DataFrame, scopes: DataFrame) -> DataFrame:
         rows.filter("location_id IS NULL").join(concrete, "offer_id", "left_anti"))
 
 
-def item_offer_rows(brands, offers, scopes, prices, locations, market_locations, links, *, as_of, per_market: int | None) -> DataFrame:
-    """Search rows per item: offer, branch, current scope price and details link.
-
-    A market reaches its branches with the same price, so a top-k search needs at most ``per_market``
-    of them (lowest branch id, the last tie-break of the ranking): the rest can never be shown. Pass
-    None for a search by position, where any branch can be the nearest.
-    """
-    few = market_locations.select("market_id", "location_id").distinct()
-    if per_market is not None:
-        few = few.withColumn("n", F.row_number().over(W.partitionBy("market_id").orderBy("location_id"))).filter(F.col("n") <= per_market)
-    rows = prefer_concrete(expand_offers(offers, scopes, locations, few), scopes)
+def item_offer_rows(brands, offers, scopes, prices, locations, market_locations, links, *, as_of) -> DataFrame:
+    """Search rows per item: offer, every branch it reaches, current scope price and details link."""
+    rows = prefer_concrete(expand_offers(offers, scopes, locations, market_locations), scopes)
     now = current_prices(prices, as_of).select("scope_id", "price_type", "price_key", "amount_minor", "currency", "last_seen_at")
     active = brands.filter("status = 'active'").select("provider_id", "provider_name")
     places = locations.select("location_id", "location_name", "lat", "lon")
@@ -151,7 +149,7 @@ def offer_search(results: DataFrame, names: DataFrame, item_rows: DataFrame, lim
     Without a caller position the order inside an item does not depend on the query, so each item is
     cut to its own top rows before it meets the queries; the cut is exact for the final top-k.
     """
-    k = clamp(limit, 100, 20)
+    k = clamp(limit, 20)
     tie = [*nulls_last("amount_minor"), F.col("offer_id"), *nulls_last("location_id"), F.col("price_type"), F.col("price_key"), F.col("scope_id")]
     within = W.partitionBy("item_id", "provider_id").orderBy(*tie)
     rows = item_rows.withColumn("provider_rank", F.row_number().over(within)).filter(F.col("provider_rank") <= k)
@@ -173,7 +171,7 @@ def offer_search_near(results: DataFrame, positions: DataFrame, item_rows: DataF
 
     Branches are ranked once per distinct (item, position), not once per query.
     """
-    k = clamp(limit, 100, 20)
+    k = clamp(limit, 20)
     points = positions.select("query_id", F.col("lat").alias("qlat"), F.col("lon").alias("qlon"))
     hits = results.select("query_id", "item_id", "display_name", "confidence").join(points, "query_id")
     spots = hits.select("item_id", "qlat", "qlon").distinct()
@@ -257,8 +255,8 @@ def provider_detail(brands: DataFrame, locations: DataFrame, offers: DataFrame)
 
 
 def service_summaries(requests: DataFrame, items: DataFrame, descriptions: DataFrame) -> DataFrame:
-    """Descriptions in the order of each request's id list (1-100 ids)."""
-    asked = requests.filter(F.size("item_ids").between(1, 100)).select("request_id", F.posexplode("item_ids").alias("position", "item_id"))
+    """Descriptions in the order of each request's id list, however long."""
+    asked = requests.select("request_id", F.posexplode("item_ids").alias("position", "item_id"))
     return (
         asked.join(items.filter("status = 'active'").select("item_id"), "item_id", "left_semi")
         .join(descriptions.filter("status = 'approved'").select("item_id", "description"), "item_id")

@@ -30,7 +30,6 @@ GUARD_STOP = [
 ]
 REQUIREMENT_STOP = ["de", "del", "el", "la", "los", "las", "en"]
 TERMINOLOGY_SYSTEM = "http://loinc.org"
-MAX_RESULTS = 50
 
 
 @dataclass
@@ -62,8 +61,9 @@ class Catalog:
         return primary.groupBy("item_id").agg(best["name"].alias("primary_name"))
 
 
-def clamp(limit: int | None, cap: int = MAX_RESULTS, default: int = 10) -> int:
-    return max(1, min(default if limit is None else limit, cap))
+def clamp(limit: int | None, default: int = 10) -> int:
+    """The caller's limit, at least one row; a missing one is the default."""
+    return max(1, default if limit is None else limit)
 
 
 def search_terms(catalog: Catalog, domain: str | None = None, descriptions: bool = False) -> DataFrame:

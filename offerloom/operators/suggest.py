@@ -36,7 +36,7 @@ def spelling_suggestions(queries: DataFrame, names: DataFrame, limit: int = 5) -
     """
     q = queries.select("query_id", norm_text("query_text").alias("nq")).filter("nq <> ''")
     n = names.select("item_id", norm_text("name").alias("nt")).filter("nt <> ''")
-    texts = q.filter(F.length("nq").between(4, 200)).select("nq").distinct()
+    texts = q.filter(F.length("nq") >= 4).select("nq").distinct()
     close = evaluated(overlap_candidates(texts, n.select("nt").distinct(), SPELLING_MIN), similarity=set_similarity(trigrams("nt"), trigrams("nq"))).filter(
         F.col("similarity") >= SPELLING_MIN).select("nq", "nt", F.col("similarity").cast("double").alias("score"))
     short = q.filter(F.length("nq").between(2, 8) & F.col("nq").rlike("^[a-z]+$")).select("nq").distinct()
@@ -45,7 +45,7 @@ def spelling_suggestions(queries: DataFrame, names: DataFrame, limit: int = 5) -
     scored = close.unionByName(coined).groupBy("nq", "nt").agg(F.max(F.struct((F.col("score") == INITIALISM_SCORE).alias("c"), "score"))["score"].alias("score"))
     per_item = scored.join(n, "nt").groupBy("nq", "item_id").agg(F.max("score").alias("score"))
     primary = names.filter("is_primary").groupBy("item_id").agg(F.min("name").alias("display_name"))
-    top = top_k(per_item.join(primary, "item_id"), ["nq"], [F.desc("score"), F.col("item_id")], min(max(limit, 1), 5), "suggestion_rank")
+    top = top_k(per_item.join(primary, "item_id"), ["nq"], [F.desc("score"), F.col("item_id")], max(limit, 1), "suggestion_rank")
     return q.join(top, "nq").select("query_id", "item_id", "display_name", F.round("score", 6).alias("score"), "suggestion_rank")
 
 
@@ -58,7 +58,7 @@ def catalog_suggestions(queries: DataFrame, terms: DataFrame, verified: DataFram
     """
     q = queries.select("query_id", norm_text("query_text").alias("nq"))
     texts = evaluated(q.select("nq").distinct(), qt=search_tokens("nq")).filter(
-        F.size("qt").between(1, 12) & F.exists("qt", lambda w: F.length(w) >= 5))
+        (F.size("qt") >= 1) & F.exists("qt", lambda w: F.length(w) >= 5))
     t = evaluated(terms.select("item_id", "name", norm_text("name").alias("nt")).distinct(), tt=search_tokens("nt"))
     postings = t.select("item_id", "name", "nt", "tt", F.explode(F.array_distinct("tt")).alias("t_word"))
     frequency = postings.groupBy("t_word").agg(F.count(F.lit(1)).alias("df"))

@@ -172,8 +172,8 @@ ORACLES = {
     "rejected_clicks": _CLICK + " SELECT reason, count(*) AS n FROM jd WHERE reason IS NOT NULL GROUP BY reason",
     "click_metrics": _CLICK + " SELECT count(*) AS total_clicks, count(DISTINCT anonymous_id) AS unique_visitors, count(*) FILTER (WHERE link_type = 'booking') AS booking_clicks, count(DISTINCT item_id) AS services_with_clicks, count(DISTINCT location_id) AS locations_with_clicks FROM vc",
     "click_daily": _CLICK + " SELECT occurred_at::DATE AS day, count(*) AS clicks FROM vc GROUP BY 1",
-    "click_by_service": _CLICK + " SELECT item_id, provider_id, count(*) AS clicks, count(DISTINCT anonymous_id) AS unique_visitors FROM vc GROUP BY ALL ORDER BY clicks DESC, item_id, provider_id LIMIT 100",
-    "click_by_location": _CLICK + " SELECT location_id, provider_id, count(*) AS clicks, count(DISTINCT anonymous_id) AS unique_visitors FROM vc GROUP BY ALL ORDER BY clicks DESC, location_id NULLS FIRST, provider_id LIMIT 100",
+    "click_by_service": _CLICK + " SELECT item_id, provider_id, count(*) AS clicks, count(DISTINCT anonymous_id) AS unique_visitors FROM vc GROUP BY ALL",
+    "click_by_location": _CLICK + " SELECT location_id, provider_id, count(*) AS clicks, count(DISTINCT anonymous_id) AS unique_visitors FROM vc GROUP BY ALL",
     "click_by_link_type": _CLICK + " SELECT link_type, count(*) AS clicks FROM vc GROUP BY link_type",
     "scoped_clicks": _CLICK + """, live AS (SELECT * FROM memberships WHERE status = 'active' AND valid_from <= DATE '2024-01-15' AND (valid_to IS NULL OR valid_to >= DATE '2024-01-15')),
       see AS (SELECT DISTINCT m.user_id, c.rid, c.event_id, c.offer_id, c.anonymous_id, c.location_id, c.link_type FROM vc c JOIN live m ON (m.scope_type = 'brand' AND m.provider_id = c.provider_id) OR (m.scope_type = 'location' AND m.location_id = c.location_id)

@@ -208,7 +208,7 @@ def _contract(part):
 def _location_contract(spark, sf):
     rows = view(spark, sf, "locations").select(
         F.when(F.col("location_id").cast("bigint") % 12 == 0, "a b").otherwise(F.col("location_id")).alias("external_id"), T.slugify("location_name").alias("slug"), F.col("line1").alias("name"),
-        F.concat(F.lit("https://p.example.com/"), "market_id", F.when(F.col("market_id") == "3", "?q").otherwise("")).alias("url"), (F.col("lat") * F.when(F.col("market_id") == "5", 5).otherwise(1)).alias("lat"), "lon", "location_id")
+        F.concat(F.lit("https://p.example.com/"), "market_id", F.when(F.substring_index("market_id", "-", -1) == "3", "?q").otherwise("")).alias("url"), (F.col("lat") * F.when(F.substring_index("market_id", "-", -1) == "5", 5).otherwise(1)).alias("lat"), "lon", "location_id")
     return C.location_contract(rows).select("location_id", F.array_join("violations", ",").alias("violations"))
 
 
@@ -331,7 +331,7 @@ ORACLES = {
     "ingest_contract": duck("place_batch") + " SELECT c_custkey, external_record_id FROM place_batch WHERE c_custkey % 17 <> 0 AND c_custkey % 19 <> 0 AND c_custkey % 23 <> 0 AND c_custkey % 29 <> 0 AND c_custkey % 31 <> 0",
     "ingest_rejects": duck("place_batch") + """ SELECT * FROM (SELECT c_custkey, concat_ws(',', CASE WHEN c_custkey % 19 = 0 THEN 'source_url' END, CASE WHEN c_custkey % 23 = 0 THEN 'payload_shape' END, CASE WHEN second_attribute = 'colour' THEN 'observation_shape' END,
       CASE WHEN second_attribute = 'name' THEN 'duplicate_attribute' END, CASE WHEN external_record_id = 'dup' THEN 'duplicate_id' END) AS violations FROM place_batch) WHERE violations <> ''""",
-    "location_contract": duck("locations") + """ SELECT location_id, concat_ws(',', CASE WHEN location_id::BIGINT % 12 = 0 THEN 'external_id' END, CASE WHEN trim(line1) = '' THEN 'name' END, CASE WHEN market_id = '3' THEN 'url' END, CASE WHEN market_id = '5' THEN 'coordinates' END, CASE WHEN location_id::BIGINT % 12 = 0 THEN 'duplicate_id' END) AS violations FROM locations""",
+    "location_contract": duck("locations") + """ SELECT location_id, concat_ws(',', CASE WHEN location_id::BIGINT % 12 = 0 THEN 'external_id' END, CASE WHEN trim(line1) = '' THEN 'name' END, CASE WHEN split_part(market_id, '-', 2) = '3' THEN 'url' END, CASE WHEN split_part(market_id, '-', 2) = '5' THEN 'coordinates' END, CASE WHEN location_id::BIGINT % 12 = 0 THEN 'duplicate_id' END) AS violations FROM locations""",
     "catalog_terms_export": PREFIX + " SELECT item_id, term, term_source FROM search_terms ORDER BY item_id, term_source, nt, term_provider NULLS FIRST, term LIMIT 200 OFFSET 50",
     "terminology_index": duck("release_rows") + " SELECT * FROM release_rows WHERE class IN ('ECONOMY', 'PROMO', 'SMALL') AND classtype IN ('1', '2', '3') AND upper(status) IN ('ACTIVE', 'TRIAL')",
     "terminology_counts": duck("release_rows") + " SELECT count(*) AS rows_seen, count(*) FILTER (WHERE class IN ('ECONOMY', 'PROMO', 'SMALL') AND classtype IN ('1', '2', '3') AND upper(status) IN ('ACTIVE', 'TRIAL')) AS rows_written FROM release_rows",

@@ -139,7 +139,7 @@ ORACLES = {
       n AS (SELECT item_id, name, is_primary, {D.norm('name')} AS nt FROM names WHERE item_id IN {_ALIVE}),
       tg AS (SELECT nt, {D.tri('nt')} AS ts, array_to_string(list_transform(list_filter({D.toks('nt')}, lambda w: length(w) >= 3 AND regexp_full_match(w, '[a-z]+') AND NOT list_contains({_STOP}, w)), lambda w: left(w, 1)), '') AS ini FROM (SELECT DISTINCT nt FROM n)),
       q AS (SELECT query_id, {D.norm('query_text')} AS nq FROM queries), qg AS (SELECT nq, {D.tri('nq')} AS qs FROM (SELECT DISTINCT nq FROM q)),
-      sc AS (SELECT nq, nt, CASE WHEN length(nq) BETWEEN 2 AND 8 AND regexp_full_match(nq, '[a-z]+') AND ini = nq THEN 0.95::DOUBLE WHEN length(nq) BETWEEN 4 AND 200 AND {D.jaccard('ts', 'qs')} >= 0.55::DOUBLE THEN {D.jaccard('ts', 'qs')}::DOUBLE END AS score FROM qg CROSS JOIN tg),
+      sc AS (SELECT nq, nt, CASE WHEN length(nq) BETWEEN 2 AND 8 AND regexp_full_match(nq, '[a-z]+') AND ini = nq THEN 0.95::DOUBLE WHEN length(nq) >= 4 AND {D.jaccard('ts', 'qs')} >= 0.55::DOUBLE THEN {D.jaccard('ts', 'qs')}::DOUBLE END AS score FROM qg CROSS JOIN tg),
       it AS (SELECT nq, item_id, max(score) AS score FROM sc JOIN n USING (nt) WHERE score IS NOT NULL GROUP BY nq, item_id),
       rk AS (SELECT it.*, d.name AS display_name, row_number() OVER (PARTITION BY nq ORDER BY score DESC, it.item_id) AS suggestion_rank FROM it JOIN n d ON d.item_id = it.item_id AND d.is_primary)
       SELECT q.query_id, item_id, display_name, round(score, 6) AS score, suggestion_rank FROM q JOIN rk USING (nq) WHERE suggestion_rank <= 5""",

@@ -62,10 +62,10 @@ def _expand(spark, sf):
     return rows.groupBy("offer_id", "scope_type").agg(F.count(F.lit(1)).alias("n"), F.count("location_id").alias("branches"), F.min("location_id").alias("first_branch"))
 
 
-def item_rows(spark, sf, limit=20):
+def item_rows(spark, sf):
     brands, offers, scopes, prices, locations, markets, links = _v(
         spark, sf, "brands", "offers", "scopes", "prices", "locations", "market_locations", "links")
-    return O.item_offer_rows(brands, offers, scopes, prices, locations, markets, links, as_of=AS_OF, per_market=limit)
+    return O.item_offer_rows(brands, offers, scopes, prices, locations, markets, links, as_of=AS_OF)
 
 
 def _results(spark, sf):
@@ -78,7 +78,7 @@ def _offer_search(spark, sf):
 
 def _offer_search_near(spark, sf):
     positions = queries_table(spark, sf).select("query_id", (F.lit(19.0) + F.length("query_text") / 100).alias("lat"), F.lit(-98.5).alias("lon"))
-    return O.offer_search_near(_results(spark, sf), positions, item_rows(spark, sf, None)).drop("source_url")
+    return O.offer_search_near(_results(spark, sf), positions, item_rows(spark, sf)).drop("source_url")
 
 
 def _resolve_search(spark, sf):
@@ -170,7 +170,8 @@ def _plan(objective):
 
 def _package_status(spark, sf):
     queries = queries_table(spark, sf)
-    status = R.resolution_status(queries, _results(spark, sf)).withColumn("request_id", F.substring("query_id", 1, 3))
+    asked = view(spark, sf, "requests").select("request_id", F.concat(F.lit("p"), "item_id").alias("query_id"))
+    status = R.resolution_status(queries, _results(spark, sf)).join(asked, "query_id")
     covered = view(spark, sf, "offers").filter("status = 'active'").select("item_id").distinct()
     reached = status.filter("status = 'resolved'").join(covered, "item_id", "left_semi").groupBy("request_id").agg(F.count(F.lit(1)).alias("coverage_count"))
     return P.package_status(status, reached)
@@ -207,8 +208,9 @@ _NOW = f"""now_prices AS (SELECT * FROM prices WHERE is_current AND (valid_from
 _EXPANDED = """expanded AS (
   SELECT o.offer_id, o.provider_id, o.item_id, o.requires_quote, s.scope_id, s.scope_type, CASE s.scope_type WHEN 'location' THEN 3 WHEN 'market' THEN 2 ELSE 1 END AS specificity,
          CASE s.scope_type WHEN 'location' THEN s.location_id WHEN 'market' THEN m.location_id END AS location_id
-  FROM offers o JOIN scopes s ON s.offer_id = o.offer_id LEFT JOIN market_locations m ON s.scope_type = 'market' AND m.market_id = s.market_id
-  WHERE o.status = 'active' AND s.status = 'active' AND (s.scope_type <> 'market' OR m.location_id IS NOT NULL))"""
+  FROM offers o JOIN scopes s ON s.offer_id = o.offer_id LEFT JOIN market_locations m ON s.scope_type = 'market' AND m.market_id = s.market_id AND m.provider_id = o.provider_id
+  WHERE o.status = 'active' AND s.status = 'active' AND (s.scope_type <> 'market' OR m.location_id IS NOT NULL)
+    AND (s.scope_type <> 'location' OR EXISTS (SELECT 1 FROM locations l WHERE l.location_id = s.location_id AND l.provider_id = o.provider_id)))"""
 _ROWS = _NOW + ", " + _EXPANDED + """, item_rows AS (
   SELECT e.*, b.provider_name, p.price_type, p.price_key, p.amount_minor, l.lat, l.lon
   FROM expanded e JOIN brands b ON b.provider_id = e.provider_id AND b.status = 'active' LEFT JOIN now_prices p ON p.scope_id = e.scope_id LEFT JOIN locations l ON l.location_id = e.location_id
@@ -281,7 +283,7 @@ _PRICE_VIEWS = ("price_asks", "offers", "scopes", "prices", "locations", "market
 ORACLES = {
     "resolve_prices": duck(*_PRICE_VIEWS) + "," + _PRICED + " SELECT ask_id, price_type, price_key, price_id, scope_type, specificity, amount_minor FROM priced",
     "current_prices": duck("prices") + ", " + _NOW + " SELECT price_id, scope_id, amount_minor FROM now_prices",
-    "expand_offers": duck("offers", "scopes", "market_locations") + ", " + _EXPANDED + " SELECT offer_id, scope_type, count(*) AS n, count(location_id) AS branches, min(location_id) AS first_branch FROM expanded GROUP BY offer_id, scope_type",
+    "expand_offers": duck("offers", "scopes", "market_locations", "locations") + ", " + _EXPANDED + " SELECT offer_id, scope_type, count(*) AS n, count(location_id) AS branches, min(location_id) AS first_branch FROM expanded GROUP BY offer_id, scope_type",
     "offer_search": _search(_FOUND + " SELECT * FROM found"),
     "offer_search_near": _search(f""", pos AS (SELECT query_id, 19.0 + length(query_text) / 100.0 AS qlat, -98.5 AS qlon FROM queries),
       spots AS (SELECT DISTINCT r.item_id, p.qlat, p.qlon FROM results r JOIN pos p USING (query_id)),
@@ -315,12 +317,11 @@ ORACLES = {
       o AS (SELECT provider_id, count(*) AS offer_count, count(DISTINCT item_id) AS service_count FROM offers WHERE status = 'active' GROUP BY provider_id)
       SELECT b.provider_id, b.provider_name, b.status, coalesce(location_count, 0) AS location_count, coalesce(active_location_count, 0) AS active_location_count, coalesce(offer_count, 0) AS offer_count, coalesce(service_count, 0) AS service_count
       FROM brands b LEFT JOIN l USING (provider_id) LEFT JOIN o USING (provider_id)""",
-    "service_summaries": duck("requests", "items", "descriptions") + """ SELECT r.request_id, r.item_index AS position, r.item_id, d.description FROM requests r JOIN items i ON i.item_id = r.item_id AND i.status = 'active' JOIN descriptions d ON d.item_id = r.item_id
-      WHERE r.request_id IN (SELECT request_id FROM requests GROUP BY request_id HAVING count(*) <= 100)""",
+    "service_summaries": duck("requests", "items", "descriptions") + """ SELECT r.request_id, r.item_index AS position, r.item_id, d.description FROM requests r JOIN items i ON i.item_id = r.item_id AND i.status = 'active' JOIN descriptions d ON d.item_id = r.item_id""",
     "branch_addresses": duck("locations", "offers", "scopes", "market_locations") + """ SELECT location_id, concat_ws(', ', trim(line1), nullif(trim(line2), ''), nullif(trim(locality), ''), 'C.P. ' || postal_code) AS address FROM locations l
       WHERE l.status = 'active' AND trim(line1) <> '' AND (EXISTS (SELECT 1 FROM offers o WHERE o.status = 'active' AND o.provider_id = l.provider_id)
-        OR l.location_id IN (SELECT s.location_id FROM scopes s JOIN offers o ON o.offer_id = s.offer_id AND o.status = 'active' WHERE s.scope_type = 'location')
-        OR l.market_id IN (SELECT s.market_id FROM scopes s JOIN offers o ON o.offer_id = s.offer_id AND o.status = 'active' WHERE s.scope_type = 'market'))""",
+        OR l.location_id IN (SELECT s.location_id FROM scopes s JOIN offers o ON o.offer_id = s.offer_id AND o.status = 'active' WHERE s.scope_type = 'location' AND o.provider_id = l.provider_id)
+        OR l.market_id IN (SELECT s.market_id FROM scopes s JOIN offers o ON o.offer_id = s.offer_id AND o.status = 'active' WHERE s.scope_type = 'market' AND o.provider_id = l.provider_id))""",
     "offers_by_provider": duck("offers", "scopes", "brands") + """ SELECT b.provider_id, b.provider_name, count(DISTINCT o.offer_id) AS offer_count, count(DISTINCT o.item_id) AS service_count, count(DISTINCT s.location_id) AS branch_count, count(*) FILTER (WHERE s.location_id IS NULL) AS unscoped_offers
       FROM brands b JOIN offers o ON o.provider_id = b.provider_id AND o.status = 'active' LEFT JOIN scopes s ON s.offer_id = o.offer_id AND s.scope_type = 'location' GROUP BY b.provider_id, b.provider_name""",
     "price_versions": duck("price_observations") + """, d AS (SELECT part_id, provider_id, observed_at, min(amount_minor) AS a FROM price_observations GROUP BY ALL),
@@ -346,8 +347,8 @@ ORACLES = {
     "package_offers": duck("offers", "scopes", "prices", "locations", "market_locations", "brands") + f""",
       wide AS (SELECT o.item_id, o.offer_id, o.provider_id, o.requires_quote, s.scope_id, l.location_id, CASE s.scope_type WHEN 'location' THEN 3 WHEN 'market' THEN 2 ELSE 1 END AS sp
         FROM offers o JOIN scopes s ON s.offer_id = o.offer_id AND s.scope_type = 'brand' JOIN locations l ON l.provider_id = o.provider_id WHERE o.status = 'active'
-        UNION ALL SELECT o.item_id, o.offer_id, o.provider_id, o.requires_quote, s.scope_id, s.location_id, 3 FROM offers o JOIN scopes s ON s.offer_id = o.offer_id AND s.scope_type = 'location' WHERE o.status = 'active'
-        UNION ALL SELECT o.item_id, o.offer_id, o.provider_id, o.requires_quote, s.scope_id, m.location_id, 2 FROM offers o JOIN scopes s ON s.offer_id = o.offer_id AND s.scope_type = 'market' JOIN market_locations m ON m.market_id = s.market_id WHERE o.status = 'active'),
+        UNION ALL SELECT o.item_id, o.offer_id, o.provider_id, o.requires_quote, s.scope_id, s.location_id, 3 FROM offers o JOIN scopes s ON s.offer_id = o.offer_id AND s.scope_type = 'location' JOIN locations l ON l.location_id = s.location_id AND l.provider_id = o.provider_id WHERE o.status = 'active'
+        UNION ALL SELECT o.item_id, o.offer_id, o.provider_id, o.requires_quote, s.scope_id, m.location_id, 2 FROM offers o JOIN scopes s ON s.offer_id = o.offer_id AND s.scope_type = 'market' JOIN market_locations m ON m.market_id = s.market_id AND m.provider_id = o.provider_id WHERE o.status = 'active'),
       one AS (SELECT w.* FROM wide w QUALIFY row_number() OVER (PARTITION BY w.item_id, w.offer_id, w.location_id ORDER BY sp DESC, scope_id) = 1),
       live AS (SELECT w.* FROM one w JOIN locations l ON l.location_id = w.location_id AND l.status = 'active' JOIN brands b ON b.provider_id = w.provider_id AND b.status = 'active'),
       price_asks AS (SELECT offer_id || '@' || location_id AS ask_id, offer_id, location_id, {_AS} AS at FROM live), {_PRICED},
@@ -355,8 +356,10 @@ ORACLES = {
       SELECT w.item_id, w.offer_id, w.location_id, w.scope_id, p.price_type, p.price_key, p.amount_minor, w.requires_quote OR p.amount_minor IS NULL AS requires_quote
       FROM live w LEFT JOIN picked p ON p.ask_id = w.offer_id || '@' || w.location_id""",
     "package_status": RESULTS.replace("WITH ", "WITH ", 1) + """, """ + "offers0 AS (SELECT DISTINCT i2.item_id FROM lineitem l JOIN part p2 ON p2.p_partkey = l.l_partkey JOIN items i2 ON i2.name = p2.p_name GROUP BY l.l_partkey, l.l_suppkey, i2.item_id HAVING min(l.l_tax) < 0.08)" + """,
-      st AS (SELECT left(q.query_id, 3) AS request_id, q.query_id, CASE WHEN count(r.item_id) = 0 THEN 'no_match' WHEN count(r.item_id) > 1 OR bool_or(r.resolution_status = 'ambiguous') THEN 'ambiguous' ELSE 'resolved' END AS status, min(r.item_id) AS item_id
+      asked AS (SELECT DISTINCT o.o_custkey::VARCHAR || '-' || o.o_orderstatus AS request_id, 'p' || l.l_partkey AS query_id FROM orders o JOIN lineitem l ON l.l_orderkey = o.o_orderkey),
+      st0 AS (SELECT q.query_id, CASE WHEN count(r.item_id) = 0 THEN 'no_match' WHEN count(r.item_id) > 1 OR bool_or(r.resolution_status = 'ambiguous') THEN 'ambiguous' ELSE 'resolved' END AS status, min(r.item_id) AS item_id
              FROM queries q LEFT JOIN results r ON r.query_id = q.query_id GROUP BY q.query_id),
+      st AS (SELECT asked.request_id, st0.* FROM st0 JOIN asked USING (query_id)),
       per AS (SELECT request_id, bool_or(status = 'ambiguous') AS unclear, count(*) FILTER (WHERE status = 'resolved') AS res, bool_or(status = 'no_match') AS lost, count(*) AS n,
                      count(*) FILTER (WHERE status = 'resolved' AND item_id IN (SELECT item_id FROM offers0)) AS best FROM st GROUP BY request_id)
       SELECT request_id, CASE WHEN unclear THEN 'needs_clarification' WHEN res = 0 THEN 'no_match' WHEN lost THEN 'partial' ELSE 'ready' END AS package_status,

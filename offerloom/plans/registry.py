@@ -10,11 +10,7 @@ AREAS = ["text_queries", "resolve_queries", "label_queries", "offer_queries", "i
 def _collect(attribute: str) -> dict:
     merged: dict = {}
     for area in AREAS:
-        try:
-            module = importlib.import_module(f"offerloom.plans.{area}")
-        except ModuleNotFoundError:
-            continue
-        merged.update(getattr(module, attribute))
+        merged.update(getattr(importlib.import_module(f"offerloom.plans.{area}"), attribute))
     return merged
 
 

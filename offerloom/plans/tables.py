@@ -65,7 +65,7 @@ VIEWS: dict[str, str] = {
     "brands": "SELECT CAST(s_suppkey AS STRING) AS provider_id, s_name AS provider_name, CASE WHEN s_acctbal < 0 THEN 'inactive' ELSE 'active' END AS status FROM {supplier}",
     "locations": """
         SELECT CAST(c_custkey AS STRING) AS location_id, CAST(c_custkey % (SELECT count(*) FROM {supplier}) AS STRING) AS provider_id,
-               CAST(c_nationkey AS STRING) AS market_id, c_name AS location_name,
+               concat(CAST(c_custkey % (SELECT count(*) FROM {supplier}) AS STRING), '-', CAST(c_nationkey AS STRING)) AS market_id, c_name AS location_name,
                CASE WHEN c_acctbal < 500 THEN 'closed' ELSE 'active' END AS status,
                CASE c_nationkey % 3 WHEN 0 THEN 'America/Mexico_City' WHEN 1 THEN 'UTC' ELSE 'America/New_York' END AS timezone,
                CAST(19 + (c_custkey * 37 % 1000) / 1000.0 AS DOUBLE) AS lat, CAST(-98 - (c_custkey * 91 % 1000) / 1000.0 AS DOUBLE) AS lon,
@@ -73,7 +73,7 @@ VIEWS: dict[str, str] = {
                CASE WHEN c_custkey % 4 = 0 THEN 'Local 2' END AS line2, c_mktsegment AS locality,
                CASE WHEN c_custkey % 5 <> 0 THEN CAST(72000 + c_custkey % 1000 AS STRING) END AS postal_code
         FROM {customer}""",
-    "market_locations": "SELECT market_id, location_id FROM {locations}",
+    "market_locations": "SELECT market_id, provider_id, location_id FROM {locations}",
     "offers": """
         SELECT concat(CAST(l.l_partkey AS STRING), '-', CAST(l.l_suppkey AS STRING)) AS offer_id, CAST(l.l_suppkey AS STRING) AS provider_id,
                i.item_id, max(l.l_quantity) >= 48 AS requires_quote,
@@ -85,7 +85,7 @@ VIEWS: dict[str, str] = {
         UNION ALL
         SELECT DISTINCT concat('m', CAST(l_partkey AS STRING), '-', CAST(l_suppkey AS STRING), '-', CAST(l_linenumber * 3 AS STRING)) AS scope_id,
                concat(CAST(l_partkey AS STRING), '-', CAST(l_suppkey AS STRING)) AS offer_id, 'market' AS scope_type,
-               CAST(l_linenumber * 3 AS STRING) AS market_id, CAST(NULL AS STRING) AS location_id, 'active' AS status
+               concat(CAST(l_suppkey AS STRING), '-', CAST(l_linenumber * 3 AS STRING)) AS market_id, CAST(NULL AS STRING) AS location_id, 'active' AS status
         FROM {lineitem} WHERE l_returnflag = 'N'
         UNION ALL
         SELECT DISTINCT concat('l', CAST(l_partkey AS STRING), '-', CAST(l_suppkey AS STRING), '-', CAST(l_orderkey % 15 AS STRING)) AS scope_id,

@@ -88,7 +88,7 @@ def _stable(spark, sf):
 def _safe_url(spark, sf):
     return view(spark, sf, "pages").select(
         "page_id", H.safe_url("url").alias("clean"), H.safe_url("url", https_only=True).alias("https_clean"),
-        H.safe_url(F.concat(F.lit("https://u:p@"), F.substring("url", 8, 2000))).alias("with_login"))
+        H.safe_url(F.concat(F.lit("https://u:p@"), F.substring("url", 8, 2**31 - 1))).alias("with_login"))
 
 
 def _site_host(spark, sf):
@@ -211,18 +211,19 @@ def _tok_score(q: str, t: str) -> str:
             f"WHEN levenshtein({q}, {t}) <= {cap} AND levenshtein({q}, {t})::DOUBLE / greatest(length({q}), length({t})) <= 0.24 THEN 70 - levenshtein({q}, {t}) * 8 ELSE 0 END")
 
 
-_DICT_VALUES = ", ".join(f"('{w}', '{d}', '{v}')" for d, vs in L.DICTIONARY.items() for v, ws in vs.items() for w in ws.split())
+_DICT_VALUES = ", ".join(f"('{word}', '{dimension}', '{value}')" for word, dimension, value in L.LABEL_WORDS)
+_SITES, _NUMERALS = "|".join(L.POSTURAL_SITES), "|".join(L.FACTOR_NUMERALS)
 
 
 def _facts(source: str) -> str:
     marks = "i|1|primero|ii|2|segundo|iii|3|tercero|iv|4|cuarto"
     return f"""
-  words AS (SELECT DISTINCT nl, unnest({D.toks("regexp_replace(' ' || nl || ' ', '( (?:" + L.POSTURAL_SITES + ") de )pie ', '\\1 ', 'g')")}) AS token FROM {source}),
+  words AS (SELECT DISTINCT nl, unnest({D.toks("regexp_replace(' ' || nl || ' ', '( (?:" + _SITES + ") de )pie ', '\\1 ', 'g')")}) AS token FROM {source}),
   facts AS (
     SELECT DISTINCT w.nl, d.dimension, d.value FROM words w JOIN (VALUES {_DICT_VALUES}) d(token, dimension, value) USING (token)
     UNION SELECT nl, 'contrast', 'without' FROM {source} WHERE list_contains({D.toks('nl')}, 'simple') OR (list_contains({D.toks('nl')}, 'sin') AND list_contains({D.toks('nl')}, 'contraste'))
     UNION SELECT nl, 'contrast', 'with' FROM {source} WHERE list_contains({D.toks('nl')}, 'contraste') AND (NOT list_contains({D.toks('nl')}, 'sin') OR list_contains({D.toks('nl')}, 'con'))
-    UNION SELECT nl, 'coagulation_factor_literal', regexp_extract(' ' || nl || ' ', ' factor ({L.FACTOR_NUMERALS}) ', 1) FROM {source} WHERE regexp_matches(' ' || nl || ' ', ' factor ({L.FACTOR_NUMERALS}) ')
+    UNION SELECT nl, 'coagulation_factor_literal', regexp_extract(' ' || nl || ' ', ' factor ({_NUMERALS}) ', 1) FROM {source} WHERE regexp_matches(' ' || nl || ' ', ' factor ({_NUMERALS}) ')
     UNION SELECT nl, 'trimester', CASE WHEN m IN ('i', '1', 'primero') THEN '1' WHEN m IN ('ii', '2', 'segundo') THEN '2' WHEN m IN ('iii', '3', 'tercero') THEN '3' ELSE '4' END
       FROM (SELECT nl, unnest(string_split(trim(regexp_extract(' ' || nl || ' ', ' trimestre ((?:(?:{marks}|y) )+)', 1)), ' ')) AS m FROM {source}) WHERE m NOT IN ('y', ''))"""
 
@@ -265,7 +266,7 @@ ORACLES = {
     "article_fold": f"SELECT doc_id, md5(array_to_string(list_filter({D.toks('n')}, lambda w: NOT list_contains({D.string_list(T.ARTICLES)}, w)), ' ')) AS folded_md5 FROM ({_DOCN})",
     "repair_text": "SELECT doc_id, TRUE AS restored, TRUE AS kept FROM documents",
     "token_score": _P + f", h AS (SELECT query_id, string_split(l, ' ')[1] AS a, string_split(r, ' ')[1] AS b, replace(l, ' ', '') AS x, replace(r, ' ', '') AS y FROM n) SELECT query_id, ({_tok_score('a', 'b')})::BIGINT AS first_score, ({_tok_score('x', 'y')})::BIGINT AS joined_score FROM h",
-    "price_minor": """SELECT l_orderkey, l_linenumber, l_partkey, CASE WHEN l_extendedprice * 100 <= 100000000 THEN round(l_extendedprice::DECIMAL(14,2) * 100)::BIGINT END AS minor,
+    "price_minor": """SELECT l_orderkey, l_linenumber, l_partkey, round(l_extendedprice::DECIMAL(14,2) * 100)::BIGINT AS minor,
         (l_extendedprice::DECIMAL(14,1) * 100)::BIGINT AS regular, CASE WHEN l_tax > 0 THEN round(l_tax::DECIMAL(14,2) * 100)::BIGINT END AS online, round(l_extendedprice::DECIMAL(14,2) * 100)::BIGINT AS decimal_minor FROM lineitem""",
     "parse_coords": "SELECT c_custkey, CASE WHEN a BETWEEN -90 AND 90 THEN a END AS lat, CASE WHEN a BETWEEN -90 AND 90 THEN b END AS lon FROM (SELECT c_custkey, (c_acctbal / 50)::DECIMAL(12,4)::DOUBLE AS a, (c_custkey % 360 - 180)::DOUBLE AS b FROM customer)",
     "haversine_m": duck("locations") + f" SELECT location_id, round({D.haversine('lat', 'lon', '19.04', '(-98.2)')}, 3) AS meters FROM locations",
@@ -290,7 +291,7 @@ ORACLES = {
     "safe_url": "SELECT page_id, CASE WHEN regexp_matches(url, '^https?://') THEN regexp_replace(url, '[?#].*$', '') END AS clean, CASE WHEN starts_with(url, 'https://') THEN regexp_replace(url, '[?#].*$', '') END AS https_clean, NULL::VARCHAR AS with_login FROM pages",
     "site_host": "SELECT page_id, regexp_replace(regexp_extract(url, '^https?://([^/?#:]+)', 1), '^www\\.', '') AS host, regexp_replace(regexp_extract(url, '^https?://([^/?#:]+)', 1), '^www\\.', '') AS bare_host FROM pages",
     "redact_json": "SELECT event_id, '{\"apiKey\":\"[REDACTED]\",\"list\":[{\"p\":{\"k\":' || json_extract_string(props, '$.k') || '},\"token\":\"[REDACTED]\"}]}' AS payload FROM events",
-    "redact_text": """SELECT page_id, md5(left(regexp_replace(regexp_replace(regexp_replace(translate(html, chr(13) || chr(10), '  '), '\\bhttps?://[^\\s<>"'']+', '[REDACTED]', 'gi'),
-        '([?&](?:token|api[_-]?key|access[_-]?token|refresh[_-]?token|signature|sig|key)=)[^&#\\s]+', '\\1[REDACTED]', 'gi'), '(bearer\\s+)[^\\s]+', '\\1[REDACTED]', 'gi'), 500)) AS redacted_md5, '[REDACTED] Bearer [REDACTED] ?token=[REDACTED] y' AS redacted_url FROM pages""",
+    "redact_text": """SELECT page_id, md5(regexp_replace(regexp_replace(regexp_replace(translate(html, chr(13) || chr(10), '  '), '\\bhttps?://[^\\s<>"'']+', '[REDACTED]', 'gi'),
+        '([?&](?:token|api[_-]?key|access[_-]?token|refresh[_-]?token|signature|sig|key)=)[^&#\\s]+', '\\1[REDACTED]', 'gi'), '(bearer\\s+)[^\\s]+', '\\1[REDACTED]', 'gi')) AS redacted_md5, '[REDACTED] Bearer [REDACTED] ?token=[REDACTED] y' AS redacted_url FROM pages""",
     "table_digest": "SELECT count(*) AS row_count FROM lineitem",
 }
