@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.hygiene import site_host
@@ -80,15 +82,46 @@ def _cells(lat: Column, lon: Column, around: bool) -> Column:
     return F.array(*cells)
 
 
+def _nearest_of_class(candidates: DataFrame, classes: DataFrame, block: int = 2048) -> DataFrame:
+    """(candidate_id, location_id): the nearest branch of every class of the candidate's brand.
+
+    Candidates of a brand are cut into blocks by hash, so a large brand is many tasks of bounded
+    size, each with the brand's branches; distances are matrices, never rows. Equal distances go to
+    the lowest branch id.
+    """
+    sizes = candidates.groupBy("brand_key").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"))
+    left = candidates.join(sizes, "brand_key").withColumn("block", F.pmod(F.xxhash64("candidate_id"), F.col("blocks")).cast("int")).drop("blocks")
+    right = classes.withColumn("cls", F.concat_ws(" ", F.array_join("shared", " "), F.col("len").cast("string"))).join(sizes, "brand_key").select(
+        "brand_key", "location_id", "cls", "plat", "plon", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
+
+    def nearest(cand: pd.DataFrame, branches: pd.DataFrame) -> pd.DataFrame:
+        lat, lon = (np.radians(cand[x].to_numpy(float))[:, None] for x in ("clat", "clon"))
+        out = [pd.DataFrame({"candidate_id": cand["candidate_id"].iloc[:0], "location_id": branches["location_id"].iloc[:0]})]
+        for _, part in branches.sort_values("location_id").groupby("cls"):
+            best, found = np.full(len(cand), np.inf), np.zeros(len(cand), int)
+            for at in range(0, len(part), block):
+                plat, plon = (np.radians(part[x].to_numpy(float)[at:at + block])[None, :] for x in ("plat", "plon"))
+                arc = np.sin((plat - lat) / 2) ** 2 + np.cos(lat) * np.cos(plat) * np.sin((plon - lon) / 2) ** 2
+                here = arc.argmin(axis=1)
+                least = arc[np.arange(len(cand)), here]
+                found, best = np.where(least < best, here + at, found), np.minimum(best, least)
+            out.append(pd.DataFrame({"candidate_id": cand["candidate_id"].to_numpy(), "location_id": part["location_id"].to_numpy()[found]}))
+        return pd.concat(out)
+
+    kinds = [f"{n} {d.schema[n].dataType.simpleString()}" for d, n in ((candidates, "candidate_id"), (classes, "location_id"))]
+    return left.groupBy("brand_key", "block").cogroup(right.groupBy("brand_key", "block")).applyInPandas(nearest, ", ".join(kinds))
+
+
 def match_locations(candidates: DataFrame, locations: DataFrame, common_share: float = 0.05, common_min: int = 20) -> DataFrame:
     """Best provider branch per candidate of the same brand, with match status.
 
     ``candidates``: candidate_id, brand_key, brand_status, name, postal_code, lat, lon (null brand
     allowed); ``locations``: location_id, brand_key, name, postal_code, lat, lon. Pairs come from a
     rare shared name word, the same postal code or neighbouring grid cells. Branches that share only
-    words common within the brand score by those words and the name length alone, so one
-    representative per such class stands for them: the result equals the all-pairs result without
-    forming all pairs (among equal scores beyond a kilometre the lowest branch id is shown).
+    words common within the brand score by those words, the name length and the distance, so of each
+    such class only the nearest branch can win (``_nearest_of_class``; the lowest id for a candidate
+    without coordinates): the result equals the all-pairs result without forming all pairs. What counts
+    as common only moves work between the two ways and never changes the result.
     """
     c = candidates.filter("brand_key IS NOT NULL").withColumns({
         "cw": meaningful_tokens(norm_text("name"), 1, VENUE_WORDS), "cp": norm_text("postal_code")}).withColumnsRenamed({"name": "cn", "lat": "clat", "lon": "clon"})
@@ -109,7 +142,10 @@ def match_locations(candidates: DataFrame, locations: DataFrame, common_share: f
     classes = p.join(commons, "brand_key", "left").select(
         "brand_key", "location_id", F.array_sort(F.array_intersect("pw", F.coalesce("commons", F.array().cast("array<string>")))).alias("shared"), F.size("pw").alias("len"))
     stand_in = classes.groupBy("brand_key", "shared", "len").agg(F.min("location_id").alias("location_id"))
-    by_class = c.select("candidate_id", "brand_key").join(stand_in, "brand_key").select("candidate_id", "location_id")
+    unplaced = c.filter("clat IS NULL OR clon IS NULL").select("candidate_id", "brand_key").join(stand_in, "brand_key").select("candidate_id", "location_id")
+    by_class = unplaced.unionByName(_nearest_of_class(
+        c.filter("clat IS NOT NULL AND clon IS NOT NULL").select("candidate_id", "brand_key", "clat", "clon"),
+        classes.join(p.select("location_id", "plat", "plon"), "location_id")))
     pairs = by_word.unionByName(by_postal).unionByName(by_cell).unionByName(by_class).distinct()
     rows = pairs.join(c.select("candidate_id", "cn", "cp", "clat", "clon"), "candidate_id").join(p.drop("brand_key", "pw"), "location_id")
     distance = haversine_m("clat", "clon", "plat", "plon")

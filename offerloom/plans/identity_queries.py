@@ -61,7 +61,8 @@ def _brand(spark, sf):
 
 
 def _match(spark, sf):
-    return E.match_locations(view(spark, sf, "brand_candidates"), view(spark, sf, "brand_locations")).select("candidate_id", "status", "score", "nearby")
+    return E.match_locations(view(spark, sf, "brand_candidates"), view(spark, sf, "brand_locations")).select(
+        "candidate_id", "status", "location_id", F.round("distance_meters", 1).alias("distance_meters"), "name_similarity", "same_postal", "score", "nearby")
 
 
 def _hosts(spark, sf):
@@ -147,7 +148,7 @@ ORACLES = {
       s AS (SELECT *, CASE WHEN len(a) = 0 OR len(b) = 0 THEN 0 ELSE len(list_intersect(a, b))::DOUBLE / greatest(len(a), len(b)) END AS sim FROM p),
       t AS (SELECT *, sim * 0.55 + CASE WHEN sp THEN 0.25 ELSE 0 END + CASE WHEN d IS NULL THEN 0 ELSE (1 - least(d, 1000.0) / 1000.0) * 0.2 END AS score FROM s),
       b AS (SELECT * FROM t QUALIFY row_number() OVER (PARTITION BY candidate_id ORDER BY round(score, 9) DESC, coalesce(d, 1e6), location_id) = 1)
-      SELECT c.candidate_id, CASE WHEN c.brand_key IS NULL THEN 'unmatched' WHEN c.brand_status = 'matched' AND round(d, 2) <= 350 AND (sim > 0 OR (sp AND round(d, 2) <= 100)) THEN 'matched' ELSE 'review_required' END AS status, round(score, 5) AS score, coalesce(round(d, 2) <= 1000, FALSE) AS nearby
+      SELECT c.candidate_id, CASE WHEN c.brand_key IS NULL THEN 'unmatched' WHEN c.brand_status = 'matched' AND round(d, 2) <= 350 AND (sim > 0 OR (sp AND round(d, 2) <= 100)) THEN 'matched' ELSE 'review_required' END AS status, location_id, round(round(d, 2), 1) AS distance_meters, round(sim, 4) AS name_similarity, sp AS same_postal, round(score, 5) AS score, coalesce(round(d, 2) <= 1000, FALSE) AS nearby
       FROM brand_candidates c LEFT JOIN b USING (candidate_id)""",
     "host_seeds": _CLASS + """ SELECT host, count(DISTINCT external_record_id) AS records, array_to_string(list_sort(list(DISTINCT classification)), ',') AS classifications, array_to_string(list_sort(list(DISTINCT website_url))[1:3], ',') AS seed_urls FROM c WHERE host IS NOT NULL GROUP BY host""",
     "website_identities": _CLASS + f""", w AS (SELECT host, CASE WHEN host IN ('h5.example.com', 'h9.example.com') THEN 'Quinta' ELSE min_by(name, external_record_id) END AS name, count(*) AS sites FROM c WHERE classification = 'direct_clinical' AND lat IS NOT NULL AND host IS NOT NULL AND host NOT IN ('h3.example.com', 'h8.example.com') GROUP BY host),
