@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -100,6 +102,41 @@ SELECT doc_id, size, source_size, target,
   (size * (base + CASE WHEN base < 2 AND hash < edge THEN 1 ELSE 0 END))::BIGINT AS taken
 FROM sized s JOIN budgets b ON s.source IS NOT DISTINCT FROM b.source JOIN edges e ON s.source IS NOT DISTINCT FROM e.source"""
 
+_WORDS = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+
+
+def _list(words) -> str:
+    return "[" + ", ".join(f"'{w}'" for w in words) + "]"
+
+
+_PHRASES = ", ".join(f"({_list(phrase.split())}, '{label}')" for phrase, label in licenses.PHRASES.items())
+_TEMPLATES = ", ".join(
+    f"({_list(sorted(set(re.findall('[0-9a-z]+', text.lower()))))}, '{label}')" for label, text in licenses.TEMPLATES)
+OP4_SQL = f"""
+WITH lowered AS (
+  SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+words AS (SELECT doc_id, t, regexp_extract_all(t, '{_WORDS}') AS w FROM lowered),
+phrases(p, label) AS (VALUES {_PHRASES}),
+places AS (
+  SELECT doc_id, label, unnest(list_filter(range(1, len(w) + 1), lambda i: w[i:i + len(p) - 1] = p)) - 1 AS pos FROM words, phrases),
+base AS (
+  SELECT doc_id, count(*) AS n_base, min(pos) AS first_word, max(pos) AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) AS base_labels
+  FROM places GROUP BY doc_id),
+blocks AS (
+  SELECT doc_id, list_distinct(regexp_extract_all(line, '{_WORDS}')) AS b
+  FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS line FROM lowered)),
+templates(p, label) AS (VALUES {_TEMPLATES}),
+hits AS (
+  SELECT doc_id, label, len(list_intersect(p, b)) / len(p)::DOUBLE AS share FROM blocks, templates
+  WHERE len(list_intersect(p, b)) >= ceil(0.8 * len(p))),
+best AS (SELECT doc_id, max(share) AS share FROM hits GROUP BY doc_id),
+labelled AS (
+  SELECT doc_id, string_agg(DISTINCT label, ',' ORDER BY label) AS labels
+  FROM (SELECT doc_id, label FROM places UNION SELECT doc_id, label FROM hits) GROUP BY doc_id)
+SELECT doc_id, len(w) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, coalesce(base_labels, '') AS base_labels,
+  coalesce(labels, '') AS labels, CASE WHEN n_base > 0 THEN 1.0::DOUBLE ELSE coalesce(share, 0) END AS score
+FROM words LEFT JOIN base USING (doc_id) LEFT JOIN best USING (doc_id) LEFT JOIN labelled USING (doc_id)"""
+
 OP3_SQL = """
 WITH RECURSIVE usable AS (
   SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings
@@ -117,4 +154,4 @@ counted AS (SELECT a, count(*) AS n FROM links GROUP BY a)
 SELECT e.vec_id, coalesce(n, 0)::BIGINT AS n_links, component_id, e.vec_id = component_id AS kept
 FROM embeddings e JOIN lowest USING (vec_id) LEFT JOIN counted ON a = e.vec_id"""
 
-ORACLES = {"op3_embeddings": OP3_SQL, "op7_lines": OP7_SQL, "op8_mixing": OP8_SQL}
+ORACLES = {"op3_embeddings": OP3_SQL, "op4_licenses": OP4_SQL, "op7_lines": OP7_SQL, "op8_mixing": OP8_SQL}
