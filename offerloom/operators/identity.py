@@ -259,7 +259,8 @@ RETRYABLE = "(?i)timed out|timeout|temporar|connection reset|connection refused|
 PERMANENT = "(?i)robots\\.txt|private, loopback|unresolved|\\b404\\b|\\b410\\b|\\b401\\b|\\b403\\b"
 
 
-def retry_seeds(runs: DataFrame, max_providers: int) -> DataFrame:
+def retry_seeds(runs: DataFrame, max_providers: int | None = None) -> DataFrame:
     """Hosts worth another attempt: empty, or failed with a transient and no permanent error."""
     transient = (F.col("status") == "failed") & F.col("errors").rlike(RETRYABLE) & ~F.col("errors").rlike(PERMANENT)
-    return runs.filter((F.col("status") == "empty") | transient).orderBy("host").limit(max_providers)
+    hosts = runs.filter((F.col("status") == "empty") | transient)
+    return hosts if max_providers is None else hosts.orderBy("host").limit(max_providers)

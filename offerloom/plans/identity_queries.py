@@ -106,7 +106,7 @@ def _golden(part):
 
 
 def _retry(spark, sf):
-    return E.retry_seeds(view(spark, sf, "host_runs"), 1000).select("host", "status")
+    return E.retry_seeds(view(spark, sf, "host_runs")).select("host", "status")
 
 
 def _review(spark, sf):
@@ -165,7 +165,7 @@ ORACLES = {
     "golden_queue": duck("items", "anchor_records", "reviewed_pairs") + f""" SELECT r.source_key, r.external_record_id, {D.norm('r.title')} AS normalized_title FROM anchor_records r LEFT JOIN reviewed_pairs v USING (source_key, external_record_id)
         WHERE v.item_id IS NULL AND {D.norm('r.title')} NOT IN (SELECT name FROM items)""",
     "discovery_summary": _DISC + " SELECT * FROM disc",
-    "retry_seeds": duck("host_runs") + " SELECT host, status FROM host_runs WHERE status = 'failed' AND errors LIKE '%503%' ORDER BY host LIMIT 1000",
+    "retry_seeds": duck("host_runs") + " SELECT host, status FROM host_runs WHERE status = 'failed' AND errors LIKE '%503%'",
     "identity_review_check": _CLASS + """, r AS (SELECT CASE postal_code WHEN '72003' THEN 'c3' WHEN '72004' THEN 'none' ELSE external_record_id END AS eid, CASE WHEN postal_code = '72005' THEN 'else.example.com' ELSE host END AS h FROM c),
       n AS (SELECT eid, count(*) AS k FROM r GROUP BY eid), j AS (SELECT r.eid, r.h, n.k, c.classification AS cl, c.host AS ch FROM r JOIN n USING (eid) LEFT JOIN c ON c.external_record_id = r.eid),
       p AS (SELECT eid, 'repeated' AS problem FROM j WHERE k > 1 UNION ALL SELECT eid, 'missing' FROM j WHERE cl IS NULL UNION ALL SELECT eid, 'wrong_class' FROM j WHERE cl = 'non_clinical' UNION ALL SELECT eid, 'other_host' FROM j WHERE cl IS NOT NULL AND h IS DISTINCT FROM ch)

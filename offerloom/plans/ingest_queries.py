@@ -174,7 +174,7 @@ def _integrity(spark, sf):
         V.missing_parent("price_scope", prices, "price_id", "scope_id", scopes, "scope_id"),
         V.differs("scope_brand", own, "scope_id", "location_id", "provider_id", locations.filter("status = 'active'"), "location_id", "provider_id"),
         V.not_unique("primary_name", names, ["item_id", "locale"]),
-        V.not_unique("current_price", series, ["scope_id", "price_type"]),
+        V.not_unique("current_price", series, ["scope_id", "price_type", "channel", "price_key"]),
         V.not_unique("active_offer", offers.filter("status = 'active'"), ["provider_id", "item_id"]),
         V.not_unique("provider_alias", v("aliases").filter("provider_id IS NOT NULL"), ["provider_id", "alias"]))
 
@@ -319,7 +319,7 @@ ORACLES = {
       UNION ALL SELECT 'price_scope', price_id, scope_id FROM prices WHERE scope_id NOT IN (SELECT scope_id FROM scopes)
       UNION ALL SELECT 'scope_brand', s.scope_id, o.provider_id || '!=' || l.provider_id FROM scopes s JOIN offers o USING (offer_id) JOIN locations l ON l.location_id = s.location_id AND l.status = 'active' WHERE s.scope_type = 'location' AND o.provider_id <> l.provider_id
       UNION ALL SELECT 'primary_name', item_id || '|' || locale, count(*)::VARCHAR FROM names GROUP BY item_id, locale HAVING count(*) > 1
-      UNION ALL SELECT 'current_price', scope_id || '|' || price_type, count(*)::VARCHAR FROM prices WHERE is_current GROUP BY scope_id, price_type HAVING count(*) > 1
+      UNION ALL SELECT 'current_price', scope_id || '|' || price_type || '|' || channel || '|' || price_key, count(*)::VARCHAR FROM prices WHERE is_current GROUP BY scope_id, price_type, channel, price_key HAVING count(*) > 1
       UNION ALL SELECT 'active_offer', provider_id || '|' || item_id, count(*)::VARCHAR FROM offers WHERE status = 'active' GROUP BY provider_id, item_id HAVING count(*) > 1
       UNION ALL SELECT 'provider_alias', provider_id || '|' || alias, count(*)::VARCHAR FROM aliases WHERE provider_id IS NOT NULL GROUP BY provider_id, alias HAVING count(*) > 1""",
     "component_cycles": duck("edges").replace("WITH ", "WITH RECURSIVE ", 1) + """, reach AS (SELECT parent AS a, child AS b FROM edges UNION SELECT r.a, e.child FROM reach r JOIN edges e ON e.parent = r.b)

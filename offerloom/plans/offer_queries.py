@@ -164,7 +164,11 @@ def _package_offers(spark, sf):
 def _plan(objective):
     def run(spark, sf):
         best = P.best_branch_offer(view(spark, sf, "branch_offers"))
-        return P.plan_packages(view(spark, sf, "requests"), best, objective)
+        plans = P.plan_packages(view(spark, sf, "requests"), best, objective)
+        chosen = F.transform("selected_offers", lambda o: F.concat_ws("@", o["offer_id"], o["location_id"]))
+        return plans.withColumns({
+            "chosen_offers": F.array_join(chosen, "|"), "missing_items": F.size("missing_item_indexes").cast("bigint")}).drop(
+            "selected_offers", "missing_item_indexes")
     return run
 
 
@@ -201,6 +205,8 @@ QUERIES = {
     "package_status": _package_status,
     "plan_packages": _plan("balanced"),
     "plan_lowest_cost": _plan("lowest_cost"),
+    "plan_nearest": _plan("nearest"),
+    "plan_all_in_one": _plan("all_in_one"),
 }
 
 _AS = "TIMESTAMP '1999-06-01 00:00:00'"
@@ -241,7 +247,7 @@ def _plan_sql(order: str) -> str:
   cells AS (
     SELECT r.request_id, r.item_index, b.*, round({D.haversine('b.lat', 'b.lon', 'r.lat', 'r.lon')}, 3) AS dist FROM requests r JOIN pick b ON b.item_id = r.item_id),
   branch AS (
-    SELECT request_id, location_id, bit_or(1::BIGINT << item_index) AS mask, count(*) AS covered, min(dist) AS dist, min(provider_name || '|' || location_name) AS label
+    SELECT request_id, location_id, bit_or(1::HUGEINT << item_index::INT) AS mask, count(*) AS covered, min(dist) AS dist, min(provider_name || '|' || location_name) AS label
     FROM cells GROUP BY request_id, location_id
     QUALIFY row_number() OVER (PARTITION BY request_id ORDER BY count(*) DESC, min(dist), min(provider_name || '|' || location_name), location_id) <= 40),
   ranked AS (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY covered DESC, dist, label, location_id) AS rk FROM branch),
@@ -254,15 +260,15 @@ def _plan_sql(order: str) -> str:
   kept AS (SELECT s.* FROM sets s JOIN tops t USING (request_id) WHERE s.cov >= coalesce(t.third, t.least)),
   chosen AS (
     SELECT k.request_id, k.ids, c.item_index,
-           min(struct_pack(q := c.requires_quote OR c.amount_minor IS NULL, m := c.amount_minor IS NULL, amt := coalesce(c.amount_minor, 0), nm := c.provider_name || '|' || c.offer_id)) AS best
+           min(struct_pack(q := c.requires_quote OR c.amount_minor IS NULL, m := c.amount_minor IS NULL, amt := coalesce(c.amount_minor, 0), nm := c.provider_name || '|' || c.offer_id, oid := c.offer_id, loc := c.location_id)) AS best
     FROM kept k JOIN cells c ON c.request_id = k.request_id AND c.location_id IN (k.a, k.b, k.c) GROUP BY k.request_id, k.ids, c.item_index),
-  priced AS (SELECT request_id, ids, bool_or(best.q) AS quoted, sum(best.amt) AS amt FROM chosen GROUP BY request_id, ids),
+  priced AS (SELECT request_id, ids, bool_or(best.q) AS quoted, sum(best.amt) AS amt, string_agg(best.oid || '@' || best.loc, '|' ORDER BY item_index) AS chosen_offers FROM chosen GROUP BY request_id, ids),
   solutions AS (
-    SELECT k.request_id, k.ids AS location_ids, k.cov, k.size, k.dist, n.n, p.quoted OR k.cov < n.n AS requires_quote, CASE WHEN k.cov = n.n AND NOT p.quoted THEN p.amt::BIGINT END AS total
+    SELECT k.request_id, k.ids AS location_ids, k.cov, k.size, k.dist, n.n, p.quoted OR k.cov < n.n AS requires_quote, CASE WHEN k.cov = n.n AND NOT p.quoted THEN p.amt::BIGINT END AS total, p.chosen_offers
     FROM kept k JOIN priced p ON p.request_id = k.request_id AND p.ids = k.ids JOIN need n ON n.request_id = k.request_id),
   final AS (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY cov DESC, {order}, location_ids) AS solution_rank FROM solutions)
   SELECT request_id, solution_rank, location_ids, cov::BIGINT AS coverage_count, size::BIGINT AS location_count, total AS total_amount_minor, requires_quote, dist AS distance_meters,
-         n AS requested_count, round(cov::DOUBLE / n * 100, 2) AS coverage_percent FROM final WHERE solution_rank <= 3"""
+         n AS requested_count, round(cov::DOUBLE / n * 100, 2) AS coverage_percent, chosen_offers, n - cov AS missing_items, CASE WHEN total IS NOT NULL THEN 'MXN' END AS currency FROM final WHERE solution_rank <= 3"""
 
 
 _PRICED = """
@@ -366,4 +372,6 @@ ORACLES = {
              CASE WHEN unclear THEN 'none' WHEN best = n THEN 'complete' WHEN best > 0 THEN 'partial' ELSE 'none' END AS coverage_status FROM per""",
     "plan_packages": _plan_sql("dist NULLS LAST, size, total NULLS LAST"),
     "plan_lowest_cost": _plan_sql("total NULLS LAST, size"),
+    "plan_nearest": _plan_sql("dist NULLS LAST, size, total NULLS LAST"),
+    "plan_all_in_one": _plan_sql("size, dist NULLS LAST, total NULLS LAST"),
 }

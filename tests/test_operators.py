@@ -140,6 +140,20 @@ def test_planner_equals_brute_force(spark):
             assert got.get(request, []) == brute_plan(range(1, n_items + 1), branches, objective, 3), (objective, request)
 
 
+def test_planner_of_seventy_items_and_more_branches_than_the_default(spark):
+    requests = [("r", i, f"i{i}", 19.0, -98.0) for i in range(1, 71)]
+    offers = [(f"i{i}", f"l{i % 45:02d}", f"o{i}", "p", f"n{i % 45}", 19.0 + (i % 45) / 100, -98.0, i * 100, "MXN", False) for i in range(1, 71)]
+    req = spark.createDataFrame(requests, "request_id string, item_index int, item_id string, lat double, lon double")
+    table = spark.createDataFrame(offers, "item_id string, location_id string, offer_id string, provider_name string, location_name string, lat double, lon double, amount_minor bigint, currency string, requires_quote boolean")
+    best = P.best_branch_offer(table)
+    top = P.plan_packages(req, best, max_branches=2, max_locations=None).filter("solution_rank = 1").first()
+    assert top.coverage_count == 4 and top.location_ids == "l01|l02" and len(top.missing_item_indexes) == 66 and top.currency is None
+    assert [(o.item_index, o.offer_id, o.location_id, o.amount_minor) for o in top.selected_offers] == [
+        (1, "o1", "l01", 100), (2, "o2", "l02", 200), (46, "o46", "l01", 4600), (47, "o47", "l02", 4700)]
+    whole = P.plan_packages(spark.createDataFrame(requests[:1], req.schema), best).first()
+    assert whole.currency == "MXN" and whole.missing_item_indexes == [] and whole.total_amount_minor == 100
+
+
 def test_price_history_across_chunks_and_increment(spark):
     day = lambda m, d: dt.datetime(2024, m, d)
     rows = [("a", 5, day(1, 1)), ("a", 5, day(1, 20)), ("a", 5, day(2, 3)), ("a", 7, day(2, 9)), ("a", 5, day(3, 1)), ("b", 1, day(1, 1))]
@@ -189,7 +203,7 @@ def test_segmentation_counts_every_partition(spark):
     got = {r.text_id: (r.status, int(r.partitions), r.segments) for r in OR.segment_text(texts, terms).collect()}
     assert got[1][:2] == ("ambiguous", 2) and got[2] == ("segmented", 1, ["a", "c"]) and got[3][0] == "whole_match"
     assert got[4][0] == "no_match" and got[5][0] == "no_match" and got[7][0] == "invalid_input"
-    assert got[6][0] == "no_match"  # no partition of 80 tokens fits 30 segments
+    assert got[6][:2] == ("ambiguous", 2**40)  # 80 words, each "a b" read as one term or as two
 
 
 def test_order_lines_merge_and_drop_metadata(spark):
