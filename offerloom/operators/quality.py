@@ -4,6 +4,10 @@ from __future__ import annotations
 
 from functools import reduce
 
+from collections.abc import Iterator
+from decimal import ROUND_HALF_UP, Decimal
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.hygiene import content_hash
@@ -38,36 +42,43 @@ def run_gate(gated: DataFrame, runs: DataFrame, limits: DataFrame) -> DataFrame:
 
     ``runs``: run_id, source_key, finished_at, failed. ``limits``: source_key, expected_min,
     expected_max, max_negative_pct. Which run counts as previous depends on earlier verdicts, so the
-    runs of a source (one small row each, never their records) are folded in time order.
+    runs (one small row each, never their records) are sorted by source and time within their partition
+    and read in order; only the last succeeded count is carried, however long a source's history is.
     """
     counts = gated.groupBy("run_id").agg(
         F.count(F.lit(1)).alias("received"), F.count_if(F.col("parse_status") == "parsed").alias("valid"))
-    rows = runs.join(counts, "run_id", "left").fillna({"received": 0, "valid": 0})
-    per_source = rows.groupBy("source_key").agg(
-        F.array_sort(F.collect_list(F.struct("finished_at", "run_id", "received", "valid", "failed"))).alias("history")).join(limits, "source_key", "left")
-    start = F.struct(
-        F.lit(None).cast("bigint").alias("previous"),
-        F.array().cast("array<struct<run_id:string,received:bigint,valid:bigint,previous:bigint,deviation:double,status:string>>").alias("out"))
-
-    def step(state: Column, run: Column) -> Column:
-        previous = state["previous"]
-        deviation = F.when(previous > 0, F.round((run["received"] - previous) / previous * 100, 4))
-        status = (
-            F.when(F.coalesce(deviation < -F.col("max_negative_pct"), F.lit(False)), "quarantined")
-            .when(F.coalesce(run["received"] > F.col("expected_max"), F.lit(False)), "quarantined")
-            .when(F.coalesce(run["received"] < F.col("expected_min"), F.lit(False)), "quarantined")
-            .when(run["failed"] & (run["valid"] == 0), "failed").when(run["failed"], "quarantined").otherwise("succeeded"))
-        row = F.struct(
-            run["run_id"].alias("run_id"), run["received"].alias("received"), run["valid"].alias("valid"), previous.alias("previous"),
-            deviation.alias("deviation"), status.alias("status"))
-        return F.struct(
-            F.when(status == "succeeded", run["received"]).otherwise(previous).alias("previous"),
-            F.concat(state["out"], F.array(row)).alias("out"))
-
-    folded = per_source.select("source_key", F.aggregate("history", start, step, lambda s: s["out"]).alias("out"))
-    return folded.select("source_key", F.inline("out")).select(
-        "source_key", "run_id", F.col("received").alias("records_received"), F.col("valid").alias("records_valid"),
-        F.col("previous").alias("previous_success_count"), F.col("deviation").alias("deviation_percentage"), "status")
+    rows = runs.join(counts, "run_id", "left").fillna({"received": 0, "valid": 0}).join(limits, "source_key", "left")
+    ordered = rows.select(
+        "source_key", "run_id", "finished_at", "received", "valid", "failed", "expected_min", "expected_max", "max_negative_pct",
+    ).repartition("source_key").sortWithinPartitions("source_key", "finished_at", "run_id")
+
+    def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        source, previous = None, None
+        for batch in batches:
+            out = []
+            for r in batch.itertuples(index=False):
+                if r.source_key != source:
+                    source, previous = r.source_key, None
+                deviation = None
+                if previous:
+                    deviation = float(Decimal(repr((r.received - previous) / previous * 100)).quantize(Decimal("0.0001"), ROUND_HALF_UP))
+                low = deviation is not None and pd.notna(r.max_negative_pct) and deviation < -r.max_negative_pct
+                outside = (pd.notna(r.expected_max) and r.received > r.expected_max) or (pd.notna(r.expected_min) and r.received < r.expected_min)
+                if low or outside:
+                    status = "quarantined"
+                elif r.failed:
+                    status = "quarantined" if r.valid else "failed"
+                else:
+                    status = "succeeded"
+                out.append((r.source_key, r.run_id, r.received, r.valid, previous, deviation, status))
+                previous = r.received if status == "succeeded" else previous
+            names = ["source_key", "run_id", "records_received", "records_valid", "previous_success_count", "deviation_percentage", "status"]
+            yield pd.DataFrame(out, columns=names).astype({"previous_success_count": "Int64", "deviation_percentage": "Float64"})
+
+    kinds = {n: ordered.schema[n].dataType.simpleString() for n in ("source_key", "run_id")}
+    return ordered.mapInPandas(
+        judge, f"source_key {kinds['source_key']}, run_id {kinds['run_id']}, records_received bigint, records_valid bigint, "
+               "previous_success_count bigint, deviation_percentage double, status string")
 
 
 def quarantine_observations(observations: DataFrame, run_status: DataFrame) -> DataFrame:

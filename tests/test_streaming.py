@@ -69,4 +69,25 @@ def test_price_stream_equals_history(spark, tmp_path):
     frames = [spark.createDataFrame([(s, a, dt.datetime(2024, 1, d)) for s, a, d in part], ddl) for part in (rows[:3], rows[3:])]
     seen = run(jobs.stream_price_versions(feed(spark, str(tmp_path), frames)), str(tmp_path), "append", "price_stream")
     batch = O.price_versions(frames[0].unionByName(frames[1]), ["series"])
-    assert {(r.series, r.amount_minor, r.valid_from) for r in seen.collect()} == {(r.series, r.amount_minor, r.valid_from) for r in batch.collect()}
+    assert {(r.series, r.amount_minor, r.valid_from) for r in seen.filter("event = 'opened'").collect()} == {(r.series, r.amount_minor, r.valid_from) for r in batch.collect()}
+
+
+def test_price_stream_closes_versions_and_sets_late_rows_apart(spark, tmp_path):
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    ddl, day = "series string, amount_minor bigint, observed_at timestamp", lambda d: dt.datetime(2024, 1, d)
+    parts = [[("a", 5, day(1)), ("a", 5, day(4))], [("a", 6, day(3)), ("a", 5, day(6))], [("a", 7, day(8))]]
+    seen = run(jobs.stream_price_versions(feed(spark, str(tmp_path), [spark.createDataFrame(p, ddl) for p in parts])), str(tmp_path), "append", "late_stream")
+    got = sorted((r.event, r.amount_minor, r.valid_from.day, r.valid_to and r.valid_to.day, r.last_seen_at and r.last_seen_at.day) for r in seen.collect())
+    assert got == [("closed", 5, 1, 8, 6), ("late", 6, 3, None, None), ("opened", 5, 1, None, 1), ("opened", 7, 8, None, 8)]
+
+
+def test_ingest_keeps_rejects_of_a_replayed_batch_once(spark, tmp_path):
+    ddl = "source_key string, run_id string, seq bigint, payload string, n_observations int"
+    publish = jobs.ingest_batch(str(tmp_path / "out"))
+    first = spark.createDataFrame([("s", "r", 0, '{"n":0}', 1), ("s", "r", 1, "no json", 1)], ddl)
+    later = spark.createDataFrame([("s", "r", 2, '{"n":0}', 1), ("s", "r", 3, '{"n":9}', 1)], ddl)
+    for batch, number in ((first, 0), (first, 0), (later, 1), (later, 1)):
+        publish(batch, number)
+    rejects = spark.read.parquet(str(tmp_path / "out/rejects"))
+    assert sorted((r.batch_id, r.seq) for r in rejects.collect()) == [(0, 1), (1, 2)]
+    assert spark.read.parquet(str(tmp_path / "out/ledger")).count() == 2
