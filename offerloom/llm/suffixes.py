@@ -6,6 +6,7 @@ import hashlib
 
 import numpy as np
 import pandas as pd
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -19,7 +20,7 @@ GRAM = 16
 BATCH_BYTES, PIECE = 6 << 20, 1 << 21
 #: Stands for a null doc_id: larger than any other.
 NO_ID = 2**63 - 1
-_ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x27D4EB2F165667C5)]
+_ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x27D4EB2F165667C5, 0xD6E8FEB86659FD93)]
 
 
 def _words(raw: bytes, n: int) -> np.ndarray:
@@ -48,7 +49,7 @@ def window_runs(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         if width > span:
             h = np.minimum(h[:span - width], h[width - span:])
         first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
-        keys.append(h[first])
+        keys.append(h[first] * _ODD[3])  # smallest of many hashes: spread over all numbers again
         starts.append(first + at)
         counts.append(np.diff(np.append(first, len(h))))
     if not keys:
@@ -76,7 +77,7 @@ def suffix_array(text: np.ndarray, depth: int = PASSAGE) -> np.ndarray:
     direct = np.flatnonzero(small)
     padded = np.concatenate([text, np.zeros(depth + 16, np.uint8)]).tobytes()
     words = _words(padded, n + depth + 8)
-    order = np.argsort(words[direct].byteswap(), kind="stable")
+    order = np.argsort(words[direct].byteswap())
     direct = direct[order]
     for level in range(1, -(-depth // 8)):  # only groups that are equal so far are sorted on
         key = words[direct + 8 * (level - 1)]
@@ -160,33 +161,74 @@ def smallest_holders(pieces: list[bytes], holders: np.ndarray) -> tuple[np.ndarr
 _SHIFTED = bytes([*range(1, 256), 255])
 
 
-def _batch_texts(frame: pd.DataFrame) -> tuple[np.ndarray, list[bytes]]:
-    """Ids and bytes of a batch in a fixed order, so that later passes number its pieces alike."""
-    rows = sorted(zip(frame["doc_id"], (t.encode("utf-8", "surrogatepass") for t in frame["text"])))
-    return np.array([r[0] for r in rows], np.int64), [r[1] for r in rows]
-
-
-def _shared_runs(ids: np.ndarray, raws: list[bytes], shared: np.ndarray):
-    """Per text its runs that other documents may hold; the distinct pieces with their smallest and largest holder."""
-    numbers: dict[bytes, int] = {}
-    keys, low, high, found = [], [], [], []
-    for doc_id, raw in zip(ids.tolist(), raws):
-        key, start, count = window_runs(raw)
-        near = np.searchsorted(shared, key)
-        held = np.flatnonzero(shared[np.minimum(near, len(shared) - 1)] == key) if len(shared) else np.empty(0, np.int64)
-        own = []
-        for k, s, c in zip(key[held].tolist(), start[held].tolist(), count[held].tolist()):
-            piece = raw[s:s + c + PASSAGE - 1]
-            at = numbers.setdefault(piece, len(numbers))
-            if at == len(keys):
-                keys.append(k)
-                low.append(doc_id)
-                high.append(doc_id)
-            else:
-                low[at], high[at] = min(low[at], doc_id), max(high[at], doc_id)
-            own.append((at, s, c))
-        found.append(own)
-    return found, list(numbers), np.array(keys, np.uint64), np.array(low, np.int64), np.array(high, np.int64)
+#: A gram's number: the bucket that judges it, and 40 bits of its hash. Grams that meet by chance only cost work.
+_LOW = np.uint64((1 << 40) - 1)
+
+
+class _Batch:
+    """The texts of a batch in a fixed order, so that every pass numbers its runs and pieces alike."""
+
+    def __init__(self, frame: pd.DataFrame, buckets: int):
+        rows = sorted(zip(frame["doc_id"].tolist(), (t.encode("utf-8", "surrogatepass") for t in frame["text"])))
+        self.ids = np.array([r[0] for r in rows], np.int64)
+        self.raws = [r[1] for r in rows]
+        runs = [window_runs(raw) for raw in self.raws]
+        hashes = np.concatenate([r[0] for r in runs])
+        bucket = ((hashes >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
+        self.gram = bucket << np.uint64(40) | hashes & _LOW
+        self.start, self.count = np.concatenate([r[1] for r in runs]), np.concatenate([r[2] for r in runs])
+        self.text = np.repeat(np.arange(len(runs)), [len(r[0]) for r in runs])
+        order = np.argsort(self.gram, kind="stable")  # ids ascend within equal grams
+        grams, owners = self.gram[order], self.ids[self.text[order]]
+        first = np.flatnonzero(np.concatenate([[True], grams[1:] != grams[:-1]])) if len(grams) else np.empty(0, np.int64)
+        last = np.append(first[1:], len(grams)) - 1 if len(grams) else first
+        self.grams, self.several = grams[first], owners[first] < owners[last]
+
+    def by_bucket(self, numbers: np.ndarray) -> list[tuple[int, slice]]:
+        """Slices of an ascending array of gram numbers that belong to one bucket each."""
+        bucket = (numbers >> np.uint64(40)).astype(np.int64)
+        first = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])) if len(bucket) else np.empty(0, np.int64)
+        return [(int(bucket[a]), slice(int(a), int(b))) for a, b in zip(first, np.append(first[1:], len(bucket)))]
+
+    def pieces(self, flags: pd.DataFrame):
+        """Runs whose gram another document may hold, with the number of their piece; the distinct pieces
+        in the order of their grams, and the smallest and largest holder of each."""
+        masks = flags[flags["kind"] == 0].sort_values("bucket")
+        sizes = [s.stop - s.start for _, s in self.by_bucket(self.grams)]
+        elsewhere = [np.unpackbits(np.frombuffer(m, np.uint8), count=n) for m, n in zip(masks["payload"], sizes)]
+        shared = self.grams[self.several | (np.concatenate(elsewhere) if elsewhere else np.empty(0, np.uint8)).astype(bool)]
+        if not len(shared):
+            none = np.empty(0, np.int64)
+            return none, none, [], np.empty(0, np.uint64), none, none
+        near = np.minimum(np.searchsorted(shared, self.gram), len(shared) - 1)
+        held = np.flatnonzero(shared[near] == self.gram)
+        held = held[np.argsort(self.gram[held], kind="stable")]
+        numbers: dict[bytes, int] = {}
+        raws = self.raws
+        number = np.fromiter((numbers.setdefault(raws[t][s:e], len(numbers)) for t, s, e in zip(
+            self.text[held].tolist(), self.start[held].tolist(), (self.start[held] + self.count[held] + PASSAGE - 1).tolist())), np.int64, len(held))
+        owner = self.ids[self.text[held]]
+        low, high = np.full(len(numbers), NO_ID), np.full(len(numbers), -(2**63))
+        np.minimum.at(low, number, owner)
+        np.maximum.at(high, number, owner)
+        gram = np.zeros(len(numbers), np.uint64)
+        gram[number] = self.gram[held]
+        return held, number, list(numbers), gram, low, high
+
+
+def _stretches(values: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Stretches of equal values that do not cross the starts of pieces: piece, offset in it, value."""
+    begin = np.concatenate([[True], values[1:] != values[:-1]])
+    begin[starts[:-1]] = True
+    first = np.flatnonzero(begin)
+    piece = np.searchsorted(starts, first, side="right") - 1
+    return piece, first - starts[piece], values[first]
+
+
+def _expanded(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For counts c: the index of each count c times, and 0 .. c - 1."""
+    which = np.repeat(np.arange(len(counts)), counts)
+    return which, np.arange(len(which)) - np.repeat(np.cumsum(counts) - counts, counts)
 
 
 def drop_passages(docs: DataFrame) -> DataFrame:
@@ -194,12 +236,12 @@ def drop_passages(docs: DataFrame) -> DataFrame:
 
     A byte goes if a 50-byte string over it also starts in a document with a smaller doc_id.
 
-    Texts are dealt out once into batches of bounded size. Each batch sends the hashes of its window
-    runs (one row per distinct hash, however many of its documents hold it) to the tasks that find
-    those of two or more documents; only such runs are sent on, as distinct pieces of text, to the
-    task of their hash. There a two-stage suffix array with adjacent common prefixes tells for every
-    window its smallest holder, and each batch gets back the answers for its pieces. A hot passage
-    reaches a task once per batch, not once per document.
+    Texts are dealt out once into batches of bounded size. Each batch sends the grams of its window
+    runs, packed by bucket, to the tasks that find those of two or more batches, and gets back a bit
+    for each; a gram is sent once per batch, however many of its documents hold it. Only runs of
+    shared grams are sent on, as distinct pieces of text, to the task of their bucket. There a
+    two-stage suffix array with adjacent common prefixes tells for every window its smallest holder,
+    and each batch gets back the answers for its pieces. All documents of an id are in one batch.
 
     Null texts are empty; texts under 50 bytes stay whole. Rows with equal doc_id take nothing from
     each other. A null doc_id counts as the largest: it loses bytes to all others and takes none.
@@ -210,89 +252,101 @@ def drop_passages(docs: DataFrame) -> DataFrame:
         F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     batches = max(-(-total // BATCH_BYTES), spark.sparkContext.defaultParallelism)
-    dealt = rows.withColumn("batch", F.pmod(F.xxhash64("doc_id", F.octet_length("text")), F.lit(batches)))
+    spread = F.when(F.col("doc_id") == NO_ID, F.octet_length("text"))  # rows without an id may be many
+    dealt = rows.withColumn("batch", F.pmod(F.xxhash64("doc_id", spread), F.lit(batches)))
+    buckets = min(2 * batches, (1 << 24) - 1)
+    to_batch = "batch long, kind int, bucket long, payload binary"
 
     def grams(frame: pd.DataFrame) -> pd.DataFrame:
-        ids, raws = _batch_texts(frame)
-        keys = [np.unique(window_runs(raw)[0]) for raw in raws]
-        owners = np.repeat(ids, [len(k) for k in keys])
-        keys = np.concatenate(keys)
-        order = np.argsort(keys, kind="stable")  # ids ascend already
-        keys, owners = keys[order], owners[order]
-        first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.empty(0, np.int64)
-        last = np.append(first[1:], len(keys)) - 1 if len(keys) else first
-        return pd.DataFrame({"key": keys[first].view(np.int64), "batch": frame["batch"].iloc[0], "low": owners[first], "high": owners[last]})
+        batch = _Batch(frame, buckets)
+        low = batch.grams.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5]
+        sent = [(b, low[s].tobytes()) for b, s in batch.by_bucket(batch.grams)]
+        return pd.DataFrame({"bucket": [b for b, _ in sent], "batch": frame["batch"].iloc[0], "grams": [k for _, k in sent]})
 
     def several(frame: pd.DataFrame) -> pd.DataFrame:
-        key, batch, low, high = (frame[c].to_numpy() for c in ("key", "batch", "low", "high"))
-        order = np.argsort(key, kind="stable")
-        first = np.flatnonzero(np.concatenate([[True], key[order][1:] != key[order][:-1]]))
-        sizes = np.diff(np.append(first, len(key)))
-        shared = np.repeat(np.minimum.reduceat(low[order], first) < np.maximum.reduceat(high[order], first), sizes)
-        key, batch = key[order][shared], batch[order][shared]
-        order = np.argsort(batch, kind="stable")
-        key, batch = key[order], batch[order]
-        if not len(batch):
-            return pd.DataFrame({"batch": [], "kind": [], "payload": []})
-        first = np.flatnonzero(np.concatenate([[True], batch[1:] != batch[:-1]]))
-        return pd.DataFrame({"batch": batch[first], "kind": 0, "payload": [k.tobytes() for k in np.split(key, first[1:])]})
-
-    def marked(frame: pd.DataFrame) -> np.ndarray:
-        packed = [p for p, kind in zip(frame["payload"], frame["kind"]) if kind == 0]
-        return np.unique(np.frombuffer(b"".join(packed), np.uint64))
+        sizes = [len(k) // 5 for k in frame["grams"]]
+        raw = np.frombuffer(b"".join(frame["grams"]), np.uint8).reshape(-1, 5)
+        key = np.zeros((len(raw), 8), np.uint8)
+        key[:, :5] = raw
+        _, which, counts = np.unique(key.view("<u8").reshape(-1), return_inverse=True, return_counts=True)
+        masks = np.split(counts[which] > 1, np.cumsum(sizes)[:-1])
+        return pd.DataFrame({"batch": frame["batch"], "kind": 0, "bucket": frame["bucket"], "payload": [np.packbits(m).tobytes() for m in masks]})
 
     def send(texts: pd.DataFrame, flags: pd.DataFrame) -> pd.DataFrame:
+        columns = ("bucket", "batch", "number", "low", "high", "size", "pieces")
         if not len(texts):
-            return pd.DataFrame({"key": [], "batch": [], "number": [], "low": [], "high": [], "piece": []})
-        _, pieces, keys, low, high = _shared_runs(*_batch_texts(texts), marked(flags))
-        return pd.DataFrame({
-            "key": keys.view(np.int64), "batch": texts["batch"].iloc[0], "number": np.arange(len(pieces)), "low": low, "high": high, "piece": pieces})
+            return pd.DataFrame({c: [] for c in columns})
+        batch = _Batch(texts, buckets)
+        _, _, pieces, gram, low, high = batch.pieces(flags)
+        small = zstandard.ZstdCompressor(3).compress
+        numbers, sizes = np.arange(len(pieces)), np.array([len(p) for p in pieces], np.int32)
+        return pd.DataFrame([
+            (b, texts["batch"].iloc[0], *(small(x[s].tobytes()) for x in (numbers, low, high, sizes)), small(b"".join(pieces[s])))
+            for b, s in batch.by_bucket(gram)], columns=columns)
 
     def judge(frame: pd.DataFrame) -> pd.DataFrame:
-        batch, number, low, high = (frame[c].to_numpy() for c in ("batch", "number", "low", "high"))
-        lowest, starts = smallest_holders(frame["piece"].tolist(), low)
-        answers: dict[int, list[bytes]] = {}
-        for b, at, top, s, e in zip(batch.tolist(), number.tolist(), high.tolist(), starts[:-1].tolist(), starts[1:].tolist()):
-            found = lowest[s:e]
-            if found.min() < top:  # some holder in this batch loses a window
-                first = np.flatnonzero(np.concatenate([[True], found[1:] != found[:-1]]))
-                answers.setdefault(b, []).append(np.concatenate([[at, len(first)], first, found[first]]).astype(np.int64).tobytes())
-        return pd.DataFrame({"batch": list(answers), "kind": 1, "payload": [b"".join(a) for a in answers.values()]})
+        large = zstandard.ZstdDecompressor().decompress
+        number, low, high = (np.frombuffer(b"".join(map(large, frame[c])), np.int64) for c in ("number", "low", "high"))
+        packed = [np.frombuffer(large(x), np.int32) for x in frame["size"]]
+        batch = np.repeat(frame["batch"].to_numpy(), [len(x) for x in packed])
+        unique: dict[bytes, int] = {}
+        which, at, text = [], 0, b"".join(map(large, frame["pieces"]))
+        for n in np.concatenate(packed).tolist():
+            which.append(unique.setdefault(text[at:at + n], len(unique)))
+            at += n
+        del text
+        which = np.array(which, np.int64)
+        holder = np.full(len(unique), NO_ID)
+        np.minimum.at(holder, which, low)
+        lowest, starts = smallest_holders(list(unique), holder)
+        piece, offset, value = _stretches(lowest, starts)
+        begin = np.searchsorted(piece, np.arange(len(unique) + 1))
+        asked = np.flatnonzero(np.minimum.reduceat(lowest, starts[:-1])[which] < high)  # some holder in the batch loses a window
+        asked = asked[np.argsort(batch[asked], kind="stable")]
+        row, nth = _expanded(np.diff(begin)[which[asked]])
+        stretch = begin[which[asked]][row] + nth
+        to, answers = batch[asked][row], np.stack([number[asked][row], offset[stretch], value[stretch]])
+        first = np.flatnonzero(np.concatenate([[True], to[1:] != to[:-1]])) if len(to) else np.empty(0, np.int64)
+        small = zstandard.ZstdCompressor(3).compress
+        return pd.DataFrame({
+            "batch": to[first], "kind": 1, "bucket": 0,
+            "payload": [small(np.ascontiguousarray(answers[:, a:b]).tobytes()) for a, b in zip(first, np.append(first[1:], len(to)))]})
 
     def finish(texts: pd.DataFrame, replies: pd.DataFrame) -> pd.DataFrame:
+        columns = ("doc_id", "kept", "n_bytes", "n_removed", "n_spans")
         if not len(texts):
-            return pd.DataFrame({c: [] for c in ("doc_id", "kept", "n_bytes", "n_removed", "n_spans")})
-        ids, raws = _batch_texts(texts)
-        found = _shared_runs(ids, raws, marked(replies))[0]
-        flat = np.frombuffer(b"".join(p for p, kind in zip(replies["payload"], replies["kind"]) if kind == 1), np.int64)
-        answers, at = {}, 0
-        while at < len(flat):
-            number, n = int(flat[at]), int(flat[at + 1])
-            answers[number] = flat[at + 2:at + 2 + n], flat[at + 2 + n:at + 2 + 2 * n]
-            at += 2 + 2 * n
+            return pd.DataFrame({c: [] for c in columns})
+        batch = _Batch(texts, buckets)
+        held, number, _, _, _, _ = batch.pieces(replies)
+        large = zstandard.ZstdDecompressor().decompress
+        parts = [np.frombuffer(large(p), np.int64).reshape(3, -1) for p, kind in zip(replies["payload"], replies["kind"]) if kind == 1]
+        answers = np.concatenate(parts, axis=1) if parts else np.empty((3, 0), np.int64)
+        answers = answers[:, np.lexsort((answers[1], answers[0]))]
+        begin, end = np.searchsorted(answers[0], number), np.searchsorted(answers[0], number, side="right")
+        run, nth = _expanded(end - begin)  # each run with each stretch of its piece
+        stretch, final = begin[run] + nth, nth == (end - begin)[run] - 1
+        run = held[run]
+        upto = np.where(final, batch.count[run], answers[1][np.minimum(stretch + 1, max(answers.shape[1] - 1, 0))] if len(stretch) else 0)
+        hit = answers[2][stretch] < batch.ids[batch.text[run]] if len(stretch) else np.empty(0, bool)
+        base = np.concatenate([[0], np.cumsum([len(r) + 1 for r in batch.raws])])
+        at = base[batch.text[run]] + batch.start[run]
+        edges = np.zeros(base[-1], np.int32)
+        np.add.at(edges, (at + answers[1][stretch])[hit] if len(stretch) else [], 1)
+        np.add.at(edges, (at + upto + PASSAGE - 1)[hit] if len(stretch) else [], -1)
+        gone = np.cumsum(edges) > 0
         out = []
-        for doc_id, raw, own in zip(ids.tolist(), raws, found):
-            edges = np.zeros(len(raw) + 1, np.int32)
-            for number, start, count in own:
-                if number in answers:
-                    first, lowest = answers[number]
-                    hit = np.flatnonzero(lowest < doc_id)
-                    ends = np.append(first[1:], count)
-                    np.add.at(edges, start + first[hit], 1)
-                    np.add.at(edges, start + ends[hit] + PASSAGE - 1, -1)
-            gone = np.cumsum(edges)[:-1] > 0
-            spans = int((gone & ~np.concatenate([[False], gone[:-1]])).sum()) if len(raw) else 0
-            kept = np.frombuffer(raw, np.uint8)[~gone].tobytes() if spans else raw
+        for doc_id, raw, a in zip(batch.ids.tolist(), batch.raws, base.tolist()):
+            mine = gone[a:a + len(raw)]
+            spans = int(mine[:1].sum() + (mine[1:] & ~mine[:-1]).sum())
+            kept = np.frombuffer(raw, np.uint8)[~mine].tobytes() if spans else raw
             out.append((None if doc_id == NO_ID else doc_id, kept, len(raw), len(raw) - len(kept), spans))
-        frame = pd.DataFrame(out, columns=["doc_id", "kept", "n_bytes", "n_removed", "n_spans"])
+        frame = pd.DataFrame(out, columns=columns)
         return frame.assign(doc_id=frame["doc_id"].astype("Int64"))
 
-    by_gram = F.pmod(F.xxhash64("key"), F.lit(batches))  # groups of about a batch's size
-    keyed = dealt.groupBy("batch").applyInPandas(grams, "key long, batch long, low long, high long")
-    flags = keyed.groupBy(by_gram).applyInPandas(several, "batch long, kind int, payload binary")
+    flags = dealt.groupBy("batch").applyInPandas(grams, "bucket long, batch long, grams binary").groupBy("bucket").applyInPandas(several, to_batch)
     sent = dealt.groupBy("batch").cogroup(flags.groupBy("batch")).applyInPandas(
-        send, "key long, batch long, number long, low long, high long, piece binary")
-    replies = sent.groupBy(by_gram).applyInPandas(judge, "batch long, kind int, payload binary")
+        send, "bucket long, batch long, number binary, low binary, high binary, size binary, pieces binary")
+    replies = sent.groupBy("bucket").applyInPandas(judge, to_batch)
     return dealt.groupBy("batch").cogroup(flags.union(replies).groupBy("batch")).applyInPandas(
         finish, "doc_id long, kept binary, n_bytes long, n_removed long, n_spans long")
 
