@@ -15,14 +15,14 @@ from .tables import VIEWS, duck, view
 
 AS_OF = datetime.datetime(2001, 6, 1)
 
-# an event clicks every offer of the order with its number
+# an event clicks every offer of the order with its number; events without an order are clicks on nothing, to be rejected
 VIEWS["clicks"] = """
     SELECT CAST(e.event_id AS STRING) AS event_id, CAST(e.user_id AS STRING) AS anonymous_id, concat(CAST(l.l_partkey AS STRING), '-', CAST(l.l_suppkey AS STRING)) AS offer_id, o.item_id,
            CASE WHEN l.l_tax = 0.01 THEN 'x' ELSE CAST(l.l_suppkey AS STRING) END AS provider_id,
            CASE WHEN l.l_discount < 0.02 THEN NULL WHEN l.l_discount < 0.03 THEN CAST(l.l_suppkey + 1 AS STRING) ELSE CAST(l.l_suppkey + (SELECT count(*) FROM {supplier}) * (l.l_orderkey % 15) AS STRING) END AS location_id,
            CASE e.event_type WHEN 'click' THEN 'booking' WHEN 'view' THEN 'study' WHEN 'purchase' THEN 'location' WHEN 'signup' THEN 'provider' ELSE 'other' END AS link_type,
            CASE e.user_id % 5 WHEN 0 THEN 'web' WHEN 1 THEN 'pwa' WHEN 2 THEN 'android' WHEN 3 THEN 'ios' ELSE 'tv' END AS surface, e.ts AS occurred_at, e.ts + INTERVAL '10' DAY AS retention_until
-    FROM {events} e JOIN {lineitem} l ON l.l_orderkey = e.event_id JOIN {offers} o ON o.offer_id = concat(CAST(l.l_partkey AS STRING), '-', CAST(l.l_suppkey AS STRING))"""
+    FROM {events} e LEFT JOIN {lineitem} l ON l.l_orderkey = e.event_id LEFT JOIN {offers} o ON o.offer_id = concat(CAST(l.l_partkey AS STRING), '-', CAST(l.l_suppkey AS STRING))"""
 VIEWS["memberships"] = """
     SELECT concat('u', CAST(s_nationkey AS STRING)) AS user_id, 'brand' AS scope_type, CAST(s_suppkey AS STRING) AS provider_id, CAST(NULL AS STRING) AS location_id, CAST(NULL AS STRING) AS organization_id, CASE WHEN s_acctbal < 0 THEN 'ended' ELSE 'active' END AS status, DATE '2020-01-01' AS valid_from, CASE WHEN s_nationkey = 3 THEN DATE '2021-01-01' END AS valid_to FROM {supplier}
     UNION ALL SELECT concat('u', CAST(c_nationkey AS STRING)), 'location', CAST(NULL AS STRING), CAST(c_custkey AS STRING), CAST(NULL AS STRING), 'active', DATE '2020-01-01', CAST(NULL AS DATE) FROM {customer}
