@@ -105,7 +105,9 @@ def _coverage(spark, sf):
 
 def _expectations(spark, sf):
     parts = view(spark, sf, "part").join(view(spark, sf, "items").select("item_id", F.col("name").alias("p_name")), "p_name")
-    return parts.select(F.concat(F.lit("p"), F.col("p_partkey").cast("string")).alias("query_id"), F.when(F.col("p_partkey") % 7 == 0, "resolve").when(F.col("p_partkey") % 7 == 3, "resolve_plus_preparation").otherwise("clarify").alias("expected_action"), F.col("item_id").alias("expected_item_id"))
+    people = view(spark, sf, "customer").select(  # names of customers are nothing in the catalog
+        F.concat(F.lit("c"), F.col("c_custkey").cast("string")).alias("query_id"), F.lit("no_match").alias("expected_action"), F.lit(None).cast("string").alias("expected_item_id"))
+    return people.unionByName(parts.select(F.concat(F.lit("p"), F.col("p_partkey").cast("string")).alias("query_id"), F.when(F.col("p_partkey") % 7 == 0, "resolve").when(F.col("p_partkey") % 7 == 3, "resolve_plus_preparation").otherwise("clarify").alias("expected_action"), F.col("item_id").alias("expected_item_id")))
 
 
 def _status(spark, sf, stage=6):
@@ -153,8 +155,8 @@ _EV = duck("anonymous_events") + """, r AS (SELECT a.event_id, CASE WHEN a.anony
   WHEN user_id % 5 = 2 THEN 'status' WHEN user_id % 11 = 5 THEN 'review_required' END AS reason FROM anonymous_events a JOIN events e USING (event_id))"""
 _ST = lambda source, name: f"""{name} AS (SELECT q.query_id, CASE WHEN count(r.item_id) = 0 THEN 'no_match' WHEN count(r.item_id) > 1 OR bool_or(r.resolution_status = 'ambiguous') THEN 'ambiguous' ELSE 'resolved' END AS status,
   CASE WHEN count(r.item_id) = 1 AND bool_and(r.resolution_status = 'resolved') THEN min(r.item_id) END AS item_id FROM queries q LEFT JOIN {source} r ON r.query_id = q.query_id GROUP BY q.query_id)"""
-_CORPUS = RESULTS + ", " + _ST("results", "st") + """, ex AS (SELECT 'p' || p_partkey AS query_id, CASE p_partkey % 7 WHEN 0 THEN 'resolve' WHEN 3 THEN 'resolve_plus_preparation' ELSE 'clarify' END AS expected_action, i.item_id AS expected_item_id FROM part p JOIN items i ON i.name = p.p_name),
-  cj AS (SELECT ex.*, st.status, st.item_id, expected_action <> 'clarify' AS wanted FROM ex JOIN st USING (query_id))"""
+_CORPUS = RESULTS + ", " + _ST("results", "st") + """, ex AS (SELECT 'p' || p_partkey AS query_id, CASE p_partkey % 7 WHEN 0 THEN 'resolve' WHEN 3 THEN 'resolve_plus_preparation' ELSE 'clarify' END AS expected_action, i.item_id AS expected_item_id FROM part p JOIN items i ON i.name = p.p_name UNION ALL SELECT 'c' || c_custkey, 'no_match', NULL FROM customer),
+  cj AS (SELECT ex.*, st.status, st.item_id, expected_action NOT IN ('clarify', 'no_match') AS wanted FROM ex JOIN st USING (query_id))"""
 _REG = RESULTS + _final(2).replace("ranked AS", "ranked2 AS").replace("fallback AS", "fallback2 AS").replace("JOIN ranked r", "JOIN ranked2 r") + ", " + _ST("results", "s6") + ", " + _ST("fallback2", "s2") + """,
   rj AS (SELECT a.query_id AS case_id, b.status AS before_status, a.status AS after_status, b.item_id AS bi, a.item_id AS ai, length(q.query_text) AS w FROM s6 a JOIN s2 b USING (query_id) JOIN queries q USING (query_id))"""
 _GATES = duck("raw_rows", "raw_runs", "run_limits", "items", "offers", "brands", "scopes", "prices", "locations", "norm_runs").replace("WITH ", "WITH RECURSIVE ", 1) + "," + _RUNS[_RUNS.index("\n  g0 AS"):]
