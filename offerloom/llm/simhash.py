@@ -42,14 +42,16 @@ def fingerprint(hashes: np.ndarray) -> int:
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """``doc_id, fp`` of every row; fp is the fingerprint as a signed long."""
+    """``doc_id, text_hash, fp`` of every row; fp is the fingerprint as a signed long."""
 
     def run(batches):
         for part in sliced(batches, chars="text"):
             fps = [fingerprint(shingle_hashes(t.as_py())) for t in part.column("text")]
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(np.array(fps, np.uint64).view(np.int64))], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays(
+                [part.column("doc_id"), part.column("text_hash"), pa.array(np.array(fps, np.uint64).view(np.int64))], ["doc_id", "text_hash", "fp"])
 
-    return pick(docs, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long")).mapInArrow(run, "doc_id long, fp long")
+    rows = pick(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text")
+    return rows.mapInArrow(run, "doc_id long, text_hash long, fp long")
 
 
 def ball_links(distinct: DataFrame) -> DataFrame:
@@ -68,21 +70,23 @@ def ball_links(distinct: DataFrame) -> DataFrame:
 
 
 def simhash_groups(docs: DataFrame) -> DataFrame:
-    """``doc_id, fingerprint, component_id, kept`` of every document.
+    """``doc_id, fingerprint, component_id, kept, text_hash`` of every document.
 
     Fingerprints are computed once and checkpointed; equal ones collapse to one row (map-side)
     before the ball hashing, so thousands of copies cost no more than one. Null, empty and blank
     texts have the fingerprint zero and are linked like any other. A repeated row gives a repeated
     result row. A null doc_id takes part but is never the smallest unless its whole group is null.
-    kept: the row holds the smallest doc_id of its group. An empty table gives no rows.
+    kept: the row is the one of its group that stays: smallest doc_id, then smallest hash of the text
+    (XXH64), so exact repeats of it are marked too. An empty table gives no rows.
     """
     rows = cut_lineage(fingerprints(docs))
-    distinct = cut_lineage(rows.groupBy("fp").agg(F.min("doc_id").alias("lowest")))
+    rank = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "text_hash")
+    distinct = cut_lineage(rows.groupBy("fp").agg(F.min(rank).alias("lowest")))
     roots = components(ball_links(distinct.select("fp")))
     linked = distinct.join(roots, distinct.fp == roots.node, "left").select("fp", "lowest", F.coalesce("root", "fp").alias("root"))
     linked = cut_lineage(linked)
-    of_root = linked.groupBy("root").agg(F.min("lowest").alias("component_id"))
-    of_fp = cut_lineage(linked.join(of_root, "root").select("fp", "component_id"))
+    of_root = linked.groupBy("root").agg(F.min("lowest").alias("stays"))
+    of_fp = cut_lineage(linked.join(of_root, "root").select("fp", "stays"))
     hexed = F.lower(F.lpad(F.hex("fp"), 16, "0"))
-    return rows.join(of_fp, "fp").select(
-        "doc_id", hexed.alias("fingerprint"), "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+    kept = F.col("doc_id").eqNullSafe(F.col("stays.doc_id")) & (F.col("text_hash") == F.col("stays.text_hash"))
+    return rows.join(of_fp, "fp").select("doc_id", hexed.alias("fingerprint"), F.col("stays.doc_id").alias("component_id"), kept.alias("kept"), "text_hash")

@@ -67,6 +67,7 @@ def test_balls_link_one_and_two_bits_but_not_three(spark):
 
 def test_simhash_null_ids_repeated_rows_and_no_rows(spark):
     docs = table(spark, ["one two three four"] * 3 + ["other words stand here now"], ids=[None, 4, 4, None])
+    assert simhash.simhash_groups(docs).where("kept and doc_id = 4").count() == 2
     got = sorted(((r.doc_id, r.component_id, r.kept) for r in simhash.simhash_groups(docs).collect()), key=str)
     assert got == sorted([(None, 4, False), (4, 4, True), (4, 4, True), (None, None, True)], key=str)
     assert simhash.simhash_groups(table(spark, [])).count() == 0

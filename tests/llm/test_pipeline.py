@@ -93,3 +93,11 @@ def test_stages_take_tables_without_rows(spark, tmp_path):
         out = stage(spark, docs, "/root/testdata/sf0.001")
         assert out.count() == 0
         docs = out if "text" in out.columns else docs
+
+
+def test_one_document_of_each_group_stays_whatever_its_id(spark):
+    far = [" ".join(f"{w}{i}" for i in range(30)) for w in ("alpha", "beta", "gamma")]
+    texts = [far[0], far[0], far[1], far[1], far[2], far[2], None, ""]
+    docs = table(spark, texts, ids=[3, 3, None, None, None, 8, 9, None])
+    out = corpus_pipeline.drop_near_copies(spark, docs, "").collect()
+    assert sorted((str(r.doc_id), r.text or "") for r in out) == sorted([("3", far[0]), ("None", far[1]), ("8", far[2]), ("9", "")])
