@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
+import re
 import zlib
 from functools import lru_cache
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
-import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -18,8 +18,11 @@ from offerloom.llm.common import fits_broadcast, pick, shared_folder, sliced
 VOCABULARY, END_ID = public_tokenizers.path("byte_bpe_50k.json"), 2
 #: A block is closed once it holds this many ids; blocks hold whole documents.
 BLOCK_IDS = 1 << 16
-#: Entries of each cache of a Python worker; a full cache is emptied.
-CACHED = 600_000
+#: Entries of the cache of a Python worker; a full cache is emptied.
+CACHED = 800_000
+#: How byte-level vocabularies write the byte of a space.
+BYTE_SPACE = "\u0120"
+_ODD_BLANKS = re.compile(r"\s\s|^\s|\s\Z").search
 BLOCKS = "shard int, block int, first_id long, n_ids long, width int, doc_ids array<bigint>, lengths array<bigint>, payload binary"
 
 
@@ -29,6 +32,8 @@ def bits_for(vocabulary_size: int) -> int:
 
 def pack(ids: np.ndarray, width: int) -> bytes:
     """Each id in ``width`` bits, big-endian, without gaps: eight ids fill ``width`` bytes."""
+    if width % 8 == 0:
+        return np.asarray(ids).astype(">u4").view(np.uint8).reshape(-1, 4)[:, 4 - width // 8:].tobytes()
     groups = np.zeros((-(-len(ids) // 8), 8), np.uint64)
     groups.reshape(-1)[: len(ids)] = ids
     out = np.zeros((len(groups), width), np.uint8)
@@ -49,8 +54,9 @@ def unpack(payload: bytes, width: int, start: int, n: int) -> np.ndarray:
     part = np.frombuffer(payload[first:-(-(start + n) * width // 8)] + bytes(8), np.uint8)
     at = (start + np.arange(n, dtype=np.int64)) * width - first * 8
     if width % 8 == 0:
-        columns = part[: n * width // 8].reshape(n, width // 8).astype(np.uint32)
-        return sum(columns[:, k] << np.uint32(width - 8 * (k + 1)) for k in range(width // 8)).astype(np.uint32)
+        filled = np.zeros((n, 4), np.uint8)
+        filled[:, 4 - width // 8:] = part[: n * width // 8].reshape(n, width // 8)
+        return filled.view(">u4").reshape(-1).astype(np.uint32)
     windows = np.lib.stride_tricks.as_strided(part.view(), (len(part) - 7, 8), (1, 1))[at >> 3]
     words = np.ascontiguousarray(windows).view(">u8").reshape(-1).astype(np.uint64)
     shift = (64 - width - (at & 7)).astype(np.uint64)
@@ -58,11 +64,12 @@ def unpack(payload: bytes, width: int, start: int, n: int) -> np.ndarray:
 
 
 class CachedEncoder:
-    """Library ids of whole texts, each distinct word encoded once per worker.
+    """Library ids of whole texts, each distinct part between spaces encoded once per worker.
 
     A byte-level vocabulary never merges across the words of its splitting pattern, and a single
-    space between two other characters always starts a word, so texts are cut there and the ids of
-    the cut parts are joined. Parts that begin or end with white space, and texts with special tokens,
+    space between two other characters always starts a word. So texts are cut there, new parts are
+    encoded together as one text with a space before each, and its ids are cut before every id that
+    starts with a space. Texts with two white spaces in a row, white space at an end or special tokens
     go to the library as they are.
     """
 
@@ -71,50 +78,42 @@ class CachedEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.words = regex.compile(public_tokenizers.PATTERN)
-        self.by_part: dict[str, bytes] = {}
-        self.by_word: dict[str, bytes] = {}
+        size = self.tokenizer.get_vocab_size()
+        self.opens = np.array([(self.tokenizer.id_to_token(i) or "").startswith(BYTE_SPACE) for i in range(size)])
+        self.known: dict[str, bytes] = {}
 
     def _library(self, texts: list[str]) -> list[bytes]:
-        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(e.ids, "<u4").tobytes() for e in found]
-
-    def _learn(self, parts: list[str]) -> dict[str, bytes]:
-        """Bytes of the ids of parts that stand behind a space."""
-        if len(self.by_word) > CACHED:
-            self.by_word.clear()
-        split = [self.words.findall(" " + p) for p in parts]
-        new = list({w for ws in split for w in ws} - self.by_word.keys())
-        self.by_word.update(zip(new, self._library(new)))
-        word = self.by_word.__getitem__
-        return {p: b"".join(map(word, ws)) for p, ws in zip(parts, split)}
+        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _learn(self, parts: list[str]) -> None:
+        for at in range(0, len(parts), 20_000):
+            new = parts[at:at + 20_000]
+            raw = self._library([" " + " ".join(new)])[0]
+            starts = (np.flatnonzero(self.opens[np.frombuffer(raw, "<u4")]) * 4).tolist()
+            self.known.update(zip(new, (raw[a:b] for a, b in zip(starts, [*starts[1:], len(raw)])), strict=True))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian 32-bit ids of each text."""
-        if len(self.by_part) > CACHED:
-            self.by_part.clear()
-        out: list[bytes | None] = [None] * len(texts)
-        cut = []
+        if len(self.known) > CACHED:
+            self.known.clear()
+        out: list[bytes] = [b""] * len(texts)
+        whole, cut, heads = [], [], []
         for i, text in enumerate(texts):
-            parts = text.split(" ")
-            if not text or any(s in text for s in self.special) or text[0].isspace() or text[-1].isspace():
-                out[i] = b"" if not text else self._library([text])[0]
-            else:
+            if _ODD_BLANKS(text) or any(s in text for s in self.special):
+                whole.append(i)
+            elif text:
+                parts = text.split(" ")
+                heads.append(parts.pop(0))
                 cut.append((i, parts))
-        missing = {p for _, parts in cut for p in parts[1:]}.difference(self.by_part)
-        odd = {p for p in missing if not p or p[0].isspace() or p[-1].isspace()}
-        learned = self._learn(list(missing - odd))
-        heads = list({parts[0] for _, parts in cut})
-        heads = dict(zip(heads, self._library(heads)))
-        known = self.by_part
-        known.update(learned)
-        for i, parts in cut:
-            if (odd and not odd.isdisjoint(parts)) or parts[0][-1:].isspace():
-                out[i] = self._library([texts[i]])[0]
-            else:
-                out[i] = heads[parts[0]] + b"".join(map(known.__getitem__, parts[1:]))
-        for part in [p for p in learned if "\n" in p]:  # hardly ever met again
-            del known[part]
+        missing = set().union(*(parts for _, parts in cut)).difference(self.known)
+        self._learn(list(missing))
+        get = self.known.__getitem__
+        for (i, parts), head in zip(cut, self._library(heads)):
+            out[i] = head + b"".join(map(get, parts))
+        for i, raw in zip(whole, self._library([texts[i] for i in whole])):
+            out[i] = raw
+        for part in [p for p in missing if "\n" in p]:  # hardly ever met again
+            del self.known[part]
         return out
 
 
