@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import struct
 from functools import lru_cache
 
 import numpy as np
@@ -19,8 +20,10 @@ MODEL = public_tokenizers.path("piece_bpe_32k.model")
 #: Texts with more code points are cut into chunks of so many; so many chunk matrices are combined at once.
 CHUNK, FAN = 32_768, 64
 SPACE = "▁"
-CACHED, LONGEST_CACHED = 500_000, 64
+CACHED, LONGEST_CACHED = 250_000, 64
 _NONE = float("-inf")
+#: Stands for the beginning of a text where the piece before is asked for.
+START = 1 << 19
 
 
 class PieceModel:
@@ -45,89 +48,172 @@ class PieceModel:
         self.longest = max(map(len, self.ids))
         #: No piece holds a space behind another character: then no piece crosses the start of a word.
         self.words = None if any(re.search(f"[^{SPACE}]{SPACE}", p) for p in self.ids) else re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
-        self.pairs: dict[tuple[str, str], bool] = {}
+        #: Pieces as a tree: character to (what may follow, id of the piece that ends here or None).
+        self.tree: dict = {}
+        for piece in sorted(self.ids):  # a piece comes behind its beginnings
+            node = self.tree
+            for at, char in enumerate(piece, 1):
+                if char not in node:
+                    node[char] = ({}, self.ids.get(piece[:at]))
+                node = node[char][0]
+        #: The two characters that stand side by side in a piece.
+        self.beside = {p[i:i + 2] for p in self.ids for i in range(len(p) - 1)}
+        self.pairs: dict[int, bool] = {}
         self.cache: dict[str, bytes] = {}
+        self.parts: dict[str, bytes] = {}
         self.empty_prefix = sp.normalize("a") == f"{SPACE}a"
+        #: White space stays as it is and a space is put in front: then words can be normalised one by one.
+        self.by_word = self.words is not None and sp.normalize("a\t b\n\r c  ") == f"{SPACE}a\t{SPACE}b\n\r{SPACE}c{SPACE}{SPACE}"
+        self.known: dict[str, bytes] = {}
+
+    def forget(self) -> None:
+        """Empty the word caches: an idle Python worker must not hold them while other stages run."""
+        for cache in (self.known, self.cache, self.parts):
+            cache.clear()
 
     def normalize(self, text: str) -> str:
         return self.processor.normalize(text)
 
     def merge(self, text: str) -> list[str]:
         """Pieces of a short text by merging the best adjacent pair again and again."""
-        parts = list(text)
-        while len(parts) > 1:
-            best, at = _NONE, -1
-            for i in range(len(parts) - 1):
-                score = self.scores.get(parts[i] + parts[i + 1], _NONE)
-                if score > best:
-                    best, at = score, i
-            if at < 0:
+        get, parts = self.scores.get, list(text)
+        scores = [get(a + b, _NONE) for a, b in zip(parts, parts[1:])]
+        while scores:
+            best = max(scores)
+            if best == _NONE:
                 break
+            at = scores.index(best)  # the leftmost of equals
             parts[at:at + 2] = [parts[at] + parts[at + 1]]
+            del scores[at]
+            if at:
+                scores[at - 1] = get(parts[at - 1] + parts[at], _NONE)
+            if at < len(scores):
+                scores[at] = get(parts[at] + parts[at + 1], _NONE)
         return parts
 
-    def compatible(self, left: str, right: str) -> bool:
-        known = self.pairs.get((left, right))
+    def compatible(self, left: int, right: int) -> bool:
+        """Whether two pieces may follow each other; ``START`` as the left one asks for the right one alone.
+
+        Below zero stands a character without a piece, which never merges with anything.
+        """
+        if left < 0 or right < 0:
+            return True
+        key = left << 20 | right
+        known = self.pairs.get(key)
         if known is None:
             if len(self.pairs) > CACHED:
                 self.pairs.clear()
-            known = self.pairs[(left, right)] = self.merge(left + right) == ([left, right] if left else [right])
+            names = [self.names[right]] if left == START else [self.names[left], self.names[right]]
+            known = self.pairs[key] = self.merge("".join(names)) == names
         return known
 
-    def prefixes(self, text: str, before: str = "") -> list[str | None]:
-        """The last piece of the path to every position, given the piece before the text; the path is unique."""
-        ids, longest, pairs, compatible = self.ids, self.longest, self.pairs, self.compatible
-        last: list[str | None] = [before]
-        for i in range(1, len(text) + 1):
-            found = None
-            for start in range(max(0, i - longest), i):
-                left = last[start]
-                if left is not None:
-                    piece = text[start:i]
-                    if piece in ids or start == i - 1:
-                        fits = pairs.get((left, piece))
-                        if compatible(left, piece) if fits is None else fits:
-                            found = piece
-                            break
-            last.append(found)
-        return last
-
-    @staticmethod
-    def walk(last: list[str | None], end: int) -> list[str]:
-        out = []
+    def piece(self, text: str, start: int, end: int) -> int | None:
+        """Id of a piece, below zero for a lone character without one, None if it is neither."""
+        return self.ids.get(text[start:end], -ord(text[start]) - 1 if end == start + 1 else None)
+
+    def prefixes(self, text: str, before: int) -> tuple[list[int | None], list[int]]:
+        """Of the path to every position: its last piece, and where that begins. ``before`` precedes the
+        text. The path to a position is unique, so the first compatible piece found is the one."""
+        tree, pairs, size = self.tree, self.pairs, len(text)
+        last: list[int | None] = [before] + [None] * size
+        came = [0] * (size + 1)
+        for i in range(size):
+            left = last[i]
+            if left is None:
+                continue
+            node, e, head = tree, i, left << 20
+            while e < size:
+                found = node.get(text[e])
+                e += 1
+                if found is None:
+                    if e == i + 1 and last[e] is None:
+                        last[e], came[e] = -ord(text[i]) - 1, i
+                    break
+                node, piece = found
+                if last[e] is None:
+                    if piece is None:
+                        if e > i + 1:
+                            continue
+                        piece = -ord(text[i]) - 1
+                    fits = pairs.get(head | piece) if left >= 0 and piece >= 0 else True
+                    if self.compatible(left, piece) if fits is None else fits:
+                        last[e], came[e] = piece, i
+        return last, came
+
+    def between(self, text: str, before: int = START) -> list[int]:
+        """Pieces of the whole text behind ``before``."""
+        last, came = self.prefixes(text, before)
+        out, end = [], len(text)
         while end > 0:
             out.append(last[end])
-            end -= len(last[end])
+            end = came[end]
         return out[::-1]
 
-    def numbers(self, parts: list[str]) -> list[int]:
-        """Ids of pieces; a character without a piece becomes its bytes, or the unknown id."""
-        out = []
-        for p in parts:
-            if p in self.ids:
-                out.append(self.ids[p])
-            else:
-                out += [self.bytes[b] for b in p.encode()] if self.bytes else [self.unknown]
+    def packed(self, pieces: list[int]) -> bytes:
+        """Little-endian 32-bit ids; a character without a piece becomes its bytes, or the unknown id."""
+        if pieces and min(pieces) < 0:
+            pieces = [i for p in pieces for i in ((p,) if p >= 0 else [self.bytes[b] for b in chr(-p - 1).encode()] if self.bytes else (self.unknown,))]
+        return struct.pack(f"<{len(pieces)}i", *pieces)
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """Little-endian 32-bit ids of whole texts.
+
+        Where words stand one space apart, a text is cut at its spaces and each distinct word of the
+        batch is looked up once; other texts are normalised as a whole.
+        """
+        out, cut = [b""] * len(texts), []
+        for i, text in enumerate(texts):
+            if not self.by_word or SPACE in text or "  " in text or text[:1] == " " or text[-1:] == " ":
+                out[i] = self.encode_normal(self.normalize(text))
+            elif text:
+                cut.append((i, text.split(" ")))
+        known = self.known
+        if len(known) > CACHED:
+            known.clear()
+        new = set().union(*(words for _, words in cut)).difference(known)
+        for word in new:
+            known[word] = self._unit(self.normalize(word))
+        get = known.__getitem__
+        for i, words in cut:
+            out[i] = b"".join(map(get, words))
+        for word in new:
+            if len(word) > LONGEST_CACHED:
+                del known[word]
         return out
 
     def encode_normal(self, text: str) -> bytes:
         """Little-endian 32-bit ids of a normalised text that begins and ends at word boundaries."""
         if self.words is None:
-            return np.array(self.numbers(self.walk(self.prefixes(text), len(text))), "<i4").tobytes()
+            return self.packed(self.between(text))
         units = self.words.findall(text)
         cache = self.cache
-        for unit in set(units).difference(cache):
-            if len(cache) > CACHED:
-                cache.clear()
-            cache[unit] = np.array(self.numbers(self.walk(self.prefixes(unit), len(unit))), "<i4").tobytes()
-        try:
-            out = b"".join(map(cache.__getitem__, units))
-        except KeyError:  # emptied meanwhile: a text of more distinct words than the cache holds
-            out = b"".join(cache[u] if u in cache else np.array(self.numbers(self.walk(self.prefixes(u), len(u))), "<i4").tobytes() for u in units)
-        for unit in [u for u in set(units) if len(u) > LONGEST_CACHED]:
-            cache.pop(unit, None)
+        if len(cache) > CACHED:
+            cache.clear()
+        new = set(units).difference(cache)
+        for unit in new:
+            cache[unit] = self._unit(unit)
+        out = b"".join(map(cache.__getitem__, units))
+        for unit in new:
+            if len(unit) > LONGEST_CACHED:
+                del cache[unit]
         return out
 
+    def _unit(self, unit: str) -> bytes:
+        """Ids of a word. Characters that stand side by side in no piece part it: every path has a state between them."""
+        beside, parts, out, start = self.beside, self.parts, [], 0
+        if len(parts) > CACHED:
+            parts.clear()
+        for end in [i for i in range(1, len(unit)) if unit[i - 1:i + 1] not in beside] + [len(unit)]:
+            part = unit[start:end]
+            ids = parts.get(part)
+            if ids is None:
+                ids = self.packed(self.between(part))
+                if len(part) <= LONGEST_CACHED:
+                    parts[part] = ids
+            out.append(ids)
+            start = end
+        return b"".join(out)
+
     # chunks: a text with the body text[lo:hi] and context on both sides
 
     def states(self, text: str, at: int) -> list[tuple[int, int]]:
@@ -135,7 +221,7 @@ class PieceModel:
         if at == 0:
             return [(0, 0)]
         return [(s, e) for s in range(max(0, at - self.longest), at) for e in range(at, min(len(text), s + self.longest) + 1)
-                if text[s:e] in self.ids or e == s + 1]
+                if e == s + 1 or text[s:e] in self.ids]
 
     def _cuts(self, text: str, lo: int, hi: int) -> tuple[int, int] | None:
         """First and last start of a word inside (lo, hi), where every path has the same state."""
@@ -146,20 +232,24 @@ class PieceModel:
 
     def _reach(self, text: str, froms: list[tuple[int, int]], hi: int) -> dict[tuple[int, int], int]:
         """Of every piece that ends at or beyond ``hi``: a bit per start state that has a path to it."""
-        ends: dict[int, dict[str, int]] = {}
+        ends: dict[int, dict[int, int]] = {}
         out: dict[tuple[int, int], int] = {}
         for bit, (s, e) in enumerate(froms):
             if e >= hi:
                 out[(s, e)] = out.get((s, e), 0) | 1 << bit
             row = ends.setdefault(e, {})
-            row[text[s:e]] = row.get(text[s:e], 0) | 1 << bit
+            piece = START if s == e else self.piece(text, s, e)
+            row[piece] = row.get(piece, 0) | 1 << bit
         for i in range(min(ends), hi):
             lefts = ends.pop(i, None)
             if not lefts:
                 continue
-            for e in range(i + 1, min(len(text), i + self.longest) + 1):
-                piece = text[i:e]
-                if piece in self.ids or e == i + 1:
+            node = self.tree
+            for e in range(i + 1, len(text) + 1):
+                node, piece = node.get(text[e - 1], (None, None))
+                if piece is None and e == i + 1:
+                    piece = -ord(text[i]) - 1
+                if piece is not None:
                     mask = 0
                     for left, bits in lefts.items():
                         if self.compatible(left, piece):
@@ -170,6 +260,8 @@ class PieceModel:
                         else:
                             row = ends.setdefault(e, {})
                             row[piece] = row.get(piece, 0) | mask
+                if node is None:
+                    break
         return out
 
     def transfer(self, text: str, lo: int, hi: int) -> np.ndarray:
@@ -200,15 +292,12 @@ class PieceModel:
         (s0, e0), (s1, e1) = self.states(text, lo)[a], self.states(text, hi)[b]
         if s1 < lo:  # one piece spans the whole chunk
             return b""
-        piece = text[s1:e1]
+        before, piece = START if s0 == e0 else self.piece(text, s0, e0), self.piece(text, s1, e1)
         cut = self._cuts(text, max(lo, e0), s1 + 1)
         if cut is None:
-            parts = self.walk(self.prefixes(text[e0:s1], text[s0:e0]), s1 - e0)
-            return np.array(self.numbers([*parts, piece]), "<i4").tobytes()
-        head = self.walk(self.prefixes(text[e0:cut[0]], text[s0:e0]), cut[0] - e0)
-        tail = self.walk(self.prefixes(text[cut[1]:s1]), s1 - cut[1])
-        ids = [np.array(self.numbers(x), "<i4").tobytes() for x in (head, [*tail, piece])]
-        return ids[0] + self.encode_normal(text[cut[0]:cut[1]]) + ids[1]
+            return self.packed([*self.between(text[e0:s1], before), piece])
+        head, tail = self.between(text[e0:cut[0]], before), self.between(text[cut[1]:s1])
+        return self.packed(head) + self.encode_normal(text[cut[0]:cut[1]]) + self.packed([*tail, piece])
 
     def decode(self, ids: np.ndarray) -> str:
         """Text of ids: byte pieces in a row are read as UTF-8, spaces return, the prefix space goes."""
@@ -311,10 +400,11 @@ def encode_pieces(docs: DataFrame, path: str = MODEL, chunk: int = CHUNK, fan: i
     def whole(batches):
         coder = model(path)
         for part in sliced(batches, chars="text", limit=4 << 20):
-            raw = [np.frombuffer(coder.encode_normal(coder.normalize(t)), "<i4") for t in part.column("text").to_pylist()]
+            raw = [np.frombuffer(r, "<i4") for r in coder.encode(part.column("text").to_pylist())]
             ends = np.concatenate([[0], np.cumsum([len(r) for r in raw])]).astype(np.int32)
             ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(raw)))
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), ids], ["doc_id", "ids"])
+        coder.forget()
 
     short = rows.where(F.char_length("text") <= chunk).mapInArrow(whole, "doc_id long, ids array<int>")
     long = rows.where(F.char_length("text") > chunk).select(
@@ -354,6 +444,7 @@ def encode_pieces(docs: DataFrame, path: str = MODEL, chunk: int = CHUNK, fan: i
                 raw = coder.backtrace(row["part"], row["lo"], row["hi"], row["a"], row["b"])
                 yield pa.RecordBatch.from_pydict({
                     "uid": [row["uid"]], "doc_id": pa.array([row["doc_id"]], pa.int64()), "at": [row["at"]], "ids": [np.frombuffer(raw, "<i4")]})
+        coder.forget()
 
     traced = chunks.join(states, (chunks.uid == states.of) & (chunks.at == states.n)).select("uid", "doc_id", "at", "lo", "hi", "part", "a", "b")
     traced = traced.mapInArrow(back, "uid string, doc_id long, at long, ids array<int>")

@@ -29,6 +29,8 @@ def test_pieces_are_those_of_the_library():
         got = np.frombuffer(coder.encode_normal(coder.normalize(text)), "<i4")
         assert got.tolist() == coder.processor.encode(text), text
         assert coder.decode(got) == text == coder.processor.decode(got.tolist())
+    texts = random_texts(9, 600, 90) + ["", " ", "a", " a", "a ", "a  b", "a\t b\n c", "x\u2581y z", "word " * 99 + "end"]
+    assert [np.frombuffer(r, "<i4").tolist() for r in coder.encode(texts)] == coder.processor.encode(texts)
 
 
 @pytest.mark.parametrize("fan", [2, 64])
@@ -91,6 +93,8 @@ def test_token_files_hold_the_library_ids(spark, tmp_path, monkeypatch):
         r = out[doc_id]
         assert (r.start, r.n_tokens, r.ids_crc32) == (start, len(want[doc_id]), zlib.crc32(want[doc_id].tobytes())), text
         start += len(want[doc_id])
+    for r in token_files.read_token_files(spark, folder).collect():
+        assert r.ids == want[r.doc_id].tobytes() and r.start == out[r.doc_id].start
     blocks = spark.read.parquet(folder).orderBy("shard", "block").collect()
     shard = [b for b in blocks if b.shard == blocks[len(blocks) // 2].shard]
     whole = np.concatenate([want[d] for b in shard for d in b.doc_ids])
