@@ -22,7 +22,7 @@ BLOCK_IDS = 1 << 16
 CACHED = 800_000
 #: How byte-level vocabularies write the byte of a space.
 BYTE_SPACE = "\u0120"
-_ODD_BLANKS = re.compile(r"\s\s|^\s|\s\Z").search
+_TWO_BLANKS = re.compile(r"\s\s").search
 BLOCKS = "shard int, block int, first_id long, n_ids long, width int, doc_ids array<bigint>, lengths array<bigint>, payload binary"
 
 
@@ -90,7 +90,7 @@ class CachedEncoder:
             new = parts[at:at + 20_000]
             raw = self._library([" " + " ".join(new)])[0]
             starts = (np.flatnonzero(self.opens[np.frombuffer(raw, "<u4")]) * 4).tolist()
-            self.known.update(zip(new, (raw[a:b] for a, b in zip(starts, [*starts[1:], len(raw)])), strict=True))
+            self.known.update(zip(new, [raw[a:b] for a, b in zip(starts, [*starts[1:], len(raw)])], strict=True))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian 32-bit ids of each text."""
@@ -99,13 +99,22 @@ class CachedEncoder:
         out: list[bytes] = [b""] * len(texts)
         whole, cut, heads = [], [], []
         for i, text in enumerate(texts):
-            if _ODD_BLANKS(text) or any(s in text for s in self.special):
+            if text and (text[0].isspace() or text[-1].isspace() or any(s in text for s in self.special)):
                 whole.append(i)
             elif text:
                 parts = text.split(" ")
                 heads.append(parts.pop(0))
                 cut.append((i, parts))
         missing = set().union(*(parts for _, parts in cut)).difference(self.known)
+        odd = {h for h in heads if h[-1].isspace()}
+        if "" in missing or _TWO_BLANKS(" ".join(missing)):  # white space beside a cut; such a part is never kept
+            odd.update(p for p in missing if not p or p[0].isspace() or p[-1].isspace() or _TWO_BLANKS(p))
+        if odd:
+            missing -= odd
+            plain = [(c, h) for c, h in zip(cut, heads) if h not in odd and odd.isdisjoint(c[1])]
+            kept = {c[0] for c, _ in plain}
+            whole += [i for i, _ in cut if i not in kept]
+            cut, heads = [c for c, _ in plain], [h for _, h in plain]
         self._learn(list(missing))
         get = self.known.__getitem__
         for (i, parts), head in zip(cut, self._library(heads)):
@@ -175,8 +184,11 @@ def write_token_files(docs: DataFrame, folder: str, path: str = VOCABULARY, end_
     dealt.mapInArrow(run, BLOCKS).write.option("compression", "zstd").parquet(folder)
 
 
-def read_token_files(spark: SparkSession, folder: str) -> DataFrame:
-    """``doc_id, start, n_tokens, ids`` (packed little-endian 32-bit ids) of every document of the files."""
+def read_token_files(spark: SparkSession, folder: str, digest: bool = False) -> DataFrame:
+    """``doc_id, start, n_tokens, ids`` (little-endian 32-bit ids) of every document of the files.
+
+    With ``digest`` there is ``ids_crc32`` instead, the CRC-32 of the same bytes.
+    """
     blocks = spark.read.schema(BLOCKS).parquet(folder)
     by_shard = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     shards = blocks.groupBy("shard").agg(F.sum("n_ids").alias("n"))
@@ -190,10 +202,11 @@ def read_token_files(spark: SparkSession, folder: str) -> DataFrame:
                 flat = unpack(row["payload"], row["width"], 0, row["n_ids"]).astype("<u4")
                 yield pa.RecordBatch.from_pydict({
                     "doc_id": pa.array(row["doc_ids"], pa.int64()), "start": row["before"] + row["first_id"] + ends - lengths, "n_tokens": lengths,
-                    "ids": pa.array([flat[e - n:e].tobytes() for e, n in zip(ends, lengths)], pa.binary())})
+                    **({"ids_crc32": [zlib.crc32(flat[e - n:e]) for e, n in zip(ends, lengths)]} if digest else
+                       {"ids": pa.array([flat[e - n:e].tobytes() for e, n in zip(ends, lengths)], pa.binary())})})
 
     placed = blocks.join(fits_broadcast(shards), blocks.shard == shards.of).select("first_id", "n_ids", "width", "doc_ids", "lengths", "payload", "before")
-    return placed.mapInArrow(run, "doc_id long, start long, n_tokens long, ids binary")
+    return placed.mapInArrow(run, "doc_id long, start long, n_tokens long, " + ("ids_crc32 long" if digest else "ids binary"))
 
 
 def read_ids(spark: SparkSession, folder: str, shard: int, start: int, n: int) -> np.ndarray:
@@ -210,11 +223,4 @@ def token_table(docs: DataFrame, path: str = VOCABULARY, end_id: int = END_ID, f
     spark = docs.sparkSession
     folder = folder or shared_folder(spark, "token-files")
     write_token_files(docs, folder, path, end_id)
-
-    def crc(batches):
-        for part in batches:
-            sums = [zlib.crc32(memoryview(x.as_buffer())) for x in part.column("ids")]
-            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("doc_id", "start", "n_tokens")), pa.array(sums, pa.int64())],
-                                             ["doc_id", "start", "n_tokens", "ids_crc32"])
-
-    return read_token_files(spark, folder).mapInArrow(crc, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return read_token_files(spark, folder, digest=True)
