@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from offerloom.llm.common import pick, sliced
+from offerloom.llm.common import pick, rest, sliced
 from offerloom.session import cut_lineage
 
 MODEL = public_tokenizers.path("piece_bpe_32k.model")
@@ -70,6 +70,7 @@ class PieceModel:
         """Empty the word caches: an idle Python worker must not hold them while other stages run."""
         for cache in (self.known, self.cache, self.parts):
             cache.clear()
+        rest()
 
     def normalize(self, text: str) -> str:
         return self.processor.normalize(text)
@@ -382,7 +383,7 @@ def _scan(matrices: DataFrame, most_chunks: int, fan: int) -> DataFrame:
     return states
 
 
-def encode_pieces(docs: DataFrame, path: str = MODEL, chunk: int = CHUNK, fan: int = FAN) -> DataFrame:
+def encode_pieces(docs: DataFrame, path: str = MODEL, chunk: int = CHUNK, fan: int = FAN, with_text: bool = False) -> DataFrame:
     """``doc_id, ids`` of every row: the ids that the model's own merging gives, as array<int>.
 
     Texts of up to ``chunk`` code points are encoded in one go, word by word (no piece crosses the
@@ -392,6 +393,8 @@ def encode_pieces(docs: DataFrame, path: str = MODEL, chunk: int = CHUNK, fan: i
     combined associatively in groups of ``fan``; the states on the best path then go back to the
     chunks, which are backtraced independently and joined in order.
 
+    ``with_text`` adds ``text``, decoded from the ids, in the same pass over the texts of ordinary size.
+
     A null or empty text has no ids. Repeated rows give repeated rows and null ids stay null; an empty
     table gives no rows. Characters without a piece become bytes.
     """
@@ -403,10 +406,12 @@ def encode_pieces(docs: DataFrame, path: str = MODEL, chunk: int = CHUNK, fan: i
             raw = [np.frombuffer(r, "<i4") for r in coder.encode(part.column("text").to_pylist())]
             ends = np.concatenate([[0], np.cumsum([len(r) for r in raw])]).astype(np.int32)
             ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(raw)))
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), ids], ["doc_id", "ids"])
+            decoded = [pa.array([coder.decode(r) for r in raw], pa.string())] if with_text else []
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), ids, *decoded], ["doc_id", "ids", "text"][: 2 + with_text])
         coder.forget()
 
-    short = rows.where(F.char_length("text") <= chunk).mapInArrow(whole, "doc_id long, ids array<int>")
+    result = "doc_id long, ids array<int>" + (", text string" if with_text else "")
+    short = rows.where(F.char_length("text") <= chunk).mapInArrow(whole, result)
     long = rows.where(F.char_length("text") > chunk).select(
         F.md5(F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.md5("text"))).alias("uid"), "doc_id", "text")
 
@@ -452,7 +457,8 @@ def encode_pieces(docs: DataFrame, path: str = MODEL, chunk: int = CHUNK, fan: i
     joined = single.groupBy("uid").agg(
         F.first("doc_id").alias("doc_id"), F.sort_array(F.collect_list(F.struct("at", "ids"))).alias("parts"), F.max("copies").alias("copies"))
     giant = joined.select("doc_id", F.flatten(F.transform("parts", lambda p: p["ids"])).alias("ids"), F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("copy"))
-    return short.unionByName(giant.select("doc_id", "ids"))
+    giant = giant.select("doc_id", "ids")
+    return short.unionByName(decode_pieces(giant, path) if with_text else giant)
 
 
 def decode_pieces(encoded: DataFrame, path: str = MODEL) -> DataFrame:

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from offerloom.llm.common import pick, sliced
+from offerloom.llm.common import pick, rest, sliced
 
 #: Hash buckets (a power of two), labelled rows that training reads at most, and passes over them.
 BUCKETS, TRAIN_ROWS, EPOCHS = 1 << 18, 6_000, 5
@@ -24,7 +24,7 @@ class _Hashes(dict):
     """Token to 32-bit hash; the shape of a word (upper, title, lower) is a token of its own kind."""
 
     def __missing__(self, token: str) -> int:
-        if len(self) > 500_000:
+        if len(self) > 250_000:
             self.clear()
         value = self[token] = zlib.crc32(token.encode("utf-8", "surrogatepass"))
         return value
@@ -102,6 +102,7 @@ def train(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, buck
             yield pa.RecordBatch.from_arrays(
                 [part.column("turn"), pa.array([at for at, _ in found], pa.list_(pa.int32())), pa.array([x for _, x in found], pa.list_(pa.float32())),
                  part.column("quality")], ["turn", "at", "x", "quality"])
+        _hashes.clear()
 
     def fit(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.assign(size=frame["at"].map(len)).sort_values(["turn", "size"], kind="stable")
@@ -144,6 +145,8 @@ def score_quality(docs: DataFrame, labels: DataFrame, keep: float = KEEP, train_
                 at, x = features(text.as_py())
                 scores.append(_sigmoid(float(w[at] @ x) + w[-1]))
             yield pa.RecordBatch.from_arrays([*(part.column(n) for n in names), pa.array(scores, pa.float64())], [*names, "score"])
+        _hashes.clear()  # an idle Python worker must not hold it while other stages run
+        rest()
 
     schema = ", ".join(f"{n} {t}" for n, t in rows.select(*names).dtypes) + ", score double"
     scored = rows.mapInArrow(run, schema)

@@ -17,7 +17,7 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of every document, and whether decoding them gives its text back."""
-    decoded = pieces.decode_pieces(pieces.encode_pieces(documents(spark, sf_dir)))
+    decoded = pieces.encode_pieces(documents(spark, sf_dir), with_text=True)
     return decoded.select("doc_id", "ids", F.size("ids").cast("long").alias("n_tokens"), F.sha2("text", 256).alias("decoded_sha256"))
 
 

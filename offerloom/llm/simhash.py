@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from offerloom.llm.common import pick, sliced
+from offerloom.llm.common import pick, rest, sliced
 from offerloom.llm.graph import components
 from offerloom.session import cut_lineage
 
@@ -45,10 +45,11 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     """``doc_id, text_hash, fp`` of every row; fp is the fingerprint as a signed long."""
 
     def run(batches):
-        for part in sliced(batches, chars="text"):
+        for part in sliced(batches, chars="text", limit=4 << 20):
             fps = [fingerprint(shingle_hashes(t.as_py())) for t in part.column("text")]
             yield pa.RecordBatch.from_arrays(
                 [part.column("doc_id"), part.column("text_hash"), pa.array(np.array(fps, np.uint64).view(np.int64))], ["doc_id", "text_hash", "fp"])
+        rest()
 
     rows = pick(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text")
     return rows.mapInArrow(run, "doc_id long, text_hash long, fp long")
