@@ -15,15 +15,18 @@ from offerloom.llm.graph import components
 from offerloom.session import cut_lineage
 
 SHINGLE, SEED, BITS, RADIUS = 3, 42, 64, 2
+#: Minima of a shingle set: two sets agree on a whole band with probability J ** ROWS, and on none of all with (1 - J ** ROWS) ** BANDS.
+BANDS, ROWS = 32, 5
+_FACTORS = np.random.default_rng(SEED).integers(1, 1 << 63, BANDS * ROWS, dtype=np.uint64) | np.uint64(1)
 _WEIGHTS = np.left_shift(np.uint64(1), np.arange(BITS, dtype=np.uint64))
 
 
-def shingle_hashes(text: str | None) -> np.ndarray:
+def shingle_hashes(text: str | None, shingle: int = SHINGLE) -> np.ndarray:
     """XXH64 of every shingle of a text, repeats included; a shorter text is one shingle."""
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()  # bytes: A-Z and the six blanks only
     if not words:
         return np.empty(0, np.uint64)
-    joined, width = b" ".join(words), min(SHINGLE, len(words))
+    joined, width = b" ".join(words), min(shingle, len(words))
     ends = list(accumulate(map(len, words), lambda a, b: a + 1 + b))
     starts = [0, *(e + 1 for e in ends[: len(words) - width])]
     digest = xxhash.xxh64_intdigest
@@ -41,12 +44,12 @@ def fingerprint(hashes: np.ndarray) -> int:
     return int(_WEIGHTS[counts * 2 > len(hashes)].sum(dtype=np.uint64))
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
+def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """``doc_id, text_hash, fp`` of every row; fp is the fingerprint as a signed long."""
 
     def run(batches):
         for part in sliced(batches, chars="text", limit=4 << 20):
-            fps = [fingerprint(shingle_hashes(t.as_py())) for t in part.column("text")]
+            fps = [fingerprint(shingle_hashes(t.as_py(), shingle)) for t in part.column("text")]
             yield pa.RecordBatch.from_arrays(
                 [part.column("doc_id"), part.column("text_hash"), pa.array(np.array(fps, np.uint64).view(np.int64))], ["doc_id", "text_hash", "fp"])
         rest()
@@ -55,22 +58,125 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "doc_id long, text_hash long, fp long")
 
 
-def ball_links(distinct: DataFrame) -> DataFrame:
-    """Edges (a, b) that connect all fingerprints ``fp`` at two or fewer differing bits.
+def bands(found: np.ndarray) -> list[int]:
+    """One hash a band of ROWS minima over the distinct shingle hashes, as signed longs; an empty set has none."""
+    if not len(found):
+        return []
+    least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max)
+    for at in range(0, len(found), 4096):
+        mixed = found[at:at + 4096, None] * _FACTORS  # an odd factor permutes the values; its upper bits depend on all bits
+        mixed ^= mixed >> np.uint64(32)
+        mixed *= np.uint64(0x9E3779B97F4A7C15)
+        np.minimum(least, mixed.min(axis=0), out=least)
+    rows = least.reshape(BANDS, ROWS).astype("<u8")
+    return [x - (1 << 64) if (x := xxhash.xxh64_intdigest(row.tobytes(), number)) >> 63 else x for number, row in enumerate(rows)]
+
+
+def _set_key(found: np.ndarray) -> int:
+    """XXH64 of the sorted distinct shingle hashes, as a signed long."""
+    return int(np.uint64(xxhash.xxh64_intdigest(found.astype("<u8").tobytes(), SEED)).astype(np.int64))
+
+
+def set_rows(docs: DataFrame, shingle: int) -> DataFrame:
+    """``doc_id, text_hash, fp, key, bands`` of every row; key names the set of shingles."""
+
+    def run(batches):
+        for part in sliced(batches, chars="text", limit=4 << 20):
+            fps, keys, banded = [], [], []
+            for text in part.column("text"):
+                hashes = shingle_hashes(text.as_py(), shingle)
+                found = np.unique(hashes)
+                fps.append(fingerprint(hashes))
+                keys.append(_set_key(found))
+                banded.append(bands(found))
+            yield pa.RecordBatch.from_arrays(
+                [part.column("doc_id"), part.column("text_hash"), pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(keys, pa.int64()), pa.array(banded, pa.list_(pa.int64()))],
+                ["doc_id", "text_hash", "fp", "key", "bands"])
+        rest()
+
+    rows = pick(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text")
+    return rows.mapInArrow(run, "doc_id long, text_hash long, fp long, key long, bands array<long>")
+
+
+def _shingle_sets(docs: DataFrame, rows: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
+    """``key, members``: the shingle hashes of each wanted set, from one of its texts."""
+
+    def run(batches):
+        for part in sliced(batches, chars="text", limit=4 << 20):
+            found = [np.unique(shingle_hashes(t.as_py(), shingle)) for t in part.column("text")]
+            keys = pa.array([_set_key(x) for x in found], pa.int64())
+            yield pa.RecordBatch.from_arrays([keys, pa.array([x.view(np.int64) for x in found], pa.list_(pa.int64()))], ["key", "members"])
+        rest()
+
+    chosen = rows.join(wanted, "key", "left_semi").groupBy("key").agg(F.min("text_hash").alias("text_hash")).select("text_hash").distinct()
+    texts = pick(docs, "text").withColumn("text_hash", F.xxhash64("text")).join(chosen, "text_hash", "left_semi")
+    made = texts.dropDuplicates(["text_hash"]).select("text").mapInArrow(run, "key long, members array<long>")
+    return made.dropDuplicates(["key"])
+
+
+def band_ties(nodes: DataFrame) -> DataFrame:
+    """``a, b``: each set of a band's bucket tied to two members of it, other ones in each band.
+
+    The two are a minimum and a maximum of a hash that the band salts, so a bucket of any size gives
+    two edges a member, is combined map-side, and a set that fails with one hub meets others.
+    """
+    placed = nodes.select("key", F.posexplode("bands").alias("band", "bucket"))
+    rank = F.struct(F.xxhash64("key", "band").alias("by"), F.col("key").alias("hub"))
+    hubs = placed.groupBy("band", "bucket").agg(F.min(rank)["hub"].alias("low"), F.max(rank)["hub"].alias("high")).where("low <> high")
+    tied = placed.join(hubs, ["band", "bucket"]).select("key", F.explode(F.array("low", "high")).alias("hub")).where("key <> hub")
+    return tied.select(F.greatest("key", "hub").alias("a"), F.least("key", "hub").alias("b")).distinct()
+
+
+def similar_links(docs: DataFrame, rows: DataFrame, shingle: int, radius: int, similarity: float) -> DataFrame:
+    """``node, root`` of the sets with links: SimHash and band candidates whose Jaccard similarity is ``similarity`` or more.
+
+    Edges come in steps, and an edge within a group already found is not verified, so a large group of
+    near copies costs few comparisons. Only sets with an edge are made again and shuffled.
+    """
+    nodes = cut_lineage(rows.groupBy("key").agg(F.min("fp").alias("fp"), F.first("bands").alias("bands")))
+    named = nodes.groupBy("fp").agg(F.min("key").alias("named"))
+    same_fp = nodes.join(named, "fp").where("key <> named").select(F.col("key").alias("a"), F.col("named").alias("b"))
+    balls = ball_links(named.select("fp"), radius)
+    first, second = named.select(F.col("fp").alias("a"), F.col("named").alias("x")), named.select(F.col("fp").alias("b"), F.col("named").alias("y"))
+    balls = balls.join(first, "a").join(second, "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
+    found, roots = None, None
+    steps = [lambda: same_fp.union(balls), lambda: band_ties(nodes.select("key", F.slice("bands", 1, 2).alias("bands"))), lambda: band_ties(nodes)]
+    for step in steps:
+        edges = step()
+        if roots is not None:  # ends in one group are linked already
+            of_a, of_b = roots.toDF("a", "root_a"), roots.toDF("b", "root_b")
+            edges = edges.join(of_a, "a", "left").join(of_b, "b", "left").where(
+                F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b")
+        edges = cut_lineage(edges.distinct())
+        ends = edges.select(F.explode(F.array("a", "b")).alias("key")).distinct()
+        sets = cut_lineage(_shingle_sets(docs, rows, ends, shingle))
+        paired = edges.join(sets.toDF("a", "left"), "a").join(sets.toDF("b", "right"), "b")
+        shared, total = F.size(F.array_intersect("left", "right")), F.size("left") + F.size("right")
+        good = paired.where(F.least(F.size("left"), F.size("right")) >= similarity * F.greatest(F.size("left"), F.size("right"))).where(
+            shared >= similarity * (total - shared)).select("a", "b")
+        found = cut_lineage(good if found is None else good.union(found))
+        roots = cut_lineage(components(found))
+    return roots
+
+
+def ball_links(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """Edges (a, b) that connect all fingerprints ``fp`` at ``radius`` (two or less) differing bits.
 
     Every fingerprint emits all variants within half the radius: itself and its 64 neighbours. Two
     fingerprints within the radius meet on a variant between them. A variant has at most 65 distinct
     members whatever the data, so a group never grows with a hot text. Within a group each member
     is tied to the smallest one after its distance is verified; all of a group are that near.
     """
+    if not 0 <= radius <= 2:
+        raise ValueError("one flipped bit on either side reaches two bits")
     flips = [F.lit(0).cast("long"), *[F.shiftleft(F.lit(1).cast("long"), i) for i in range(BITS)]]
     variants = distinct.select("fp", F.explode(F.array(*[F.col("fp").bitwiseXOR(x) for x in flips])).alias("variant"))
     groups = variants.groupBy("variant").agg(F.collect_list("fp").alias("members")).where(F.size("members") > 1)
     tied = groups.select(F.explode("members").alias("a"), F.array_min("members").alias("b"))
-    return tied.where("a <> b").where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= RADIUS).distinct()
+    return tied.where("a <> b").where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= radius).distinct()
 
 
-def simhash_groups(docs: DataFrame) -> DataFrame:
+def simhash_groups(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, similarity: float | None = None) -> DataFrame:
     """``doc_id, fingerprint, component_id, kept, text_hash`` of every document.
 
     Fingerprints are computed once and checkpointed; equal ones collapse to one row (map-side)
@@ -79,15 +185,19 @@ def simhash_groups(docs: DataFrame) -> DataFrame:
     result row. A null doc_id takes part but is never the smallest unless its whole group is null.
     kept: the row is the one of its group that stays: smallest doc_id, then smallest hash of the text
     (XXH64), so exact repeats of it are marked too. An empty table gives no rows.
+
+    With a similarity, the groups are of documents linked by a Jaccard similarity of their shingle sets
+    of at least that, verified on the sets; see similar_links.
     """
-    rows = cut_lineage(fingerprints(docs))
+    node = "fp" if similarity is None else "key"
+    rows = cut_lineage(fingerprints(docs, shingle) if similarity is None else set_rows(docs, shingle))
     rank = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "text_hash")
-    distinct = cut_lineage(rows.groupBy("fp").agg(F.min(rank).alias("lowest")))
-    roots = components(ball_links(distinct.select("fp")))
-    linked = distinct.join(roots, distinct.fp == roots.node, "left").select("fp", "lowest", F.coalesce("root", "fp").alias("root"))
+    distinct = cut_lineage(rows.groupBy(node).agg(F.min(rank).alias("lowest")))
+    roots = components(ball_links(distinct.select("fp"), radius)) if similarity is None else similar_links(docs, rows, shingle, radius, similarity)
+    linked = distinct.join(roots, distinct[node] == roots.node, "left").select(distinct[node], "lowest", F.coalesce("root", distinct[node]).alias("root"))
     linked = cut_lineage(linked)
     of_root = linked.groupBy("root").agg(F.min("lowest").alias("stays"))
-    of_fp = cut_lineage(linked.join(of_root, "root").select("fp", "stays"))
+    of_node = cut_lineage(linked.join(of_root, "root").select(node, "stays"))
     hexed = F.lower(F.lpad(F.hex("fp"), 16, "0"))
     kept = F.col("doc_id").eqNullSafe(F.col("stays.doc_id")) & (F.col("text_hash") == F.col("stays.text_hash"))
-    return rows.join(of_fp, "fp").select("doc_id", hexed.alias("fingerprint"), F.col("stays.doc_id").alias("component_id"), kept.alias("kept"), "text_hash")
+    return rows.join(of_node, node).select("doc_id", hexed.alias("fingerprint"), F.col("stays.doc_id").alias("component_id"), kept.alias("kept"), "text_hash")

@@ -101,3 +101,35 @@ def test_one_document_of_each_group_stays_whatever_its_id(spark):
     docs = table(spark, texts, ids=[3, 3, None, None, None, 8, 9, None])
     out = corpus_pipeline.drop_near_copies(spark, docs, "").collect()
     assert sorted((str(r.doc_id), r.text or "") for r in out) == sorted([("3", far[0]), ("None", far[1]), ("8", far[2]), ("9", "")])
+
+
+def edited(rng, words, share):
+    """The words with single ones replaced until at most ``share`` of the five-word shingles is common; and the share then."""
+    shingles = lambda w: {tuple(w[i:i + 5]) for i in range(len(w) - 4)}
+    base, out, alike = shingles(words), list(words), 1.0
+    for at in rng.permutation(len(words)):
+        trial = [*out[:at], f"new{at}", *out[at + 1:]]
+        alike = len(base & shingles(trial)) / len(base | shingles(trial))
+        if alike < share:
+            break
+        out = trial
+    return out, len(base & shingles(out)) / len(base | shingles(out))
+
+
+def test_near_copies_of_every_similarity_from_the_limit_on_are_dropped(spark):
+    rng = np.random.default_rng(5)
+    texts, below = [], set()
+    for n, share in enumerate([0.8, 0.82, 0.85, 0.9, 0.95, 0.99] * 20):
+        words = [f"w{rng.integers(50_000)}" for _ in range(1_200)]
+        copy, alike = edited(rng, words, share)
+        assert share <= alike < 1
+        texts += [" ".join(words), " ".join(copy)]
+    near = len(texts)
+    for _ in range(20):
+        words = [f"w{rng.integers(50_000)}" for _ in range(1_200)]
+        copy, alike = edited(rng, words, 0.7)
+        assert 0.7 <= alike < 0.8
+        below |= {len(texts), len(texts) + 1}
+        texts += [" ".join(words), " ".join(copy)]
+    out = {r.doc_id for r in corpus_pipeline.drop_near_copies(spark, table(spark, texts), "").collect()}
+    assert out == set(range(0, near, 2)) | below
