@@ -35,8 +35,11 @@ def visible_text(html) -> Column:
     return F.trim(F.regexp_replace(out, "\\s+", " "))
 
 
-def page_parts(pages: DataFrame) -> DataFrame:
-    """Title, headings, links, JSON-LD blocks and visible text per page, each computed once."""
+def page_parts(pages: DataFrame, name_chars: int | None = None, script_chars: int | None = None) -> DataFrame:
+    """Title, headings, links, JSON-LD blocks and visible text per page, each computed once.
+
+    ``name_chars`` and ``script_chars`` bound a script name and the text up to its price; None: no bound.
+    """
     cleaned = F.regexp_replace("html", "(?is)<(script|style)\\b.*?</\\1\\s*>", " ")
     base = evaluated(pages.select("page_id", "url", "html"), body=cleaned)
     return evaluated(
@@ -49,7 +52,7 @@ def page_parts(pages: DataFrame) -> DataFrame:
         links=F.regexp_extract_all("body", F.lit("(?i)<a\\b[^>]*\\bhref=[\"']([^\"'#]+)"), F.lit(1)),
         jsonld=F.regexp_extract_all("html", F.lit("(?is)<script[^>]*application/ld\\+json[^>]*>(.*?)</script>"), F.lit(1)),
         text=visible_text("body"),
-        pairs=_script_pairs(),
+        pairs=_script_pairs(name_chars, script_chars),
     ).drop("body", "html")
 
 
@@ -108,9 +111,10 @@ def structured_evidence(parts: DataFrame, hint: str = SERVICE_HINT) -> tuple[Dat
     return locations, rows
 
 
-def _script_pairs() -> Column:
-    """(title, price) pairs of embedded script objects."""
-    pair = "(?is)[\"'](?:title|name)[\"']\\s*:\\s*[\"']([^\"']{3,180})[\"'][^{}]{0,600}?[\"'](?:precio|price|cost|amount)[\"']\\s*:\\s*[\"']?([0-9][0-9.,]*)"
+def _script_pairs(name_chars: int | None, script_chars: int | None) -> Column:
+    """(title, price) pairs of embedded script objects; a pair stays between two braces."""
+    longest, apart = ("" if n is None else n for n in (name_chars, script_chars))
+    pair = f"(?is)[\"'](?:title|name)[\"']\\s*:\\s*[\"']([^\"']{{3,{longest}}})[\"'][^{{}}]{{0,{apart}}}?[\"'](?:precio|price|cost|amount)[\"']\\s*:\\s*[\"']?([0-9][0-9.,]*)"
     names = F.regexp_extract_all("html", F.lit(pair), F.lit(1))
     prices = F.regexp_extract_all("html", F.lit(pair), F.lit(2))
     return F.arrays_zip(names.alias("n"), prices.alias("p"))
@@ -125,14 +129,18 @@ def script_evidence(parts: DataFrame, hint: str = SERVICE_HINT) -> DataFrame:
         F.col("name").rlike(hint) & (F.col("price_minor") > 0))
 
 
-def heading_evidence(parts: DataFrame, hint: str = SERVICE_HINT) -> DataFrame:
-    """Study headings with the price between them and the next heading; without any, the headings alone."""
+def heading_evidence(parts: DataFrame, hint: str = SERVICE_HINT, price_chars: int | None = None) -> DataFrame:
+    """Study headings with the price between them and the next heading; without any, the headings alone.
+
+    After a heading without a following one the text is searched to its end, or for ``price_chars``.
+    """
     rows = parts.select("page_id", "url", "text", "headings", F.posexplode("headings").alias("seq", "name")).filter(F.col("name").rlike(hint))
     after = F.expr("substring_index(text, name, -1)")
     start = F.instr(F.lower("text"), F.lower("name")) + F.length("name")
     rest = F.when(start > F.length("name"), F.substring(F.col("text"), start, F.length("text"))).otherwise(after)
     following = F.get("headings", F.col("seq") + 1)
-    cut = F.when(following.isNotNull() & (F.instr(rest, following) > 0), F.substring(rest, F.lit(1), F.instr(rest, following) - 1)).otherwise(F.substring(rest, 1, 700))
+    cut = F.when(following.isNotNull() & (F.instr(rest, following) > 0), F.substring(rest, F.lit(1), F.instr(rest, following) - 1)).otherwise(
+        rest if price_chars is None else F.substring(rest, 1, price_chars))
     found = evaluated(rows, segment=cut).drop("text", "headings")
     found = evaluated(found, raw=F.regexp_extract("segment", PRICE_PATTERN, 0))
     marked = F.col("raw").contains("$") | F.lower("raw").contains("mxn") | F.lower("segment").rlike(PRICE_WORDS)
@@ -144,17 +152,18 @@ def heading_evidence(parts: DataFrame, hint: str = SERVICE_HINT) -> DataFrame:
         F.when(F.col("price_minor").isNotNull(), "price_pattern").otherwise("heading_pattern").alias("method"))
 
 
-def page_evidence(pages: DataFrame, hint: str = SERVICE_HINT) -> DataFrame:
+def page_evidence(
+        pages: DataFrame, hint: str = SERVICE_HINT, price_chars: int | None = None, name_chars: int | None = None, script_chars: int | None = None) -> DataFrame:
     """Location and offer evidence per page with method confidence and stable ids.
 
     Structured prices win over visible ones of the same name; visible headings alone count only on
     pages with nothing structured.
     """
     # the pages are parsed once; every kind of evidence reads the small extract
-    parts = cut_lineage(page_parts(pages))
+    parts = cut_lineage(page_parts(pages, name_chars, script_chars))
     locations, offers = structured_evidence(parts, hint)
     structured = offers.unionByName(script_evidence(parts, hint)).withColumn("nname", norm_text("name"))
-    patterns = heading_evidence(parts, hint).withColumn("nname", norm_text("name"))
+    patterns = heading_evidence(parts, hint, price_chars).withColumn("nname", norm_text("name"))
     pages_with = structured.select("page_id").distinct()
     priced = structured.filter("price_minor IS NOT NULL").select("page_id", "nname").distinct()
     visible = patterns.filter("price_minor IS NOT NULL").join(pages_with, "page_id", "left_semi").join(priced, ["page_id", "nname"], "left_anti")

@@ -298,3 +298,14 @@ def test_split_hot_group_keeps_every_duplicate_verdict(spark):
     rows = spark.range(3000).select(F.lit("s").alias("source_key"), F.lit("r").alias("run_id"), F.col("id").alias("seq"), F.when(F.col("id") % 3 == 0, '{"n":0}').otherwise(F.concat(F.lit('{"n":'), F.col("id"), F.lit("}"))).alias("payload"), F.lit(1).alias("n_observations"))
     got = V.record_gate(rows).groupBy("parse_status").count().collect()
     assert {r.parse_status: r["count"] for r in got} == {"parsed": 2001, "invalid": 999}
+
+
+def test_page_prices_are_found_however_far_they_stand(spark):
+    gap, long_name = "relleno " * 100, "Biometría hemática " + "muy completa " * 20
+    far = f"<h1>Examen de orina</h1><p>{gap}</p><p>Precio $120.00</p>"
+    script = f'<script>var a = [{{"name": "{long_name.strip()}", "note": "{gap}", "price": "350.00"}}]</script>'
+    pages = spark.createDataFrame([(1, "https://one.example.com/", far), (2, "https://two.example.com/", script)], "page_id int, url string, html string")
+    rows = lambda **limits: {(r.page_id, r.price_minor, r.method) for r in PG.page_evidence(pages, **limits).collect()}
+    assert len(gap) >= 800 and len(long_name) > 180
+    assert rows() == {(1, 12000, "price_pattern"), (2, 35000, "embedded_script_pattern")}
+    assert rows(price_chars=700, script_chars=600) == {(1, None, "heading_pattern")}
