@@ -32,6 +32,15 @@ TEMPLATES = [
     ("mpl", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0"),
 ]
 CONTAINED = 0.8
+# Consecutive words without which a template of TEMPLATES, in the same order, is not held, whatever its share.
+KEYS = [
+    ["gnu affero general public license"], [], ["in compliance with the license"], ["unless required by applicable law"], ["redistribution and use"],
+    ["attribution 4 0"], [], [], ["gnu general public license", "version 3"], ["gnu general public license"], ["fee"], ["gnu lesser general public license"],
+    [], ["free of charge", "any person"], ["mozilla public license"]]
+#: Templates of so few words are held only whole, their words consecutive.
+WHOLE = 9
+#: Windows of WINDOW words begin every STEP words: a statement of at most WINDOW - STEP words lies in one.
+WINDOW, STEP = 64, 32
 
 
 def _words(text: str) -> list[str]:
@@ -141,5 +150,51 @@ def scan_licenses(docs: DataFrame, threshold: float = CONTAINED, phrases=PHRASES
         F.when(F.size("places") > 0, 1.0).otherwise(best).alias("score"))
 
 
+def license_statements(docs: DataFrame, threshold: float = CONTAINED, templates=TEMPLATES, keys=KEYS) -> DataFrame:
+    """``doc_id, labels, score`` of every document: the license statements it holds, however they are wrapped.
+
+    Blocks are overlapping word windows of bounded length over the whole text, so line breaks and comment
+    signs do not matter. A short template must stand there whole; another one needs ``threshold`` of
+    its distinct words in one window, and there its distinguishing words too, so a statement does not get the label
+    of a license that it resembles. score: the largest share of a template held. One map-only pass; windows are
+    made only where all distinguishing words of a template occur.
+    """
+    rows = pick(docs, "doc_id", "text").select("doc_id", F.inline(F.array(F.struct(_spaced(F.coalesce("text", F.lit(""))).alias("flat")))))
+    words = F.split(F.btrim("flat"), " ")
+    starts = F.sequence(F.lit(1), F.greatest(F.size(words), F.lit(1)), F.lit(STEP))
+    windows = once(words, lambda w: F.transform(starts, lambda i: F.slice(w, i, WINDOW)))
+    found = []
+    for (label, text), needed in zip(templates, keys, strict=True):
+        held, parts = sorted(set(_words(text))), _words(text)
+        if len(parts) <= WHOLE:
+            share = F.when(F.contains("flat", F.lit(f" {' '.join(parts)} ")), 1.0)
+        else:
+            here = _all(F.contains("flat", F.lit(f" {key} ")) for key in needed)
+            best = F.when(here, F.array_max(F.transform(windows, _share_in(held, needed))))
+            share = F.when(best >= threshold, best)
+        found.append(F.struct(F.lit(label).alias("label"), share.alias("share")))
+    hits = rows.select("doc_id", F.filter(F.array(*found), lambda h: h["share"].isNotNull()).alias("hits"))
+    return hits.select(
+        "doc_id", F.array_join(F.array_sort(F.array_distinct(F.transform("hits", lambda h: h["label"]))), ",").alias("labels"),
+        F.coalesce(F.array_max(F.transform("hits", lambda h: h["share"])), F.lit(0.0)).alias("score"))
+
+
+def _share_in(held: list[str], needed: list[str]):
+    """Share of the words of a template that a window holds; null without all distinguishing words."""
+    def share(window: Column) -> Column:
+        near = F.concat(F.lit(" "), F.array_join(window, " "), F.lit(" "))
+        keyed = _all(F.contains(near, F.lit(f" {key} ")) for key in needed)
+        return F.when(keyed, F.size(F.array_intersect(window, F.array(*map(F.lit, held)))) / len(held))
+
+    return share
+
+
+def _all(conditions) -> Column:
+    out = F.lit(True)
+    for condition in conditions:
+        out = out & condition
+    return out
+
+
 def _count(part: Column) -> Column:
     return F.regexp_count(part, F.lit("[^ ]+")).cast("long")

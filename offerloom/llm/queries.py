@@ -29,6 +29,11 @@ def op4_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan_licenses(documents(spark, sf_dir))
 
 
+def op4_license_statements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Statements wrapped over lines too; op4_licenses keeps the lines and shares of its SQL."""
+    return licenses.license_statements(documents(spark, sf_dir))
+
+
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = quality.score_quality(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return scored.select("doc_id", "held_out", "score", "predicted")
@@ -62,6 +67,7 @@ def op10_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_simhash": op1_simhash, "op2_pieces": op2_pieces, "op3_embeddings": op3_embeddings, "op4_licenses": op4_licenses, "op5_quality": op5_quality, "op6_suffixes": op6_suffixes,
     "op7_lines": op7_lines, "op8_mixing": op8_mixing, "op9_sketches": op9_sketches, "op10_tokens": op10_tokens,
+    "op4_license_statements": op4_license_statements,
 }
 
 _KEY = "trim(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))"

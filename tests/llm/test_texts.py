@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+import textwrap
 import zlib
 from collections import Counter, defaultdict
 
@@ -278,3 +279,20 @@ def test_equal_texts_print_equal_fingerprints(spark):
     printed = [r.p for r in sketches.fingerprints(docs).orderBy("doc_id").select(sketches.printed(F.col("sketch")).alias("p")).collect()]
     assert printed[0] == printed[1] == printed[2] != printed[3] and len(printed[0]) == 3 * 12
     assert hashlib.md5(printed[0].encode()).hexdigest() != hashlib.md5(printed[3].encode()).hexdigest()
+
+
+def test_wrapped_license_statements_get_their_own_label_only(spark):
+    filler = "some words of a document that has nothing to do with it and goes on for a while " * 6
+    texts, want = [], []
+    for label, text in licenses.TEMPLATES:
+        for width, sign in ((72, ""), (72, " * "), (30, "# ")):
+            lines = textwrap.wrap(text, width)
+            texts.append(filler + "\n" + "\n".join(sign + line for line in lines) + "\n" + filler)
+            want.append(label)
+    others = {
+        "Licensed under CC BY 4.0": "", "Licensed under CC BY-NC 4.0.": "cc-by-nc", "released under the same license": "", "": "", "\n\n": "",
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License": "gpl",
+    }
+    rows = {r.doc_id: r for r in licenses.license_statements(table(spark, [*texts, *others, None])).collect()}
+    assert [rows[i].labels for i in range(len(rows))] == [*want, *others.values(), ""]
+    assert all((r.score >= licenses.CONTAINED) == bool(r.labels) for r in rows.values())
