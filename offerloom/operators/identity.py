@@ -166,13 +166,15 @@ def match_locations(candidates: DataFrame, locations: DataFrame, common_share: f
         "status": status, "nearby": nearby})
 
 
-def host_seeds(records: DataFrame, max_urls: int = 3) -> DataFrame:
+def host_seeds(records: DataFrame, max_urls: int | None = None) -> DataFrame:
     """Seed URLs, record count and classes per website host; a shared portal host stays one small row.
 
-    Sets are reduced before they are collected: classes are few, URLs are cut to the first ones.
+    Sets are reduced before they are collected: classes are few, distinct URLs are cut to the first ``max_urls``, if given.
     """
     rows = records.withColumn("host", site_host("website_url")).filter("host IS NOT NULL")
-    first = rows.select("host", "website_url").distinct().withColumn("n", F.row_number().over(_by("host", "website_url"))).filter(F.col("n") <= max_urls)
+    first = rows.select("host", "website_url").distinct()
+    if max_urls is not None:
+        first = first.withColumn("n", F.row_number().over(_by("host", "website_url"))).filter(F.col("n") <= max_urls)
     urls = first.groupBy("host").agg(F.array_sort(F.collect_list("website_url")).alias("seed_urls"))
     per = rows.groupBy("host").agg(F.count_distinct("external_record_id").alias("records"), F.array_sort(F.collect_set("classification")).alias("classifications"))
     return per.join(urls, "host")

@@ -102,12 +102,14 @@ def latest_decision(decisions: DataFrame) -> DataFrame:
         F.max_by("selected_item_id", F.struct("decided_at", "decision_id")).alias("selected_item_id"), F.max("decided_at").alias("decided_at"), F.count(F.lit(1)).alias("decisions"))
 
 
-def review_fingerprint(queries: DataFrame, results: DataFrame, engine: str, max_candidates: int = 20) -> DataFrame:
+def review_fingerprint(queries: DataFrame, results: DataFrame, engine: str, max_candidates: int | None = None) -> DataFrame:
     """Unresolved searches once per (scope, query, candidate fingerprint), with how often they came.
 
-    ``queries``: query_id, scope, query_text. The fingerprint covers the ranked candidates shown.
+    ``queries``: query_id, scope, query_text. The fingerprint covers the ranked candidates shown, all of them unless ``max_candidates`` says otherwise.
     """
-    shown = results.filter(F.col("result_rank") <= max_candidates).groupBy("query_id").agg(
+    if max_candidates is not None:
+        results = results.filter(F.col("result_rank") <= max_candidates)
+    shown = results.groupBy("query_id").agg(
         F.array_sort(F.collect_list(F.struct("result_rank", "item_id", "resolution_status"))).alias("c"), F.count_if(F.col("resolution_status") == "resolved").alias("resolved"))
     rows = queries.join(shown, "query_id", "left").filter("coalesce(resolved, 0) = 0 OR size(c) > 1")
     print_ = F.md5(F.array_join(F.transform(F.coalesce("c", F.array().cast("array<struct<result_rank:int,item_id:string,resolution_status:string>>")), lambda x: F.concat_ws(":", x["item_id"], x["resolution_status"])), ","))
@@ -238,9 +240,10 @@ def review_ledger(expected: DataFrame, applied: DataFrame) -> DataFrame:
     return j.withColumn("state", state)
 
 
-def catalog_lookup(items: DataFrame, names: DataFrame, text: str, limit: int = 50) -> DataFrame:
+def catalog_lookup(items: DataFrame, names: DataFrame, text: str, limit: int | None = None) -> DataFrame:
     """Active items whose name equals or contains the text, exact ones first."""
     wanted = norm_text(F.lit(text))
     rows = names.join(items.filter("status = 'active'").select("item_id"), "item_id", "left_semi").withColumn("nt", norm_text("name")).filter(F.contains("nt", wanted))
     per = best_by(rows, ["item_id"], [F.col("nt") != wanted, F.col("nt")], ["name", (F.col("nt") == wanted).alias("exact")])
-    return per.orderBy(F.desc("exact"), "name", "item_id").limit(limit)
+    ordered = per.orderBy(F.desc("exact"), "name", "item_id")
+    return ordered if limit is None else ordered.limit(limit)

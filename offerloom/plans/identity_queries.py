@@ -66,7 +66,7 @@ def _match(spark, sf):
 
 
 def _hosts(spark, sf):
-    return E.host_seeds(_classified(spark, sf)).select("host", "records", F.array_join("classifications", ",").alias("classifications"), F.array_join("seed_urls", ",").alias("seed_urls"))
+    return E.host_seeds(_classified(spark, sf), max_urls=3).select("host", "records", F.array_join("classifications", ",").alias("classifications"), F.array_join("seed_urls", ",").alias("seed_urls"))
 
 
 def _tables(spark):

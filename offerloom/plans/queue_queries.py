@@ -158,7 +158,7 @@ def _ledger(spark, sf):
 
 
 def _lookup(spark, sf):
-    return Q.catalog_lookup(view(spark, sf, "items"), view(spark, sf, "names"), "Gear")
+    return Q.catalog_lookup(view(spark, sf, "items"), view(spark, sf, "names"), "Gear", limit=50)
 
 
 QUERIES = {

@@ -300,6 +300,21 @@ def test_split_hot_group_keeps_every_duplicate_verdict(spark):
     assert {r.parse_status: r["count"] for r in got} == {"parsed": 2001, "invalid": 999}
 
 
+def test_limits_default_to_all_rows(spark):
+    from offerloom.operators import identity, normqueue
+    urls = [f"https://portal.example.com/{i:02d}" for i in range(60)]
+    records = spark.createDataFrame([(str(i), u, "lab") for i, u in enumerate(urls)], "external_record_id string, website_url string, classification string")
+    assert identity.host_seeds(records).first().seed_urls == urls and identity.host_seeds(records, 3).first().seed_urls == urls[:3]
+    items = spark.createDataFrame([(str(i), "active", f"gear {i}") for i in range(60)], "item_id string, status string, name string")
+    lookup = lambda *limit: normqueue.catalog_lookup(items.select("item_id", "status"), items.select("item_id", "name"), "gear", *limit).count()
+    assert (lookup(), lookup(50)) == (60, 50)
+    queries = spark.createDataFrame([(1, "all", "gear"), (2, "all", "gear")], "query_id int, scope string, query_text string")
+    results = spark.createDataFrame([(q, r, f"{r}" if r < 25 else f"{r}-{q}", "ambiguous") for q in (1, 2) for r in range(1, 26)],
+                                    "query_id int, result_rank int, item_id string, resolution_status string")
+    groups = lambda *limit: normqueue.review_fingerprint(queries, results, "v6", *limit).count()
+    assert (groups(), groups(20)) == (2, 1)
+
+
 def test_page_prices_are_found_however_far_they_stand(spark):
     gap, long_name = "relleno " * 100, "Biometría hemática " + "muy completa " * 20
     far = f"<h1>Examen de orina</h1><p>{gap}</p><p>Precio $120.00</p>"
