@@ -7,7 +7,7 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from offerloom.llm import embeddings, licenses, lines, mixing, pieces, quality, simhash, sketches, suffixes, token_files
+from offerloom.llm import bpe, embeddings, licenses, lines, mixing, pieces, quality, simhash, sketches, suffixes, token_files
 from offerloom.llm.common import documents
 
 
@@ -64,10 +64,17 @@ def op10_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.token_table(documents(spark, sf_dir))
 
 
+def op13_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    encoded = bpe.encode_bpe(documents(spark, sf_dir), with_text=True)
+    return encoded.select(
+        "doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
+        F.sha2("text", 256).alias("decoded_sha256"))
+
+
 QUERIES = {
     "op1_simhash": op1_simhash, "op2_pieces": op2_pieces, "op3_embeddings": op3_embeddings, "op4_licenses": op4_licenses, "op5_quality": op5_quality, "op6_suffixes": op6_suffixes,
     "op7_lines": op7_lines, "op8_mixing": op8_mixing, "op9_sketches": op9_sketches, "op10_tokens": op10_tokens,
-    "op4_license_statements": op4_license_statements,
+    "op4_license_statements": op4_license_statements, "op13_bpe": op13_bpe,
 }
 
 _KEY = "trim(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))"

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 import zlib
 from functools import lru_cache
 
@@ -13,16 +12,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from offerloom.llm.common import fits_broadcast, pick, shared_folder, sliced
+from offerloom.llm.common import fits_broadcast, pick, rest, shared_folder, sliced
+from offerloom.llm.parts import Parts
 
 VOCABULARY, END_ID = public_tokenizers.path("byte_bpe_50k.json"), 2
 #: A block is closed once it holds this many ids; blocks hold whole documents.
 BLOCK_IDS = 1 << 16
-#: Entries of the cache of a Python worker; a full cache is emptied.
-CACHED = 800_000
-#: How byte-level vocabularies write the byte of a space.
-BYTE_SPACE = "\u0120"
-_TWO_BLANKS = re.compile(r"\s\s").search
+#: How byte-level vocabularies write the bytes of a space and of a newline.
+BYTE_BLANKS = ("\u0120", "\u010a")
 BLOCKS = "shard int, block int, first_id long, n_ids long, width int, doc_ids array<bigint>, lengths array<bigint>, payload binary"
 
 
@@ -63,72 +60,21 @@ def unpack(payload: bytes, width: int, start: int, n: int) -> np.ndarray:
     return ((words >> shift) & np.uint64((1 << width) - 1)).astype(np.uint32)
 
 
-class CachedEncoder:
-    """Library ids of whole texts, each distinct part between spaces encoded once per worker.
-
-    A byte-level vocabulary never merges across the words of its splitting pattern, and a single
-    space between two other characters always starts a word. So texts are cut there, new parts are
-    encoded together as one text with a space before each, and its ids are cut before every id that
-    starts with a space. Texts with two white spaces in a row, white space at an end or special tokens
-    go to the library as they are.
-    """
+@lru_cache(maxsize=2)
+def encoder(path: str) -> Parts:
+    """Library ids of whole texts, each distinct part between spaces encoded once per worker."""
+    from tokenizers import Tokenizer
 
-    def __init__(self, path: str):
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        size = self.tokenizer.get_vocab_size()
-        self.opens = np.array([(self.tokenizer.id_to_token(i) or "").startswith(BYTE_SPACE) for i in range(size)])
-        self.known: dict[str, bytes] = {}
-
-    def _library(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _learn(self, parts: list[str]) -> None:
-        for at in range(0, len(parts), 20_000):
-            new = parts[at:at + 20_000]
-            raw = self._library([" " + " ".join(new)])[0]
-            starts = (np.flatnonzero(self.opens[np.frombuffer(raw, "<u4")]) * 4).tolist()
-            self.known.update(zip(new, [raw[a:b] for a, b in zip(starts, [*starts[1:], len(raw)])], strict=True))
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Little-endian 32-bit ids of each text."""
-        if len(self.known) > CACHED:
-            self.known.clear()
-        out: list[bytes] = [b""] * len(texts)
-        whole, cut, heads = [], [], []
-        for i, text in enumerate(texts):
-            if text and (text[0].isspace() or text[-1].isspace() or any(s in text for s in self.special)):
-                whole.append(i)
-            elif text:
-                parts = text.split(" ")
-                heads.append(parts.pop(0))
-                cut.append((i, parts))
-        missing = set().union(*(parts for _, parts in cut)).difference(self.known)
-        odd = {h for h in heads if h[-1].isspace()}
-        if "" in missing or _TWO_BLANKS(" ".join(missing)):  # white space beside a cut; such a part is never kept
-            odd.update(p for p in missing if not p or p[0].isspace() or p[-1].isspace() or _TWO_BLANKS(p))
-        if odd:
-            missing -= odd
-            plain = [(c, h) for c, h in zip(cut, heads) if h not in odd and odd.isdisjoint(c[1])]
-            kept = {c[0] for c, _ in plain}
-            whole += [i for i, _ in cut if i not in kept]
-            cut, heads = [c for c, _ in plain], [h for _, h in plain]
-        self._learn(list(missing))
-        get = self.known.__getitem__
-        for (i, parts), head in zip(cut, self._library(heads)):
-            out[i] = head + b"".join(map(get, parts))
-        for i, raw in zip(whole, self._library([texts[i] for i in whole])):
-            out[i] = raw
-        for part in [p for p in missing if "\n" in p]:  # hardly ever met again
-            del self.known[part]
-        return out
+    tokenizer = Tokenizer.from_file(path)
+    tokenizer.no_truncation()
+    tokenizer.no_padding()
 
+    def encode(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        found = [np.array(e.ids, np.uint32) for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        return np.concatenate([*found, np.empty(0, np.uint32)]), np.array([len(f) for f in found], np.int64)
 
-@lru_cache(maxsize=2)
-def encoder(path: str) -> CachedEncoder:
-    return CachedEncoder(path)
+    tokens = [tokenizer.id_to_token(i) or "" for i in range(tokenizer.get_vocab_size())]
+    return Parts(encode, np.array([t[:1] in BYTE_BLANKS for t in tokens]), [t.content for t in tokenizer.get_added_tokens_decoder().values()])
 
 
 @lru_cache(maxsize=2)
@@ -153,31 +99,35 @@ def write_token_files(docs: DataFrame, folder: str, path: str = VOCABULARY, end_
     spark = docs.sparkSession
     ranges = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
     width = bits_for(max(vocabulary_size(path), end_id + 1))
-    end = np.array([end_id], "<u4").tobytes()
 
     def run(batches):
         shard, block, first = TaskContext.get().partitionId(), 0, 0
-        ids, held, lengths, doc_ids = [], 0, [], []
+        ids, lengths, doc_ids, held = [], [], [], 0  # of the block that is open
 
         def closed():
-            flat = np.frombuffer(b"".join(ids), "<u4")
+            flat = np.concatenate(ids)
             return pa.RecordBatch.from_pydict({
                 "shard": pa.array([shard], pa.int32()), "block": pa.array([block], pa.int32()), "first_id": [first], "n_ids": [len(flat)],
-                "width": pa.array([width], pa.int32()), "doc_ids": pa.array([doc_ids], pa.list_(pa.int64())),
-                "lengths": pa.array([lengths], pa.list_(pa.int64())), "payload": pa.array([pack(flat, width)], pa.binary())})
-
-        for part in sliced(batches, chars="text", limit=4 << 20):
-            found = encoder(path).encode([t or "" for t in part.column("text").to_pylist()])
-            for doc_id, raw in zip(part.column("doc_id").to_pylist(), found):
-                ids += (raw, end)
-                lengths.append(len(raw) // 4 + 1)
-                doc_ids.append(doc_id)
-                held += lengths[-1]
+                "width": pa.array([width], pa.int32()), "doc_ids": pa.array([pa.concat_arrays(doc_ids)], pa.list_(pa.int64())),
+                "lengths": pa.array([np.concatenate(lengths)], pa.list_(pa.int64())), "payload": pa.array([pack(flat, width)], pa.binary())})
+
+        for part in sliced(batches, rows=20_000, chars="text", limit=6 << 20):
+            flat, counts = encoder(path).encode(part.column("text"))
+            flat = np.insert(flat, np.cumsum(counts), end_id)
+            ends, at = np.cumsum(counts + 1), 0
+            while at < len(ends):
+                before = ends[at - 1] if at else 0
+                last = min(int(np.searchsorted(ends, before + BLOCK_IDS - held)), len(ends) - 1)
+                ids.append(flat[before:ends[last]])
+                lengths.append(counts[at:last + 1] + 1)
+                doc_ids.append(part.column("doc_id").slice(at, last + 1 - at))
+                held, at = held + int(ends[last] - before), last + 1
                 if held >= BLOCK_IDS:
                     yield closed()
-                    block, first, ids, held, lengths, doc_ids = block + 1, first + held, [], 0, [], []
+                    block, first, ids, lengths, doc_ids, held = block + 1, first + held, [], [], [], 0
         if held:
             yield closed()
+        rest()
 
     rows = pick(docs, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long"))
     dealt = rows.repartitionByRange(ranges, "doc_id").sortWithinPartitions("doc_id", "text")

@@ -10,10 +10,11 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from helpers import prose, table
 
-from offerloom.llm import licenses, mixing, pieces, sketches, token_files
+from offerloom.llm import licenses, mixing, parts, pieces, sketches, token_files
 
 ALPHABETS = ["abcdefghijklmnop etaoins   ", "the and ing tion . , ! ? 12 340 ", "éü漢字 あ ñ ç ß😀\n\t  ", "aaaa    ", "thereandinghoustion"]
 
@@ -105,12 +106,12 @@ def test_token_files_hold_the_library_ids(spark, tmp_path, monkeypatch):
 
 
 def test_token_files_of_a_small_cache_null_ids_and_no_rows(spark, monkeypatch):
-    coder = token_files.CachedEncoder(token_files.VOCABULARY)
-    monkeypatch.setattr(token_files, "CACHED", 3)
-    texts = [t or "" for t in prose(7, 20)]
+    monkeypatch.setattr(parts, "CACHED", 3)
+    library, texts = Tokenizer.from_file(token_files.VOCABULARY), prose(7, 20)
+    want = [library.encode(t or "", add_special_tokens=False).ids for t in texts]
     for _ in range(2):
-        want = [coder.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
-        assert [np.frombuffer(x, "<u4").tolist() for x in coder.encode(texts)] == want
+        flat, counts = token_files.encoder(token_files.VOCABULARY).encode(pa.array(texts))
+        assert [x.tolist() for x in np.split(flat, np.cumsum(counts)[:-1])] == want
     assert token_files.token_table(table(spark, [])).count() == 0
     got = token_files.token_table(table(spark, ["b", None, "b"], ids=[3, None, 3])).collect()
     assert sorted((r.start, r.doc_id, r.n_tokens) for r in got) == [(0, None, 1), (1, 3, 2), (3, 3, 2)]
