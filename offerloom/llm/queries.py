@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import re
+import zlib
 
-from pyspark.sql import DataFrame, SparkSession
+import numpy as np
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from offerloom.llm import bpe, embeddings, licenses, lines, mixing, pieces, quality, simhash, sketches, suffixes, token_files
+from offerloom.llm import bpe, embeddings, licenses, lines, mixing, periods, pieces, quality, simhash, sketches, spelling, suffixes, token_files
 from offerloom.llm.common import documents
 
 
@@ -64,6 +66,37 @@ def op10_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.token_table(documents(spark, sf_dir))
 
 
+def _repeated_tail(doc_id: int | None, n: int) -> np.ndarray | None:
+    """Of one document in ten: a tail of words that repeats its first part three times or more."""
+    h = 1 if doc_id is None else zlib.crc32(str(doc_id).encode())
+    if h % 10 or not n:
+        return None
+    a, times = h // 10 % n, 3 + h // 10 % 8
+    places = np.arange(n)
+    return np.where(places < a, places, a + (places - a) % (1 + (n - a) // times))
+
+
+def op11_periods(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periods.periodic_runs(documents(spark, sf_dir), edit=_repeated_tail)
+    found = found.select("doc_id", "runs", "collapsed", periods.greatest(F.col("runs")).alias("best"))
+    lines = F.transform("runs", lambda r: F.format_string("%d,%d,%d\n", r["start"], r["length"], r["period"]))
+    return found.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period",
+        F.expr("1000 * best.length div best.period").alias("exponent_milli"),
+        F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+
+
+def _misspelled(doc_id: Column, run: Column) -> Column:
+    """One run in 31 without one of its characters."""
+    h = F.crc32(F.encode(F.concat(doc_id.cast("string"), F.lit(":"), run), "UTF-8"))
+    at = F.pmod(h, F.length(run)).cast("int")
+    return F.when(h % 31 == 0, F.concat(F.substring(run, F.lit(1), at), F.substring(run, at + 2, F.length(run)))).otherwise(run)
+
+
+def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_forms(spelling.word_table(documents(spark, sf_dir), edit=_misspelled))
+
+
 def op13_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     encoded = bpe.encode_bpe(documents(spark, sf_dir), with_text=True)
     return encoded.select(
@@ -74,7 +107,7 @@ def op13_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_simhash": op1_simhash, "op2_pieces": op2_pieces, "op3_embeddings": op3_embeddings, "op4_licenses": op4_licenses, "op5_quality": op5_quality, "op6_suffixes": op6_suffixes,
     "op7_lines": op7_lines, "op8_mixing": op8_mixing, "op9_sketches": op9_sketches, "op10_tokens": op10_tokens,
-    "op4_license_statements": op4_license_statements, "op13_bpe": op13_bpe,
+    "op4_license_statements": op4_license_statements, "op11_periods": op11_periods, "op12_spelling": op12_spelling, "op13_bpe": op13_bpe,
 }
 
 _KEY = "trim(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))"
