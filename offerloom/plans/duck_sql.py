@@ -49,5 +49,5 @@ def string_list(words) -> str:
 
 
 def haversine(lat1, lon1, lat2, lon2) -> str:
-    return (f"2 * 6371000.0 * asin(sqrt(least(1.0, pow(sin(radians({lat2} - {lat1}) / 2), 2) + cos(radians({lat1})) * cos(radians({lat2})) "
-            f"* pow(sin(radians({lon2} - {lon1}) / 2), 2))))")
+    h = f"pow(sin(radians({lat2} - {lat1}) / 2), 2) + cos(radians({lat1})) * cos(radians({lat2})) * pow(sin(radians({lon2} - {lon1}) / 2), 2)"
+    return f"2 * 6371000.0 * asin(sqrt(CASE WHEN {lat1} + {lon1} + {lat2} + {lon2} IS NOT NULL THEN least(1.0, {h}) END))"

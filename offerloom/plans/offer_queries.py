@@ -161,13 +161,17 @@ def _package_offers(spark, sf):
         "item_id", "offer_id", "location_id", "scope_id", "price_type", "price_key", "amount_minor", "requires_quote")
 
 
+#: What a plan of the registered queries may visit: a trip of three branches is the feature; the planner's own default is any number.
+BRANCHES_PER_PLAN = 3
+
+
 def _plan(objective):
     def run(spark, sf):
         best = P.best_branch_offer(view(spark, sf, "branch_offers"))
-        plans = P.plan_packages(view(spark, sf, "requests"), best, objective)
+        plans = P.plan_packages(view(spark, sf, "requests"), best, objective, max_branches=BRANCHES_PER_PLAN)
         chosen = F.transform("selected_offers", lambda o: F.concat_ws("@", o["offer_id"], o["location_id"]))
         return plans.withColumns({
-            "chosen_offers": F.array_join(chosen, "|"), "missing_items": F.size("missing_item_indexes").cast("bigint")}).drop(
+            "chosen_offers": F.array_join(chosen, "|"), "missing_items": F.array_join("missing_item_indexes", ",")}).drop(
             "selected_offers", "missing_item_indexes")
     return run
 
@@ -248,27 +252,27 @@ def _plan_sql(order: str) -> str:
     SELECT r.request_id, r.item_index, b.*, round({D.haversine('b.lat', 'b.lon', 'r.lat', 'r.lon')}, 3) AS dist FROM requests r JOIN pick b ON b.item_id = r.item_id),
   branch AS (
     SELECT request_id, location_id, bit_or(1::HUGEINT << item_index::INT) AS mask, count(*) AS covered, min(dist) AS dist, min(provider_name || '|' || location_name) AS label
-    FROM cells GROUP BY request_id, location_id
-    QUALIFY row_number() OVER (PARTITION BY request_id ORDER BY count(*) DESC, min(dist), min(provider_name || '|' || location_name), location_id) <= 40),
+    FROM cells GROUP BY request_id, location_id),
   ranked AS (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY covered DESC, dist, label, location_id) AS rk FROM branch),
   sets AS (
     SELECT request_id, location_id AS a, NULL::VARCHAR AS b, NULL::VARCHAR AS c, bit_count(mask) AS cov, 1 AS size, dist, location_id AS ids FROM ranked
     UNION ALL SELECT x.request_id, x.location_id, y.location_id, NULL, bit_count(x.mask | y.mask), 2, greatest(x.dist, y.dist), x.location_id || '|' || y.location_id FROM ranked x JOIN ranked y ON y.request_id = x.request_id AND y.rk > x.rk
     UNION ALL SELECT x.request_id, x.location_id, y.location_id, z.location_id, bit_count(x.mask | y.mask | z.mask), 3, greatest(x.dist, y.dist, z.dist), x.location_id || '|' || y.location_id || '|' || z.location_id
       FROM ranked x JOIN ranked y ON y.request_id = x.request_id AND y.rk > x.rk JOIN ranked z ON z.request_id = x.request_id AND z.rk > y.rk),
-  tops AS (SELECT request_id, list_sort(list(cov), 'DESC')[3] AS third, min(cov) AS least FROM sets GROUP BY request_id),
+  tops AS (SELECT request_id, max(cov, 3)[3] AS third, min(cov) AS least FROM sets GROUP BY request_id),
   kept AS (SELECT s.* FROM sets s JOIN tops t USING (request_id) WHERE s.cov >= coalesce(t.third, t.least)),
   chosen AS (
     SELECT k.request_id, k.ids, c.item_index,
            min(struct_pack(q := c.requires_quote OR c.amount_minor IS NULL, m := c.amount_minor IS NULL, amt := coalesce(c.amount_minor, 0), nm := c.provider_name || '|' || c.offer_id, oid := c.offer_id, loc := c.location_id)) AS best
     FROM kept k JOIN cells c ON c.request_id = k.request_id AND c.location_id IN (k.a, k.b, k.c) GROUP BY k.request_id, k.ids, c.item_index),
-  priced AS (SELECT request_id, ids, bool_or(best.q) AS quoted, sum(best.amt) AS amt, string_agg(best.oid || '@' || best.loc, '|' ORDER BY item_index) AS chosen_offers FROM chosen GROUP BY request_id, ids),
+  priced AS (SELECT request_id, ids, bool_or(best.q) AS quoted, sum(best.amt) AS amt, string_agg(best.oid || '@' || best.loc, '|' ORDER BY item_index) AS chosen_offers, list(item_index) AS held FROM chosen GROUP BY request_id, ids),
   solutions AS (
-    SELECT k.request_id, k.ids AS location_ids, k.cov, k.size, k.dist, n.n, p.quoted OR k.cov < n.n AS requires_quote, CASE WHEN k.cov = n.n AND NOT p.quoted THEN p.amt::BIGINT END AS total, p.chosen_offers
+    SELECT k.request_id, k.ids AS location_ids, k.cov, k.size, k.dist, n.n, p.quoted OR k.cov < n.n AS requires_quote, CASE WHEN k.cov = n.n AND NOT p.quoted THEN p.amt::BIGINT END AS total, p.chosen_offers, p.held
     FROM kept k JOIN priced p ON p.request_id = k.request_id AND p.ids = k.ids JOIN need n ON n.request_id = k.request_id),
   final AS (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY cov DESC, {order}, location_ids) AS solution_rank FROM solutions)
   SELECT request_id, solution_rank, location_ids, cov::BIGINT AS coverage_count, size::BIGINT AS location_count, total AS total_amount_minor, requires_quote, dist AS distance_meters,
-         n AS requested_count, round(cov::DOUBLE / n * 100, 2) AS coverage_percent, chosen_offers, n - cov AS missing_items, CASE WHEN total IS NOT NULL THEN 'MXN' END AS currency FROM final WHERE solution_rank <= 3"""
+         n AS requested_count, round(cov::DOUBLE / n * 100, 2) AS coverage_percent, chosen_offers,
+         (SELECT coalesce(string_agg(r.item_index::VARCHAR, ',' ORDER BY r.item_index), '') FROM requests r WHERE r.request_id = final.request_id AND NOT list_contains(held, r.item_index)) AS missing_items, CASE WHEN total IS NOT NULL THEN 'MXN' END AS currency FROM final WHERE solution_rank <= 3"""
 
 
 _PRICED = """

@@ -2,8 +2,10 @@
 
 import datetime as dt
 import itertools
+import math
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from offerloom.operators import blocking as B, identity as E, normqueue as Q, offers as O, orders as OR, packages as P, quality as V, resolve as R, suggest as S
@@ -88,70 +90,94 @@ def test_prices_inherit_and_windows_cross_midnight(spark):
     assert got == {"day": 100, "night": 90, "sat": 80, "mon": 100}
 
 
-def brute_plan(items, branches, objective, top):
-    """All sets of up to three branches, scored the slow way."""
+def brute_plan(items, branches, objective, top, most=3):
+    """All sets of up to ``most`` branches, scored the slow way."""
     def key(o):
         missing = o[1] is None or o[2]
         return (missing, o[1] is None, o[1] or 0, o[3])
     best = []
-    for size in (1, 2, 3):
+    for size in range(1, most + 1):
         for chosen in itertools.combinations(branches, size):
             picked = [min((b["offers"][i] for b in chosen if i in b["offers"]), key=key, default=None) for i in items]
             found = [p for p in picked if p]
             quoted = any(p[1] is None or p[2] for p in found)
-            total = sum(p[1] for p in found) if len(found) == len(items) and not quoted else None
-            reach = max(b["d"] for b in chosen)
-            cost, far = (float("inf") if total is None else total), reach
+            one = len({p[4] for p in found} - {None}) == 1
+            total = sum(p[1] for p in found) if len(found) == len(items) and not quoted and one else None
+            reach = max((b["d"] for b in chosen if b["d"] is not None), default=None)
+            cost, far = (float("inf") if total is None else total), (float("inf") if reach is None else reach)
             order = {"lowest_cost": (cost, size, cost), "balanced": (far, size, cost), "nearest": (far, size, cost), "all_in_one": (size, far, cost)}[objective]
             best.append(((-len(found), *order, "|".join(b["id"] for b in chosen)), "|".join(b["id"] for b in chosen), len(found), total))
     return [b[1:] for b in sorted(best)[:top]]
 
 
-def test_planner_equals_brute_force(spark):
-    rng = random.Random(5)
+REQUEST = "request_id string, item_index int, item_id string, lat double, lon double"
+BRANCH_OFFER = ("item_id string, location_id string, offer_id string, provider_name string, location_name string, lat double, lon double, "
+                "amount_minor bigint, currency string, requires_quote boolean")
+
+
+def planner_case(spark, rng, baskets, items, branches, share, mixed=False):
+    """Random baskets as requests, offers, and what the brute force needs, branches in rank order."""
+    requests, offers, expected = [], [], {}
+    for r in range(baskets):
+        n_items, n_branches, mine_all = rng.randint(1, items), rng.randint(1, branches), []
+        for b in range(n_branches):
+            lat = None if rng.random() < 0.1 else 19 + rng.randint(0, 30) / 100
+            mine = {}
+            for i in range(1, n_items + 1):
+                if rng.random() < share:
+                    amount = None if rng.random() < 0.15 else rng.randint(1, 9) * 100
+                    mine[i] = (f"i{r}_{i}", amount, rng.random() < 0.1, f"prov{b}|o{r}_{i}_{b}", rng.choice(["MXN", "USD", None]) if mixed else "MXN")
+                    offers.append((f"i{r}_{i}", f"l{r}_{b}", f"o{r}_{i}_{b}", f"prov{b}", f"name{b}", lat, -98.0, amount, mine[i][4], mine[i][2]))
+            if mine:
+                d = None if lat is None else round(2 * 6371000.0 * math.asin(math.sqrt(math.sin(math.radians(19.0 - lat) / 2) ** 2)), 3)
+                mine_all.append({"id": f"l{r}_{b}", "d": d, "offers": mine, "label": f"prov{b}|name{b}"})
+        requests += [(f"r{r}", i, f"i{r}_{i}", 19.0, -98.0) for i in range(1, n_items + 1)]
+        mine_all.sort(key=lambda b: (-len(b["offers"]), b["d"] is None, b["d"] or 0, b["label"], b["id"]))
+        expected[f"r{r}"] = (n_items, mine_all)
+    return spark.createDataFrame(requests, REQUEST), P.best_branch_offer(spark.createDataFrame(offers, BRANCH_OFFER)), expected
+
+
+@pytest.mark.parametrize("baskets,items,branches,share,most", [(8, 4, 6, 0.6, 3), (8, 5, 7, 0.3, None), (5, 3, 9, 0.8, None), (4, 9, 9, 0.25, None), (3, 6, 20, 0.3, 4)])
+def test_planner_equals_brute_force(spark, baskets, items, branches, share, most):
+    rng = random.Random(baskets * 100 + items)
     for objective in P.OBJECTIVES:
-        requests, offers, expected = [], [], {}
-        for r in range(6):
-            n_items, n_branches = rng.randint(1, 4), rng.randint(1, 6)
-            branches = []
-            for b in range(n_branches):
-                lat = 19 + rng.random()
-                mine = {}
-                for i in range(1, n_items + 1):
-                    if rng.random() < 0.6:
-                        amount = None if rng.random() < 0.15 else rng.randint(1, 9) * 100
-                        mine[i] = (f"i{r}_{i}", amount, rng.random() < 0.1, f"prov{b}|o{r}_{i}_{b}")
-                        offers.append((f"i{r}_{i}", f"l{r}_{b}", f"o{r}_{i}_{b}", f"prov{b}", f"name{b}", lat, -98.0, amount, "MXN", mine[i][2]))
-                if mine:
-                    branches.append({"id": f"l{r}_{b}", "lat": lat, "offers": mine})
-            requests += [(f"r{r}", i, f"i{r}_{i}", 19.0, -98.0) for i in range(1, n_items + 1)]
-            expected[f"r{r}"] = (n_items, branches)
-        req = spark.createDataFrame(requests, "request_id string, item_index int, item_id string, lat double, lon double")
-        table = spark.createDataFrame(offers, "item_id string, location_id string, offer_id string, provider_name string, location_name string, lat double, lon double, amount_minor bigint, currency string, requires_quote boolean")
-        best = P.best_branch_offer(table)
-        ranks = {(r.location_id): (r.branch_rank, r.distance_meters) for r in P.candidate_branches(req, best)[1].collect()}
+        req, best, expected = planner_case(spark, rng, baskets, items, branches, share, mixed=rng.random() < 0.3)
         got = {}
-        for row in P.plan_packages(req, best, objective).orderBy("request_id", "solution_rank").collect():
+        for row in P.plan_packages(req, best, objective, max_branches=most).orderBy("request_id", "solution_rank").collect():
             got.setdefault(row.request_id, []).append((row.location_ids, row.coverage_count, row.total_amount_minor))
-        for request, (n_items, branches) in expected.items():
-            for b in branches:
-                b["d"] = ranks[b["id"]][1]
-            branches.sort(key=lambda b: ranks[b["id"]][0])
-            assert got.get(request, []) == brute_plan(range(1, n_items + 1), branches, objective, 3), (objective, request)
+        for request, (n_items, found) in expected.items():
+            want = brute_plan(range(1, n_items + 1), found, objective, 3, min(len(found), most or len(found)))
+            assert got.get(request, []) == want, (objective, request)
 
 
-def test_planner_of_seventy_items_and_more_branches_than_the_default(spark):
+def test_planner_sees_every_branch_and_sets_of_five(spark):
+    """Sixty branches: the cheapest one ranks last, and the five items have one branch each."""
+    requests = [("one", 1, "x", 19.0, -98.0)] + [("five", i, f"f{i}", 19.0, -98.0) for i in range(1, 6)]
+    offers = [("x", f"l{i:02d}", f"o{i}", "p", f"n{i:02d}", 19.0 + i / 100, -98.0, 1000 - i, "MXN", False) for i in range(60)]
+    offers += [(f"f{i}", f"l{i:02d}", f"g{i}", "p", f"n{i:02d}", 19.0 + i / 100, -98.0, 50 + i, "MXN", False) for i in range(1, 6)]
+    req, best = spark.createDataFrame(requests, REQUEST), P.best_branch_offer(spark.createDataFrame(offers, BRANCH_OFFER))
+    for objective in P.OBJECTIVES:
+        top = {r.request_id: r for r in P.plan_packages(req, best, objective).filter("solution_rank = 1").collect()}
+        assert (top["five"].coverage_count, top["five"].location_count, top["five"].total_amount_minor) == (5, 5, 265)
+        assert top["one"].location_ids == ("l59" if objective == "lowest_cost" else "l00")
+    short = P.plan_packages(req, best, "lowest_cost", max_branches=3).filter("solution_rank = 1 AND request_id = 'five'").first()
+    assert short.coverage_count == 3 and len(short.missing_item_indexes) == 2 and short.total_amount_minor is None and short.requires_quote
+    empty = P.plan_packages(req.limit(0), best)
+    assert empty.count() == 0 and P.plan_packages(req, best.limit(0)).count() == 0
+
+
+def test_planner_of_seventy_items(spark):
     requests = [("r", i, f"i{i}", 19.0, -98.0) for i in range(1, 71)]
     offers = [(f"i{i}", f"l{i % 45:02d}", f"o{i}", "p", f"n{i % 45}", 19.0 + (i % 45) / 100, -98.0, i * 100, "MXN", False) for i in range(1, 71)]
-    req = spark.createDataFrame(requests, "request_id string, item_index int, item_id string, lat double, lon double")
-    table = spark.createDataFrame(offers, "item_id string, location_id string, offer_id string, provider_name string, location_name string, lat double, lon double, amount_minor bigint, currency string, requires_quote boolean")
-    best = P.best_branch_offer(table)
-    top = P.plan_packages(req, best, max_branches=2, max_locations=None).filter("solution_rank = 1").first()
+    req, best = spark.createDataFrame(requests, REQUEST), P.best_branch_offer(spark.createDataFrame(offers, BRANCH_OFFER))
+    top = P.plan_packages(req, best, max_branches=2).filter("solution_rank = 1").first()
     assert top.coverage_count == 4 and top.location_ids == "l01|l02" and len(top.missing_item_indexes) == 66 and top.currency is None
     assert [(o.item_index, o.offer_id, o.location_id, o.amount_minor) for o in top.selected_offers] == [
         (1, "o1", "l01", 100), (2, "o2", "l02", 200), (46, "o46", "l01", 4600), (47, "o47", "l02", 4700)]
     whole = P.plan_packages(spark.createDataFrame(requests[:1], req.schema), best).first()
     assert whole.currency == "MXN" and whole.missing_item_indexes == [] and whole.total_amount_minor == 100
+    every = P.plan_packages(req, best, "all_in_one").filter("solution_rank = 1").first()
+    assert every.coverage_count == 70 and every.location_count == 45
 
 
 def test_price_history_across_chunks_and_increment(spark):
