@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.hygiene import site_host
 from ..functions.numbers import haversine_m
 from ..functions.text import VENUE_WORDS, branch_similarity, meaningful_tokens, norm_text, repair_text
+from ..session import cut_lineage
 from .offers import best_by
+from .spatial import nearest
 
 # Activities that are, or may be, diagnostic, and words that hint at one.
 DIRECT_ACTIVITY = "laboratorios medicos y de diagnostico del sector privado"
@@ -17,8 +17,8 @@ RELATED_ACTIVITIES = ["laboratorios de pruebas", "consultorios dentales del sect
 RELATED_WORDS = ["radiologia", "ultrasonido", "imagenologia", "medicina nuclear"]
 # Weights and distances of the branch match.
 W_NAME, W_POSTAL, W_DISTANCE, FAR_M, STRONG_M, SAME_POSTAL_M, REVIEW_M = 0.55, 0.25, 0.20, 1000.0, 350.0, 100.0, 1000.0
-# a 0.02 degree cell is over a kilometre wide up to 60 degrees of latitude
-CELL = 0.02
+#: Names of more common words than this are compared word by word, since the subsets of their words are too many.
+SUBSET_WORDS = 6
 
 
 def classify_census(records: DataFrame) -> DataFrame:
@@ -68,85 +68,64 @@ def brand_signal(records: DataFrame, rules: list[tuple[str, str, str | None, str
     return records.withColumn("brand_match", signal)
 
 
-def _cells(lat: Column, lon: Column, around: bool) -> Column:
-    """Grid cells of a point; with ``around`` also the neighbours (longitude cells widen away from the equator)."""
-    row = F.floor(lat / CELL)
-    width = CELL / F.cos(F.radians((row + F.when(row >= 0, 2).otherwise(-1)) * CELL))
-    steps = (-1, 0, 1) if around else (0,)
-    cells = []
-    for d in steps:
-        band = row + d
-        w = CELL / F.cos(F.radians((band + F.when(band >= 0, 2).otherwise(-1)) * CELL)) if around else width
-        for e in steps:
-            cells.append(F.struct(band.alias("row"), (F.floor(lon / w) + e).alias("col")))
-    return F.array(*cells)
+def _subsets(words: Column) -> Column:
+    """All subsets of a sorted array of words, each joined to a key; the empty one is the empty string."""
+    sets = F.aggregate(words, F.array(F.array().cast("array<string>")), lambda acc, w: F.concat(acc, F.transform(acc, lambda s: F.concat(s, F.array(w)))))
+    return F.transform(sets, lambda s: F.array_join(s, " "))
 
 
-def _nearest_of_class(candidates: DataFrame, classes: DataFrame, block: int = 2048) -> DataFrame:
-    """(candidate_id, location_id): the nearest branch of every class of the candidate's brand.
-
-    Candidates of a brand are cut into blocks by hash, so a large brand is many tasks of bounded
-    size, each with the brand's branches; distances are matrices, never rows. Equal distances go to
-    the lowest branch id.
-    """
-    sizes = candidates.groupBy("brand_key").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"))
-    left = candidates.join(sizes, "brand_key").withColumn("block", F.pmod(F.xxhash64("candidate_id"), F.col("blocks")).cast("int")).drop("blocks")
-    right = classes.withColumn("cls", F.concat_ws(" ", F.array_join("shared", " "), F.col("len").cast("string"))).join(sizes, "brand_key").select(
-        "brand_key", "location_id", "cls", "plat", "plon", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
-
-    def nearest(cand: pd.DataFrame, branches: pd.DataFrame) -> pd.DataFrame:
-        lat, lon = (np.radians(cand[x].to_numpy(float))[:, None] for x in ("clat", "clon"))
-        out = [pd.DataFrame({"candidate_id": cand["candidate_id"].iloc[:0], "location_id": branches["location_id"].iloc[:0]})]
-        for _, part in branches.sort_values("location_id").groupby("cls"):
-            best, found = np.full(len(cand), np.inf), np.zeros(len(cand), int)
-            for at in range(0, len(part), block):
-                plat, plon = (np.radians(part[x].to_numpy(float)[at:at + block])[None, :] for x in ("plat", "plon"))
-                arc = np.sin((plat - lat) / 2) ** 2 + np.cos(lat) * np.cos(plat) * np.sin((plon - lon) / 2) ** 2
-                here = arc.argmin(axis=1)
-                least = arc[np.arange(len(cand)), here]
-                found, best = np.where(least < best, here + at, found), np.minimum(best, least)
-            out.append(pd.DataFrame({"candidate_id": cand["candidate_id"].to_numpy(), "location_id": part["location_id"].to_numpy()[found]}))
-        return pd.concat(out)
-
-    kinds = [f"{n} {d.schema[n].dataType.simpleString()}" for d, n in ((candidates, "candidate_id"), (classes, "location_id"))]
-    return left.groupBy("brand_key", "block").cogroup(right.groupBy("brand_key", "block")).applyInPandas(nearest, ", ".join(kinds))
-
-
-def match_locations(candidates: DataFrame, locations: DataFrame, common_share: float = 0.05, common_min: int = 20) -> DataFrame:
+def match_locations(candidates: DataFrame, locations: DataFrame, common_min: int = 20) -> DataFrame:
     """Best provider branch per candidate of the same brand, with match status.
 
     ``candidates``: candidate_id, brand_key, brand_status, name, postal_code, lat, lon (null brand
-    allowed); ``locations``: location_id, brand_key, name, postal_code, lat, lon. Pairs come from a
-    rare shared name word, the same postal code or neighbouring grid cells. Branches that share only
-    words common within the brand score by those words, the name length and the distance, so of each
-    such class only the nearest branch can win (``_nearest_of_class``; the lowest id for a candidate
-    without coordinates): the result equals the all-pairs result without forming all pairs. What counts
-    as common only moves work between the two ways and never changes the result.
+    allowed); ``locations``: location_id, brand_key, name, postal_code, lat, lon. A word that more than
+    ``common_min`` branches of a brand have is common there; pairs that share another word are formed as
+    they are. The score of any other pair depends on the common words both have, the number of words of
+    the branch, the postal code and the distance. So for each set of common words of the candidate, number
+    of words and postal code (its own, or any) only the nearest branch that has them can win: a
+    nearest-neighbour search per such group (``spatial.nearest``), of the lowest id for a candidate without
+    coordinates. The result equals that of all pairs, and the pairs of a candidate do not grow with its
+    brand. What counts as common only moves work between the two ways.
     """
     c = candidates.filter("brand_key IS NOT NULL").withColumns({
         "cw": meaningful_tokens(norm_text("name"), 1, VENUE_WORDS), "cp": norm_text("postal_code")}).withColumnsRenamed({"name": "cn", "lat": "clat", "lon": "clon"})
     p = locations.filter("lat IS NOT NULL AND lon IS NOT NULL").withColumns({
         "pw": meaningful_tokens(norm_text("name"), 1, VENUE_WORDS), "pp": norm_text("postal_code")}).withColumnsRenamed({"name": "pn", "lat": "plat", "lon": "plon"})
-    p = p.select("location_id", "brand_key", "pn", "pw", "pp", "plat", "plon")
+    p = cut_lineage(p.select("location_id", "brand_key", "pn", "pw", "pp", "plat", "plon"))
     words = p.select("location_id", "brand_key", F.explode("pw").alias("word"))
-    size = p.groupBy("brand_key").agg(F.count(F.lit(1)).alias("n"))
-    spread = words.groupBy("brand_key", "word").agg(F.count(F.lit(1)).alias("df")).join(size, "brand_key").withColumn(
-        "common", F.col("df") > F.greatest(F.lit(common_min), F.col("n") * common_share))
-    by_word = c.select("candidate_id", "brand_key", F.explode("cw").alias("word")).join(
-        words.join(spread.filter("NOT common").select("brand_key", "word"), ["brand_key", "word"]), ["brand_key", "word"]).select("candidate_id", "location_id")
-    by_postal = c.filter("cp <> ''").select("candidate_id", "brand_key", F.col("cp").alias("k")).join(
-        p.filter("pp <> ''").select("location_id", "brand_key", F.col("pp").alias("k")), ["brand_key", "k"]).select("candidate_id", "location_id")
-    by_cell = c.filter("clat IS NOT NULL AND clon IS NOT NULL").select("candidate_id", "brand_key", F.inline(_cells(F.col("clat"), F.col("clon"), True))).join(
-        p.select("location_id", "brand_key", F.inline(_cells(F.col("plat"), F.col("plon"), False))), ["brand_key", "row", "col"]).select("candidate_id", "location_id")
-    commons = spread.filter("common").groupBy("brand_key").agg(F.collect_set("word").alias("commons"))
-    classes = p.join(commons, "brand_key", "left").select(
-        "brand_key", "location_id", F.array_sort(F.array_intersect("pw", F.coalesce("commons", F.array().cast("array<string>")))).alias("shared"), F.size("pw").alias("len"))
-    stand_in = classes.groupBy("brand_key", "shared", "len").agg(F.min("location_id").alias("location_id"))
-    unplaced = c.filter("clat IS NULL OR clon IS NULL").select("candidate_id", "brand_key").join(stand_in, "brand_key").select("candidate_id", "location_id")
-    by_class = unplaced.unionByName(_nearest_of_class(
-        c.filter("clat IS NOT NULL AND clon IS NOT NULL").select("candidate_id", "brand_key", "clat", "clon"),
-        classes.join(p.select("location_id", "plat", "plon"), "location_id")))
-    pairs = by_word.unionByName(by_postal).unionByName(by_cell).unionByName(by_class).distinct()
+    seen = cut_lineage(words.groupBy("brand_key", "word").agg((F.count(F.lit(1)) > common_min).alias("common")))
+    asked = c.select("candidate_id", "brand_key", F.explode("cw").alias("word")).join(seen, ["brand_key", "word"])
+    held = words.join(seen, ["brand_key", "word"])
+    commons = held.filter("common").groupBy("location_id", "brand_key").agg(F.array_sort(F.collect_set("word")).alias("commons"))
+    many = commons.filter(F.size("commons") > SUBSET_WORDS).select("location_id", F.explode("commons").alias("word"))  # too many subsets
+    direct = held.filter("NOT common").select("location_id", "brand_key", "word").unionByName(
+        many.join(p.select("location_id", "brand_key"), "location_id").select("location_id", "brand_key", "word"))
+    by_word = asked.join(direct, ["brand_key", "word"]).select("candidate_id", "location_id")
+
+    def keyed(rows: DataFrame, sets: DataFrame, own: str, postal: str, *others: str) -> DataFrame:
+        """A row for each subset of the common words, for any postal code ('') and for the own one."""
+        empty = F.array().cast("array<string>")
+        listed = rows.join(sets, own, "left").withColumn("commons", F.coalesce("commons", empty))
+        listed = listed.withColumn("commons", F.when(F.size("commons") <= SUBSET_WORDS, F.col("commons")).otherwise(empty))
+        codes = F.array_distinct(F.array(F.lit(""), F.col(postal)))
+        return listed.select(own, "brand_key", *others, F.explode(_subsets(F.col("commons"))).alias("words"), codes.alias("codes")).select(
+            own, "brand_key", *others, "words", F.explode("codes").alias("code"))
+
+    size = F.when(F.col("words") == "", 0).otherwise(F.size("pw"))  # without a common word it does not matter
+    group = F.to_json(F.struct("brand_key", "words", "code", size.alias("size")))
+    places = keyed(p, commons.drop("brand_key"), "location_id", "pp", "plat", "plon", "pw").withColumn("group", group)
+    places = cut_lineage(places.select("location_id", "brand_key", "words", "code", "group", "plat", "plon"))
+    groups = places.groupBy("brand_key", "words", "code", "group").agg(F.min("location_id").alias("lowest"))
+    shared = asked.filter("common").groupBy("candidate_id").agg(F.array_sort(F.collect_set("word")).alias("all"))
+    few = shared.select("candidate_id", F.explode(F.slice("all", 1, SUBSET_WORDS)).alias("word")).groupBy("candidate_id").agg(F.array_sort(F.collect_list("word")).alias("commons"))
+    over = shared.filter(F.size("all") > SUBSET_WORDS).select("candidate_id", F.explode("all").alias("word")).join(c.select("candidate_id", "brand_key"), "candidate_id")
+    by_word = by_word.unionByName(over.join(held.filter("common"), ["brand_key", "word"]).select("candidate_id", "location_id"))
+    points = keyed(c, few, "candidate_id", "cp", "clat", "clon").join(groups, ["brand_key", "words", "code"])
+    placed = points.select(F.col("candidate_id").alias("point_id"), "group", F.col("clat").alias("lat"), F.col("clon").alias("lon"))
+    near = nearest(placed, places.select(F.col("location_id").alias("place_id"), "group", F.col("plat").alias("lat"), F.col("plon").alias("lon")))
+    by_class = near.select(F.col("point_id").alias("candidate_id"), F.col("place_id").alias("location_id")).unionByName(
+        points.filter("clat IS NULL OR clon IS NULL").select("candidate_id", F.col("lowest").alias("location_id")))
+    pairs = by_word.unionByName(by_class).distinct()
     rows = pairs.join(c.select("candidate_id", "cn", "cp", "clat", "clon"), "candidate_id").join(p.drop("brand_key", "pw"), "location_id")
     distance = haversine_m("clat", "clon", "plat", "plon")
     rows = rows.withColumns({"distance": distance, "similarity": branch_similarity(norm_text("cn"), norm_text("pn")),

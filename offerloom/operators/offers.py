@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from ..functions.numbers import haversine_m
 from ..functions.text import display_address, norm_text, stable_id
 from .resolve import clamp
+from .spatial import nearest
 
 # Scope precedence and the price contract of captured price objects.
 SPECIFICITY = {"location": 3, "market": 2, "brand": 1}
@@ -169,13 +170,26 @@ def offer_search(results: DataFrame, names: DataFrame, item_rows: DataFrame, lim
 def offer_search_near(results: DataFrame, positions: DataFrame, item_rows: DataFrame, limit: int = 20) -> DataFrame:
     """As ``offer_search`` with a caller position (query_id, lat, lon): nearest rows first.
 
-    Branches are ranked once per distinct (item, position), not once per query.
+    Branches are ranked once per distinct (item, position), not once per query, and of a brand's branches
+    with the item only the nearest ``limit`` (and those within rounding of the last) are met by a position
+    (``spatial.nearest``); rows without a position are cut to as many per item and brand beforehand.
     """
     k = clamp(limit, 20)
     points = positions.select("query_id", F.col("lat").alias("qlat"), F.col("lon").alias("qlon"))
     hits = results.select("query_id", "item_id", "display_name", "confidence").join(points, "query_id")
     spots = hits.select("item_id", "qlat", "qlon").distinct()
-    rows = spots.join(item_rows, "item_id").withColumn("distance_meters", F.round(haversine_m("lat", "lon", "qlat", "qlon"), 3))
+    group = F.to_json(F.struct("item_id", "provider_id"))
+    placed = item_rows.withColumn("group", group)
+    here = F.col("lat").isNotNull() & F.col("lon").isNotNull() & F.col("location_id").isNotNull()
+    asked = spots.join(placed.select("item_id", "group").distinct(), "item_id").withColumn("point_id", F.struct("qlat", "qlon"))
+    close = nearest(asked.select("point_id", "group", F.col("qlat").alias("lat"), F.col("qlon").alias("lon")),
+                    placed.filter(here).select(F.col("location_id").alias("place_id"), "group", "lat", "lon").distinct(), k, slack_m=0.002)
+    near_rows = close.select("point_id.qlat", "point_id.qlon", "group", F.col("place_id").alias("location_id")).join(
+        placed.filter(here), ["group", "location_id"])
+    cheapest = W.partitionBy("group").orderBy(*nulls_last("amount_minor"), "provider_name", "offer_id", "scope_id", "location_id", "price_type", "price_key")
+    unplaced = placed.filter(~here).withColumn("cheap_rank", F.row_number().over(cheapest)).filter(F.col("cheap_rank") <= k).drop("cheap_rank")
+    unplaced_spots = asked.select("group", "qlat", "qlon").join(unplaced, "group")
+    rows = near_rows.unionByName(unplaced_spots).drop("group").withColumn("distance_meters", F.round(haversine_m("lat", "lon", "qlat", "qlon"), 3))
     spot = ["item_id", "qlat", "qlon"]
     tie = [*nulls_last("distance_meters"), *nulls_last("amount_minor"), F.col("provider_name"), F.col("offer_id"), F.col("scope_id"),
            F.col("location_id"), F.col("price_type"), F.col("price_key")]

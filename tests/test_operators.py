@@ -5,10 +5,11 @@ import itertools
 import math
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from offerloom.operators import blocking as B, identity as E, normqueue as Q, offers as O, orders as OR, packages as P, quality as V, resolve as R, suggest as S
+from offerloom.operators import blocking as B, identity as E, normqueue as Q, offers as O, orders as OR, packages as P, quality as V, resolve as R, spatial as SP, suggest as S
 from offerloom.sources import census as CE, mapping as M, pages as PG, runs as RU
 
 
@@ -255,16 +256,56 @@ def test_page_evidence_prefers_structured_prices(spark):
     assert links == {("/x", True), ("https://else.example.com/y", False)}
 
 
-def test_location_match_equals_all_pairs(spark):
+def test_location_match_equals_all_pairs(spark, monkeypatch):
     rng = random.Random(9)
     words = ["polar", "norte", "centro", "sur", "juarez", "angelopolis"]
     def row(i):
         return (str(i), "k", "Laboratorio Polar " + " ".join(rng.sample(words, rng.randint(0, 3))), str(72000 + rng.randint(0, 9)), 19 + rng.random() / 20, -98 - rng.random() / 20)
     places = spark.createDataFrame([row(i) for i in range(80)], "location_id string, brand_key string, name string, postal_code string, lat double, lon double")
     cands = spark.createDataFrame([(c[0], c[1], "matched", *c[2:]) for c in (row(i) for i in range(60))], "candidate_id string, brand_key string, brand_status string, name string, postal_code string, lat double, lon double")
-    blocked = {r.candidate_id: (r.status, r.score) for r in E.match_locations(cands, places, common_min=5).collect()}
-    everything = {r.candidate_id: (r.status, r.score) for r in E.match_locations(cands, places, common_share=1.0, common_min=1000).collect()}
-    assert blocked == everything and {s for s, _ in blocked.values()} == {"matched", "review_required"}
+    blocked = {r.candidate_id: (r.status, r.score, r.location_id) for r in E.match_locations(cands, places, common_min=5).collect()}
+    everything = {r.candidate_id: (r.status, r.score, r.location_id) for r in E.match_locations(cands, places, common_min=1000).collect()}
+    assert blocked == everything and {s for s, *_ in blocked.values()} == {"matched", "review_required"}
+    narrow = {r.candidate_id: (r.status, r.score, r.location_id) for r in (monkeypatch.setattr(E, "SUBSET_WORDS", 1), E.match_locations(cands, places, common_min=5))[1].collect()}
+    assert narrow == everything
+
+
+def plain_nearest(points, places, k):
+    """All places no farther than the k-th nearest of the group, by a matrix."""
+    out = set()
+    for pid, group, lat, lon in points:
+        mine = [(place, a, o) for place, g, a, o in places if g == group and a is not None and o is not None]
+        if lat is None or lon is None or not mine:
+            continue
+        a, o = np.radians([m[1] for m in mine]), np.radians([m[2] for m in mine])
+        arc = np.sin((a - math.radians(lat)) / 2) ** 2 + math.cos(math.radians(lat)) * np.cos(a) * np.sin((o - math.radians(lon)) / 2) ** 2
+        limit = np.sort(arc)[min(k, len(arc)) - 1]
+        out |= {(pid, group, m[0]) for m, x in zip(mine, arc) if x <= limit + 1e-15}
+    return out
+
+
+def test_nearest_places_by_descent_equal_all_pairs(spark):
+    rng = random.Random(3)
+    spot = lambda: rng.choice([(19 + rng.gauss(0, 0.05), -98 + rng.gauss(0, 0.05)), (rng.uniform(-90, 90), rng.uniform(-180, 180)), (rng.uniform(-1, 1), rng.choice([-1, 1]) * rng.uniform(179, 180)), (19.0, -98.0)])
+    places = [(i, rng.choice("aab"), *spot()) for i in range(600)] + [(900, "a", None, 1.0), (901, "c", 5.0, 5.0)]
+    points = [(f"p{i}", rng.choice("abc"), *spot()) for i in range(60)] + [("none", "a", None, None), ("other", "d", 1.0, 1.0)]
+    there = spark.createDataFrame(places, "place_id long, group string, lat double, lon double")
+    at = spark.createDataFrame(points, "point_id string, group string, lat double, lon double")
+    for k, small in ((1, 4), (5, 4), (3, 1000)):
+        got = {(r.point_id, r.group, r.place_id) for r in SP.nearest(at, there, k, small=small).collect()}
+        assert got == plain_nearest(points, places, k)
+
+
+def test_rows_of_a_point_do_not_grow_with_a_brand_of_fifty_thousand_branches(spark):
+    there = spark.range(50_000).select(
+        F.col("id").alias("place_id"), F.lit("k").alias("group"), (19 + F.rand(1) * F.when(F.col("id") % 2 == 0, 0.05).otherwise(6)).alias("lat"), (-98 + F.rand(2) * F.when(F.col("id") % 2 == 0, 0.05).otherwise(6)).alias("lon")).cache()
+    at = spark.range(200).select(F.col("id").alias("point_id"), F.lit("k").alias("group"), (18 + F.rand(3) * 3).alias("lat"), (-99 + F.rand(4) * 3).alias("lon")).cache()
+    nodes = there.groupBy("group", "lat", "lon").agg(F.count(F.lit(1)).alias("n"))
+    met = SP.candidates(at, nodes, 3, 0.0).groupBy("point_id").count().agg(F.max("count"), F.count("*")).first()
+    assert met[0] < 200 and met[1] == 200
+    places, points = [(r.place_id, "k", r.lat, r.lon) for r in there.collect()], [(r.point_id, "k", r.lat, r.lon) for r in at.limit(20).collect()]
+    got = {(r.point_id, r.group, r.place_id) for r in SP.nearest(at, there, 3).where("point_id < 20").collect()}
+    assert got == plain_nearest([p for p in points if p[0] < 20], places, 3)
 
 
 def test_offline_resolver_edges(spark):
