@@ -11,7 +11,7 @@ from ..functions.text import (
     article_fold, char3_set, evaluated, initialism, lexical_evidence, norm_text, set_similarity, token_overlap, tokens, trigrams,
 )
 from ..session import cut_lineage, spread
-from .blocking import overlap_candidates
+from .blocking import containing_terms, overlap_candidates
 from .offers import best_by
 
 # Thresholds of the suggestion and triage rules.
@@ -188,8 +188,12 @@ def triage_groups(groups: DataFrame, terms: DataFrame) -> DataFrame:
 def terminology_candidates(queries: DataFrame, index: DataFrame, limit: int = 20) -> DataFrame:
     """Terminology rows per query: 0.65 coverage + 0.20 weighted coverage + 0.15 phrase.
 
-    ``index``: code, the weighted text fields, common_test_rank, common_order_rank. Tokens of the
-    index meet tokens of the queries on an equi-join; the phrase test runs on candidates only.
+    ``index``: code, the weighted text fields, common_test_rank, common_order_rank. Without the phrase the
+    score depends on the words of a query that the index has at all, so queries that agree in those form
+    one class. A class meets the rows of its rarest word first, each with its score over all words; it
+    meets the rows of its next word only while a row that has none of the earlier words could still reach
+    the last place. So rows of a common word are read for those classes only that have nothing
+    rarer. Rows whose title contains the query are found by their rarest character windows.
     """
     stop = F.array(*[F.lit(w) for w in TERMINOLOGY_STOP])
     q = queries.select(norm_text("query_text").alias("nq")).distinct().transform(spread).withColumn(
@@ -197,17 +201,49 @@ def terminology_candidates(queries: DataFrame, index: DataFrame, limit: int = 20
     fields = F.array(*[
         F.struct(F.lit(w).alias("weight"), tokens(norm_text(f)).alias("words")) for f, w in FIELD_WEIGHTS.items() if f in index.columns])
     held = index.select("code", F.inline(fields)).select("code", "weight", F.explode("words").alias("word")).groupBy("code", "word").agg(F.max("weight").alias("weight"))
+    lead = [norm_text(f) for f in list(FIELD_WEIGHTS)[:3] if f in index.columns]
+    ranks = index.select("code", "common_test_rank", "common_order_rank", F.array_compact(F.array_distinct(F.array(*lead))).alias("titles"))
+    profile = held.groupBy("code").agg(F.map_from_entries(F.collect_list(F.struct("word", "weight"))).alias("profile"))
+    entries = cut_lineage(profile.join(ranks, "code"))
+    vocabulary = held.groupBy("word").agg(F.count(F.lit(1)).alias("df"), F.max("weight").alias("top"))
     asked = q.select("nq", F.size("words").alias("n"), F.explode("words").alias("word")).groupBy("nq", "n", "word").agg(F.count(F.lit(1)).alias("times"))
-    hits = asked.join(held, "word").groupBy("nq", "n", "code").agg(
-        F.sum("times").alias("matched"), F.sum(F.col("times") * F.col("weight")).alias("weighted"))
-    lead = [norm_text(f).alias(f"t{i}") for i, f in enumerate(list(FIELD_WEIGHTS)[:3]) if f in index.columns]
-    phrase = index.select("code", "common_test_rank", "common_order_rank", F.array(*lead).alias("titles"))
-    rows = hits.join(phrase, "code")
-    score = F.col("matched") / F.col("n") * 0.65 + F.col("weighted") / F.col("n") * 0.20 + F.when(F.exists("titles", lambda t: F.contains(t, F.col("nq"))), 0.15).otherwise(0.0)
+    asked = asked.join(vocabulary, "word").groupBy("nq", "n").agg(F.array_sort(F.collect_list(F.struct("df", "word", "times", "top"))).alias("held"))
     ordered = F.array_contains(tokens("nq"), "panel") | F.array_contains(tokens("nq"), "order")
-    popularity = F.when(ordered, F.col("common_order_rank")).otherwise(F.col("common_test_rank"))
-    rows = rows.withColumns({
-        "score": F.round(F.least(score, F.lit(1.0)), 6), "coverage": F.round(F.col("matched") / F.col("n"), 6),
-        "popularity": F.when(popularity > 0, popularity).otherwise(1_000_000_000)})
-    top = top_k(rows, ["nq"], [F.desc("score"), F.desc("coverage"), F.col("popularity"), F.col("code")], limit, "candidate_rank")
-    return top.select("nq", "code", "score", "coverage", "candidate_rank")
+    keyed = asked.withColumn("ordered", ordered)
+    keyed = cut_lineage(keyed.withColumn("class", F.sha2(F.to_json(F.struct("n", "ordered", "held")), 256)))
+    classes = cut_lineage(spread(keyed.select("class", "n", "ordered", "held").dropDuplicates(["class"])))
+    postings = entries.select("code", "profile", "common_test_rank", "common_order_rank", F.explode(F.map_keys("profile")).alias("word"))
+
+    def scored(rows: DataFrame, bonus: float = 0.0) -> DataFrame:
+        has = lambda t: F.map_contains_key("profile", t["word"])
+        found = F.filter("held", has)
+        matched = F.aggregate(found, F.lit(0).cast("long"), lambda acc, t: acc + t["times"])
+        weighted = F.aggregate(found, F.lit(0.0), lambda acc, t: acc + t["times"] * F.element_at("profile", t["word"]))
+        popularity = F.when(F.col("ordered"), F.col("common_order_rank")).otherwise(F.col("common_test_rank"))
+        rows = evaluated(rows, matched=matched, weighted=weighted).filter("matched > 0")
+        score = F.col("matched") / F.col("n") * 0.65 + F.col("weighted") / F.col("n") * 0.20 + bonus
+        return rows.withColumns({
+            "score": F.round(F.least(score, F.lit(1.0)), 6), "coverage": F.round(F.col("matched") / F.col("n"), 6),
+            "popularity": F.when(popularity > 0, popularity).otherwise(1_000_000_000)})
+
+    order = [F.desc("score"), F.desc("coverage"), F.col("popularity"), F.col("code")]
+    kept, active, best, step = ["class", "code", "score", "coverage", "popularity"], classes, None, 1
+    while True:
+        asks = active.withColumn("word", F.element_at("held", step)["word"])
+        earlier = F.exists(F.slice("held", 1, step - 1), lambda t: F.map_contains_key("profile", t["word"])) if step > 1 else F.lit(False)
+        rows = scored(asks.join(postings, "word").filter(~earlier)).select(*kept)
+        best = cut_lineage(top_k(rows if best is None else best.unionByName(rows), ["class"], order, limit, "place").drop("place"))
+        last = best.groupBy("class").agg(F.count(F.lit(1)).alias("places"), F.min("score").alias("least")).filter(F.col("places") >= limit).select("class", "least")
+        rest = F.aggregate(F.slice("held", step + 1, F.greatest(F.size("held") - step, F.lit(0))), F.lit(0.0), lambda acc, t: acc + t["times"] * (0.65 + 0.20 * t["top"])) / F.col("n")
+        active = cut_lineage(active.filter(F.size("held") > step).join(last, "class", "left").filter(
+            F.col("least").isNull() | (F.round(F.least(rest, F.lit(1.0)), 6) >= F.col("least"))).drop("least"))
+        step += 1
+        if not active.take(1):
+            break
+    titled = entries.select("code", "profile", "common_test_rank", "common_order_rank", F.explode("titles").alias("nt")).filter("nt <> ''")
+    named = containing_terms(keyed.select("nq"), titled.select("nt").distinct())
+    phrases = scored(keyed.join(named, "nq").join(titled, "nt").dropDuplicates(["nq", "code"]), 0.15).select("nq", *kept[1:])
+    phrases = top_k(phrases, ["nq"], order, limit, "place").drop("place")
+    plain = keyed.select("nq", "class").join(best, "class").drop("class")
+    rows = plain.join(phrases.select("nq", "code"), ["nq", "code"], "left_anti").unionByName(phrases)
+    return top_k(rows, ["nq"], order, limit, "candidate_rank").select("nq", "code", "score", "coverage", "candidate_rank")

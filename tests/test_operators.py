@@ -308,6 +308,43 @@ def test_rows_of_a_point_do_not_grow_with_a_brand_of_fifty_thousand_branches(spa
     assert got == plain_nearest([p for p in points if p[0] < 20], places, 3)
 
 
+def plain_terminology(queries, index, limit):
+    """Every query against every row."""
+    out = set()
+    weights = {"long_common_name": 1.0, "shortname": 0.9, "component": 0.7}
+    for nq in {q for q in queries if q}:
+        words = [w for w in nq.split() if len(w) > 1 and w not in S.TERMINOLOGY_STOP]
+        rows = []
+        for r in index:
+            held = {}
+            for field, weight in weights.items():
+                for w in (r[field] or "").split():
+                    held[w] = max(held.get(w, 0), weight)
+            found = [w for w in words if w in held]
+            if not found:
+                continue
+            phrase = any(nq in (r[f] or "") for f in ("long_common_name", "shortname"))
+            score = round(min(1.0, len(found) / len(words) * 0.65 + sum(held[w] for w in found) / len(words) * 0.20 + (0.15 if phrase else 0)), 6)
+            rank = r["common_order_rank"] if {"panel", "order"} & set(nq.split()) else r["common_test_rank"]
+            rows.append((-score, -round(len(found) / len(words), 6), rank if rank > 0 else 10 ** 9, r["code"]))
+        out |= {(nq, code, -s, -c, i) for i, (s, c, _, code) in enumerate(sorted(rows)[:limit], 1)}
+    return out
+
+
+@pytest.mark.parametrize("limit", [1, 3, 50])
+def test_terminology_rounds_equal_all_pairs(spark, limit):
+    rng = random.Random(limit)
+    common, rare = ["blood", "serum", "panel", "test", "iron"], [f"rare{i}" for i in range(30)]
+    text = lambda n: " ".join(rng.choice(common if rng.random() < 0.75 else rare) for _ in range(n))
+    index = [{"code": f"c{i:03d}", "long_common_name": text(4), "shortname": None if i % 9 == 0 else text(2), "component": text(2),
+              "common_test_rank": rng.randint(0, 4), "common_order_rank": rng.randint(0, 3)} for i in range(250)]
+    queries = [text(rng.randint(1, 4)) for _ in range(70)] + ["blood", "erum", "rare3 unknown", "the of", "", "od ser", "blood blood serum"]
+    frame = spark.createDataFrame([tuple(r.values()) for r in index], "code string, long_common_name string, shortname string, component string, common_test_rank int, common_order_rank int")
+    asked = spark.createDataFrame([(str(i), t) for i, t in enumerate(queries)], "query_id string, query_text string")
+    got = {(r.nq, r.code, r.score, r.coverage, r.candidate_rank) for r in S.terminology_candidates(asked, frame, limit).collect()}
+    assert got == plain_terminology(queries, index, limit)
+
+
 def test_offline_resolver_edges(spark):
     terms = spark.createDataFrame([("1", "Biometria Hematica", "Biometria Hematica", "exact", None), ("2", "Glucosa", "Glucosa", "exact", None), ("3", "Glucosa basal", "Azucar", "provider_alias", "p1"),
                                    ("4", "Azul", "Repetido", "alias", None), ("5", "Rojo", "Repetido", "alias", None)], "item_id string, display_name string, term string, term_kind string, term_provider string")
