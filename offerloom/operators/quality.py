@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
+import logging
 from collections.abc import Iterator
 from decimal import ROUND_HALF_UP, Decimal
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.hygiene import content_hash
-from ..session import cut_lineage
+from ..session import written
+
+log = logging.getLogger(__name__)
 
 MAX_PAYLOAD_BYTES, MAX_OBSERVATIONS = 512 * 1024, 100
 
@@ -152,27 +154,97 @@ def integrity_report(*findings: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, findings)
 
 
+def _contracted(edges: DataFrame, salt: int) -> tuple[DataFrame, DataFrame]:
+    """Edges after one round without ends and without some of the nodes on plain paths; and those nodes as (v, p, c).
+
+    A node with one edge in and one out is replaced by an edge past it, if the hash of the round is larger
+    there than at neighbours of the same kind, so no two neighbours go at once and a constant part goes.
+    """
+    ways_in = edges.groupBy(F.col("c").alias("v")).agg(F.count(F.lit(1)).alias("n_in"), F.min("p").alias("before"))
+    ways_out = edges.groupBy(F.col("p").alias("v")).agg(F.count(F.lit(1)).alias("n_out"), F.min("c").alias("after"))
+    plain = ways_in.join(ways_out, "v").filter("n_in = 1 AND n_out = 1").select("v", F.col("before").alias("p"), F.col("after").alias("c"), F.struct(F.xxhash64("v", F.lit(salt)), F.col("v")).alias("h"))
+    plain = written(plain)
+    beside = plain.select("v", "h")
+    chosen = plain.join(beside.toDF("p", "hp"), "p", "left").join(beside.toDF("c", "hc"), "c", "left").filter(
+        (F.col("hp").isNull() | (F.col("hp") < F.col("h"))) & (F.col("hc").isNull() | (F.col("hc") < F.col("h")))).select("v", "p", "c")
+    chosen = written(chosen)
+    gone = chosen.select("v")
+    left = edges.join(gone.toDF("p"), "p", "left_anti").join(gone.toDF("c"), "c", "left_anti").select("p", "c").unionByName(chosen.select("p", "c"))
+    return left.distinct(), chosen
+
+
+def _trimmed(edges: DataFrame) -> DataFrame:
+    """Edges whose start has an edge in and whose end has an edge out."""
+    return edges.join(edges.select(F.col("c").alias("p")).distinct(), "p", "left_semi").join(
+        edges.select(F.col("p").alias("c")).distinct(), "c", "left_semi").select("p", "c")
+
+
+def _spread_colour(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(v, colour): the largest node from which each node is reached, itself included."""
+    colours, moved = written(nodes.select("v", F.col("v").alias("colour"))), 1
+    while moved:
+        offered = edges.join(colours.toDF("p", "offered"), "p").groupBy(F.col("c").alias("v")).agg(F.max("offered").alias("offered"))
+        after = written(colours.join(offered, "v", "left").select("v", F.greatest("colour", "offered").alias("colour"), (F.col("offered") > F.col("colour")).alias("moved")))
+        moved, colours = after.filter("moved").count(), after.select("v", "colour")
+    return colours
+
+
+def _strong_components(edges: DataFrame) -> DataFrame | None:
+    """(v, scc) of the nodes of strongly connected components of two nodes or more; None without any.
+
+    Each turn colours nodes by the largest one that reaches them; of one colour, the nodes that also reach
+    its root are a component. Tables have a row a node; rounds follow the paths of what contraction left.
+    """
+    found: DataFrame | None = None
+    while edges.take(1):
+        nodes = edges.select(F.explode(F.array("p", "c")).alias("v")).distinct()
+        colours = _spread_colour(edges, nodes)
+        within = written(edges.join(colours.toDF("p", "kp"), "p").join(colours.toDF("c", "kc"), "c").filter("kp = kc").select("p", "c"))
+        marked = written(colours.filter("v = colour"))
+        fresh = marked
+        while fresh.take(1):
+            back = within.join(fresh.select(F.col("v").alias("c"), "colour"), "c").select(F.col("p").alias("v"), "colour").distinct()
+            fresh = written(back.join(marked.select("v"), "v", "left_anti"))
+            marked = written(marked.unionByName(fresh))
+        several = marked.groupBy("colour").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("colour")
+        now = written(marked.join(several, "colour").select("v", F.col("colour").alias("scc")))
+        found = now if found is None else found.unionByName(now)
+        gone = marked.select("v")
+        edges = written(_trimmed(edges.join(gone.toDF("p"), "p", "left_anti").join(gone.toDF("c"), "c", "left_anti").select("p", "c")))
+    return found
+
+
 def component_cycles(edges: DataFrame, parent: str = "parent", child: str = "child") -> DataFrame:
-    """Edges that lie on a cycle of a component graph.
+    """Edges that lie on a cycle of a component graph: those within one strongly connected component.
 
-    Ends of the graph are peeled off level by level (no parent left, or no child left): a graph
-    without cycles vanishes. What remains is the small core around the cycles, and only there pairs
-    are followed. Each level is checkpointed, so the plan stays flat and a lost executor re-reads it.
+    Rounds of trimming and of contracting plain paths come first: long chains and long cycles shrink by a
+    constant part a round, a graph without cycles vanishes, and a cycle ends as a loop. What remains is
+    divided by colours (``_strong_components``), then contracted nodes get the component of the edge that
+    stood for them, last round first. No table has more rows than nodes or edges; every round is written.
+    Null ends are no edges; an edge from a node to itself is a cycle; repeated edges give one row.
     """
-    core = cut_lineage(edges.select(F.col(parent).alias("p"), F.col(child).alias("c")).distinct())
-    left = core.count()
+    every = written(edges.select(F.col(parent).alias("p"), F.col(child).alias("c")).dropna().distinct())
+    core, rounds, loops, left = every, [], None, every.count()
     while left:
-        has_parent, has_child = core.select(F.col("c").alias("p")), core.select(F.col("p").alias("c"))
-        core = cut_lineage(core.join(has_parent, "p", "left_semi").join(has_child, "c", "left_semi").select("p", "c"))
+        looped = written(core.filter("p = c").select(F.col("p").alias("v")))
+        loops = looped if loops is None else loops.unionByName(looped)
+        core, chosen = _contracted(written(_trimmed(core.filter("p <> c"))), len(rounds))
+        core, now = written(core), 0
+        rounds.append(chosen)
         now = core.count()
+        log.info("cycles: round %d leaves %d of %d edges", len(rounds), now, left)
         if now == left:
             break
         left = now
-    reach = core.select(F.col("p").alias("a"), F.col("c").alias("b"))
-    frontier = reach
-    while not frontier.isEmpty():
-        step = frontier.join(core, frontier["b"] == core["p"]).select("a", F.col("c").alias("b")).distinct()
-        frontier = cut_lineage(step.join(reach, ["a", "b"], "left_anti"))
-        reach = cut_lineage(reach.unionByName(frontier))
-    back = reach.select(F.col("a").alias("c"), F.col("b").alias("p"))
-    return core.join(back, ["p", "c"], "left_semi").select(F.col("p").alias(parent), F.col("c").alias(child))
+    if loops is None:
+        return every.select(F.col("p").alias(parent), F.col("c").alias(child))
+    own = loops.distinct().select("v", F.col("v").alias("scc"))
+    strong = _strong_components(core) if left else None
+    later = reduce(DataFrame.unionByName, [r.select("v") for r in rounds])
+    alone = own.join(later, "v", "left_anti")
+    labels = written(alone if strong is None else strong.unionByName(alone.join(strong.select("v"), "v", "left_anti")))
+    for chosen in reversed(rounds):
+        held = chosen.join(labels.toDF("p", "sp"), "p").join(labels.toDF("c", "sc"), "c").filter("sp = sc").select("v", F.col("sp").alias("scc"))
+        single = own.join(chosen.select("v"), "v", "left_semi").join(held.select("v"), "v", "left_anti")
+        labels = written(labels.unionByName(held).unionByName(single))
+    return every.join(labels.toDF("p", "sp"), "p").join(labels.toDF("c", "sc"), "c").filter("sp = sc").select(F.col("p").alias(parent), F.col("c").alias(child))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -42,12 +43,8 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     return df.repartition(n, *keys)
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint in the folder the cluster names, so a lost executor costs a re-read.
-
-    ``spark.checkpoint.dir`` wins; a private folder is set only where nothing is configured and
-    the master is local (tests).
-    """
+def _shared(df: DataFrame) -> str:
+    """The checkpoint folder: ``spark.checkpoint.dir`` wins; a private one is set only where nothing is configured and the master is local (tests)."""
     spark = df.sparkSession
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
@@ -57,4 +54,18 @@ def cut_lineage(df: DataFrame) -> DataFrame:
                 raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
             folder = tempfile.mkdtemp(prefix="offerloom-checkpoint-")
         context.setCheckpointDir(folder)
+    return context.getCheckpointDir()
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Reliable checkpoint in the folder the cluster names, so a lost executor costs a re-read."""
+    _shared(df)
     return df.checkpoint(eager=True)
+
+
+def written(df: DataFrame) -> DataFrame:
+    """As ``cut_lineage``, by a Parquet table. For long loops: a checkpoint keeps the size estimate of its plan,
+    a product over its joins whose digits double with every round."""
+    path = f"{_shared(df)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

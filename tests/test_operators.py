@@ -210,6 +210,40 @@ def test_cycles(spark):
     assert V.component_cycles(spark.createDataFrame([(1, 2), (2, 3)], "parent int, child int")).count() == 0
 
 
+def plain_cycle_edges(edges):
+    """Edges whose end leads back to their start."""
+    following = {}
+    for a, b in edges:
+        following.setdefault(a, set()).add(b)
+    out = set()
+    for a, b in edges:
+        seen, todo = {b}, [b]
+        while todo:
+            fresh = following.get(todo.pop(), set()) - seen
+            seen |= fresh
+            todo += fresh
+        if a in seen:
+            out.add((a, b))
+    return out
+
+
+@pytest.mark.parametrize("seed,nodes,n", [(1, 40, 45), (2, 30, 60), (3, 12, 30), (4, 200, 190)])
+def test_cycles_of_random_graphs(spark, seed, nodes, n):
+    rng = random.Random(seed)
+    edges = [(rng.randrange(nodes), rng.randrange(nodes)) for _ in range(n)] + [(1000, 1001), (1001, 1000), (1001, 1002), (1002, 1002)]
+    got = [tuple(r) for r in V.component_cycles(spark.createDataFrame(edges + edges[:3] + [(None, 1), (2, None)], "parent int, child int")).collect()]
+    assert len(got) == len(set(got)) and set(got) == plain_cycle_edges(set(edges))
+
+
+def test_a_cycle_of_five_thousand_edges_and_a_long_chain(spark, caplog):
+    ring = spark.range(5_000).select(F.col("id").alias("parent"), ((F.col("id") + 1) % 5_000).alias("child"))
+    chain = spark.range(10_000, 15_000).select(F.col("id").alias("parent"), (F.col("id") + 1).alias("child"))
+    lead = spark.createDataFrame([(20_000, 0), (77, 20_001), (15_000, 0)], "parent long, child long")
+    with caplog.at_level("INFO", logger=V.__name__):
+        got = {tuple(r) for r in V.component_cycles(ring.union(chain).union(lead)).collect()}
+    assert got == {(i, (i + 1) % 5_000) for i in range(5_000)} and len(caplog.records) < 45
+
+
 def test_order_splitting(spark):
     texts = [("1", "BH, QS"), ("2", "1. Biometria hematica, 2. Perfil tiroideo 3 de 4"), ("3", "Glucosa e insulina en ayunas"), ("4", "rayos x (torax, columna)\n- ego; orina"), ("5", "hola y adios")]
     rows = OR.split_orders(spark.createDataFrame(texts, "request_id string, text string"))
