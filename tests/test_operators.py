@@ -273,6 +273,10 @@ def test_order_lines_merge_and_drop_metadata(spark):
     lines = spark.createDataFrame(rows, "doc_id int, line_no int, text string, confidence double, x double, top double, bottom double")
     got = [r.study for r in OR.order_lines(lines).orderBy("row_no", "part_no").collect()]
     assert got == ["Biometria hematica", "Glucosa", "Insulina", "TSH"]
+    more = ["MRI brain  General Hospital", "X-ray of chest imaging department 4", "Knee department", "ct HOSPITAL", "Laboratorio: Perfil tiroideo Dr. Soto", "Laboratorio= Glucosa fechado 3"]
+    rows = [(2, i, text, 0.9, 0.0, 10.0 * i, 10.0 * i + 8) for i, text in enumerate(more)]
+    got = [r.study for r in OR.order_lines(spark.createDataFrame(rows, lines.schema)).orderBy("row_no", "part_no").collect()]
+    assert got == ["MRI brain General", "X-ray of chest", "Knee department", "ct", "Perfil tiroideo", "Glucosa"]
 
 
 def test_page_evidence_prefers_structured_prices(spark):
