@@ -35,11 +35,8 @@ def visible_text(html) -> Column:
     return F.trim(F.regexp_replace(out, "\\s+", " "))
 
 
-def page_parts(pages: DataFrame, name_chars: int | None = None, script_chars: int | None = None) -> DataFrame:
-    """Title, headings, links, JSON-LD blocks and visible text per page, each computed once.
-
-    ``name_chars`` and ``script_chars`` bound a script name and the text up to its price; None: no bound.
-    """
+def page_parts(pages: DataFrame) -> DataFrame:
+    """Title, headings, links, JSON-LD blocks and visible text per page, each computed once."""
     cleaned = F.regexp_replace("html", "(?is)<(script|style)\\b.*?</\\1\\s*>", " ")
     base = evaluated(pages.select("page_id", "url", "html"), body=cleaned)
     return evaluated(
@@ -52,7 +49,7 @@ def page_parts(pages: DataFrame, name_chars: int | None = None, script_chars: in
         links=F.regexp_extract_all("body", F.lit("(?i)<a\\b[^>]*\\bhref=[\"']([^\"'#]+)"), F.lit(1)),
         jsonld=F.regexp_extract_all("html", F.lit("(?is)<script[^>]*application/ld\\+json[^>]*>(.*?)</script>"), F.lit(1)),
         text=visible_text("body"),
-        pairs=_script_pairs(name_chars, script_chars),
+        pairs=_script_pairs(),
     ).drop("body", "html")
 
 
@@ -111,13 +108,31 @@ def structured_evidence(parts: DataFrame, hint: str = SERVICE_HINT) -> tuple[Dat
     return locations, rows
 
 
-def _script_pairs(name_chars: int | None, script_chars: int | None) -> Column:
-    """(title, price) pairs of embedded script objects; a pair stays between two braces."""
-    longest, apart = ("" if n is None else n for n in (name_chars, script_chars))
-    pair = f"(?is)[\"'](?:title|name)[\"']\\s*:\\s*[\"']([^\"']{{3,{longest}}})[\"'][^{{}}]{{0,{apart}}}?[\"'](?:precio|price|cost|amount)[\"']\\s*:\\s*[\"']?([0-9][0-9.,]*)"
-    names = F.regexp_extract_all("html", F.lit(pair), F.lit(1))
-    prices = F.regexp_extract_all("html", F.lit(pair), F.lit(2))
-    return F.arrays_zip(names.alias("n"), prices.alias("p"))
+# Members of script objects that name a study, and those that price it.
+NAME_MEMBERS, PRICE_MEMBERS = ["title", "name"], ["precio", "price", "cost", "amount"]
+#: A quoted key and its value, quoted or bare.
+MEMBER = "[\"'](\\w+)[\"']\\s*:\\s*(?:[\"']([^\"']*)[\"']|([^\\s,\"'\\]]+))"
+
+
+def _script_pairs() -> Column:
+    """(title, price) pairs of embedded script objects: of the members between two braces, a name and the next price."""
+    state = "struct<name: string, out: array<struct<n: string, p: string>>>"
+
+    def read(chunk: Column) -> Column:
+        part = lambda i: F.regexp_extract_all(chunk, F.lit(MEMBER), F.lit(i))
+        members = F.zip_with(F.arrays_zip(part(1).alias("k"), part(2).alias("v")), part(3), lambda m, bare: F.struct(F.lower(m["k"]).alias("k"), F.coalesce(F.nullif(m["v"], F.lit("")), bare).alias("v")))
+
+        def step(acc: Column, m: Column) -> Column:
+            names = acc["name"].isNull() & m["k"].isin(NAME_MEMBERS) & (F.length(m["v"]) >= 3)
+            prices = acc["name"].isNotNull() & m["k"].isin(PRICE_MEMBERS) & m["v"].rlike("[0-9]")
+            out = F.when(prices, F.concat(acc["out"], F.array(F.struct(acc["name"].alias("n"), m["v"].alias("p"))))).otherwise(acc["out"])
+            return F.struct(F.when(names, m["v"]).when(prices, F.lit(None)).otherwise(acc["name"]).alias("name"), out.alias("out")).cast(state)
+
+        start = F.struct(F.lit(None).cast("string").alias("name"), F.array().cast("array<struct<n: string, p: string>>").alias("out")).cast(state)
+        return F.aggregate(members, start, step)["out"]
+
+    wanted = F.filter(F.split("html", "[{}]"), lambda x: x.rlike(f"(?i)[\"'](?:{'|'.join(PRICE_MEMBERS)})[\"']"))
+    return F.flatten(F.transform(wanted, read))
 
 
 def script_evidence(parts: DataFrame, hint: str = SERVICE_HINT) -> DataFrame:
@@ -153,14 +168,14 @@ def heading_evidence(parts: DataFrame, hint: str = SERVICE_HINT, price_chars: in
 
 
 def page_evidence(
-        pages: DataFrame, hint: str = SERVICE_HINT, price_chars: int | None = None, name_chars: int | None = None, script_chars: int | None = None) -> DataFrame:
+        pages: DataFrame, hint: str = SERVICE_HINT, price_chars: int | None = None) -> DataFrame:
     """Location and offer evidence per page with method confidence and stable ids.
 
     Structured prices win over visible ones of the same name; visible headings alone count only on
     pages with nothing structured.
     """
     # the pages are parsed once; every kind of evidence reads the small extract
-    parts = cut_lineage(page_parts(pages, name_chars, script_chars))
+    parts = cut_lineage(page_parts(pages))
     locations, offers = structured_evidence(parts, hint)
     structured = offers.unionByName(script_evidence(parts, hint)).withColumn("nname", norm_text("name"))
     patterns = heading_evidence(parts, hint, price_chars).withColumn("nname", norm_text("name"))

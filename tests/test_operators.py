@@ -465,4 +465,7 @@ def test_page_prices_are_found_however_far_they_stand(spark):
     rows = lambda **limits: {(r.page_id, r.price_minor, r.method) for r in PG.page_evidence(pages, **limits).collect()}
     assert len(gap) >= 800 and len(long_name) > 180
     assert rows() == {(1, 12000, "price_pattern"), (2, 35000, "embedded_script_pattern")}
-    assert rows(price_chars=700, script_chars=600) == {(1, None, "heading_pattern")}
+    assert rows(price_chars=700) == {(1, None, "heading_pattern"), (2, 35000, "embedded_script_pattern")}
+    quoted = """<script>x = [{"title": "Perfil tiroideo", "id": 7, "cost": "$ 1,250.00"}, {'name': 'Glucosa', 'url': 'a', 'price': 90}, {"price": 5}, {"name": "Sin precio"}]</script>"""
+    pages = spark.createDataFrame([(3, "https://three.example.com/", quoted)], pages.schema)
+    assert {(r.name, r.price_minor) for r in PG.page_evidence(pages, hint="(?i)perfil|glucosa").collect()} == {("Perfil tiroideo", 125000), ("Glucosa", 9000)}
