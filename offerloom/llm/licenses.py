@@ -37,7 +37,7 @@ KEYS = [
     ["gnu affero general public license"], [], ["in compliance with the license"], ["unless required by applicable law"], ["redistribution and use"],
     ["attribution 4 0"], [], [], ["gnu general public license", "version 3"], ["gnu general public license"], ["fee"], ["gnu lesser general public license"],
     [], ["free of charge", "any person"], ["mozilla public license"]]
-#: Templates of so few words are held only whole, their words consecutive.
+#: Templates of so few words are held only whole (in license_statements, their words consecutive).
 WHOLE = 9
 #: Windows of WINDOW words begin every STEP words: a statement of at most WINDOW - STEP words lies in one.
 WINDOW, STEP = 64, 32
@@ -66,56 +66,66 @@ def token_order(docs: DataFrame, templates=TEMPLATES) -> list[str]:
     return sorted(vocabulary, key=lambda w: (counts.get(w, 0), w))
 
 
-def _template_literals(order: list[str], threshold: float, templates) -> Column:
-    """One struct per template: its distinct words in global order, the overlap it needs and its prefix.
+def _needed(text: str, threshold: float) -> int:
+    """How many distinct words of a template a block must have: all of a short one, else the share."""
+    size = len(set(_words(text)))
+    return size if len(_words(text)) <= WHOLE else -int(-threshold * size // 1)
+
+
+def _template_literals(order: list[str], threshold: float, templates, keys) -> Column:
+    """One struct per template: its distinct words in global order, the overlap it needs, its prefix and its keys.
 
     A block that shares ``need`` words with the template shares at least one of its first
     size - need + 1 words, the prefix.
     """
     rank = {w: i for i, w in enumerate(order)}
     structs = []
-    for label, text in templates:
+    for (label, text), needed in zip(templates, keys, strict=True):
         words = sorted(set(_words(text)), key=rank.__getitem__)
-        need = -int(-threshold * len(words) // 1)
+        need = _needed(text, threshold)
         prefix = words[: len(words) - need + 1]
         structs.append(F.struct(
             F.lit(label).alias("label"), F.array(*map(F.lit, words)).alias("words"), F.lit(need).alias("need"),
-            F.array(*map(F.lit, prefix)).alias("prefix")))
+            F.array(*map(F.lit, prefix)).alias("prefix"), F.array(*[F.lit(f" {k} ") for k in needed]).cast("array<string>").alias("keys")))
     return F.array(*structs)
 
 
-def _template_hits(text: Column, order: list[str], threshold: float, templates) -> Column:
+def _template_hits(text: Column, order: list[str], threshold: float, templates, keys) -> Column:
     """``label, share`` of every template that a block of the text holds.
 
     The words of a block that no template has come first in the order and can match nothing, so a
     block is its template words in global order. Length filter: it has at least ``need`` of them.
     Prefix filter: it shares a word of the prefix. Positional filter: from the first shared prefix
-    word on, both sides still have ``need`` words. Survivors are verified by their full overlap.
+    word on, both sides still have ``need`` words. Survivors are verified by their full overlap, and by
+    the template's keys, which tell it from statements that resemble it.
     """
-    vocabulary, literals = F.array(*map(F.lit, order)), _template_literals(order, threshold, templates)
-    fewest = min(-int(-threshold * len(set(_words(t))) // 1) for _, t in templates)
+    vocabulary, literals = F.array(*map(F.lit, order)), _template_literals(order, threshold, templates, keys)
+    fewest = min(_needed(t, threshold) for _, t in templates)
+
+    def of_block(row: Column) -> Column:
+        block = row["words"]
 
-    def of_block(block: Column) -> Column:
         def candidate(t: Column) -> Column:
             first = F.get(F.array_intersect(t["prefix"], block), F.lit(0))
             left = F.least(F.size(t["words"]) - F.array_position(t["words"], first), F.size(block) - F.array_position(block, first)) + 1
             return (F.size(block) >= t["need"]) & F.arrays_overlap(t["prefix"], block) & (left >= t["need"]) & (
-                F.size(F.array_intersect(t["words"], block)) >= t["need"])
+                F.size(F.array_intersect(t["words"], block)) >= t["need"]) & F.forall(t["keys"], lambda k: F.contains(row["line"], k))
 
         found = F.filter(literals, candidate)
         return F.transform(found, lambda t: F.struct(t["label"].alias("label"), (F.size(F.array_intersect(t["words"], block)) / F.size(t["words"])).alias("share")))
 
-    blocks = F.transform(F.split(text, "\n", -1), lambda line: F.array_intersect(vocabulary, F.split(_spaced(line), " ")))
-    return F.flatten(F.transform(F.filter(blocks, lambda b: F.size(b) >= fewest), of_block))
+    blocks = F.transform(F.split(text, "\n", -1), lambda line: once(
+        _spaced(line), lambda s: F.struct(s.alias("line"), F.array_intersect(vocabulary, F.split(s, " ")).alias("words"))))
+    return F.flatten(F.transform(F.filter(blocks, lambda b: F.size(b["words"]) >= fewest), of_block))
 
 
-def scan_licenses(docs: DataFrame, threshold: float = CONTAINED, phrases=PHRASES, templates=TEMPLATES) -> DataFrame:
+def scan_licenses(docs: DataFrame, threshold: float = CONTAINED, phrases=PHRASES, templates=TEMPLATES, keys=KEYS) -> DataFrame:
     """``doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score`` of every document.
 
     One pass counts the template words over the corpus; the second is map-only: every document is
     compared with the templates, a constant of the code, so nothing is shuffled and no key is hot.
     A text block is a line; a template is contained when the block holds ``threshold`` of its distinct
-    words. Base phrases are counted wherever their words stand consecutively, across lines too.
+    words (all of them, if it has WHOLE words or fewer) and, word by word, each of its ``keys``. Base phrases are counted wherever their words stand consecutively, across lines too.
     score: 1 for a base phrase, else the largest share of a template found, else 0.
 
     A null text is empty: no words, null positions, empty labels and score 0. Repeated rows and null
@@ -139,7 +149,7 @@ def scan_licenses(docs: DataFrame, threshold: float = CONTAINED, phrases=PHRASES
     n_words = _count(F.col("flat"))
     base = rows.select(
         "doc_id", n_words.alias("n_words"), F.inline(F.array(F.struct(
-            places(F.col("flat")).alias("places"), _template_hits(F.col("text"), order, threshold, templates).alias("hits")))))
+            places(F.col("flat")).alias("places"), _template_hits(F.col("text"), order, threshold, templates, keys).alias("hits")))))
     base_labels = F.array_distinct(F.transform("places", lambda p: p["label"]))
     all_labels = F.array_distinct(F.concat(F.transform("places", lambda p: p["label"]), F.transform("hits", lambda h: h["label"])))
     best = F.coalesce(F.array_max(F.transform("hits", lambda h: h["share"])), F.lit(0.0))

@@ -157,7 +157,8 @@ def _list(words) -> str:
 
 _PHRASES = ", ".join(f"({_list(phrase.split())}, '{label}')" for phrase, label in licenses.PHRASES.items())
 _TEMPLATES = ", ".join(
-    f"({_list(sorted(set(re.findall('[0-9a-z]+', text.lower()))))}, '{label}')" for label, text in licenses.TEMPLATES)
+    f"({_list(sorted(set(words)))}, '{label}', {len(set(words)) if len(words) <= 9 else 0}, {_list(keys)}::VARCHAR[])"
+    for (label, text), keys in zip(licenses.TEMPLATES, licenses.KEYS) for words in [re.findall("[0-9a-z]+", text.lower())])
 OP4_SQL = f"""
 WITH lowered AS (
   SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
@@ -169,12 +170,12 @@ base AS (
   SELECT doc_id, count(*) AS n_base, min(pos) AS first_word, max(pos) AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) AS base_labels
   FROM places GROUP BY doc_id),
 blocks AS (
-  SELECT doc_id, list_distinct(regexp_extract_all(line, '{_WORDS}')) AS b
+  SELECT doc_id, list_distinct(regexp_extract_all(line, '{_WORDS}')) AS b, ' ' || array_to_string(regexp_extract_all(line, '{_WORDS}'), ' ') || ' ' AS spaced
   FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS line FROM lowered)),
-templates(p, label) AS (VALUES {_TEMPLATES}),
+templates(p, label, least, keys) AS (VALUES {_TEMPLATES}),
 hits AS (
   SELECT doc_id, label, len(list_intersect(p, b)) / len(p)::DOUBLE AS share FROM blocks, templates
-  WHERE len(list_intersect(p, b)) >= ceil(0.8 * len(p))),
+  WHERE len(list_intersect(p, b)) >= greatest(ceil(0.8 * len(p)), least) AND len(list_filter(keys, lambda k: NOT contains(spaced, ' ' || k || ' '))) = 0),
 best AS (SELECT doc_id, max(share) AS share FROM hits GROUP BY doc_id),
 labelled AS (
   SELECT doc_id, string_agg(DISTINCT label, ',' ORDER BY label) AS labels

@@ -124,10 +124,11 @@ def plain_licenses(text):
         places += [(i, label) for i in range(len(words)) if words[i:i + len(parts)] == parts]
     hits = []
     for line in (text or "").split("\n"):
-        held = set(licenses._words(line))
-        for label, template in licenses.TEMPLATES:
+        held, spaced = set(licenses._words(line)), f" {' '.join(licenses._words(line))} "
+        for (label, template), keys in zip(licenses.TEMPLATES, licenses.KEYS):
             need = set(licenses._words(template))
-            if len(need & held) >= licenses.CONTAINED * len(need) - 1e-9:
+            share = 1 if len(licenses._words(template)) <= licenses.WHOLE else licenses.CONTAINED
+            if len(need & held) >= share * len(need) - 1e-9 and all(f" {k} " in spaced for k in keys):
                 hits.append((len(need & held) / len(need), label))
     at = [i for i, _ in places]
     return (len(words), len(places), min(at, default=None), max(at, default=None), ",".join(sorted({x for _, x in places})),
@@ -149,6 +150,15 @@ def test_licenses_against_a_plain_scan(spark):
     assert licenses.scan_licenses(table(spark, [])).count() == 0
 
 
+def test_each_statement_on_a_line_has_its_own_label_only(spark):
+    own = dict(enumerate(licenses.TEMPLATES)) | {99: ("cc-by", "Licensed under CC BY 4.0")}
+    rows = {r.doc_id: r.labels for r in licenses.scan_licenses(table(spark, [t for _, t in own.values()], ids=list(own))).collect()}
+    base = {i: {label for phrase, label in licenses.PHRASES.items() if f" {phrase} " in f" {' '.join(licenses._words(t))} "} for i, (_, t) in own.items()}
+    assert rows == {i: ",".join(sorted({label} | base[i])) for i, (label, _) in own.items()}
+    no_own = licenses.scan_licenses(table(spark, ["it was released under the usual license", "Licensed under CC BY-ND 4.0"])).collect()
+    assert [r.labels for r in sorted(no_own)] == ["", "cc-by"]
+
+
 def test_license_words_are_ordered_rarest_first(spark):
     texts = ["the license\nthe license", "of the license", "the", "permission"]
     order = licenses.token_order(table(spark, texts))
