@@ -49,6 +49,13 @@ def shared_folder(spark: SparkSession, purpose: str) -> str:
     return f"{spark.sparkContext.getCheckpointDir()}/{purpose}-{uuid.uuid4().hex}"
 
 
+def drop_folder(spark: SparkSession, path: str) -> None:
+    """Delete a folder that this job wrote and nothing reads any more, in whatever store it lies."""
+    context = spark.sparkContext
+    folder = context._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(context._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def sliced(batches: Iterable[pa.RecordBatch], rows: int = 512, chars: str | None = None, limit: int = 16 << 20) -> Iterator[pa.RecordBatch]:
     """Arrow batches cut so that Python objects of few rows (and about ``limit`` bytes of ``chars``) exist at once."""
     for batch in batches:
