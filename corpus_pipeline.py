@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from offerloom.llm import lines, mixing, pieces, quality, simhash
-from offerloom.llm.common import documents, pick, shared_folder
+from offerloom.llm.common import documents, drop_folder, pick, shared_folder
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 #: Near copies share this part of their shingles of so many words.
@@ -67,4 +67,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     for number, (_, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{number}")
         docs = spark.read.parquet(f"{folder}/{number}")
+        if number:  # what the stage read is not needed any more
+            drop_folder(spark, f"{folder}/{number - 1}")
     return docs
