@@ -159,6 +159,13 @@ def host_seeds(records: DataFrame, max_urls: int | None = None) -> DataFrame:
     return per.join(urls, "host")
 
 
+def host_seed_rows(records: DataFrame) -> DataFrame:
+    """One row per website host and URL, with the host's record count and classes; nothing of a shared portal host is cut or gathered."""
+    rows = records.withColumn("host", site_host("website_url")).filter("host IS NOT NULL")
+    per = rows.groupBy("host").agg(F.count_distinct("external_record_id").alias("records"), F.array_sort(F.collect_set("classification")).alias("classifications"))
+    return rows.select("host", F.col("website_url").alias("seed_url")).distinct().join(per, "host")
+
+
 def _by(key: str, order: str):
     from pyspark.sql import Window
     return Window.partitionBy(key).orderBy(order)

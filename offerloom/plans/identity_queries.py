@@ -66,7 +66,7 @@ def _match(spark, sf):
 
 
 def _hosts(spark, sf):
-    return E.host_seeds(_classified(spark, sf), max_urls=3).select("host", "records", F.array_join("classifications", ",").alias("classifications"), F.array_join("seed_urls", ",").alias("seed_urls"))
+    return E.host_seed_rows(_classified(spark, sf)).select("host", "records", F.array_join("classifications", ",").alias("classifications"), "seed_url")
 
 
 def _tables(spark):
@@ -150,7 +150,8 @@ ORACLES = {
       b AS (SELECT * FROM t QUALIFY row_number() OVER (PARTITION BY candidate_id ORDER BY round(score, 9) DESC, coalesce(d, 1e6), location_id) = 1)
       SELECT c.candidate_id, CASE WHEN c.brand_key IS NULL THEN 'unmatched' WHEN c.brand_status = 'matched' AND round(d, 2) <= 350 AND (sim > 0 OR (sp AND round(d, 2) <= 100)) THEN 'matched' ELSE 'review_required' END AS status, location_id, round(round(d, 2), 1) AS distance_meters, round(sim, 4) AS name_similarity, sp AS same_postal, round(score, 5) AS score, coalesce(round(d, 2) <= 1000, FALSE) AS nearby
       FROM brand_candidates c LEFT JOIN b USING (candidate_id)""",
-    "host_seeds": _CLASS + """ SELECT host, count(DISTINCT external_record_id) AS records, array_to_string(list_sort(list(DISTINCT classification)), ',') AS classifications, array_to_string(list_sort(list(DISTINCT website_url))[1:3], ',') AS seed_urls FROM c WHERE host IS NOT NULL GROUP BY host""",
+    "host_seeds": _CLASS + """ SELECT host, records, classifications, seed_url FROM (SELECT DISTINCT host, website_url AS seed_url FROM c WHERE host IS NOT NULL)
+      JOIN (SELECT host, count(DISTINCT external_record_id) AS records, array_to_string(list_sort(list(DISTINCT classification)), ',') AS classifications FROM c WHERE host IS NOT NULL GROUP BY host) USING (host)""",
     "website_identities": _CLASS + f""", w AS (SELECT host, CASE WHEN host IN ('h5.example.com', 'h9.example.com') THEN 'Quinta' ELSE min_by(name, external_record_id) END AS name, count(*) AS sites FROM c WHERE classification = 'direct_clinical' AND lat IS NOT NULL AND host IS NOT NULL AND host NOT IN ('h3.example.com', 'h8.example.com') GROUP BY host),
       v AS (SELECT *, replace({D.norm('name')}, ' ', '-') AS slug FROM w) SELECT * FROM v WHERE slug IN (SELECT slug FROM v GROUP BY slug HAVING count(*) = 1)""",
     "website_clashes": _CLASS + f""", w AS (SELECT host, CASE WHEN host IN ('h5.example.com', 'h9.example.com') THEN 'Quinta' ELSE min_by(name, external_record_id) END AS name FROM c WHERE classification = 'direct_clinical' AND lat IS NOT NULL AND host IS NOT NULL AND host NOT IN ('h3.example.com', 'h8.example.com') GROUP BY host)

@@ -158,7 +158,7 @@ def _ledger(spark, sf):
 
 
 def _lookup(spark, sf):
-    return Q.catalog_lookup(view(spark, sf, "items"), view(spark, sf, "names"), "Gear", limit=50)
+    return Q.catalog_lookup(view(spark, sf, "items"), view(spark, sf, "names"), "Gear")
 
 
 QUERIES = {
@@ -229,5 +229,5 @@ ORACLES = {
     "review_scope_check": duck("norm_runs") + """, p AS (SELECT normalized_input AS label, provider_id, count(*) AS rows, count(DISTINCT policy) AS guards FROM norm_runs GROUP BY ALL)
       SELECT 'changed_rows' AS kind, '' AS key, count(*) AS n FROM norm_runs WHERE status = 'ambiguous' UNION ALL SELECT 'row_count', label || '|' || provider_id, rows FROM p WHERE label LIKE '%rod' AND label NOT LIKE 'large%'
       UNION ALL SELECT 'mixed_guard', label || '|' || provider_id, guards FROM p WHERE guards > 1 AND label NOT LIKE 'large%' UNION ALL SELECT 'uncovered', label || '|' || provider_id, rows FROM p WHERE label LIKE 'large%'""",
-    "catalog_lookup": duck("items", "names") + f""" SELECT item_id, name, FALSE AS exact FROM (SELECT n.item_id, n.name FROM names n JOIN items i ON i.item_id = n.item_id AND i.status = 'active' WHERE contains({D.norm('n.name')}, 'gear') QUALIFY row_number() OVER (PARTITION BY n.item_id ORDER BY n.name) = 1) ORDER BY name, item_id LIMIT 50""",
+    "catalog_lookup": duck("items", "names") + f""" SELECT item_id, name, FALSE AS exact FROM (SELECT n.item_id, n.name FROM names n JOIN items i ON i.item_id = n.item_id AND i.status = 'active' WHERE contains({D.norm('n.name')}, 'gear') QUALIFY row_number() OVER (PARTITION BY n.item_id ORDER BY n.name) = 1)""",
 }
