@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 
@@ -75,5 +76,8 @@ def sliced(batches: Iterable[pa.RecordBatch], rows: int = 512, chars: str | None
 
 
 def rest() -> None:
-    """At the end of a task: give freed Arrow buffers back, so that an idle Python worker holds little."""
+    """At the end of a task: give freed memory of Arrow and numpy back, so that an idle Python worker holds little."""
     pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of the C library, where it has one
+    if trim is not None:
+        trim(0)

@@ -130,6 +130,7 @@ def likely_pairs(pairs: DataFrame, nodes: DataFrame, similarity: float) -> DataF
             if batch.num_rows:
                 kept = pa.array((_bytes(batch.column("left")) == _bytes(batch.column("right"))).sum(axis=1) >= least)
                 yield batch.select(["a", "b"]).filter(kept)
+        rest()
 
     digests = nodes.where("digest IS NOT NULL").select("key", "digest")
     met = pairs.join(digests.toDF("a", "left"), "a").join(digests.toDF("b", "right"), "b").select("a", "b", "left", "right")
@@ -265,6 +266,7 @@ def _met(rows: DataFrame, similarity: float, most: int | None = None) -> DataFra
                 held = held.slice(whole)
         if held is not None:
             yield from compared(held.combine_chunks())
+        rest()
 
     return spread(rows, "unit").sortWithinPartitions("unit", F.desc("home")).mapInArrow(run, "a long, b long").distinct()
 
