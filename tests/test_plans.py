@@ -26,3 +26,22 @@ def test_results_meet_their_queries_without_a_broadcast(spark):
     out = to_query_ids(queries, rows)
     assert "BroadcastHashJoin" not in planned(out)
     assert {(r["query_id"], r["item_id"]) for r in out.collect()} == {("q1", "i1"), ("q2", "i2")}
+
+
+def test_scope_prices_and_links_move_asks_once_per_key(spark):
+    from offerloom.operators import offers as O
+
+    asks = spark.sql("SELECT * FROM VALUES ('a1','o1','l1',TIMESTAMP_NTZ'2024-01-03 12:00:00'),('a2','o1','l2',TIMESTAMP_NTZ'2024-01-03 12:00:00'),('a3','o2','l1',TIMESTAMP_NTZ'2024-01-03 12:00:00') t(ask_id, offer_id, location_id, at)")
+    offers = spark.sql("SELECT * FROM VALUES ('o1','b1'),('o2','b2') t(offer_id, provider_id)")
+    scopes = spark.sql("SELECT * FROM VALUES ('s1','o1','brand',NULL,NULL,'active'),('s2','o1','market','m1',NULL,'active'),('s3','o1','location',NULL,'l2','active'),('s4','o2','brand',NULL,NULL,'active') t(scope_id, offer_id, scope_type, market_id, location_id, status)")
+    prices = spark.sql("""SELECT concat('p', substr(scope_id, 2)) AS price_id, scope_id, 'regular' AS price_type, 'any' AS channel, 'default' AS price_key, CAST(substr(scope_id, 2) AS BIGINT) AS amount_minor, 'MXN' AS currency,
+        CAST(NULL AS TIMESTAMP_NTZ) AS valid_from, CAST(NULL AS TIMESTAMP_NTZ) AS valid_to, CAST(NULL AS STRING) AS day_time_from, CAST(NULL AS STRING) AS day_time_to, CAST(NULL AS ARRAY<INT>) AS weekdays,
+        TIMESTAMP_NTZ'2024-01-01 00:00:00' AS last_seen_at, TIMESTAMP_NTZ'2024-01-01 00:00:00' AS created_at, TRUE AS is_current FROM VALUES ('s1'),('s2'),('s3'),('s4') t(scope_id)""")
+    locations = spark.sql("SELECT * FROM VALUES ('l1','b1','UTC'),('l2','b1','UTC') t(location_id, provider_id, timezone)")
+    markets = spark.sql("SELECT * FROM VALUES ('m1','l1'),('m2','l1'),('m1','l1') t(market_id, location_id)")
+    priced = O.resolve_prices(asks, offers, scopes, prices, locations, markets)
+    assert {(r.ask_id, r.price_id) for r in priced.collect()} == {("a1", "p2"), ("a2", "p3")}  # b2 has no branch l1
+    assert "BroadcastHashJoin" not in planned(priced) and planned(priced).count("Exchange hashpartitioning(ask_id") == 0
+    links = spark.sql("SELECT concat('k', scope_id) AS link_id, scope_id, target AS link_target, concat(target, scope_id) AS url, 'active' AS status, CAST(NULL AS TIMESTAMP) AS verified_at, TIMESTAMP'2024-01-01' AS created_at FROM VALUES ('s2','study'),('s3','booking'),('s4','provider') t(scope_id, target)")
+    found = {(r.offer_id, r.location_id): (r.study_url, r.booking_url, r.link_capability) for r in O.offer_links(asks, scopes, links, markets).collect()}
+    assert found == {("o1", "l1"): ("studys2", None, "study_only"), ("o1", "l2"): ("bookings3", "bookings3", "study_only"), ("o2", "l1"): (None, None, "provider_only")}
