@@ -6,6 +6,8 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..session import by_shuffle
+
 # Link types, surfaces and event names that are accepted, and metadata rules.
 LINK_TYPES, SURFACES = ["booking", "study", "location", "provider"], ["web", "pwa", "android", "ios"]
 EVENT_NAMES = ["consent_granted", "search_completed", "package_resolved", "package_resolved_from_image", "provider_contact_clicked", "pwa_installed"]
@@ -169,7 +171,7 @@ def evaluate_corpus(expectations: DataFrame, status: DataFrame) -> tuple[DataFra
 
     ``expectations``: query_id, expected_action, expected_item_id; ``status``: query_id, status, item_id.
     """
-    j = expectations.join(status.select("query_id", "status", "item_id"), "query_id", "left").fillna({"status": "invalid"})
+    j = expectations.join(by_shuffle(status.select("query_id", "status", "item_id")), "query_id", "left").fillna({"status": "invalid"})
     wanted, resolved = F.col("expected_action").isin(*RESOLUTION_ACTIONS), F.col("status") == "resolved"
     summary = j.agg(
         F.count(F.lit(1)).alias("records"), F.count_if(wanted).alias("resolution_expected"), F.count_if(wanted & resolved).alias("resolved_expected"),

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.hygiene import content_hash
 from ..functions.text import norm_text
+from ..session import by_shuffle
 from .offers import best_by
 
 OPEN = ["pending", "ambiguous", "no_match"]
@@ -111,7 +112,7 @@ def review_fingerprint(queries: DataFrame, results: DataFrame, engine: str, max_
         results = results.filter(F.col("result_rank") <= max_candidates)
     shown = results.groupBy("query_id").agg(
         F.array_sort(F.collect_list(F.struct("result_rank", "item_id", "resolution_status"))).alias("c"), F.count_if(F.col("resolution_status") == "resolved").alias("resolved"))
-    rows = queries.join(shown, "query_id", "left").filter("coalesce(resolved, 0) = 0 OR size(c) > 1")
+    rows = queries.join(by_shuffle(shown), "query_id", "left").filter("coalesce(resolved, 0) = 0 OR size(c) > 1")
     print_ = F.md5(F.array_join(F.transform(F.coalesce("c", F.array().cast("array<struct<result_rank:int,item_id:string,resolution_status:string>>")), lambda x: F.concat_ws(":", x["item_id"], x["resolution_status"])), ","))
     return rows.select("scope", norm_text("query_text").alias("normalized_query"), F.lit(engine).alias("engine"), print_.alias("fingerprint"), "query_id").groupBy(
         "scope", "normalized_query", "engine", "fingerprint").agg(F.count(F.lit(1)).alias("occurrences"), F.min("query_id").alias("first_query_id"))
