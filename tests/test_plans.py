@@ -45,3 +45,16 @@ def test_scope_prices_and_links_move_asks_once_per_key(spark):
     links = spark.sql("SELECT concat('k', scope_id) AS link_id, scope_id, target AS link_target, concat(target, scope_id) AS url, 'active' AS status, CAST(NULL AS TIMESTAMP) AS verified_at, TIMESTAMP'2024-01-01' AS created_at FROM VALUES ('s2','study'),('s3','booking'),('s4','provider') t(scope_id, target)")
     found = {(r.offer_id, r.location_id): (r.study_url, r.booking_url, r.link_capability) for r in O.offer_links(asks, scopes, links, markets).collect()}
     assert found == {("o1", "l1"): ("studys2", None, "study_only"), ("o1", "l2"): ("bookings3", "bookings3", "study_only"), ("o2", "l1"): (None, None, "provider_only")}
+
+
+def test_locations_are_never_broadcast_when_offers_expand(spark):
+    from offerloom.operators import offers as O
+
+    offers = spark.sql("SELECT * FROM VALUES ('o1','b1','i1',FALSE,'active') t(offer_id, provider_id, item_id, requires_quote, status)")
+    scopes = spark.sql("SELECT * FROM VALUES ('s1','o1','brand',NULL,NULL,'active'),('s2','o1','market','m1',NULL,'active'),('s3','o1','location',NULL,'l2','active') t(scope_id, offer_id, scope_type, market_id, location_id, status)")
+    locations = spark.sql("SELECT * FROM VALUES ('l1','b1'),('l2','b1'),('l3','b2') t(location_id, provider_id)")
+    markets = spark.sql("SELECT * FROM VALUES ('m1','b1','l1'),('m1','b2','l3') t(market_id, provider_id, location_id)")
+    rows = O.expand_offers(offers, scopes, locations, markets, brand_to_branches=True)
+    joins = [line for line in planned(rows).splitlines() if "HashJoin" in line and "location" in line]
+    assert not joins, joins
+    assert sorted((r.scope_id, r.location_id) for r in rows.collect()) == [("s1", "l1"), ("s1", "l2"), ("s2", "l1"), ("s3", "l2")]
