@@ -10,7 +10,7 @@ from ..functions.scoring import assignment_score, preserves_qualifiers, search_t
 from ..functions.text import (
     article_fold, char3_set, evaluated, initialism, lexical_evidence, norm_text, set_similarity, token_overlap, tokens, trigrams,
 )
-from ..session import cut_lineage, spread
+from ..session import by_shuffle, cut_lineage, spread
 from .blocking import containing_terms, overlap_candidates
 from .offers import best_by
 
@@ -106,7 +106,7 @@ def offline_candidates(labels: DataFrame, terms: DataFrame) -> DataFrame:
     common = F.size(F.array_intersect("a", "b"))
     fuzzy = fuzzy.withColumn("score", F.round(common / (F.size("a") + F.size("b") - common), 6)).filter(
         F.col("overlap") & (F.col("score") >= OFFLINE_MIN)).select("nq", "nt", "score", F.lit("trigram").alias("how"))
-    pairs = q.join(equal.unionByName(coined).unionByName(fuzzy), "nq")
+    pairs = q.join(by_shuffle(equal.unionByName(coined).unionByName(fuzzy)), "nq")
     shared = pairs.join(t.filter("term_kind <> 'provider_alias'"), "nt")
     own = pairs.join(t.filter("term_kind = 'provider_alias'").withColumn("provider_id", F.col("term_provider")), ["nt", "provider_id"]).select(*shared.columns)
     method = F.when(F.col("how") == "same", F.col("term_kind")).otherwise(F.col("how"))
@@ -204,10 +204,10 @@ def terminology_candidates(queries: DataFrame, index: DataFrame, limit: int = 20
     lead = [norm_text(f) for f in list(FIELD_WEIGHTS)[:3] if f in index.columns]
     ranks = index.select("code", "common_test_rank", "common_order_rank", F.array_compact(F.array_distinct(F.array(*lead))).alias("titles"))
     profile = held.groupBy("code").agg(F.map_from_entries(F.collect_list(F.struct("word", "weight"))).alias("profile"))
-    entries = cut_lineage(profile.join(ranks, "code"))
+    entries = cut_lineage(profile.join(by_shuffle(ranks), "code"))
     vocabulary = held.groupBy("word").agg(F.count(F.lit(1)).alias("df"), F.max("weight").alias("top"))
     asked = q.select("nq", F.size("words").alias("n"), F.explode("words").alias("word")).groupBy("nq", "n", "word").agg(F.count(F.lit(1)).alias("times"))
-    asked = asked.join(vocabulary, "word").groupBy("nq", "n").agg(F.array_sort(F.collect_list(F.struct("df", "word", "times", "top"))).alias("held"))
+    asked = asked.join(by_shuffle(vocabulary), "word").groupBy("nq", "n").agg(F.array_sort(F.collect_list(F.struct("df", "word", "times", "top"))).alias("held"))
     ordered = F.array_contains(tokens("nq"), "panel") | F.array_contains(tokens("nq"), "order")
     keyed = asked.withColumn("ordered", ordered)
     keyed = cut_lineage(keyed.withColumn("class", F.sha2(F.to_json(F.struct("n", "ordered", "held")), 256)))
@@ -231,7 +231,7 @@ def terminology_candidates(queries: DataFrame, index: DataFrame, limit: int = 20
     while True:
         asks = active.withColumn("word", F.element_at("held", step)["word"])
         earlier = F.exists(F.slice("held", 1, step - 1), lambda t: F.map_contains_key("profile", t["word"])) if step > 1 else F.lit(False)
-        rows = scored(asks.join(postings, "word").filter(~earlier)).select(*kept)
+        rows = scored(asks.join(by_shuffle(postings), "word").filter(~earlier)).select(*kept)
         best = cut_lineage(top_k(rows if best is None else best.unionByName(rows), ["class"], order, limit, "place").drop("place"))
         last = best.groupBy("class").agg(F.count(F.lit(1)).alias("places"), F.min("score").alias("least")).filter(F.col("places") >= limit).select("class", "least")
         rest = F.aggregate(F.slice("held", step + 1, F.greatest(F.size("held") - step, F.lit(0))), F.lit(0.0), lambda acc, t: acc + t["times"] * (0.65 + 0.20 * t["top"])) / F.col("n")
@@ -242,8 +242,8 @@ def terminology_candidates(queries: DataFrame, index: DataFrame, limit: int = 20
             break
     titled = entries.select("code", "profile", "common_test_rank", "common_order_rank", F.explode("titles").alias("nt")).filter("nt <> ''")
     named = containing_terms(keyed.select("nq"), titled.select("nt").distinct())
-    phrases = scored(keyed.join(named, "nq").join(titled, "nt").dropDuplicates(["nq", "code"]), 0.15).select("nq", *kept[1:])
+    phrases = scored(keyed.join(by_shuffle(named), "nq").join(by_shuffle(titled), "nt").dropDuplicates(["nq", "code"]), 0.15).select("nq", *kept[1:])
     phrases = top_k(phrases, ["nq"], order, limit, "place").drop("place")
-    plain = keyed.select("nq", "class").join(best, "class").drop("class")
-    rows = plain.join(phrases.select("nq", "code"), ["nq", "code"], "left_anti").unionByName(phrases)
+    plain = keyed.select("nq", "class").join(by_shuffle(best), "class").drop("class")
+    rows = plain.join(by_shuffle(phrases.select("nq", "code")), ["nq", "code"], "left_anti").unionByName(phrases)
     return top_k(rows, ["nq"], order, limit, "candidate_rank").select("nq", "code", "score", "coverage", "candidate_rank")

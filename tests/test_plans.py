@@ -58,3 +58,13 @@ def test_locations_are_never_broadcast_when_offers_expand(spark):
     joins = [line for line in planned(rows).splitlines() if "HashJoin" in line and "location" in line]
     assert not joins, joins
     assert sorted((r.scope_id, r.location_id) for r in rows.collect()) == [("s1", "l1"), ("s1", "l2"), ("s2", "l1"), ("s3", "l2")]
+
+
+def test_terminology_rows_are_never_broadcast(spark):
+    from offerloom.operators.suggest import terminology_candidates
+
+    queries = spark.sql("SELECT * FROM VALUES ('q1','cold rod panel'),('q2','ring') t(query_id, query_text)")
+    index = spark.sql("SELECT * FROM VALUES ('1','cold rod','R',1,0),('2','hot ring','S',2,0) t(code, long_common_name, shortname, common_test_rank, common_order_rank)")
+    rows = terminology_candidates(queries, index)
+    assert "BroadcastHashJoin" not in planned(rows)
+    assert sorted((r.nq, r.code) for r in rows.collect()) == [("cold rod panel", "1"), ("ring", "2")]
