@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import hygiene as H, labels as L, numbers as N, scoring as S, text as T
+from ..session import spread
 from . import duck_sql as D
 from .tables import VIEWS, duck, view
 
@@ -22,7 +23,9 @@ VIEWS["clinical_labels"] = """
 
 
 def _pairs(spark, sf):
-    return view(spark, sf, "label_pairs").select("query_id", T.norm_text("l").alias("l"), T.norm_text("r").alias("r"))
+    # small rows with expensive work: a file of a few megabytes would be one task
+    rows = spread(view(spark, sf, "label_pairs"), "query_id")
+    return T.evaluated(rows.select("query_id", F.col("l").alias("left"), F.col("r").alias("right")), l=T.norm_text("left"), r=T.norm_text("right"))
 
 
 def _pair_query(**columns):
@@ -35,6 +38,10 @@ def _double(col):
     return F.round(col.cast("double"), 6)
 
 
+def _word_similarity(spark, sf):
+    return T.word_similarities(_pairs(spark, sf), "r", "l", "similarity").select("query_id", _double(F.col("similarity")).alias("similarity"))
+
+
 def _norm(spark, sf):
     return spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", F.md5(T.norm_text("text")).alias("normalized_md5"))
 
@@ -161,7 +168,7 @@ QUERIES = {
     "norm_text": _norm,
     "repair_text": _repair,
     "trgm_similarity": _pair_query(similarity=lambda: _double(T.trgm_similarity("l", "r"))),
-    "trgm_word_similarity": _pair_query(similarity=lambda: _double(T.trgm_word_similarity("r", "l"))),
+    "trgm_word_similarity": _word_similarity,
     "char3_jaccard": _pair_query(similarity=lambda: T.char3_jaccard("l", "r")),
     "token_overlap": _pair_query(overlap=lambda: T.token_overlap("l", "r")),
     "initialism": _initialism,

@@ -68,3 +68,13 @@ def test_terminology_rows_are_never_broadcast(spark):
     rows = terminology_candidates(queries, index)
     assert "BroadcastHashJoin" not in planned(rows)
     assert sorted((r.nq, r.code) for r in rows.collect()) == [("cold rod panel", "1"), ("ring", "2")]
+
+
+def test_label_pairs_are_spread_and_their_trigrams_built_once_a_row(spark, sf):
+    import re
+
+    from offerloom.plans import registry
+
+    plan = registry.queries()["trgm_word_similarity"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Repartition" in plan, plan  # a small file is one task
+    assert len(re.findall(r"sequence\(", plan)) == 2, plan
