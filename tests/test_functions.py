@@ -82,3 +82,12 @@ def test_mojibake(spark):
 def test_digest_ignores_order(spark):
     a = spark.range(100).repartition(7)
     assert H.table_digest(a).collect() == H.table_digest(spark.range(100).orderBy(F.desc("id"))).collect()
+
+
+def test_initials_come_from_one_pass_over_the_text(spark):
+    texts = ["biometria hematica completa", "analisis de la sangre", "t4 libre", "estado entre los dos", "vitamina12 abc", "", "de la", "conde unas unase"]
+    expected = ["bhc", "as", "l", "ed", "a", None, None, "cuu"]
+    assert values(spark, texts, T.initialism("a")) == expected
+    assert values(spark, texts, T.initialism("a", 2, 2)) == [None, "as", None, "ed", None, None, None, None]
+    plan = spark.createDataFrame([("x",)], "a string").select(T.initialism("a").alias("i"))._jdf.queryExecution().optimizedPlan().toString()
+    assert "lambda" not in plan and plan.count("regexp_replace") == 1, plan
