@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.hygiene import content_hash
-from ..functions.text import norm_text
+from ..functions.text import evaluated, norm_text
 from ..session import by_shuffle
 from .offers import best_by
 
@@ -64,10 +64,11 @@ def materialize_queue(records: DataFrame, labels: DataFrame, queued: DataFrame)
     (label observations). A record needs exactly one label, equal to its payload label.
     """
     per = labels.groupBy("record_key").agg(F.count_distinct(norm_text("label")).alias("n"), F.min("label").alias("label"))
-    rows = records.join(per, "record_key")
-    good = rows.filter((F.col("n") == 1) & (norm_text("label") == norm_text("payload_label"))).join(queued.select("record_key"), "record_key", "left_anti")
-    return (good.select("record_key", "source_key", "provider_id", F.col("label").alias("raw_text"), norm_text("label").alias("normalized_input"), F.lit("pending").alias("status")),
-            rows.filter((F.col("n") > 1) | (norm_text("label") != norm_text("payload_label"))).select("record_key", F.col("n").alias("labels")))
+    rows = evaluated(records.join(per, "record_key"), normalized_input=norm_text("label"), wanted=norm_text("payload_label"))
+    same = F.col("normalized_input") == F.col("wanted")
+    good = rows.filter((F.col("n") == 1) & same).join(queued.select("record_key"), "record_key", "left_anti")
+    return (good.select("record_key", "source_key", "provider_id", F.col("label").alias("raw_text"), "normalized_input", F.lit("pending").alias("status")),
+            rows.filter((F.col("n") > 1) | ~same).select("record_key", F.col("n").alias("labels")))
 
 
 def apply_exact(matches: DataFrame, decisions: DataFrame, batch_size: int, request_id: str) -> tuple[DataFrame, DataFrame]:

@@ -78,3 +78,21 @@ def test_label_pairs_are_spread_and_their_trigrams_built_once_a_row(spark, sf):
     plan = registry.queries()["trgm_word_similarity"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
     assert "Repartition" in plan, plan  # a small file is one task
     assert len(re.findall(r"sequence\(", plan)) == 2, plan
+
+
+def test_queue_labels_are_normalized_once_a_row(spark):
+    from offerloom.operators.normqueue import materialize_queue
+
+    records = spark.sql("SELECT * FROM VALUES ('r1','s','Cold Rod','p'),('r2','s','Válvula','p'),('r3','s','ring','p') t(record_key, source_key, payload_label, provider_id)")
+    labels = spark.sql("SELECT * FROM VALUES ('r1','cold  rod'),('r2','valvula'),('r2','VÁLVULA'),('r3','ring'),('r3','bolt') t(record_key, label)")
+    new, conflicts = materialize_queue(records, labels, records.limit(0).select("record_key"))
+    assert sorted((r.record_key, r.normalized_input) for r in new.collect()) == [("r1", "cold rod"), ("r2", "valvula")]
+    assert [tuple(r) for r in conflicts.collect()] == [("r3", 2)]
+    spark.conf.set("spark.sql.optimizer.excludedRules", "org.apache.spark.sql.catalyst.optimizer.ConvertToLocalRelation")
+    try:
+        keys = spark.range(3).selectExpr("cast(id as string) record_key", "'s' source_key", "cast(id as string) payload_label", "'p' provider_id")
+        names = spark.range(3).selectExpr("cast(id as string) record_key", "cast(id as string) label")
+        plan = materialize_queue(keys, names, keys.select("record_key"))[0]._jdf.queryExecution().optimizedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.optimizer.excludedRules")
+    assert plan.count("[^a-z0-9]+") == 3, plan
