@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import numbers as N, text as T
 from ..operators import quality as V, resolve as R
+from ..session import written
 from ..sources import census as CE, contracts as C, mapping as M, pages as P, runs as RU
 from . import duck_sql as D
 from .resolve_queries import PREFIX, catalog
@@ -120,12 +121,14 @@ def _record_gate(spark, sf):
     return gated(spark, sf).select("run_id", "seq", "parse_status", "error_detail")
 
 
-def run_status(spark, sf):
-    return V.run_gate(gated(spark, sf), view(spark, sf, "raw_runs"), view(spark, sf, "run_limits"))
+def run_status(spark, sf, rows=None):
+    return V.run_gate(gated(spark, sf) if rows is None else rows, view(spark, sf, "raw_runs"), view(spark, sf, "run_limits"))
 
 
-def _manifest(spark, sf):
-    return RU.run_manifest(gated(spark, sf), run_status(spark, sf))
+def _manifest(spark, sf, rows=None):
+    # read by several branches, here and in the queries that pass their rows
+    rows = written(gated(spark, sf)) if rows is None else rows
+    return RU.run_manifest(rows, run_status(spark, sf, rows))
 
 
 def _last_success(spark, sf):
@@ -139,15 +142,16 @@ def _quarantine(spark, sf):
 
 
 def _artifact(spark, sf):
-    rows = gated(spark, sf)
-    manifests = _manifest(spark, sf).withColumn("records_valid", F.when(F.length("run_id") % 2 == 0, F.col("records_valid") + 1).otherwise(F.col("records_valid")))
+    rows = written(gated(spark, sf))
+    manifests = _manifest(spark, sf, rows).withColumn("records_valid", F.when(F.length("run_id") % 2 == 0, F.col("records_valid") + 1).otherwise(F.col("records_valid")))
     observations = rows.filter("parse_status = 'parsed'").select("run_id", F.when(F.col("seq") % 5 == 0, "gone").otherwise(F.col("record_hash")).alias("record_hash"))
     return V.artifact_check(manifests, rows, observations)
 
 
 def _publish_run(spark, sf):
-    rows = gated(spark, sf).filter("parse_status = 'parsed'").select("run_id", "record_hash", "source_key")
-    runs = _manifest(spark, sf)
+    whole = written(gated(spark, sf).drop("payload"))
+    rows = whole.filter("parse_status = 'parsed'").select("run_id", "record_hash", "source_key")
+    runs = written(_manifest(spark, sf, whole))
     old_runs = runs.filter("source_key = 's1'").select("run_id")
     out = RU.publish_run(runs, rows, old_runs, rows.join(old_runs, "run_id", "left_semi"))
     return out["runs"].select("run_id", "status", "records_published").join(

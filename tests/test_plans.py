@@ -96,3 +96,16 @@ def test_queue_labels_are_normalized_once_a_row(spark):
     finally:
         spark.conf.unset("spark.sql.optimizer.excludedRules")
     assert plan.count("[^a-z0-9]+") == 3, plan
+
+
+def test_gated_rows_are_parsed_once_for_all_their_readers(spark, sf):
+    import re
+
+    from offerloom.plans import registry
+
+    def parsed(query) -> int:
+        plan = registry.queries()[query](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+        return len(re.findall("parse_?json", plan, re.IGNORECASE))
+
+    assert parsed("publish_run") == 0  # read from the table written before
+    assert parsed("artifact_check") == 1  # the hashes that are recomputed
