@@ -469,3 +469,19 @@ def test_page_prices_are_found_however_far_they_stand(spark):
     quoted = """<script>x = [{"title": "Perfil tiroideo", "id": 7, "cost": "$ 1,250.00"}, {'name': 'Glucosa', 'url': 'a', 'price': 90}, {"price": 5}, {"name": "Sin precio"}]</script>"""
     pages = spark.createDataFrame([(3, "https://three.example.com/", quoted)], pages.schema)
     assert {(r.name, r.price_minor) for r in PG.page_evidence(pages, hint="(?i)perfil|glucosa").collect()} == {("Perfil tiroideo", 125000), ("Glucosa", 9000)}
+
+
+def test_lowest_cost_search_grows_few_sets_among_equals(monkeypatch):
+    n, wanted = 90, 4
+    grown = []
+    offered = P._Search.offer
+    monkeypatch.setattr(P._Search, "offer", lambda self, sets, cover: (grown.append(len(sets)), offered(self, sets, cover))[1])
+    ids = sorted(f"s{b}" for b in range(n))
+    item = np.array([int(name[1:]) % 3 for name in ids])  # one item a branch, the fourth item is offered by none
+    rows = {"branch": np.arange(n), "label": np.zeros(n, int), "name": np.arange(n), "offer": np.arange(n), "currency": np.zeros(n, int), "distance": np.arange(n)[::-1] * 10.0,
+            "item_index": item, "amount": np.full(n, 100), "quoted": np.zeros(n, bool)}
+    got = [s["location_ids"] for s in P._solutions(rows, wanted, ids, P._initial(ids), ids, ["MXN"], "lowest_cost", 3, 3)]
+    by_rank = ids[::-1]  # equally many items each, so nearest first
+    sets = [s for s in itertools.combinations(by_rank, 3) if len({int(x[1:]) % 3 for x in s}) == 3]
+    assert got == sorted("|".join(s) for s in sets)[:3]
+    assert sum(grown) < 20_000  # all sets of up to three branches: 121,575
