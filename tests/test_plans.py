@@ -117,3 +117,11 @@ def test_recognized_lines_are_normalized_once_for_all_study_phrases(spark, sf):
     plan = registry.queries()["order_lines"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
     # 22 while the line was normalized for each study phrase and its parts were repeated in the filters
     assert plan.count("[^a-z0-9]+") <= 14, plan.count("[^a-z0-9]+")
+
+
+def test_offers_of_one_brand_meet_its_branches_once(spark, sf):
+    from offerloom.plans.offer_queries import QUERIES
+
+    plan = QUERIES["branch_addresses"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    made_distinct = [line for line in plan.splitlines() if "Aggregate [provider_id#" in line and "scope_type#" in line]
+    assert len(made_distinct) == 3  # for branches, markets and brands, before each meets the branches
