@@ -7,6 +7,7 @@ import datetime
 from pyspark.sql import functions as F
 
 from ..operators import analytics as A, resolve as R
+from ..session import written
 from .identity_queries import _DISC, _discovery
 from .ingest_queries import _RUNS, run_status
 from .queue_queries import VIEWS as _QUEUE_VIEWS  # registers the queue views
@@ -94,8 +95,11 @@ def _lookups(spark, sf):
 
 def _gate(part):
     def run(spark, sf):
-        tables = [view(spark, sf, n) for n in ("items", "offers", "brands", "scopes", "prices", "locations")]
-        return A.gate_report(*tables, _runs(spark, sf), view(spark, sf, "norm_runs"), AS_OF)[part]
+        offers = written(view(spark, sf, "offers").select("offer_id", "provider_id", "item_id", "status"))  # read by several branches each
+        scopes = written(view(spark, sf, "scopes", {"offers": offers}).select("scope_id", "offer_id", "scope_type", "status"))
+        prices = written(view(spark, sf, "prices", {"scopes": scopes}).select("scope_id", "is_current", "amount_minor", "last_seen_at"))
+        items, brands, locations = (view(spark, sf, n) for n in ("items", "brands", "locations"))
+        return A.gate_report(items, offers, brands, scopes, prices, locations, _runs(spark, sf), view(spark, sf, "norm_runs"), AS_OF)[part]
     return run
 
 

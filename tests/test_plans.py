@@ -119,6 +119,16 @@ def test_recognized_lines_are_normalized_once_for_all_study_phrases(spark, sf):
     assert plan.count("[^a-z0-9]+") <= 14, plan.count("[^a-z0-9]+")
 
 
+def lineitem_scans(frame) -> int:
+    return sum("l_orderkey" in line and "Relation" in line for line in frame._jdf.queryExecution().optimizedPlan().toString().splitlines())
+
+
+def test_gate_computes_offers_scopes_and_prices_once(spark, sf):
+    from offerloom.plans.analytics_queries import QUERIES
+
+    assert max(lineitem_scans(QUERIES[key](spark, sf)) for key in ("gate_report", "gate_verdicts")) <= 6  # runs and queue; before, 28
+
+
 def test_offers_of_one_brand_meet_its_branches_once(spark, sf):
     from offerloom.plans.offer_queries import QUERIES
 
