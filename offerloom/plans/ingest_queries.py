@@ -170,7 +170,9 @@ def _stale(spark, sf):
 
 def _integrity(spark, sf):
     v = lambda n: view(spark, sf, n)
-    offers, scopes, locations, prices, names = v("offers"), v("scopes"), v("locations"), v("prices"), v("names")
+    locations, names, offers = v("locations"), v("names"), written(v("offers").drop("requires_quote", "seen"))  # offers, scopes and prices are read by several rules
+    scopes = written(view(spark, sf, "scopes", {"offers": offers}).select("scope_id", "offer_id", "scope_type", "location_id"))
+    prices = written(view(spark, sf, "prices", {"scopes": scopes}).select("price_id", "scope_id", "price_type", "channel", "price_key", "is_current"))
     own = scopes.filter("scope_type = 'location'").join(offers.select("offer_id", "provider_id"), "offer_id")
     series = prices.filter("is_current")
     return V.integrity_report(

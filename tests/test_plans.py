@@ -129,6 +129,12 @@ def test_gate_computes_offers_scopes_and_prices_once(spark, sf):
     assert max(lineitem_scans(QUERIES[key](spark, sf)) for key in ("gate_report", "gate_verdicts")) <= 6  # runs and queue; before, 28
 
 
+def test_integrity_rules_share_their_tables(spark, sf):
+    from offerloom.plans.ingest_queries import QUERIES
+
+    assert lineitem_scans(QUERIES["integrity_report"](spark, sf)) == 0  # before, 15
+
+
 def test_offers_of_one_brand_meet_its_branches_once(spark, sf):
     from offerloom.plans.offer_queries import QUERIES
 
