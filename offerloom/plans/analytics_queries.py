@@ -90,7 +90,10 @@ def _dashboard(part):
 
 
 def _lookups(spark, sf):
-    return A.ops_lookups(*[view(spark, sf, n) for n in ("brands", "locations", "offers", "scopes", "prices")])
+    offers = written(view(spark, sf, "offers").select("offer_id", "provider_id"))  # as scopes, read by several branches
+    scopes = written(view(spark, sf, "scopes", {"offers": offers}).select("scope_id", "offer_id", "scope_type"))
+    prices = view(spark, sf, "prices", {"scopes": scopes})
+    return A.ops_lookups(view(spark, sf, "brands"), view(spark, sf, "locations"), offers, scopes, prices)
 
 
 def _gate(part):

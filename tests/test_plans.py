@@ -135,6 +135,12 @@ def test_integrity_rules_share_their_tables(spark, sf):
     assert lineitem_scans(QUERIES["integrity_report"](spark, sf)) == 0  # before, 15
 
 
+def test_lookups_share_offers_and_scopes(spark, sf):
+    from offerloom.plans.analytics_queries import QUERIES
+
+    assert lineitem_scans(QUERIES["ops_lookups"](spark, sf)) == 1  # before, 9
+
+
 def test_offers_of_one_brand_meet_its_branches_once(spark, sf):
     from offerloom.plans.offer_queries import QUERIES
 
