@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.hygiene import site_host
 from ..functions.numbers import haversine_m
-from ..functions.text import VENUE_WORDS, branch_similarity, meaningful_tokens, norm_text, repair_text
+from ..functions.text import VENUE_WORDS, meaningful_tokens, norm_text, repair_text, shared_part
 from ..session import cut_lineage
 from .offers import best_by
 from .spatial import nearest
@@ -88,10 +88,10 @@ def match_locations(candidates: DataFrame, locations: DataFrame, common_min: int
     brand. What counts as common only moves work between the two ways.
     """
     c = candidates.filter("brand_key IS NOT NULL").withColumns({
-        "cw": meaningful_tokens(norm_text("name"), 1, VENUE_WORDS), "cp": norm_text("postal_code")}).withColumnsRenamed({"name": "cn", "lat": "clat", "lon": "clon"})
+        "cw": meaningful_tokens(norm_text("name"), 1, VENUE_WORDS), "cp": norm_text("postal_code")}).withColumnsRenamed({"lat": "clat", "lon": "clon"})
     p = locations.filter("lat IS NOT NULL AND lon IS NOT NULL").withColumns({
-        "pw": meaningful_tokens(norm_text("name"), 1, VENUE_WORDS), "pp": norm_text("postal_code")}).withColumnsRenamed({"name": "pn", "lat": "plat", "lon": "plon"})
-    p = cut_lineage(p.select("location_id", "brand_key", "pn", "pw", "pp", "plat", "plon"))
+        "pw": meaningful_tokens(norm_text("name"), 1, VENUE_WORDS), "pp": norm_text("postal_code")}).withColumnsRenamed({"lat": "plat", "lon": "plon"})
+    p = cut_lineage(p.select("location_id", "brand_key", "pw", "pp", "plat", "plon"))
     words = p.select("location_id", "brand_key", F.explode("pw").alias("word"))
     seen = cut_lineage(words.groupBy("brand_key", "word").agg((F.count(F.lit(1)) > common_min).alias("common")))
     asked = c.select("candidate_id", "brand_key", F.explode("cw").alias("word")).join(seen, ["brand_key", "word"])
@@ -126,9 +126,9 @@ def match_locations(candidates: DataFrame, locations: DataFrame, common_min: int
     by_class = near.select(F.col("point_id").alias("candidate_id"), F.col("place_id").alias("location_id")).unionByName(
         points.filter("clat IS NULL OR clon IS NULL").select("candidate_id", F.col("lowest").alias("location_id")))
     pairs = by_word.unionByName(by_class).distinct()
-    rows = pairs.join(c.select("candidate_id", "cn", "cp", "clat", "clon"), "candidate_id").join(p.drop("brand_key", "pw"), "location_id")
+    rows = pairs.join(c.select("candidate_id", "cw", "cp", "clat", "clon"), "candidate_id").join(p.drop("brand_key"), "location_id")
     distance = haversine_m("clat", "clon", "plat", "plon")
-    rows = rows.withColumns({"distance": distance, "similarity": branch_similarity(norm_text("cn"), norm_text("pn")),
+    rows = rows.withColumns({"distance": distance, "similarity": shared_part("cw", "pw"),
                              "same_postal": (F.col("cp") != "") & (F.col("cp") == F.col("pp"))})
     near = F.when(F.col("distance").isNull(), 0.0).otherwise(1 - F.least("distance", F.lit(FAR_M)) / FAR_M)
     rows = rows.withColumn("score", F.col("similarity") * W_NAME + F.when(F.col("same_postal"), W_POSTAL).otherwise(0.0) + near * W_DISTANCE)

@@ -147,3 +147,16 @@ def test_offers_of_one_brand_meet_its_branches_once(spark, sf):
     plan = QUERIES["branch_addresses"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
     made_distinct = [line for line in plan.splitlines() if "Aggregate [provider_id#" in line and "scope_type#" in line]
     assert len(made_distinct) == 3  # for branches, markets and brands, before each meets the branches
+
+
+def test_pairs_of_branches_compare_words_that_are_made_once_a_row(spark):
+    from offerloom.operators.identity import match_locations
+
+    candidates = spark.createDataFrame([("c1", "b", "candidate", "Laboratorio Polar Norte", "72000", 19.0, -98.0)],
+                                       "candidate_id string, brand_key string, brand_status string, name string, postal_code string, lat double, lon double")
+    places = spark.createDataFrame([("l1", "b", "Polar Norte", "72000", 19.0, -98.0), ("l2", "b", "Polar Sur", "72000", 19.0, -98.0)],
+                                   "location_id string, brand_key string, name string, postal_code string, lat double, lon double")
+    out = match_locations(candidates, places)
+    compared = [line for line in out._jdf.queryExecution().optimizedPlan().toString().splitlines() if "array_intersect(" in line]
+    assert compared and not any("lambdafunction" in line for line in compared)
+    assert [(r.candidate_id, r.location_id, r.name_similarity) for r in out.collect()] == [("c1", "l1", 1.0)]
