@@ -160,3 +160,23 @@ def test_pairs_of_branches_compare_words_that_are_made_once_a_row(spark):
     compared = [line for line in out._jdf.queryExecution().optimizedPlan().toString().splitlines() if "array_intersect(" in line]
     assert compared and not any("lambdafunction" in line for line in compared)
     assert [(r.candidate_id, r.location_id, r.name_similarity) for r in out.collect()] == [("c1", "l1", 1.0)]
+
+
+def test_offers_of_an_item_travel_to_a_basket_as_one_small_row(spark, monkeypatch):
+    from offerloom.operators import packages as P
+
+    n, shuffled = 40, []
+    requests = spark.createDataFrame(
+        [(f"r{r}", i, f"i{i}", 19.0 + r / 7, -98.0 - r / 3) for r in range(5) for i in range(3)], "request_id string, item_index long, item_id string, lat double, lon double")
+    best = spark.createDataFrame(
+        [(f"i{i}", f"s{b}", f"{i}-{b}", f"Supplier#{b:09d}", f"Supplier#{b:09d}", 19 + b * 53 % 1000 / 1000, -98 - b * 17 % 1000 / 1000, None if b % 9 == 0 else b * 100 + i, "MXN", b % 7 == 0)
+         for i in range(3) for b in range(n) if (b + i) % 3], "item_id string, location_id string, offer_id string, provider_name string, location_name string, lat double, lon double, amount_minor long, currency string, requires_quote boolean")
+    plain = P.spread
+    monkeypatch.setattr(P, "spread", lambda df, *keys: (shuffled.append(df), plain(df, *keys))[1])
+    plans = P.plan_packages(requests, best, "all_in_one", max_branches=2)
+    [rows] = [df for df in shuffled if "basket" in df.columns]
+    assert rows.count() == 15
+    monkeypatch.setattr(P, "PACKED", 7)  # offers that fill several rows give the same plans
+    again = P.plan_packages(requests, best, "all_in_one", max_branches=2)
+    found = sorted(plans.collect(), key=str)
+    assert len(found) == 15 and found == sorted(again.collect(), key=str)
