@@ -180,3 +180,17 @@ def test_offers_of_an_item_travel_to_a_basket_as_one_small_row(spark, monkeypatc
     again = P.plan_packages(requests, best, "all_in_one", max_branches=2)
     found = sorted(plans.collect(), key=str)
     assert len(found) == 15 and found == sorted(again.collect(), key=str)
+
+
+def test_price_runs_are_found_in_one_sort_a_shuffle(spark):
+    import datetime
+
+    from offerloom.operators import offers as O
+
+    day = lambda d: datetime.datetime(2024, 1, d) if d else None
+    seen = spark.createDataFrame([("a", 5, day(1)), ("a", 5, day(3)), ("a", 7, day(9)), ("b", 4, None), ("b", 4, day(2)), ("c", None, day(1)), ("c", 2, day(2))], "s string, amount_minor long, observed_at timestamp_ntz")
+    versions = O.price_versions(seen, ["s"])
+    plan = versions._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Sort [") == 2 and plan.count("HashAggregate(") == 2
+    got = sorted([tuple(r) for r in versions.select("s", "version", "amount_minor", "valid_from", "last_seen_at", "valid_to").collect()], key=str)
+    assert got == [("a", 1, 5, day(1), day(3), day(9)), ("a", 2, 7, day(9), day(9), None), ("b", 1, 4, day(2), day(2), None), ("c", 1, None, day(1), day(1), day(2)), ("c", 2, 2, day(2), day(2), None)]
