@@ -18,6 +18,16 @@ log = logging.getLogger(__name__)
 MAX_PAYLOAD_BYTES, MAX_OBSERVATIONS = 512 * 1024, 100
 
 
+def _checked(records: DataFrame, max_bytes: int, max_observations: int) -> DataFrame:
+    size_ok = F.octet_length("payload") <= max_bytes
+    checked = records.withColumns({
+        "record_hash": content_hash("payload"),
+        "error_detail": F.when(F.col("n_observations") > max_observations, "record contains too many observations").when(
+            ~size_ok, "record payload exceeds the safety limit"),
+    }).withColumn("error_detail", F.coalesce("error_detail", F.when(F.col("record_hash").isNull(), "record payload is not JSON")))
+    return checked
+
+
 def record_gate(records: DataFrame, *, max_bytes: int = MAX_PAYLOAD_BYTES, max_observations: int = MAX_OBSERVATIONS) -> DataFrame:
     """Every record with ``parse_status`` and ``error_detail``; invalid rows are kept.
 
@@ -25,12 +35,7 @@ def record_gate(records: DataFrame, *, max_bytes: int = MAX_PAYLOAD_BYTES, max_o
     of a content wins inside its run: firsts come from a map-side combined minimum and are joined on
     the unique (run, seq), so many copies of one record never meet in one task.
     """
-    size_ok = F.octet_length("payload") <= max_bytes
-    checked = records.withColumns({
-        "record_hash": content_hash("payload"),
-        "error_detail": F.when(F.col("n_observations") > max_observations, "record contains too many observations").when(
-            ~size_ok, "record payload exceeds the safety limit"),
-    }).withColumn("error_detail", F.coalesce("error_detail", F.when(F.col("record_hash").isNull(), "record payload is not JSON")))
+    checked = _checked(records, max_bytes, max_observations)
     first = checked.filter("error_detail IS NULL").groupBy("run_id", "record_hash").agg(F.min("seq").alias("seq")).select(
         "run_id", "seq", F.lit(True).alias("first"))
     marked = checked.join(first, ["run_id", "seq"], "left")
@@ -39,7 +44,22 @@ def record_gate(records: DataFrame, *, max_bytes: int = MAX_PAYLOAD_BYTES, max_o
         "parse_status", F.when(F.col("error_detail").isNull(), "parsed").otherwise("invalid")).drop("first")
 
 
+def run_counts(records: DataFrame, *, max_bytes: int = MAX_PAYLOAD_BYTES, max_observations: int = MAX_OBSERVATIONS) -> DataFrame:
+    """(run_id, received, valid) as ``record_gate`` would find them, where nobody reads its rows: the first row of a content
+    is one row per (run, hash), so contents are counted map-side and no record meets another."""
+    hashed = _checked(records, max_bytes, max_observations).select("run_id", F.when(F.col("error_detail").isNull(), F.col("record_hash")).alias("hash"))
+    return hashed.groupBy("run_id", "hash").agg(F.count(F.lit(1)).alias("n")).groupBy("run_id").agg(
+        F.sum("n").alias("received"), F.count("hash").alias("valid"))
+
+
 def run_gate(gated: DataFrame, runs: DataFrame, limits: DataFrame) -> DataFrame:
+    """Status per run of gated records (``judge_runs``)."""
+    counts = gated.groupBy("run_id").agg(
+        F.count(F.lit(1)).alias("received"), F.count_if(F.col("parse_status") == "parsed").alias("valid"))
+    return judge_runs(counts, runs, limits)
+
+
+def judge_runs(counts: DataFrame, runs: DataFrame, limits: DataFrame) -> DataFrame:
     """Status per run from its counts, its limits and the last *succeeded* run of its source.
 
     ``runs``: run_id, source_key, finished_at, failed. ``limits``: source_key, expected_min,
@@ -47,8 +67,6 @@ def run_gate(gated: DataFrame, runs: DataFrame, limits: DataFrame) -> DataFrame:
     runs (one small row each, never their records) are sorted by source and time within their partition
     and read in order; only the last succeeded count is carried, however long a source's history is.
     """
-    counts = gated.groupBy("run_id").agg(
-        F.count(F.lit(1)).alias("received"), F.count_if(F.col("parse_status") == "parsed").alias("valid"))
     rows = runs.join(counts, "run_id", "left").fillna({"received": 0, "valid": 0}).join(limits, "source_key", "left")
     ordered = rows.select(
         "source_key", "run_id", "finished_at", "received", "valid", "failed", "expected_min", "expected_max", "max_negative_pct",

@@ -194,3 +194,19 @@ def test_price_runs_are_found_in_one_sort_a_shuffle(spark):
     assert plan.count("Sort [") == 2 and plan.count("HashAggregate(") == 2
     got = sorted([tuple(r) for r in versions.select("s", "version", "amount_minor", "valid_from", "last_seen_at", "valid_to").collect()], key=str)
     assert got == [("a", 1, 5, day(1), day(3), day(9)), ("a", 2, 7, day(9), day(9), None), ("b", 1, 4, day(2), day(2), None), ("c", 1, None, day(1), day(1), day(2)), ("c", 2, 2, day(2), day(2), None)]
+
+
+def test_run_verdicts_hash_each_record_once(spark, sf):
+    import __spark_entry__ as entry
+    from pyspark.sql import functions as F
+
+    from offerloom.operators import quality as V
+
+    for name in ("endpoint_freshness", "stale_facts"):
+        plan = entry.queries()[name](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("sha2(") == 1, name
+    records = spark.createDataFrame(
+        [("s", "r1", 1, '{"a":1,"b":2}', 1), ("s", "r1", 2, '{"b":2,"a":1}', 1), ("s", "r1", 3, '{"a":1,"b":2}', 900), ("s", "r1", 4, "no json", 1), ("s", "r1", 5, '{"a":3}', 1),
+         ("s", "r2", 1, None, 1), ("s", "r3", 1, '{"a":3}', 1)], "source_key string, run_id string, seq long, payload string, n_observations int")
+    rows = V.record_gate(records).groupBy("run_id").agg(F.count(F.lit(1)).alias("received"), F.count_if(F.col("parse_status") == "parsed").alias("valid"))
+    assert sorted(V.run_counts(records).collect()) == sorted(rows.collect()) == [("r1", 5, 2), ("r2", 1, 0), ("r3", 1, 1)]
