@@ -210,3 +210,14 @@ def test_run_verdicts_hash_each_record_once(spark, sf):
          ("s", "r2", 1, None, 1), ("s", "r3", 1, '{"a":3}', 1)], "source_key string, run_id string, seq long, payload string, n_observations int")
     rows = V.record_gate(records).groupBy("run_id").agg(F.count(F.lit(1)).alias("received"), F.count_if(F.col("parse_status") == "parsed").alias("valid"))
     assert sorted(V.run_counts(records).collect()) == sorted(rows.collect()) == [("r1", 5, 2), ("r2", 1, 0), ("r3", 1, 1)]
+
+
+def test_search_takes_the_similarity_from_the_grams_of_the_join(spark, sf):
+    import __spark_entry__ as entry
+    from offerloom.functions.text import trgm_similarity
+    from offerloom.operators.blocking import overlap_candidates
+
+    texts = ["brake pad", "brake pads rear", "hot rod", "pad", "rod hot rod", "x"]
+    rows = overlap_candidates(spark.createDataFrame([(t,) for t in texts], "nq string"), spark.createDataFrame([(t,) for t in texts], "nt string"), 0.25, similar=True)
+    found = rows.withColumn("plain", trgm_similarity("nt", "nq")).collect()
+    assert len(found) > len(texts) and all(r.similarity == r.plain for r in found)
