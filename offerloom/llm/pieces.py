@@ -408,7 +408,8 @@ def encode_pieces(docs: DataFrame, path: str = MODEL, chunk: int = CHUNK, fan: i
             ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(raw)))
             decoded = [pa.array([coder.decode(r) for r in raw], pa.string())] if with_text else []
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), ids, *decoded], ["doc_id", "ids", "text"][: 2 + with_text])
-        coder.forget()
+        if with_text:  # the pipeline runs on; else the next task finds the words known
+            coder.forget()
 
     result = "doc_id long, ids array<int>" + (", text string" if with_text else "")
     short = rows.where(F.char_length("text") <= chunk).mapInArrow(whole, result)
