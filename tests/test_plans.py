@@ -221,3 +221,10 @@ def test_search_takes_the_similarity_from_the_grams_of_the_join(spark, sf):
     rows = overlap_candidates(spark.createDataFrame([(t,) for t in texts], "nq string"), spark.createDataFrame([(t,) for t in texts], "nt string"), 0.25, similar=True)
     found = rows.withColumn("plain", trgm_similarity("nt", "nq")).collect()
     assert len(found) > len(texts) and all(r.similarity == r.plain for r in found)
+
+
+def test_published_mappings_are_judged_once_for_offers_and_scopes(spark, sf):
+    import __spark_entry__ as entry
+
+    plan = entry.queries()["publish_offers"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert "part.parquet" not in plan and "Join" in plan and plan.count("Relation [") == 2
