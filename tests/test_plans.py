@@ -228,3 +228,35 @@ def test_published_mappings_are_judged_once_for_offers_and_scopes(spark, sf):
 
     plan = entry.queries()["publish_offers"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
     assert "part.parquet" not in plan and "Join" in plan and plan.count("Relation [") == 2
+
+
+def test_near_search_meets_the_nearest_brands_of_an_item_only(spark, monkeypatch):
+    """Item x is sold by forty brands, each with three branches and an offer without one; item y by two brands."""
+    import math
+
+    from offerloom.operators import offers as O
+
+    schema = "item_id string, provider_id string, provider_name string, offer_id string, scope_id string, location_id string, lat double, lon double, price_type string, price_key string, amount_minor long"
+    sold = [("x", b, i) for b in range(40) for i in range(3)] + [("y", b, i) for b in range(2) for i in range(30)]
+    rows = [(item, f"b{b:02d}", f"n{b:02d}", f"o{item}{b}", f"s{item}{b}-{i}", f"l{b}-{i}", 19 + (b * 7 + i * 31) % 97 / 50, -98 - (b * 5 + i) % 89 / 50, "regular", "default", 10 + i) for item, b, i in sold]
+    rows += [("x", f"b{b:02d}", f"n{b:02d}", f"u{b}", f"u{b}", None, None, None, "regular", "default", 1) for b in range(40)]
+    results = spark.createDataFrame([("q1", "x", "X", 0.9), ("q2", "x", "X", 0.9), ("q3", "y", "Y", 1.0)], "query_id string, item_id string, display_name string, confidence double")
+    positions = spark.createDataFrame([("q1", 19.2, -98.3), ("q2", 20.1, -99.4), ("q3", 19.2, -98.3)], "query_id string, lat double, lon double")
+    plain, points = O.nearest, []
+    monkeypatch.setattr(O, "nearest", lambda p, *args, **kw: (points.append(p.count()), plain(p, *args, **kw))[1])
+    found = O.offer_search_near(results, positions, spark.createDataFrame(rows, schema))
+    shown = {}
+    for r in found.orderBy("query_id", "offer_rank").collect():
+        shown.setdefault(r.query_id, []).append((r.provider_id, r.location_id))
+    assert sum(points) <= 4  # the two positions of x, and one for each brand of y
+
+    def away(place, at):
+        (a, b), (x, y) = [[math.radians(v) for v in p] for p in (place, at)]
+        return math.sin((x - a) / 2) ** 2 + math.cos(a) * math.cos(x) * math.sin((y - b) / 2) ** 2
+
+    for query, item, at in (("q1", "x", (19.2, -98.3)), ("q2", "x", (20.1, -99.4)), ("q3", "y", (19.2, -98.3))):
+        ranked = {}
+        for r in sorted((r for r in rows if r[0] == item and r[5]), key=lambda r: (away(r[6:8], at), r[10])):
+            ranked.setdefault(r[1], []).append((away(r[6:8], at), r[1], r[5]))
+        wanted = sorted((rank > 0, *row) for brand in ranked.values() for rank, row in enumerate(brand))[:20]
+        assert shown[query] == [w[2:] for w in wanted]
