@@ -128,8 +128,11 @@ def _corpus(part):
 
 def _regression(part):
     def run(spark, sf):
-        before = _status(spark, sf, 2).select(F.col("query_id").alias("case_id"), "status", "item_id")
-        after = _status(spark, sf).select(F.col("query_id").alias("case_id"), "status", "item_id")
+        queries, terms = queries_table(spark, sf), catalog(spark, sf)
+        guarded = written(R.guarded_v2(queries, terms, "parts"))  # both runs go on from here
+        before, after = (
+            R.resolution_status(queries, R.resolve(queries, terms, "parts", stage=stage, guarded=guarded)).select(F.col("query_id").alias("case_id"), "status", "item_id")
+            for stage in (2, 6))
         weights = queries_table(spark, sf).select(F.col("query_id").alias("case_id"), F.length("query_text").cast("bigint").alias("rows"))
         forbidden = view(spark, sf, "items").filter("name LIKE 'hot%'").select("item_id")
         out = A.regression_diff(before, after, weights, queries_table(spark, sf).select(F.col("query_id").alias("case_id")).join(after.filter("item_id IS NOT NULL").join(forbidden, "item_id", "left_semi"), "case_id").select("case_id", "item_id"))[part]

@@ -260,3 +260,37 @@ def test_near_search_meets_the_nearest_brands_of_an_item_only(spark, monkeypatch
             ranked.setdefault(r[1], []).append((away(r[6:8], at), r[1], r[5]))
         wanted = sorted((rank > 0, *row) for brand in ranked.values() for rank, row in enumerate(brand))[:20]
         assert shown[query] == [w[2:] for w in wanted]
+
+
+def small_tables(spark, folder) -> str:
+    """Base tables of a few rows: four parts, two suppliers, six customers and lines of each return flag."""
+    def table(name, rows, schema):
+        spark.createDataFrame(rows, schema).write.parquet(f"{folder}/{name}.parquet")
+
+    import datetime
+
+    day = lambda d: datetime.datetime(1998, 1, d)
+    table("part", [(i, n, f"Brand#{i}", t, 5 + i, 1.0) for i, (n, t) in enumerate([("hot bolt", "LARGE"), ("cold ring", "SMALL"), ("old gear", "STANDARD"), ("hot ring", "PROMO")])],
+          "p_partkey long, p_name string, p_brand string, p_type string, p_size int, p_retailprice double")
+    table("supplier", [(i, f"Supplier#{i}", 1, 10.0) for i in (0, 1)], "s_suppkey long, s_name string, s_nationkey int, s_acctbal double")
+    table("customer", [(i, f"Customer#{i}", i % 3, 1000.0 + i, "FURNITURE") for i in range(6)], "c_custkey long, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string")
+    table("lineitem", [(i, i % 4, i % 2, i % 3, 10.0, 1000.0 + 10 * i, 0.01 * (i % 9), 0.01 * (i % 7), "NRA"[i % 3], "OF"[i % 2], day(1 + i)) for i in range(24)],
+          "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, l_extendedprice double, l_discount double, l_tax double, l_returnflag string, l_linestatus string, l_shipdate timestamp_ntz")
+    return str(folder)
+
+
+def test_two_resolver_runs_share_their_common_stages(spark, tmp_path, monkeypatch):
+    from offerloom.operators import resolve as R
+    from offerloom.plans import registry
+
+    folder, calls, plain = small_tables(spark, tmp_path), [], R.accepted_v1
+    wanted = {}
+    from offerloom.plans.resolve_queries import catalog, queries_table
+
+    queries, terms = queries_table(spark, folder), catalog(spark, folder)
+    for stage in (2, 6):
+        wanted[stage] = {r.query_id: (r.status, r.item_id) for r in R.resolution_status(queries, R.resolve(queries, terms, "parts", stage=stage)).collect()}
+    monkeypatch.setattr(R, "accepted_v1", lambda *args: (calls.append(args), plain(*args))[1])
+    changes = {r.case_id: (r.before_status, r.after_status) for r in registry.queries()["regression_changes"](spark, folder).collect()}
+    assert len(calls) == 1
+    assert changes == {q: (wanted[2][q][0], wanted[6][q][0]) for q in wanted[2] if wanted[2][q] != wanted[6][q]}
