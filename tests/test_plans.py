@@ -294,3 +294,14 @@ def test_two_resolver_runs_share_their_common_stages(spark, tmp_path, monkeypatc
     changes = {r.case_id: (r.before_status, r.after_status) for r in registry.queries()["regression_changes"](spark, folder).collect()}
     assert len(calls) == 1
     assert changes == {q: (wanted[2][q][0], wanted[6][q][0]) for q in wanted[2] if wanted[2][q] != wanted[6][q]}
+
+
+def test_price_drift_reads_the_lines_behind_its_scopes_once(spark, tmp_path):
+    from offerloom.plans import registry
+    from offerloom.plans.offer_queries import O, view
+
+    folder = small_tables(spark, tmp_path)
+    drift = registry.queries()["price_drift"](spark, folder)
+    assert planned(drift).split("Initial Plan")[0].count("lineitem.parquet") <= 2  # those of prices and of the capture
+    plain = O.price_drift(view(spark, folder, "drift_current"), view(spark, folder, "drift_capture")).select("price_id", "source_key", "state")
+    assert sorted(drift.collect()) == sorted(plain.collect()) and drift.count() > 5
