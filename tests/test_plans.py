@@ -305,3 +305,18 @@ def test_price_drift_reads_the_lines_behind_its_scopes_once(spark, tmp_path):
     assert planned(drift).split("Initial Plan")[0].count("lineitem.parquet") <= 2  # those of prices and of the capture
     plain = O.price_drift(view(spark, folder, "drift_current"), view(spark, folder, "drift_capture")).select("price_id", "source_key", "state")
     assert sorted(drift.collect()) == sorted(plain.collect()) and drift.count() > 5
+
+
+def test_links_meet_offers_as_one_row_a_scope(spark, monkeypatch):
+    from offerloom.operators import offers as O
+
+    asks = spark.sql("SELECT * FROM VALUES ('o1','l1'),('o1','l2'),('o2','l1') t(offer_id, location_id)")
+    scopes = spark.sql("SELECT * FROM VALUES ('s1','o1','brand',NULL,NULL,'active'),('s1','o1','brand',NULL,NULL,'active'),('s2','o1','location',NULL,'l2','active'),('s3','o2','market','m9',NULL,'active') t(scope_id, offer_id, scope_type, market_id, location_id, status)")
+    markets = spark.sql("SELECT * FROM VALUES ('m1','l1') t(market_id, location_id)")
+    links = spark.sql("""SELECT concat(target, day, scope_id) AS link_id, scope_id, target AS link_target, concat(target, day, scope_id) AS url, 'active' AS status, CASE WHEN day > 0 THEN make_timestamp(2024, 1, day, 0, 0, 0) END AS verified_at, TIMESTAMP'2024-01-01' AS created_at
+        FROM VALUES ('s1','study',1),('s1','study',2),('s1','study',0),('s1','location',1),('s1','provider',1),('s2','study',0),('s2','booking',1),('s3','study',1) t(scope_id, target, day)""")
+    scoped, plain = [], O.by_scope
+    monkeypatch.setattr(O, "by_scope", lambda a, s, m: (scoped.append(s.count()), plain(a, s, m))[1])
+    found = {(r.offer_id, r.location_id): (r.study_url, r.location_url, r.booking_url, r.link_capability) for r in O.offer_links(asks, scopes, links, markets).collect()}
+    assert scoped == [3]
+    assert found == {("o1", "l1"): ("study2s1", "location1s1", None, "study_and_location"), ("o1", "l2"): ("study0s2", "location1s1", "booking1s2", "study_and_location"), ("o2", "l1"): (None, None, None, "none")}
