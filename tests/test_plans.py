@@ -244,7 +244,7 @@ def test_near_search_meets_the_nearest_brands_of_an_item_only(spark, monkeypatch
     positions = spark.createDataFrame([("q1", 19.2, -98.3), ("q2", 20.1, -99.4), ("q3", 19.2, -98.3)], "query_id string, lat double, lon double")
     plain, points = O.nearest, []
     monkeypatch.setattr(O, "nearest", lambda p, *args, **kw: (points.append(p.count()), plain(p, *args, **kw))[1])
-    found = O.offer_search_near(results, positions, spark.createDataFrame(rows, schema))
+    found = O.offer_search_near(results, positions, spark.createDataFrame(rows, schema).selectExpr("*", "concat('https://', scope_id) AS source_url"))
     shown = {}
     for r in found.orderBy("query_id", "offer_rank").collect():
         shown.setdefault(r.query_id, []).append((r.provider_id, r.location_id))
@@ -302,7 +302,7 @@ def test_price_drift_reads_the_lines_behind_its_scopes_once(spark, tmp_path):
 
     folder = small_tables(spark, tmp_path)
     drift = registry.queries()["price_drift"](spark, folder)
-    assert planned(drift).split("Initial Plan")[0].count("lineitem.parquet") <= 2  # those of prices and of the capture
+    assert planned(drift).count("FileScan parquet [l_") == 2  # those of prices and of the capture
     plain = O.price_drift(view(spark, folder, "drift_current"), view(spark, folder, "drift_capture")).select("price_id", "source_key", "state")
     assert sorted(drift.collect()) == sorted(plain.collect()) and drift.count() > 5
 
@@ -320,3 +320,15 @@ def test_links_meet_offers_as_one_row_a_scope(spark, monkeypatch):
     found = {(r.offer_id, r.location_id): (r.study_url, r.location_url, r.booking_url, r.link_capability) for r in O.offer_links(asks, scopes, links, markets).collect()}
     assert scoped == [3]
     assert found == {("o1", "l1"): ("study2s1", "location1s1", None, "study_and_location"), ("o1", "l2"): ("study0s2", "location1s1", "booking1s2", "study_and_location"), ("o2", "l1"): (None, None, None, "none")}
+
+
+def test_item_rows_read_the_lines_of_prices_only(spark, tmp_path):
+    """Offers and scopes are written before; prices alone are computed in the plan."""
+    from offerloom.plans.offer_queries import AS_OF, O, item_rows, view
+
+    folder = small_tables(spark, tmp_path)
+    rows = item_rows(spark, folder)
+    assert planned(rows).count("FileScan parquet [l_") == 1
+    tables = (view(spark, folder, n) for n in ("brands", "offers", "scopes", "prices", "locations", "market_locations", "links"))
+    plain = O.item_offer_rows(*tables, as_of=AS_OF).select(*rows.columns)
+    assert sorted(rows.collect(), key=str) == sorted(plain.collect(), key=str) and rows.count() > 5
